@@ -114,3 +114,43 @@ def open_random(uri: str):
     """A readable, seekable file."""
     fs, path = _resolve(uri)
     return fs.open_input_file(path)
+
+
+def put_pack(uri: str, **arrays: np.ndarray) -> None:
+    """Several arrays in one file: a JSON line of names, types and places, then the arrays, 64-byte aligned."""
+    import json
+
+    at, head, todo = 0, {}, []
+    for name, x in arrays.items():
+        x = np.ascontiguousarray(x)
+        head[name] = [x.dtype.str, at, list(x.shape)]
+        todo.append((x, -x.nbytes % 64))
+        at += x.nbytes + todo[-1][1]
+    line = json.dumps(head).encode()
+    line += b" " * (-(len(line) + 1) % 64) + b"\n"
+    with AtomicFile(uri) as f:
+        f.write(line)
+        for x, pad in todo:
+            f.write(x.data if x.nbytes else b"")
+            f.write(b"\0" * pad)
+
+
+def mapped_pack(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of put_pack(), memory-mapped and read-only."""
+    import json
+
+    def load(path: str) -> dict[str, np.ndarray]:
+        with open(path, "rb") as f:
+            head = json.loads(line := f.readline())
+            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        return {k: np.frombuffer(whole, t, count=int(np.prod(shape)), offset=len(line) + at).reshape(shape) if np.prod(shape) else np.zeros(shape, t) for k, (t, at, shape) in head.items()}
+
+    fs, path = _resolve(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return load(path)
+    with tempfile.NamedTemporaryFile(suffix=".pack") as f:
+        with fs.open_input_stream(path) as src:
+            while chunk := src.read(1 << 24):
+                f.write(chunk)
+        f.flush()
+        return load(f.name)
