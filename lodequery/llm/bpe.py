@@ -5,27 +5,31 @@ that follows a non-blank character.  The pre-tokeniser's pattern has no
 alternative that matches across such a place and scans on from it without
 memory of what came before, and no added token holds a space; so the ids of a
 text are the ids of its units, one after the other, exactly.  Words repeat, so
-each worker keeps the library's ids of the units it has seen (at most
-``memo`` of them, then it starts anew) and asks the library for new ones only.
+each worker process keeps, from task to task, the library's ids of the units it
+has seen (at most ``memo`` of them, then it starts anew: about 250 MB) and asks
+the library for new ones only.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import sys
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A blank before a space, or a space at the start: there the simple split isn't a cut.
-_UNSAFE = re.compile(r"\A |\s ")
+#: A blank before a space: there the simple split isn't a cut.
+_BLANKS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_BLANKS_ASCII = [b for b in _BLANKS if b.isascii()]
+_encoders: dict[str, "UnitEncoder"] = {}
 
 
 class UnitEncoder:
     """ids(text) as the tokenizers library gives them without added tokens."""
 
-    def __init__(self, tokenizer_path: str, memo: int = 400_000, longest: int = 48):
+    def __init__(self, tokenizer_path: str, memo: int = 1_200_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -43,7 +47,8 @@ class UnitEncoder:
         return state.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True)
 
     def _ask(self, units: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        got = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return got if sys.byteorder == "little" else [np.frombuffer(x, "=u4").astype("<u4").tobytes() for x in got]
 
     def id_bytes(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for null or empty."""
@@ -52,7 +57,7 @@ class UnitEncoder:
         if not self.splits:
             return self._ask([text])[0]
         parts = text.split(" ")
-        if _UNSAFE.search(text):
+        if text[0] == " " or any(b in text for b in (_BLANKS_ASCII if text.isascii() else _BLANKS)):
             parts = _merge(parts)
         first, rest = parts[0], parts[1:]
         known = self.known
@@ -72,6 +77,13 @@ class UnitEncoder:
         return out
 
 
+def encoder(tokenizer_path: str) -> UnitEncoder:
+    """This process's encoder of a vocabulary, kept from task to task."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = UnitEncoder(tokenizer_path)
+    return _encoders[tokenizer_path]
+
+
 def _merge(parts: list[str]) -> list[str]:
     out = [parts[0]]
     for p in parts[1:]:

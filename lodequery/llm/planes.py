@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .bpe import UnitEncoder
+from .bpe import encoder
 
 MAGIC = b"LQPLANE1"
 
@@ -172,7 +172,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: s
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path, writer, end = f"{folder}/part-{part:06d}.planes", None, np.asarray([end_id], "<u4").tobytes()
-        encoder = UnitEncoder(tokenizer_path)
+        units = encoder(tokenizer_path)
         batches = (b for b in batches if b.num_rows)
         if (b := next(batches, None)) is None:
             return
@@ -180,7 +180,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: s
             writer = PlaneWriter(out, mode, block, level)
             while b is not None:
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    writer.add(doc, encoder.id_bytes(text) + end)
+                    writer.add(doc, units.id_bytes(text) + end)
                 b = next(batches, None)
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([writer.n_tokens], pa.int64())})

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UnitEncoder
+from .bpe import UnitEncoder, encoder
 
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -99,7 +99,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = ChunkCounter(UnitEncoder(tokenizer_path), huge, chunk, overlap)
+        counter = ChunkCounter(encoder(tokenizer_path), huge, chunk, overlap)
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [counter.count(t) for t in texts]
