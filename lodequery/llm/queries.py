@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import jaccard_groups
 from .phrase_index import contamination
 from .planes import plane_output
 from .token_counts import token_counts
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +36,7 @@ def op10_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op7_phrase_index": op7_phrase_index,
     "op9_token_counts": op9_token_counts,
     "op10_plane_output": op10_plane_output,
@@ -53,6 +59,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN f ON d.rid = f.rid
 """
 
+_OP2 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, md5(array_to_string(w[k : k + least(len(w), 5) - 1], ' ')) AS g
+      FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(k) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS u ON u.rid = a JOIN n AS v ON v.rid = b WHERE 100 * c >= 80 * (u.n + v.n - c)),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, q.component_id
+FROM d LEFT JOIN n ON d.rid = n.rid JOIN (SELECT r.a, min(e.doc_id) AS component_id FROM r JOIN d AS e ON e.rid = r.b GROUP BY r.a) AS q ON q.a = d.rid
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_jaccard_join": _OP2,
     "op7_phrase_index": _OP7,
 }
