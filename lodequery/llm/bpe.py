@@ -7,12 +7,15 @@ memory of what came before, and no added token holds a space; so the ids of a
 text are the ids of its units, one after the other, exactly.  Words repeat, so
 each worker process keeps, from task to task, the library's ids of the units it
 has seen (at most ``memo`` of them, then it starts anew: about 250 MB) and asks
-the library for new ones only.
+the library for new ones only.  A new unit that is plain runs of Latin letters,
+digits and punctuation is split into the pre-tokeniser's pieces here, and the
+library's BPE model merges each; any other unit goes through its whole encoder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 
@@ -23,6 +26,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: A blank before a space: there the simple split isn't a cut.
 _BLANKS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 _BLANKS_ASCII = [b for b in _BLANKS if b.isascii()]
+#: Runs that the pattern keeps whole: letters, digits, punctuation but the apostrophe, one line feed between them.
+_RUN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++|[0-9]++|[!-&(-/:-@\[-`{-~]++"
+_PLAIN = re.compile(rf"(?:{_RUN})++(?:\n(?:{_RUN})++)*+")
+_PIECE = re.compile(rf"{_RUN}|\n")
 _encoders: dict[str, "UnitEncoder"] = {}
 
 
@@ -38,18 +45,48 @@ class UnitEncoder:
         self.memo, self.longest = memo, longest
         self.splits = self._byte_level() and not any(" " in t.content or t.lstrip or t.rstrip or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        self.short: dict[str, list[int]] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
 
     def _byte_level(self) -> bool:
         import json
 
         state = json.loads(self.tokenizer.to_str())
         pre = state.get("pre_tokenizer") or {}
-        return state.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True)
+        return state.get("normalizer") is None and state["model"].get("type") == "BPE" and not state["model"].get("dropout") and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True)
 
     def _ask(self, units: list[str]) -> list[bytes]:
         got = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         return got if sys.byteorder == "little" else [np.frombuffer(x, "=u4").astype("<u4").tobytes() for x in got]
 
+    def _merged(self, piece: str) -> list[int]:
+        if (got := self.short.get(piece)) is None:
+            got = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            if len(piece) < 4 and len(self.short) < 100_000:
+                self.short[piece] = got
+        return got
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """The ids of units, each a part with a space before it."""
+        out, rest = [], []
+        for p in parts:
+            if _PLAIN.fullmatch(p) and not any(a in p for a in self.added):
+                first, *more = _PIECE.findall(p)
+                ids = array("I", self._merged(" " + first))
+                for piece in more:
+                    ids.extend(self._merged(piece))
+                out.append(ids.tobytes() if sys.byteorder == "little" else np.frombuffer(ids, "=u4").astype("<u4").tobytes())
+            else:
+                rest.append(len(out))
+                out.append(b"")
+        if rest:
+            for k, ids in zip(rest, self._ask([" " + parts[k] for k in rest])):
+                out[k] = ids
+        return out
+
     def id_bytes(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for null or empty."""
         if not text:
@@ -61,20 +98,15 @@ class UnitEncoder:
             parts = _merge(parts)
         first, rest = parts[0], parts[1:]
         known = self.known
-        new = {p for p in rest if p not in known}
-        own: dict[str, bytes] = {}
-        if new:
-            asked = list(new)
-            for p, ids in zip(asked, self._ask([" " + p for p in asked])):
-                (known if len(p) <= self.longest else own)[p] = ids
-        head = self._ask([first])[0] if first else b""
-        if own:
-            out = head + b"".join([own[p] if p in own else known[p] for p in rest])
-        else:
-            out = head + b"".join(map(known.__getitem__, rest))
-        if len(known) > self.memo:
-            known.clear()
-        return out
+        got = list(map(known.get, rest))
+        if None in got:
+            new = list({p for p, ids in zip(rest, got) if ids is None})
+            now = dict(zip(new, self._new(new)))
+            got = [now[p] if ids is None else ids for p, ids in zip(rest, got)]
+            if len(known) + len(now) > self.memo:
+                known.clear()
+            known.update((p, ids) for p, ids in now.items() if len(p) <= self.longest)
+        return (self._ask([first])[0] if first else b"") + b"".join(got)
 
 
 def encoder(tokenizer_path: str) -> UnitEncoder:
