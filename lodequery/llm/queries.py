@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .balltree import top_k
 from .jaccard import jaccard_groups
+from .kneser_ney import language_model_scores
 from .phrase_index import contamination
 from .planes import plane_output
 from .token_counts import token_counts
@@ -19,10 +21,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +47,9 @@ def op10_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op2_jaccard_join": op2_jaccard_join,
+    "op5_ball_tree": op5_ball_tree,
     "op7_phrase_index": op7_phrase_index,
     "op9_token_counts": op9_token_counts,
     "op10_plane_output": op10_plane_output,
@@ -71,7 +84,15 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, q.component_id
 FROM d LEFT JOIN n ON d.rid = n.rid JOIN (SELECT r.a, min(e.doc_id) AS component_id FROM r JOIN d AS e ON e.rid = r.b GROUP BY r.a) AS q ON q.a = d.rid
 """
 
+_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) AS r WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": _OP2,
+    "op5_ball_tree": _OP5,
     "op7_phrase_index": _OP7,
 }
