@@ -8,15 +8,17 @@ folder, which cuts the lineage, and read back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import store
 
 
-def _saved(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _saved(df: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    """The edges as written and read back, and figures that tell when they have settled."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -28,8 +30,7 @@ def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     folder = store.new_folder(spark, "components")
     a, b = F.col("a"), F.col("b")
     edges = links.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    edges = _saved(edges, f"{folder}/0")
-    previous = None
+    edges, previous = _saved(edges.where("a > b"), f"{folder}/0")
     for k in range(1, max_rounds + 1):
         # Large star: a vertex's larger neighbours are linked to its smallest neighbour.
         both = edges.union(edges.select(b.alias("a"), a.alias("b")))
@@ -39,11 +40,10 @@ def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         large = large.where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = _saved(small.where("a > b").distinct(), f"{folder}/{k}")
-        sums = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(sums) == previous:
+        edges, now = _saved(small.where("a > b").distinct(), f"{folder}/{k}")
+        if now == previous:
             break
-        previous = tuple(sums)
+        previous = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(a.alias("vertex"), b.alias("root"))

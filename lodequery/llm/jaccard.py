@@ -43,7 +43,7 @@ from .phrase_index import _cut, runs
 from .wordhash import BLANK, U64, mix, split, window_hashes
 
 SEEDS = [U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
-SKETCH = 1 << 20
+SKETCH = 1 << 18
 MASK = (1 << 32) - 1
 
 
@@ -380,8 +380,8 @@ class JaccardJoin:
 
     def _groups(self) -> DataFrame:
         counts = np.zeros(SKETCH, np.int64)
-        sums = self.sketches.select(F.posexplode("sketch")).where("col > 0").groupBy("pos").agg(F.sum("col").alias("c")).toPandas()  # SKETCH rows at most
-        counts[sums["pos"]] = sums["c"]
+        sums = self.sketches.select(F.posexplode("sketch")).where("col > 0").groupBy("pos").agg(F.sum("col").alias("c")).toArrow()  # SKETCH rows at most
+        counts[sums["pos"].to_numpy()] = sums["c"].to_numpy()
         prefix = self.classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).first()[0] or 0
         return prefix_groups(self.classes, self.folder, counts, self.percent, self.tile, int(prefix))
 

@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .balltree import top_k
 from .jaccard import jaccard_groups
 from .kneser_ney import language_model_scores
+from .mixture import mix_sources, mixture_sql
 from .phrase_index import contamination
 from .planes import plane_output
+from .pseudonyms import pseudonymise
+from .quality import quality_scores
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
 
 BPE = "byte_bpe_50k.json"
+#: For the query only; a real run takes its key from a secret store.
+PSEUDONYM_KEY = "op8 demonstration key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +35,31 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
@@ -49,8 +71,12 @@ def op10_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_ordinal_quality": op3_ordinal_quality,
+    "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_ball_tree": op5_ball_tree,
+    "op6_temperature_mixing": op6_temperature_mixing,
     "op7_phrase_index": op7_phrase_index,
+    "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_token_counts": op9_token_counts,
     "op10_plane_output": op10_plane_output,
 }
@@ -94,5 +120,6 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": _OP2,
     "op5_ball_tree": _OP5,
+    "op6_temperature_mixing": mixture_sql(),
     "op7_phrase_index": _OP7,
 }
