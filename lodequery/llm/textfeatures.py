@@ -65,16 +65,18 @@ def document_features(texts, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str, text_col: str, most: int, train=None) -> DataFrame:
-    """(text, y) of at most ``most`` labelled rows: those with the smallest hash of their id, where train holds.
+    """(text, y) of at most ``most`` labelled ids: those with the smallest hash, where train holds.
 
-    The ids are drawn first, so texts of rows outside the sample don't move.
+    The ids are drawn first, so texts of rows outside the sample don't move.  Of several rows of an id
+    the smallest text counts, of several labels the highest.
     """
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         ids = ids.where(train)
     ids = ids.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("double")).alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(ids), "_id").select("text", "y")  # most rows of two numbers
+    rows = rows.join(F.broadcast(ids), "_id")  # most rows of two numbers
+    return rows.groupBy("_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
 def fetch(sample: DataFrame, hashing) -> tuple[list[np.ndarray], np.ndarray]:
