@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from lodequery.llm import store
 from lodequery.llm.jaccard import jaccard_groups
-from lodequery.llm.mixture import mix_sources
+from lodequery.llm.mixture import mixed_documents
 from lodequery.llm.phrase_index import contamination
 from lodequery.llm.planes import plane_output
 from lodequery.llm.quality import quality_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if it is more likely than this not to be of the good grade.
-SURELY_BAD = 0.5
+#: A document goes if the probability of the good grade is below this: what is doubtful stays.
+SURELY_BAD = 0.35
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mixture draws it."""
-    return mix_sources(docs, keep=["text", "lang", "n_chars"]).select(COLUMNS)
+    return mixed_documents(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def token_planes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,19 +68,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 7, slices: int = 256, keep: list[str] | None = None, most_sources: int = 100_000, **options) -> DataFrame:
-    """The mixture's rows: the id, source, epoch (from 0), block (from 0), draw (orders a block) and n_tokens, with keep's columns.
-
-    budget None is the smallest that draws every document once at least.  Tokens are words between
-    blanks; documents without any have none, take no budget and lie where they fall; a source without
-    any tokens is drawn once, in block 0.  A null source is a source; null ids are drawn like others;
-    repeated rows are documents of their own; extra columns don't matter unless named in keep.
-    An empty table gives an empty result.  There may be at most most_sources sources, whose totals
-    (a row each) pass through the driver.
-    """
-    spark = docs.sparkSession
-    names = [c for c in keep or [] if c not in (id_col, source_col)]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_n"), F.struct(*[F.col(c) for c in names]).alias("_keep") if names else F.lit(None).alias("_keep"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"))
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: int | None, seed: int, slices: int, most_sources: int, options: dict) -> tuple[DataFrame, int, list[tuple]]:
+    """The draws with where each starts in its source's stream, without texts; the budget; and (source, tokens, quota, epochs) of each source."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_n"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"))
     totals = rows.groupBy("_source").agg(F.sum("_n").alias("a")).orderBy("_source").limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -90,23 +80,60 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if budget is None:
         budget = max([-(-x * PPM // w) for x, w in zip(have, ppm) if w], default=0)
     quota = [w * budget // PPM for w in ppm]
-    blocks = max(1, -(-budget // block_tokens))
-    plan = spark.createDataFrame([(r["_source"], a, q, max(1, -(-q // a)) if a else 1) for r, a, q in zip(totals, have, quota)], "s string, a long, quota long, epochs long")
-    drawn = rows.join(F.broadcast(plan), F.col("_source").cast("string").eqNullSafe(F.col("s")))  # at most most_sources rows
-    drawn = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    draw = F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(str(seed))))
-    drawn = drawn.withColumn("draw", draw).withColumn("slice", F.conv(F.substring("draw", 1, 4), 16, 10).cast("int") * slices / 65536)
-    drawn = drawn.withColumn("slice", F.floor("slice").cast("int"))
+    plan = [(r["_source"], a, q, max(1, -(-q // a)) if a else 1) for r, a, q in zip(totals, have, quota)]
+    planned = docs.sparkSession.createDataFrame(plan, "s string, a long, quota long, epochs long")
+    drawn = rows.join(F.broadcast(planned), F.col("_source").eqNullSafe(F.col("s")))  # at most most_sources rows
+    drawn = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).withColumn("draw", _draw(seed))
+    drawn = drawn.withColumn("slice", F.floor(F.conv(F.substring("draw", 1, 4), 16, 10).cast("int") * slices / 65536).cast("int"))
     sums = drawn.groupBy("_source", "epoch", "slice").agg(F.sum("_n").alias("n"))
     upto = Window.partitionBy("_source", "epoch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("_source").alias("s2"), F.col("epoch").alias("e2"), F.col("slice").alias("b2"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     drawn = drawn.join(sums, F.col("_source").eqNullSafe(F.col("s2")) & (F.col("epoch") == F.col("e2")) & (F.col("slice") == F.col("b2")))
     within = Window.partitionBy("_source", "epoch", "slice").orderBy("draw", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("epoch") * F.col("a") + F.col("before") + F.coalesce(F.sum("_n").over(within), F.lit(0))
-    drawn = drawn.withColumn("start", start).where((F.col("start") < F.col("quota")) | ((F.col("a") == 0) & (F.col("epoch") == 0)) | ((F.col("_n") == 0) & (F.col("epoch") == 0)))
+    return drawn.withColumn("start", F.col("epoch") * F.col("a") + F.col("before") + F.coalesce(F.sum("_n").over(within), F.lit(0))), budget, plan
+
+
+def _draw(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(str(seed))))
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 7, slices: int = 256, most_sources: int = 100_000, **options) -> DataFrame:
+    """The mixture's rows: the id, source, epoch (from 0), block (from 0), draw (orders a block) and n_tokens.
+
+    budget None is the smallest that draws every document once at least.  Tokens are words between
+    blanks; documents without any have none, take no budget and lie where they fall; a source without
+    any tokens is drawn once, in block 0.  A null source is a source; null ids are drawn like others;
+    repeated rows are documents of their own; extra columns don't matter.
+    An empty table gives an empty result.  There may be at most most_sources sources, whose totals
+    (a row each) pass through the driver.
+    """
+    drawn, budget, _ = _drawn(docs, id_col, text_col, source_col, budget, seed, slices, most_sources, options)
+    blocks = max(1, -(-budget // block_tokens))
+    drawn = drawn.where((F.col("start") < F.col("quota")) | ((F.col("epoch") == 0) & ((F.col("a") == 0) | (F.col("_n") == 0))))
     block = F.least(F.lit(blocks - 1), F.coalesce(F.expr(f"try_divide(start * {blocks}, quota)").cast("long"), F.lit(0)))
-    out = drawn.withColumn("block", block.cast("long"))
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "epoch", "block", "draw", F.col("_n").alias("n_tokens"), *[F.col(f"_keep.{c}").alias(c) for c in names])
+    return drawn.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "epoch", block.cast("long").alias("block"), "draw", F.col("_n").alias("n_tokens"))
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, seed: int = 7, slices: int = 256, most_sources: int = 100_000, **options) -> DataFrame:
+    """The rows of docs, each as often as mix_sources() draws it, with their epoch added as ``epoch``.
+
+    All epochs of a source but its last are drawn whole, and the last one up to a draw, which is all that
+    is asked of the mixture: texts are read again and not shuffled.  Rows of equal id and text at that
+    draw are all taken.  See mix_sources() for nulls, ties and empty tables.
+    """
+    drawn, _, plan = _drawn(docs, id_col, text_col, source_col, budget, seed, slices, most_sources, options)
+    last = drawn.where((F.col("start") < F.col("quota")) & (F.col("epoch") == F.col("epochs") - 1)).groupBy("_source").agg(F.max(F.struct("draw", "_tie")).alias("x"))
+    upto = {r["_source"]: (r["x"]["draw"], r["x"]["_tie"]) for r in last.collect()}  # a row for each source
+    rows = [(s, epochs, a == 0, *upto.get(s, ("", ""))) for s, a, _, epochs in plan]
+    names = docs.columns
+    plan_df = docs.sparkSession.createDataFrame(rows, "s string, epochs long, bare boolean, last_draw string, last_tie string")
+    held = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).alias("_text"))
+    many = held.join(F.broadcast(plan_df), F.col("_source").eqNullSafe(F.col("s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
+    tie = F.md5(F.coalesce(F.col("_text"), F.lit("")))
+    draw = _draw(seed)
+    taken = (F.col("epoch") < F.col("epochs") - 1) | (draw < F.col("last_draw")) | ((draw == F.col("last_draw")) & (tie <= F.col("last_tie")))
+    blank = (F.col("epoch") == 0) & (F.col("bare") | F.col("_text").isNull() | ~F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
+    return many.where(taken | blank).select(*[F.col("_row")[c].alias(c) for c in names], "epoch")
 
 
 def mixture_sql(*, target_entropy: float = 0.97, repeat_limit: float = 4.0, steps: int = 50, block_tokens: int = 1 << 20, seed: int = 7) -> str:

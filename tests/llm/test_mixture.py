@@ -55,6 +55,17 @@ def test_mixture_against_brute_force(spark, options):
     assert M.mix_sources(d.limit(0)).collect() == []
 
 
+def test_documents_come_as_often_as_drawn(spark):
+    docs = [(k, f"{t} {k}" if t else t, s) for k, t, s in rows_of(5)]
+    d = spark.createDataFrame([(*x, 9) for x in docs], "doc_id long, text string, source string, a int").repartition(3)
+    for options in ({}, {"budget": 2500}):
+        want = sorted(str((r.doc_id, r.source, r.epoch, r.n_tokens)) for r in M.mix_sources(d, **options).collect())
+        got = M.mixed_documents(d, **options)
+        assert got.columns == ["doc_id", "text", "source", "a", "epoch"]
+        assert sorted(str((r.doc_id, r.source, r.epoch, len((r.text or "").split()))) for r in got.collect()) == want
+    assert M.mixed_documents(d.limit(0)).collect() == []
+
+
 def test_sql_gives_the_same(spark):
     docs = rows_of(3)
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
