@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .phrase_index import _cut, runs
-from .wordhash import ALNUM, BLANK, U64, mix, split
+from .wordhash import ALNUM, BLANK, U64, mix, split, text_bytes
 
 _UPPER, _SYMBOL = np.zeros(256, np.int64), np.zeros(256, np.int64)
 _UPPER[65:91] = 1
@@ -32,26 +32,26 @@ def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def document_features(texts, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct feature hashes of every text, concatenated, and where each text's begin."""
-    w = split(texts, ALNUM)
-    owner = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+    """Sorted distinct feature hashes of every text, concatenated, and where each text's begin.
+
+    Without shapes, words are runs of letters and digits; with them, whatever stands between blanks, marks
+    and punctuation included, as quality shows in those.
+    """
+    w = split(texts, BLANK if shapes else ALNUM)
+    n = np.diff(w.bounds)
+    owner = np.repeat(np.arange(len(n)), n)
     hashes = [w.hashes]
     owners = [owner]
     if shapes:
-        from .wordhash import text_bytes
-
-        b = split(texts, BLANK)
         data, offs = text_bytes(texts)
         size = np.maximum(np.diff(offs), 1)
-        n = np.diff(b.bounds)
-        own = np.repeat(np.arange(len(n)), n)
-        again = np.zeros(len(b.hashes), np.int64)
-        again[1:] = (b.hashes[1:] == b.hashes[:-1]) & (own[1:] == own[:-1])
-        order = np.lexsort((b.hashes, own))
+        again = np.zeros(len(w.hashes), np.int64)
+        again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (owner[1:] == owner[:-1])
+        order = np.lexsort((w.hashes, owner))
         new = np.ones(len(order), np.int64)
-        new[1:] = (b.hashes[order][1:] != b.hashes[order][:-1]) | (own[order][1:] != own[order][:-1])
+        new[1:] = (w.hashes[order][1:] != w.hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         one = np.maximum(n, 1)
-        marks = (_sums(_UPPER[data], offs) / size, _sums(_SYMBOL[data], offs) / size, _sums(again, b.bounds) / one, np.where(n > 20, _sums(new, b.bounds) / one, 1.0))
+        marks = (_sums(_UPPER[data], offs) / size, _sums(_SYMBOL[data], offs) / size, _sums(again, w.bounds) / one, np.where(n > 20, _sums(new, w.bounds) / one, 1.0))
         for k, share in enumerate(marks):
             hashes.append(mix(U64(1 + k) * U64(1 << 8) + np.ceil(share * 10).astype(U64)))
             owners.append(np.arange(len(n)))
