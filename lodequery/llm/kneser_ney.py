@@ -198,6 +198,7 @@ class KneserNey:
                         p.append(x)
                 n, known, base, score = (np.concatenate(p) if p else np.zeros(0) for p in parts)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), self.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            _pack.cache_clear()  # a mapped file keeps its space on disk
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep])
         return rows.mapInArrow(look, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
