@@ -65,6 +65,16 @@ class LearnedSearch:
         return self.structure.deltas(self._queries(queries), limit, yield_empty)
 
 
+    def state(self) -> tuple[str, DataFrame]:
+        """Both encoders as JSON, and the structure's index."""
+        return json.dumps([self.fq.to_json(), self.fd.to_json()]), self.structure.state()
+
+    @staticmethod
+    def from_state(encoders: str, index: DataFrame, structure: SearchStructure) -> LearnedSearch:
+        fq, fd = map(Encoder.from_json, json.loads(encoders))
+        return LearnedSearch(fq, fd, structure.set_state(index))
+
+
 # Losses of pairs(zq, zd, r): logits of both and whether they match.
 
 

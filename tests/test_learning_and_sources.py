@@ -44,8 +44,8 @@ def test_training_lowers_the_loss_and_retrieves(spark):
         s = learned.LearnedSearch(q, d, MultiProbe(spark, 12, 1, 1)).insert(eye.select(F.col("id").alias("doc"), F.col("x").alias("features")))
         got = {r.q: r.docs for r in s.search(eye.select(F.col("id").alias("q"), F.col("x").alias("features"))).collect()}
         assert all(k in got[k] for k in range(16))  # one encoder: every item finds itself
-    again = learned.Encoder.from_json(q.to_json())
-    assert again == q
+    again = learned.LearnedSearch.from_state(*s.state(), MultiProbe(spark, 12, 1, 1))
+    assert again.fq == q and again.structure.index.count() == s.structure.index.count() == 16
     with pytest.raises(ValueError):
         learned.log_match(F.col("a"), F.col("b"), 16, 3)
     with pytest.raises(ValueError):
