@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodequery.llm import store
 from lodequery.llm.jaccard import jaccard_groups
 from lodequery.llm.mixture import mixed_documents
-from lodequery.llm.phrase_index import contamination
+from lodequery.llm.phrase_index import build_index, hits, write_phrases
 from lodequery.llm.planes import plane_output
 from lodequery.llm.quality import quality_scores
 
@@ -54,8 +54,12 @@ def _repeats(docs: DataFrame) -> bool:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    index = build_index(docs)
+    blocks = write_phrases(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), f"{index}/items")
+    found = hits(spark, index, blocks).where("contaminated").select("doc_id").distinct()
+    found.write.parquet(f"{index}/found")
+    store.remove(f"{index}/postings")
+    return docs.join(spark.read.schema(found.schema).parquet(f"{index}/found"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,13 +21,13 @@ def _saved(df: DataFrame, path: str) -> tuple[DataFrame, tuple]:
     return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["h"])
 
 
-def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, *, max_rounds: int = 60, folder: str | None = None) -> DataFrame:
     """(vertex, root) for every vertex of links (a, b): root is the smallest vertex it reaches.
 
     Links may be in either direction, repeated, or from a vertex to itself; those with a null end are ignored.
     """
     spark = links.sparkSession
-    folder = store.new_folder(spark, "components")
+    folder = folder or store.new_folder(spark, "components")
     a, b = F.col("a"), F.col("b")
     edges = links.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges, previous = _saved(edges.where("a > b"), f"{folder}/0")

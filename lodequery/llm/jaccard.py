@@ -106,6 +106,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 @lru_cache(64)
 def _segment(folder: str, number: int) -> dict[str, np.ndarray]:
+    """A segment's arrays; tasks clear this when they end, as a mapped file keeps its space on disk."""
     return store.mapped_pack(f"{folder}/sets/{number}.pack")
 
 
@@ -167,6 +168,7 @@ def verified(pairs: DataFrame, folder: str, percent: int) -> DataFrame:
         for batch in batches:
             rows = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _compare(folder, a, b, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        _segment.cache_clear()
 
     return pairs.select("a", "b").mapInArrow(check, "a long, b long")
 
@@ -225,6 +227,7 @@ def prefix_groups(reps: DataFrame, folder: str, counts: np.ndarray, percent: int
                     "shard": pa.array(which, pa.int32()), "segment": pa.array(np.full(len(which), number), pa.int64()),
                     "tokens": pa.array([token[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary()), "rows": pa.array([own[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary()),
                 })
+        _segment.cache_clear()
 
     def meet(t: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(x, U64) for x in t.column("tokens").to_pylist()])
@@ -238,6 +241,7 @@ def prefix_groups(reps: DataFrame, folder: str, counts: np.ndarray, percent: int
         return pa.table({"gid": _long(token[keep]), "place": pa.array(place[order[keep]], pa.int64())})
 
     rows = reps.where("n > 1").select(F.shiftright("place", 32).alias("segment"), F.col("place").bitwiseAND(MASK).alias("row")).groupBy("segment").agg(F.collect_list("row").alias("rows"))  # at most a segment's rows
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be put into one task
     blocks = rows.mapInArrow(emit, "shard int, segment long, tokens binary, rows binary")
     return blocks.groupBy("shard").applyInArrow(meet, "gid long, place long")
 
@@ -347,6 +351,7 @@ def tile_links(groups: DataFrame, folder: str, percent: int, every: bool) -> Dat
                 held[1].append(r)
             yield out(found)
         yield out(list(one(*held, joined, seen)) if len(held[0]) > 1 else [])
+        _segment.cache_clear()
 
     placed = groups.select("gid", "place", "root").repartition("gid").sortWithinPartitions("gid", "place")
     return placed.mapInArrow(search, "a long, b long").distinct()
@@ -358,7 +363,7 @@ class JaccardJoin:
     rows: place, doc_id, n (set size), rep (place of its class's representative), for every row.
     """
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, segment_bytes: int = 1 << 24, tile: int = 1 << 15):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, segment_bytes: int = 1 << 23, tile: int = 1 << 15):
         if not 0 < percent <= 100:
             raise ValueError("percent must be over 0 and at most 100")
         self.spark: SparkSession = docs.sparkSession
@@ -374,6 +379,11 @@ class JaccardJoin:
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def clear(self) -> None:
+        """Remove all files but the table of results; the other methods can't be used afterwards."""
+        for name in ("sets", "rows", "classes", "stars", "first", "groups", "more", "components-1", "components-2"):
+            store.remove(f"{self.folder}/{name}")
+
     def rows(self) -> DataFrame:
         """Every row with its class's representative (null for empty sets)."""
         return self.made.select("place", "id", "n", "h1", "h2").join(self.classes.select("h1", "h2", "n", F.col("place").alias("rep")), ["h1", "h2", "n"], "left").select("place", F.col("id").alias(self.id_col), "n", "rep")
@@ -393,12 +403,12 @@ class JaccardJoin:
     def roots(self) -> DataFrame:
         """(place, root) of each class that is linked with others: the smallest representative that it reaches."""
         stars = self._keep("stars", star_links(self.classes, self.folder, self.percent))
-        first = self._keep("first", components(stars).select(F.col("vertex").alias("place"), "root"))
+        first = self._keep("first", components(stars, folder=f"{self.folder}/components-1").select(F.col("vertex").alias("place"), "root"))
         groups = self._keep("groups", self._groups())
         groups = groups.join(first, "place", "left").select("gid", "place", F.coalesce("root", "place").alias("root"))
         open_ = groups.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
         more = self._keep("more", tile_links(groups.join(open_, "gid", "left_semi"), self.folder, self.percent, False))
-        return components(first.select(F.col("place").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("vertex").alias("place"), "root")
+        return components(first.select(F.col("place").alias("a"), F.col("root").alias("b")).union(more), folder=f"{self.folder}/components-2").select(F.col("vertex").alias("place"), "root")
 
 
 def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
@@ -412,5 +422,6 @@ def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
     join = JaccardJoin(docs, **options)
     rows = join.rows().join(join.roots().withColumnRenamed("place", "rep"), "rep", "left")
     rows = join._keep("result", rows.select(join.id_col, "n", F.coalesce("root", "rep", "place").alias("root")))
+    join.clear()
     least = rows.groupBy("root").agg(F.min(join.id_col).alias("component_id"))
     return rows.join(least, "root").select(join.id_col, F.col("n").alias("n_shingles"), "component_id")
