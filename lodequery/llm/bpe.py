@@ -5,9 +5,10 @@ that follows a non-blank character.  The pre-tokeniser's pattern has no
 alternative that matches across such a place and scans on from it without
 memory of what came before, and no added token holds a space; so the ids of a
 text are the ids of its units, one after the other, exactly.  Words repeat, so
-each worker process keeps, from task to task, the library's ids of the units it
-has seen (at most ``memo`` of them, then it starts anew: about 250 MB) and asks
-the library for new ones only.  A new unit that is plain runs of Latin letters,
+each worker process keeps, from task to task, the library's ids of units it has
+seen, in two generations of at most ``memo`` each (about 80 MB in all): when the
+young one is full it becomes the old one, and what is met again moves back.  The
+library is asked for other units only.  A new unit that is plain runs of Latin letters,
 digits and punctuation is split into the pre-tokeniser's pieces here, and the
 library's BPE model merges each; any other unit goes through its whole encoder.
 """
@@ -36,7 +37,7 @@ _encoders: dict[str, "UnitEncoder"] = {}
 class UnitEncoder:
     """ids(text) as the tokenizers library gives them without added tokens."""
 
-    def __init__(self, tokenizer_path: str, memo: int = 1_200_000, longest: int = 48):
+    def __init__(self, tokenizer_path: str, memo: int = 250_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -45,6 +46,7 @@ class UnitEncoder:
         self.memo, self.longest = memo, longest
         self.splits = self._byte_level() and not any(" " in t.content or t.lstrip or t.rstrip or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.short: dict[str, list[int]] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -100,12 +102,13 @@ class UnitEncoder:
         known = self.known
         got = list(map(known.get, rest))
         if None in got:
-            new = list({p for p, ids in zip(rest, got) if ids is None})
-            now = dict(zip(new, self._new(new)))
+            now = {p: self.old.get(p) for p, ids in zip(rest, got) if ids is None}
+            new = [p for p, ids in now.items() if ids is None]
+            now.update(zip(new, self._new(new)))
             got = [now[p] if ids is None else ids for p, ids in zip(rest, got)]
             if len(known) + len(now) > self.memo:
-                known.clear()
-            known.update((p, ids) for p, ids in now.items() if len(p) <= self.longest)
+                self.known, self.old = {}, known
+            self.known.update((p, ids) for p, ids in now.items() if len(p) <= self.longest)
         return (self._ask([first])[0] if first else b"") + b"".join(got)
 
 
