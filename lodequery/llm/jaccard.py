@@ -104,7 +104,7 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x).astype(U64).view(np.int64))
 
 
-@lru_cache(64)
+@lru_cache(2048)
 def _segment(folder: str, number: int) -> dict[str, np.ndarray]:
     """A segment's arrays; tasks clear this when they end, as a mapped file keeps its space on disk."""
     return store.mapped_pack(f"{folder}/sets/{number}.pack")
@@ -323,7 +323,7 @@ def tile_links(groups: DataFrame, folder: str, percent: int, every: bool) -> Dat
                 pair = (int(min(place[i], place[j])), int(max(place[i], place[j])))
                 if pair in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(pair)
                 if _compare(folder, *pair, percent):
@@ -363,7 +363,7 @@ class JaccardJoin:
     rows: place, doc_id, n (set size), rep (place of its class's representative), for every row.
     """
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, segment_bytes: int = 1 << 23, tile: int = 1 << 15):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, segment_bytes: int = 1 << 24, tile: int = 1 << 15):
         if not 0 < percent <= 100:
             raise ValueError("percent must be over 0 and at most 100")
         self.spark: SparkSession = docs.sparkSession
