@@ -49,6 +49,16 @@ def head(n: int, scale: float = 1.0, start: int = 0) -> Column:
     return F.array(*[F.get(F.col("e"), F.lit(start + i)) * scale for i in range(n)])
 
 
+def whole(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query whose registered form reads a part, for the query NAME_whole: each of cuts is (part, whole)."""
+    sql = ORACLE[name]
+    for part, rest in cuts:
+        if part not in sql:
+            raise ValueError(f"{name}: {part!r} isn't in its SQL")
+        sql = sql.replace(part, rest)
+    return sql
+
+
 # Hamming distances and precision/recall.
 
 _D64 = "list_sum(list_transform(range(1, 65), lambda i: ((a.embedding[i] > 0) <> (b.embedding[i] > 0))::INT))::INT"
@@ -660,6 +670,39 @@ def loss_fbeta(spark, sf_dir):
     return learned.fbeta_loss(loss_pairs(spark, sf_dir), 6, log(0.1), -8.0, nindex=2, match_dist=1, l2_ratio=0.01).select(r6(F.col("loss")).alias("loss"))
 
 
+def whole_loss_pairs(spark, sf_dir, n: int = 6) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 100; each is paired with all others."""
+    v = vectors(spark, sf_dir).select("vec_id", "label", head(n, 10.0).alias("z"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("z").alias("zq"), F.col("label").alias("lq"))
+    d = v.select(F.col("vec_id").alias("d"), F.col("z").alias("zd"), F.col("label").alias("ld"))
+    return hamming.all_pairs(q, d).where("q <> d").select("zq", "zd", (F.col("lq") == F.col("ld")).alias("r"))
+
+
+_SOME_PAIRS = ("a.vec_id < 16 AND b.vec_id BETWEEN 16 AND 47", "a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id")
+
+
+@query(whole("loss_hashnet", _SOME_PAIRS))
+def loss_hashnet_whole(spark, sf_dir):
+    return learned.hashnet_loss(whole_loss_pairs(spark, sf_dir), 0.1).select(r6(F.col("loss")).alias("loss"))
+
+
+@query(whole("loss_mihash", _SOME_PAIRS))
+def loss_mihash_whole(spark, sf_dir):
+    return learned.mihash_loss(whole_loss_pairs(spark, sf_dir), 6, 0.1).select(r6(F.col("loss")).alias("loss"))
+
+
+@query(whole("loss_hbkl", _SOME_PAIRS))
+def loss_hbkl_whole(spark, sf_dir):
+    return learned.hbkl_loss(whole_loss_pairs(spark, sf_dir), 6, 0.1, 0.5).select(r6(F.col("loss")).alias("loss"))
+
+
+@query(whole("loss_fbeta", _SOME_PAIRS))
+def loss_fbeta_whole(spark, sf_dir):
+    from math import log
+
+    return learned.fbeta_loss(whole_loss_pairs(spark, sf_dir), 6, log(0.1), -8.0, nindex=2, match_dist=1, l2_ratio=0.01).select(r6(F.col("loss")).alias("loss"))
+
+
 def _trained(spark, sf_dir, kind: str, **options) -> DataFrame:
     f = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("e").alias("x"), "label")
     _, _, losses = learned.train(f, kind, 16, steps=40, batch=64, **options)
