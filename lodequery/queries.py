@@ -190,6 +190,17 @@ def kbest_outcomes(spark, sf_dir):
     return v.select("vec_id", F.posexplode(kbest.likeliest_outcomes(head(8, 10.0), 8, 12)).alias("rank", "x")).select("vec_id", "rank", "x.code")
 
 
+@query(whole("kbest_subsets", ("vec_id % 5 = 0", "true")))
+def kbest_subsets_whole(spark, sf_dir):
+    best = kbest.cheapest_subsets(F.transform(head(8), F.abs), 8, 12)
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(best).alias("rank", "x")).select("vec_id", "rank", r6(F.col("x.cost")).alias("cost"), "x.mask")
+
+
+@query(whole("kbest_outcomes", ("vec_id % 5 = 0", "true")))
+def kbest_outcomes_whole(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(kbest.likeliest_outcomes(head(8, 10.0), 8, 12)).alias("rank", "x")).select("vec_id", "rank", "x.code")
+
+
 def _multiprobe(spark, sf_dir, lookups=4) -> tuple[MultiProbe, DataFrame]:
     v = vectors(spark, sf_dir).select("vec_id", head(10).alias("logits"))
     return MultiProbe(spark, 10, 3, lookups).insert(v.select(F.col("vec_id").alias("doc"), "logits")), v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "logits")

@@ -44,3 +44,16 @@ def test_losses_take_all_pairs(spark, tables, kind):
         t = np.tanh(10 * x[:, :6])
         want = [(np.log1p(np.exp(s)) - s) / 0.1 if label[q] == label[d] else np.log1p(np.exp(s)) / 0.9 for q in (0, 100, 200) for d in range(230) if d != q for s in [t[q] @ t[d]]]
         assert got[0][0] == pytest.approx(np.mean(want), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["kbest_subsets", "kbest_outcomes"])
+def test_kbest_takes_every_vector(spark, tables, name):
+    folder, x, _ = tables
+    got = rows_of(spark, folder, f"{name}_whole")
+    same(got, by_sql(folder, f"{name}_whole"))
+    assert {r[0] for r in got} == set(range(230)) and len(got) == 230 * 12
+    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    for i in (1, 229):  # not divisible by 5
+        best = np.argsort(bits @ np.abs(x[i, :8]), kind="stable")[:12]
+        mode = sum(1 << k for k in range(8) if x[i, k] > 0)
+        assert [r[-1] for r in got if r[0] == i] == [int(b) ^ (mode if name == "kbest_outcomes" else 0) for b in best]
