@@ -117,6 +117,14 @@ def soft_hamming(spark, sf_dir):
     return hamming.all_pairs(q, d).select("q", "d", r6(bits.soft_hamming(F.col("a"), F.col("b"))).alias("dist"))
 
 
+@query(whole("soft_hamming", (" AND b.vec_id % 7 = 0", "")))
+def soft_hamming_whole(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("a"))
+    d = v.select(F.col("vec_id").alias("d"), F.col("e").alias("b"))
+    return hamming.all_pairs(q, d).select("q", "d", r6(bits.soft_hamming(F.col("a"), F.col("b"))).alias("dist"))
+
+
 @query(f"SELECT a.vec_id, b.vec_id AS other, {_D64} AS dist FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1")
 def array_hamming(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x > 0).alias("b"))

@@ -57,3 +57,10 @@ def test_kbest_takes_every_vector(spark, tables, name):
         best = np.argsort(bits @ np.abs(x[i, :8]), kind="stable")[:12]
         mode = sum(1 << k for k in range(8) if x[i, k] > 0)
         assert [r[-1] for r in got if r[0] == i] == [int(b) ^ (mode if name == "kbest_outcomes" else 0) for b in best]
+
+
+def test_soft_hamming_meets_all_documents(spark, tables):
+    folder, x, _ = tables
+    got = rows_of(spark, folder, "soft_hamming_whole")
+    same(got, by_sql(folder, "soft_hamming_whole"))
+    same(got, [(q, d, (64 - x[q] @ x[d]) / 2) for q in (0, 100, 200) for d in range(230)])
