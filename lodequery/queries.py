@@ -328,6 +328,32 @@ def log_prob_any(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", r6(none).alias("log_none"), r6(some).alias("log_some"))
 
 
+# The same of all 64 components; going through 2**64 settings isn't possible in SQL, so the tests hold the distributions against numpy.
+
+
+@query()
+def poisson_binomial_whole(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.log_poisson_binomial(*_lp(64))).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("lp"))
+
+
+@query()
+def poisson_binomial_linear_whole(spark, sf_dir):
+    q = F.transform(head(64), lambda x: 1 / (1 + F.exp(-x)))
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.poisson_binomial(q)).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("p"))
+
+
+@query()
+def hamming_binomial_whole(spark, sf_dir):
+    h = distributions.log_hamming_binomial(F.col("x"), F.col("y"))
+    return pairs_of(spark, sf_dir, 64).select("vec_id", F.posexplode(h).alias("j", "p")).select("vec_id", "j", r6(F.col("p")).alias("lp"))
+
+
+@query(whole("log_prob_any", ("range(1, 7)", "range(1, 65)")))
+def log_prob_any_whole(spark, sf_dir):
+    none, some = distributions.log_any(*_lp(64))
+    return vectors(spark, sf_dir).select("vec_id", r6(none).alias("log_none"), r6(some).alias("log_some"))
+
+
 def _hyper(d: str, j: str) -> str:
     """P(j whites among d draws) of 20 marbles, 3 of them white."""
     c = lambda n, k: f"(gamma({n} + 1) / (gamma({k} + 1) * gamma({n} - ({k}) + 1)))"
@@ -373,9 +399,9 @@ def mb_subset(spark, sf_dir):
     return _bit_rows(pairs_of(spark, sf_dir, 8), L.bits_subset(F.col("x"), F.col("y")))
 
 
-def _triples(spark, sf_dir) -> DataFrame:
-    third = vectors(spark, sf_dir).select((F.col("vec_id") - 2).alias("vec_id"), head(8).alias("a"))
-    return pairs_of(spark, sf_dir, 8).join(third, "vec_id")
+def _triples(spark, sf_dir, n: int = 8) -> DataFrame:
+    third = vectors(spark, sf_dir).select((F.col("vec_id") - 2).alias("vec_id"), head(n).alias("a"))
+    return pairs_of(spark, sf_dir, n).join(third, "vec_id")
 
 
 @query(_bits_sql("1 - (1 - (X * Y + (1 - X) * (1 - Y))) * (1 - A)", True))
@@ -388,6 +414,29 @@ def mb_act_subset(spark, sf_dir):
     return _bit_rows(_triples(spark, sf_dir), L.bits_subset_or(F.col("x"), F.col("y"), F.col("a")))
 
 
+_ALL_BITS = ("range(1, 9)", "range(1, 65)")
+
+
+@query(whole("mb_equality", _ALL_BITS))
+def mb_equality_whole(spark, sf_dir):
+    return _bit_rows(pairs_of(spark, sf_dir, 64), L.bits_equal(F.col("x"), F.col("y")))
+
+
+@query(whole("mb_subset", _ALL_BITS))
+def mb_subset_whole(spark, sf_dir):
+    return _bit_rows(pairs_of(spark, sf_dir, 64), L.bits_subset(F.col("x"), F.col("y")))
+
+
+@query(whole("mb_act_equality", _ALL_BITS))
+def mb_act_equality_whole(spark, sf_dir):
+    return _bit_rows(_triples(spark, sf_dir, 64), L.bits_equal_or(F.col("x"), F.col("y"), F.col("a")))
+
+
+@query(whole("mb_act_subset", _ALL_BITS))
+def mb_act_subset_whole(spark, sf_dir):
+    return _bit_rows(_triples(spark, sf_dir, 64), L.bits_subset_or(F.col("x"), F.col("y"), F.col("a")))
+
+
 @query("SELECT vec_id, round(ln(exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE)), 6) AS lse, round(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))), 6) AS lse_all, round(greatest(embedding[1], embedding[2], embedding[3])::DOUBLE, 6) AS top FROM embeddings")
 def logsumexp(spark, sf_dir):
     a, b, c = (F.get("e", F.lit(i)) for i in range(3))

@@ -64,3 +64,25 @@ def test_soft_hamming_meets_all_documents(spark, tables):
     got = rows_of(spark, folder, "soft_hamming_whole")
     same(got, by_sql(folder, "soft_hamming_whole"))
     same(got, [(q, d, (64 - x[q] @ x[d]) / 2) for q in (0, 100, 200) for d in range(230)])
+
+
+@pytest.mark.parametrize("name", ["log_prob_any", "mb_equality", "mb_subset", "mb_act_equality", "mb_act_subset"])
+def test_all_components(spark, tables, name):
+    got = rows_of(spark, tables[0], f"{name}_whole")
+    same(got, by_sql(tables[0], f"{name}_whole"))
+    assert name == "log_prob_any" or {r[1] for r in got} == set(range(64))
+
+
+@pytest.mark.parametrize("name", ["poisson_binomial", "poisson_binomial_linear", "hamming_binomial"])
+def test_distributions_of_all_components(spark, tables, name):
+    folder, x, _ = tables
+    p = 1 / (1 + np.exp(-x))
+    if name == "hamming_binomial":
+        p = p[:-1] * (1 - p[1:]) + (1 - p[:-1]) * p[1:]
+    want = []
+    for i, row in enumerate(p):
+        pmf = np.ones(1)
+        for q in row:
+            pmf = np.convolve(pmf, [1 - q, q])
+        want += [(i, j, v if name.endswith("linear") else np.log(v)) for j, v in enumerate(pmf)]
+    same(rows_of(spark, folder, f"{name}_whole"), want)
