@@ -659,6 +659,12 @@ def grid_cell_dists(spark, sf_dir):
     return g.ordered_cells(q).select("q", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
 
 
+@query(whole("grid_cell_dists", ("p_partkey % 200 = 0", "p_partkey % 100 = 0")))
+def grid_cell_dists_whole(spark, sf_dir):
+    g, q = _grid_sides(spark, sf_dir, 100)
+    return g.ordered_cells(q).select("q", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
+
+
 _PART_DIST = "sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2))"
 
 
@@ -861,6 +867,20 @@ def match_rate(spark, sf_dir):
     return rate.select(r6(F.col("rate")).alias("rate"), r6(F.ln("rate")).alias("log_rate"))
 
 
+@query(whole("mosaic_relation", (" WHERE p_partkey % 10 = 0", "")))
+def mosaic_relation_whole(spark, sf_dir):
+    q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("q"), F.col("p_partkey").alias("part"))
+    return datasets.mosaic_relation(q, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("part")))
+
+
+@query(whole("match_rate", (" WHERE a.vec_id % 10 = 0", "")))
+def match_rate_whole(spark, sf_dir):
+    """From counts per label: no pair is made."""
+    v = table(spark, sf_dir, "embeddings").where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    rate = v.agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("rate"))
+    return rate.select(r6(F.col("rate")).alias("rate"), r6(F.ln("rate")).alias("log_rate"))
+
+
 @query()
 def choose_rows(spark, sf_dir):
     return datasets.choose(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 50, 3)

@@ -86,3 +86,20 @@ def test_distributions_of_all_components(spark, tables, name):
             pmf = np.convolve(pmf, [1 - q, q])
         want += [(i, j, v if name.endswith("linear") else np.log(v)) for j, v in enumerate(pmf)]
     same(rows_of(spark, folder, f"{name}_whole"), want)
+
+
+def test_parts_and_labels_are_all_taken(spark, tables, tmp_path):
+    folder, _, label = tables
+    rng, here = np.random.default_rng(3), str(tmp_path)
+    parts = [(k, int(rng.integers(1, 51)), float(rng.uniform(900, 2000))) for k in range(1, 231)]
+    lines = [(int(o), int(p)) for o, p in rng.integers(1, 231, (500, 2))]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{here}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{here}/lineitem.parquet")
+    got = rows_of(spark, here, "mosaic_relation_whole")
+    assert got == sorted({(p, o) for o, p in lines}) == by_sql(here, "mosaic_relation_whole", "part", "lineitem")
+    got = rows_of(spark, here, "grid_cell_dists_whole")
+    same(got, by_sql(here, "grid_cell_dists_whole", "part"))
+    assert {r[0] for r in got} == {100, 200} and len(got) == 2 * 17 * 250
+    got = rows_of(spark, folder, "match_rate_whole")
+    same(got, by_sql(folder, "match_rate_whole"))
+    same(got, [(np.mean(label[:, None] == label), np.log(np.mean(label[:, None] == label)))])
