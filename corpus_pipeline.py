@@ -34,17 +34,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("keep").select(COLUMNS)
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """Documents with a number of their own, as ids may be null or repeated."""
-    return docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a key of their id and text, as ids may be null or repeated."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; texts without words and null ids stay."""
-    groups = jaccard_groups(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = _one_row_each(docs.where("doc_id is not null")).where("_row = 1").drop("_row") if _repeats(docs) else docs.where("doc_id is not null")
-    return first.join(kept, "doc_id", "left_semi").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    """Of each group of near duplicates the row with the smallest id; rows without words and null ids stay."""
+    null = docs.where("doc_id is null").select(COLUMNS)
+    if not _repeats(docs):
+        groups = jaccard_groups(docs)
+        kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+        return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(COLUMNS).unionByName(null)
+    rows = _keyed(docs)
+    groups = jaccard_groups(rows, id_col="_key").distinct()
+    ids = rows.where("doc_id is not null").select("_key", "doc_id").distinct()
+    first = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("x"), F.max("n_shingles").alias("_n")).select("x._key", "_n")
+    copies = F.row_number().over(Window.partitionBy("_key").orderBy("lang", "source", "n_chars"))  # rows of equal id and text
+    kept = rows.where("doc_id is not null").join(first, "_key").withColumn("_row", copies)
+    return kept.where("_n = 0 or _row = 1").select(COLUMNS).unionByName(null)
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -53,13 +61,14 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage."""
-    index = build_index(docs)
+    """Documents without any benchmark passage; each row is judged by its own text."""
+    rows = _keyed(docs)
+    index = build_index(rows, id_col="_key")
     blocks = write_phrases(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), f"{index}/items")
-    found = hits(spark, index, blocks).where("contaminated").select("doc_id").distinct()
+    found = hits(spark, index, blocks, id_col="_key").where("contaminated").select("_key").distinct()
     found.write.parquet(f"{index}/found")
     store.remove(f"{index}/postings")
-    return docs.join(spark.read.schema(found.schema).parquet(f"{index}/found"), "doc_id", "left_anti").select(COLUMNS)
+    return rows.join(spark.read.schema(found.schema).parquet(f"{index}/found"), "_key", "left_anti").select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

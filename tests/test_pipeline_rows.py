@@ -1,0 +1,33 @@
+"""Stages of the pipeline judge rows, not ids: repeated and null ids."""
+
+import corpus_pipeline as C
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+
+
+def left(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def words(name, n=40):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c, d = (words(x) for x in "abcd")
+    rows = [(5, a), (5, b), (2, b + " end"), (7, c), (7, c), (8, c), (9, d), (None, d), (None, "x"), (4, ""), (4, None)]
+    want = [(2, b + " end"), (4, ""), (4, ""), (5, a), (7, c), (9, d), (None, d), (None, "x")]
+    got = [(i, t or "") for i, t in left(C.near_duplicates(spark, table(spark, rows), SF))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_decontamination_of_null_and_repeated_ids(spark):
+    passage = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 10)
+    bad, good = f"before {passage} after", words("clean")
+    got = left(C.decontamination(spark, table(spark, [(None, bad), (None, good), (1, bad), (1, good), (2, bad), (3, None)]), SF))
+    assert got == [(1, good), (3, None), (None, good)]
