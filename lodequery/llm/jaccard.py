@@ -39,8 +39,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .phrase_index import _cut, runs
-from .wordhash import BLANK, U64, mix, split, window_hashes
+from .wordhash import BLANK, U64, cut_rows, mix, runs, split, window_hashes
 
 SEEDS = [U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 SKETCH = 1 << 18
@@ -110,13 +109,19 @@ def _segment(folder: str, number: int) -> dict[str, np.ndarray]:
     return store.mapped_pack(f"{folder}/sets/{number}.pack")
 
 
+def _done() -> None:
+    """At the end of a task: unmap its segments and give its memory back."""
+    _segment.cache_clear()
+    store.release_memory()
+
+
 def shingle_sets(docs: DataFrame, folder: str, n: int, segment_bytes: int) -> DataFrame:
     """Write the segments; a row per document: place, doc_id, n, h1, h2, m0..m3; and each task's sketch of shingle counts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         sketch = np.zeros(SKETCH, np.int64)
-        for k, t in enumerate(_cut(batches, segment_bytes)):
+        for k, t in enumerate(cut_rows(batches, segment_bytes)):
             if k >= 1 << 12:
                 raise ValueError("a partition of over 4096 segments; raise segment_bytes or read smaller partitions")
             t = t.combine_chunks()
@@ -132,6 +137,7 @@ def shingle_sets(docs: DataFrame, folder: str, n: int, segment_bytes: int) -> Da
             yield pa.RecordBatch.from_pydict(columns | {"sketch": pa.nulls(len(ids), pa.list_(pa.int64()))})
         if sketch.any():
             yield pa.RecordBatch.from_pydict({c: pa.nulls(1, pa.int64()) for c in ("place", "id", "n", "h1", "h2", "m0", "m1", "m2", "m3")} | {"sketch": pa.array([sketch], pa.list_(pa.int64()))})
+        store.release_memory()
 
     rows = docs.mapInArrow(write, "place long, id long, n long, h1 long, h2 long, m0 long, m1 long, m2 long, m3 long, sketch array<long>")
     rows.write.parquet(f"{folder}/rows")
@@ -168,7 +174,7 @@ def verified(pairs: DataFrame, folder: str, percent: int) -> DataFrame:
         for batch in batches:
             rows = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _compare(folder, a, b, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        _segment.cache_clear()
+        _done()
 
     return pairs.select("a", "b").mapInArrow(check, "a long, b long")
 
@@ -227,7 +233,7 @@ def prefix_groups(reps: DataFrame, folder: str, counts: np.ndarray, percent: int
                     "shard": pa.array(which, pa.int32()), "segment": pa.array(np.full(len(which), number), pa.int64()),
                     "tokens": pa.array([token[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary()), "rows": pa.array([own[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary()),
                 })
-        _segment.cache_clear()
+        _done()
 
     def meet(t: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(x, U64) for x in t.column("tokens").to_pylist()])
@@ -351,7 +357,7 @@ def tile_links(groups: DataFrame, folder: str, percent: int, every: bool) -> Dat
                 held[1].append(r)
             yield out(found)
         yield out(list(one(*held, joined, seen)) if len(held[0]) > 1 else [])
-        _segment.cache_clear()
+        _done()
 
     placed = groups.select("gid", "place", "root").repartition("gid").sortWithinPartitions("gid", "place")
     return placed.mapInArrow(search, "a long, b long").distinct()

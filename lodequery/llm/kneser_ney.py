@@ -36,8 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .phrase_index import _cut, runs
-from .wordhash import BLANK, U64, mix, split
+from .wordhash import BLANK, U64, cut_rows, mix, runs, split
 
 START, END = U64(0x5A17A57D1B54A32D), U64(0xE4D70CE2A0761D64)
 #: Bytes of text handled at once, for counting and for scoring.
@@ -189,7 +188,7 @@ class KneserNey:
             for batch in batches:
                 whole = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(n_keep)], names=["row", "text"])
                 parts = [[] for _ in range(4)]
-                for t in _cut(iter([whole]), SCORE_BYTES):
+                for t in cut_rows(iter([whole]), SCORE_BYTES):
                     tokens, begins = _tokens(t.column("text"))
                     logs, counts = self.token_logs(tokens, begins)
                     base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
@@ -199,6 +198,7 @@ class KneserNey:
                 n, known, base, score = (np.concatenate(p) if p else np.zeros(0) for p in parts)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), self.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
             _pack.cache_clear()  # a mapped file keeps its space on disk
+            store.release_memory()
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep])
         return rows.mapInArrow(look, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -216,7 +216,7 @@ def _shard_of(v: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.nd
 def _count_words(rows: DataFrame, folder: str, bits: int) -> tuple[int, int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = (pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["t", "text"]) for b in batches)
-        for t in _cut(numbered, COUNT_BYTES):
+        for t in cut_rows(numbered, COUNT_BYTES):
             tokens = np.sort(_tokens(t.column("text"))[0])
             words, starts = runs(tokens)
             n = np.diff(starts)
@@ -245,7 +245,7 @@ def _count_words(rows: DataFrame, folder: str, bits: int) -> tuple[int, int, np.
 def _count_pairs(rows: DataFrame, folder: str, bits: int, hot: np.ndarray) -> list[float]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = (pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["t", "text"]) for b in batches)
-        for t in _cut(numbered, COUNT_BYTES):
+        for t in cut_rows(numbered, COUNT_BYTES):
             w, begins = _tokens(t.column("text"))
             v = _before(w, begins, START)
             key = _pair(v, w)

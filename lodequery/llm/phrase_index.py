@@ -25,25 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .wordhash import ALNUM, U64, split
+from .wordhash import ALNUM, U64, cut_rows, runs, split
 
 #: Candidate positions held at once.
 STEP = 1 << 20
 
 
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a sorted array: the distinct values, and where each begins (one more at the end)."""
-    if not len(values):
-        return values, np.zeros(1, np.int64)
-    starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
-    return values[starts], np.append(starts, len(values))
-
-
 def postings(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms (sorted hashes), where each one's postings begin, and all positions by term and then place."""
     n = len(hashes)
@@ -142,26 +133,6 @@ def segment_arrays(ids: pa.Array, texts: pa.Array) -> dict[str, np.ndarray]:
     return {"terms": terms, "begins": begins, "positions": positions, "doc_begins": w.bounds.astype(np.int64), "ids": ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), "valid": ids.is_valid().to_numpy(zero_copy_only=False)}
 
 
-def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Runs of rows of about most bytes of text in column 1, each row whole."""
-    held, size = [], 0
-    for b in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0))
-        at = 0
-        while at < len(sizes):
-            room = np.searchsorted(np.cumsum(sizes[at:]), most - size, "right")
-            stop = min(len(sizes), at + max(int(room), 0 if held else 1))
-            if stop > at:
-                held.append(b.slice(at, stop - at))
-                size += int(sizes[at:stop].sum())
-            if stop < len(sizes):
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-            at = stop
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 1 << 24, folder: str | None = None) -> str:
     """Index every document; returns the index's folder, with its list of segments in segments/.
 
@@ -171,12 +142,13 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     folder = folder or store.new_folder(spark, "phrases")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _cut(batches, segment_bytes):
+        for t in cut_rows(batches, segment_bytes):
             path = f"{folder}/postings/{uuid.uuid4().hex}.pack"
             t = t.combine_chunks()
             ids, texts = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns)
             store.put_pack(path, **segment_arrays(ids, texts))
             yield pa.RecordBatch.from_pydict({"path": [path], "n_docs": pa.array([len(ids)], pa.int64())})
+        store.release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows.mapInArrow(write, "path string, n_docs long").write.parquet(f"{folder}/segments")  # only what successful tasks wrote is listed
@@ -187,7 +159,7 @@ def write_phrases(items: DataFrame, folder: str, *, id_col: str = "item_id", tex
     """The items' words as blocks below folder; the paths of the blocks."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _cut(batches, block_bytes):
+        for t in cut_rows(batches, block_bytes):
             path = f"{folder}/{uuid.uuid4().hex}.pack"
             t = t.combine_chunks()
             ids, texts = (c.chunk(0) for c in t.columns)

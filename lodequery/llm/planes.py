@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
 from .bpe import encoder
+from .wordhash import cut_rows
 
 MAGIC = b"LQPLANE1"
 
@@ -86,6 +87,17 @@ class PlaneWriter:
         if self.n_waiting >= self.block:
             self._flush(False)
 
+    def add_all(self, doc_ids: np.ndarray, valid: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Many documents at once, their ids one after the other."""
+        self.ids += doc_ids.tolist()
+        self.valid += valid.tolist()
+        self.sizes += sizes.tolist()
+        self.n_tokens += len(ids)
+        self.waiting.append(np.ascontiguousarray(ids, "<u4").tobytes())
+        self.n_waiting += len(ids)
+        if self.n_waiting >= self.block:
+            self._flush(False)
+
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.waiting), "<u4")
         stop = len(ids) if last else len(ids) - len(ids) % self.block
@@ -161,34 +173,42 @@ class PlaneReader:
             yield (doc if ok else None), start, np.concatenate(pieces) if len(pieces) > 1 else pieces[0]
 
 
-def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, mode: str = "byte", block: int = 1 << 16, level: int = 3) -> list[dict]:
-    """Encode every text, append end_id, and write part files in ascending id order below folder.
+def write_planes(
+    docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, mode: str = "byte", block: int = 1 << 16, level: int = 3, part_bytes: int = 1 << 27, order: list[Column] | None = None
+) -> list[dict]:
+    """Encode every text, append end_id, and write part files of about part_bytes of text below folder.
 
-    Null ids come first; rows with equal ids are ordered by text.  Null and empty texts are just the
-    end id.  Returns the manifest, one entry per part in order: part, path, n_docs, n_tokens and
-    start (ids in all parts before it).  An empty table gives an empty manifest.
+    Documents are in ascending id order, or in that of the columns ``order``.  Null ids come first; rows
+    with equal ids are ordered by text.  Null and empty texts are just the end id.  Ids must be whole
+    numbers.  Returns the manifest, one entry per part in order: part, path, n_docs, n_tokens and start
+    (ids in all parts before it).  An empty table gives an empty manifest.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        path, writer, end = f"{folder}/part-{part:06d}.planes", None, np.asarray([end_id], "<u4").tobytes()
-        units = encoder(tokenizer_path)
-        batches = (b for b in batches if b.num_rows)
-        if (b := next(batches, None)) is None:
+        path, units = f"{folder}/part-{part:06d}.planes", encoder(tokenizer_path)
+        tables = cut_rows(batches, 1 << 21)
+        if (t := next(tables, None)) is None:
             return
         with store.AtomicFile(path) as out:
             writer = PlaneWriter(out, mode, block, level)
-            while b is not None:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    writer.add(doc, units.id_bytes(text) + end)
-                b = next(batches, None)
+            while t is not None:
+                ids, at = units.encode(t.column(1))
+                docs_of = t.column(0).combine_chunks()
+                writer.add_all(docs_of.fill_null(0).to_numpy(zero_copy_only=False), docs_of.is_valid().to_numpy(zero_copy_only=False), np.diff(at) + 1, np.insert(ids, at[1:], np.uint32(end_id)))
+                t = next(tables, None)
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([writer.n_tokens], pa.int64())})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
-    made = placed.mapInArrow(write, "part long, path string, n_docs long, n_tokens long").collect()  # a row for each file
+        store.release_memory()
+
+    id_ = F.col(id_col).cast("long")
+    rows = store.whole_ids(docs, id_col).select(id_.alias("id"), F.col(text_col).cast("string").alias("text"), *[c.alias(f"order{k}") for k, c in enumerate(order or [])])
+    first = [F.col(f"order{k}") for k in range(len(order))] if order else [F.col("id").asc_nulls_first()]
+    size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    # One part at least for part_bytes; more only as long as they keep the tasks of a small table busy.
+    n = max(1, -(-size // part_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (1 << 22)))
+    placed = rows.repartitionByRange(n, *first, F.xxhash64("text")).sortWithinPartitions(*first, F.xxhash64("text"), "text")
+    made = placed.select("id", "text").mapInArrow(write, "part long, path string, n_docs long, n_tokens long").collect()  # a row for each file
     manifest, start = [], 0
     for r in sorted(made, key=lambda r: r.part):
         manifest.append(r.asDict() | {"start": start})
@@ -197,7 +217,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: s
 
 
 def read_planes(spark: SparkSession, manifest: list[dict], *, id_col: str = "doc_id") -> DataFrame:
-    """One row per document from the part files: id, start, n_tokens, ids_crc32."""
+    """One row per document from the part files: id, start, n_tokens, ids_crc32; an empty manifest gives no rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

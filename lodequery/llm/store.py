@@ -11,14 +11,19 @@ then renamed, so a retried or speculative task never leaves half a file.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import mmap
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -71,6 +76,21 @@ class AtomicFile:
             self.fs.delete_file(self.temporary)
 
 
+def release_memory() -> None:
+    """Give what this process has freed back to the system; for the end of a task, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs, if the ids are whole numbers or all null, else a TypeError before any job runs."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
+    return docs
+
+
 def put_arrays(uri: str, **arrays: np.ndarray) -> None:
     """Write each array as uri.name.npy."""
     for name, x in arrays.items():

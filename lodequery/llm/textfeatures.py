@@ -19,49 +19,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .phrase_index import _cut, runs
-from .wordhash import ALNUM, BLANK, U64, mix, split, text_bytes
+from . import store
+from .wordhash import ALNUM, BLANK, U64, cut_rows, mix, runs, split, text_bytes
 
-_UPPER, _SYMBOL = np.zeros(256, np.int64), np.zeros(256, np.int64)
+_UPPER, _SYMBOL = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
 _UPPER[65:91] = 1
 _SYMBOL[[*range(33, 44), 47, *range(58, 65), *range(91, 97), *range(123, 127)]] = 1  # ASCII punctuation but , - .
+#: Bytes of text taken at once.
+SLICE = 1 << 20
 
 
 def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
+    """Sums of x between neighbouring bounds, without an array as wide as x."""
+    out = np.zeros(len(bounds) - 1, float if x.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(x, bounds[full], dtype=out.dtype)
+    return out
 
 
 def document_features(texts, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct feature hashes of every text, concatenated, and where each text's begin.
+    """Distinct feature hashes of every text, concatenated, and where each text's begin.
 
     Without shapes, words are runs of letters and digits; with them, whatever stands between blanks, marks
-    and punctuation included, as quality shows in those.
+    and punctuation included, as quality shows in those, and a text's shape marks come after its words.
     """
     w = split(texts, BLANK if shapes else ALNUM)
     n = np.diff(w.bounds)
-    owner = np.repeat(np.arange(len(n)), n)
-    hashes = [w.hashes]
-    owners = [owner]
-    if shapes:
-        data, offs = text_bytes(texts)
-        size = np.maximum(np.diff(offs), 1)
-        again = np.zeros(len(w.hashes), np.int64)
-        again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (owner[1:] == owner[:-1])
-        order = np.lexsort((w.hashes, owner))
-        new = np.ones(len(order), np.int64)
-        new[1:] = (w.hashes[order][1:] != w.hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        one = np.maximum(n, 1)
-        marks = (_sums(_UPPER[data], offs) / size, _sums(_SYMBOL[data], offs) / size, _sums(again, w.bounds) / one, np.where(n > 20, _sums(new, w.bounds) / one, 1.0))
-        for k, share in enumerate(marks):
-            hashes.append(mix(U64(1 + k) * U64(1 << 8) + np.ceil(share * 10).astype(U64)))
-            owners.append(np.arange(len(n)))
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((h, o))
-    h, o = h[order], o[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    h, o = h[keep], o[keep]
-    return h, np.searchsorted(o, np.arange(len(w.bounds)))
+    h = w.hashes.copy()
+    for a, b in zip(w.bounds.tolist(), w.bounds[1:].tolist()):
+        h[a:b].sort()
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    first[w.bounds[:-1][n > 0]] = True
+    own = _sums(first.view(np.uint8), w.bounds)
+    h = h[first]
+    if not shapes:
+        return h, np.concatenate([[0], np.cumsum(own)])
+    data, offs = text_bytes(texts)
+    again = np.zeros(len(w.hashes), np.uint8)
+    again[1:] = w.hashes[1:] == w.hashes[:-1]
+    again[w.bounds[:-1][n > 0]] = 0
+    size, one = np.maximum(np.diff(offs), 1), np.maximum(n, 1)
+    marks = (_sums(_UPPER[data], offs) / size, _sums(_SYMBOL[data], offs) / size, _sums(again, w.bounds) / one, np.where(n > 20, own / one, 1.0))
+    begins = np.concatenate([[0], np.cumsum(own + len(marks))])
+    out = np.empty(begins[-1], U64)
+    out[np.arange(len(h)) + np.repeat(len(marks) * np.arange(len(n)), own)] = h
+    for k, share in enumerate(marks):
+        out[begins[1:] - len(marks) + k] = mix(U64(1 + k) * U64(1 << 8) + np.ceil(share * 10).astype(U64))
+    return out, begins
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str, text_col: str, most: int, train=None) -> DataFrame:
@@ -83,9 +89,10 @@ def fetch(sample: DataFrame, hashing) -> tuple[list[np.ndarray], np.ndarray]:
     """hashing(texts) of the sample's rows as arrays, and the labels, in an order that doesn't depend on partitions."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _cut((b.select(["y", "text"]) for b in batches), 1 << 22):
+        for t in cut_rows((b.select(["y", "text"]) for b in batches), SLICE):
             values, begins = hashing(t.column("text"))
             yield pa.RecordBatch.from_pydict({"y": pa.array(t.column("y").to_pylist(), pa.float64()), "h": pa.array([values[a:b].tobytes() for a, b in zip(begins, begins[1:])], pa.binary())})
+        store.release_memory()
 
     got = sample.mapInArrow(put, "y double, h binary").toArrow()
     rows = sorted(zip(got["h"].to_pylist(), got["y"].to_pylist()))
@@ -97,13 +104,16 @@ def telling(rows: list[np.ndarray], positive: np.ndarray, least: float, fewest:
     if not rows or not len(positive):
         return np.zeros(0, U64)
     h = np.concatenate(rows)
-    y = np.repeat(positive, [len(r) for r in rows])
+    y = np.repeat(np.asarray(positive, bool).view(np.uint8), [len(r) for r in rows])
     order = np.argsort(h)
-    keys, starts = runs(h[order])
+    h, y = h[order], y[order]
+    del order
+    keys, starts = runs(h)
     if not len(keys):
         return keys
     n = np.diff(starts).astype(float)
-    a = np.add.reduceat(y[order].astype(float), starts[:-1])
+    a = np.add.reduceat(y, starts[:-1], dtype=float)
+    del h, y
     total, plus = len(positive), float(positive.sum())
     g = np.zeros(len(keys))
     for seen, margin in ((a, plus), (n - a, total - plus)):  # present and of either label, absent and of either label
@@ -120,7 +130,7 @@ def columns(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(keys) or not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     have = keys[at] == h
     return owner[have], at[have]
@@ -153,10 +163,11 @@ def score_texts(docs: DataFrame, keep: list, names_types: str, text_col: str, sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(n)], names=["row", "text"])
-            parts = [score(t.column("text")) for t in _cut(iter([whole]), 1 << 22)]
+            parts = [score(t.column("text")) for t in cut_rows(iter([whole]), SLICE)]
             if parts:
                 got = [np.concatenate(p) for p in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *map(pa.array, got)], names=names)
+        store.release_memory()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
     return rows.mapInArrow(run, f"{kinds}, {names_types}")

@@ -13,10 +13,12 @@ result must not rest on that compare the bytes afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text hashed at once; bounds the temporary arrays to about 30 times this.
@@ -61,7 +63,7 @@ ALNUM = _word_bytes(range(0x00, 0x30), range(0x3A, 0x61), range(0x7B, 0x80))
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(20, int(n).bit_length())
     if size not in _tables:
         _tables.clear()
@@ -100,7 +102,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def _hash_range(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lo, hi = int(starts[0]), int(ends[-1])
-    power, inverse = _power_tables(hi - lo)
+    power, inverse = power_tables(hi - lo)
     total = _VALUE[data[lo:hi]]
     total *= power[: hi - lo]
     np.cumsum(total, out=total)
@@ -148,3 +150,31 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total += mix(hashes[k : k + m] + _STEP[k % 8] * U64(1 + k // 8)) * _STEP[(k + 3) % 8]
     return mix(total)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted array: the distinct values, and where each begins (one more at the end)."""
+    if not len(values):
+        return values, np.zeros(1, np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+    return values[starts], np.append(starts, len(values))
+
+
+def cut_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Runs of rows of about most bytes of text in column 1, each row whole."""
+    held, size = [], 0
+    for b in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0))
+        at = 0
+        while at < len(sizes):
+            room = np.searchsorted(np.cumsum(sizes[at:]), most - size, "right")
+            stop = min(len(sizes), at + max(int(room), 0 if held else 1))
+            if stop > at:
+                held.append(b.slice(at, stop - at))
+                size += int(sizes[at:stop].sum())
+            if stop < len(sizes):
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            at = stop
+    if held:
+        yield pa.Table.from_batches(held)

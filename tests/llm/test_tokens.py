@@ -3,12 +3,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodequery.llm import bpe
 from lodequery.llm.bpe import UnitEncoder
 from lodequery.llm.planes import PlaneReader, PlaneWriter, from_planes, plane_output, to_planes, write_planes
 from lodequery.llm.token_counts import ChunkCounter, token_counts
@@ -16,14 +19,27 @@ from lodequery.llm.token_counts import ChunkCounter, token_counts
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 ENCODER = UnitEncoder(PATH, memo=50)
-PIECES = [" ", "  ", "\n", "\t", " \n", " ", " ", "\x1c", "a", "don't", "'s", "é", "日本", "12", "...", "<|endoftext|>", "<|endoftext", "x" * 60, "🙂", "ñandú", "\u0085"]
+PIECES = [" ", "  ", "\n", "\n\n", "\t", " \n", "\u00a0", "\u2003", "\u3000", "\x1c", "a", "don't", "'s", "'", "''ll", "é", "×", "÷", "ȡ", "ɐ", "日本", "12", "²", "...", "e\u0301", "<|endoftext|>", "<|endoftext", "x" * 60, "🙂", "ñandú", "\u0085"]
 ids = lambda t: LIBRARY.encode(t, add_special_tokens=False).ids
+TEXT = st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=30).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=30).map("".join))
-def test_units_give_the_librarys_ids(text):
-    assert np.frombuffer(ENCODER.id_bytes(text), "<u4").tolist() == ids(text)
+@given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
+def test_units_give_the_librarys_ids(texts):
+    got, at = ENCODER.encode(pa.array(texts, pa.string()))
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(t or "") for t in texts]
+    assert ENCODER.counts(pa.array(texts, pa.string())).tolist() == np.diff(at).tolist()
+
+
+def test_chunks_of_a_text_and_units_longer_than_a_chunk(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(PIECES + ["word", "and "] * 9) for _ in range(rnd.choice([0, 3, 400]))) for _ in range(60)]
+    texts += ["y" * 500, " " * 300 + "z", "日" * 100 + " <|endoftext|> " + "<|endoftext|>" * 9, "", None]
+    for encoder in (ENCODER, UnitEncoder(PATH, memo=4), UnitEncoder(PATH, longest=3)):
+        got, at = encoder.encode(pa.array(texts, pa.string()).slice(1))
+        assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(t or "") for t in texts[1:]]
 
 
 @settings(max_examples=200, deadline=None)
@@ -72,6 +88,21 @@ def test_planes_round_trip(mode):
         PlaneReader(io.BytesIO(f.read()[:-3]))
 
 
+def test_planes_in_a_given_order_and_ids_that_are_no_numbers(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}", (k * 7) % 10) for k in range(10)], "doc_id long, text string, at int")
+    got = plane_output(docs, PATH, folder=str(tmp_path / "a"), order=[F.col("at")]).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(range(10), key=lambda k: (k * 7) % 10)
+    with pytest.raises(TypeError):
+        plane_output(docs.withColumn("doc_id", F.lit("a")), PATH)
+
+
+def test_parts_follow_the_size_of_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "many words here " * 20) for k in range(40)], "doc_id long, text string")
+    assert len(write_planes(docs, str(tmp_path / "a"), PATH)) == 1
+    manifest = write_planes(docs, str(tmp_path / "b"), PATH, part_bytes=2000)
+    assert len(manifest) > 3 and [m["start"] for m in manifest] == np.cumsum([0, *(m["n_tokens"] for m in manifest)])[:-1].tolist()
+
+
 def test_plane_files_hold_all_documents_in_order(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, start string")
     got = [tuple(r) for r in plane_output(docs, PATH, folder=str(tmp_path / "a"), block=64).orderBy("start").collect()]
