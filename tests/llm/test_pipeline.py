@@ -1,4 +1,7 @@
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from lodequery.llm import jaccard, phrase_index, quality
@@ -23,8 +26,17 @@ def test_stages_keep_and_drop_what_their_operators_say(spark):
     assert free.columns == C.COLUMNS and hit and ids(free) == sorted(set(ids(docs)) - hit)
     mixed = C.mixing(spark, docs, SF)
     assert mixed.columns == C.COLUMNS and set(ids(mixed)) == set(ids(docs)) and len(ids(mixed)) >= docs.count()
-    out = C.token_planes(spark, mixed, SF).orderBy("start").collect()
-    assert len(out) == len(ids(mixed)) and [r.doc_id for r in out] == ids(mixed)
+
+
+def test_token_files_keep_the_mixtures_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 10 == 0, "rare").otherwise("usual"))
+    C.mixing(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    laid = [r.doc_id for name in sorted(os.listdir(tmp_path / "mixed")) if name.endswith(".parquet") for r in spark.read.parquet(str(tmp_path / "mixed" / name)).collect()]
+    out = [r.doc_id for r in C.token_planes(spark, mixed, SF).orderBy("start").collect()]
+    assert out == laid and out != sorted(out)
+    again = [k for k in range(1, len(out)) if out[k] == out[k - 1]]
+    assert len(out) > len(set(out)) and len(again) < (len(out) - len(set(out))) / 4  # repeats lie apart
 
 
 @pytest.mark.parametrize("stage", [s for _, s in C.STAGES], ids=[n for n, _ in C.STAGES])
