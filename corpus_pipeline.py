@@ -3,8 +3,8 @@
 Quality: documents that are likely below the good grade go.  Near duplicates: of each
 group the document with the smallest id stays.  Decontamination: documents that hold
 a benchmark item's passage go.  Mixing: sources are repeated by their temperature
-weights, every document once at least.  Output: token ids in plane files, with a row
-for each document written.
+weights, every document once at least, and laid out in the mixture's order.  Output:
+token ids in plane files, in that order, with a row for each document written.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,11 @@ SURELY_BAD = 0.35
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the good grade is at least SURELY_BAD; the labels teach it."""
+    """Documents whose probability of the good grade is at least SURELY_BAD; the labels teach it.
+
+    Each row is judged by its own text, null and empty ones as texts without words; null and repeated ids
+    don't matter to that.  No rows give none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_scores(docs, labels, cut=SURELY_BAD, keep=[F.col(c) for c in COLUMNS])
     return scored.where("keep").select(COLUMNS)
@@ -36,11 +41,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with a key of their id and text, as ids may be null or repeated."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return docs.select(COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id; rows without words and null ids stay."""
+    """Of each group of near duplicates the row with the smallest id; rows without words and null ids stay.
+
+    Of rows of one id and text one stays; of different texts under one id each is judged by itself.  No rows give none.
+    """
     null = docs.where("doc_id is null").select(COLUMNS)
     if not _repeats(docs):
         groups = jaccard_groups(docs)
@@ -61,7 +69,10 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage; each row is judged by its own text."""
+    """Documents without any benchmark passage.
+
+    Each row is judged by its own text, whatever its id; null and empty texts hold no passage; no rows give none.
+    """
     rows = _keyed(docs)
     index = build_index(rows, id_col="_key")
     blocks = write_phrases(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), f"{index}/items")
@@ -72,13 +83,31 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as the mixture draws it."""
+    """The documents, each as often as the mixture draws it, in the mixture's order: blocks, each a small copy of the mixture.
+
+    Every document is drawn once at least.  Null and empty texts take no budget and lie where they fall; a null
+    source is a source; rows of null or equal ids are documents of their own; no rows give none.
+    """
     return mixed_documents(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def token_planes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token files and return what they hold: doc_id, start, n_tokens, ids_crc32 of each document written."""
-    return plane_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Write the token files and return what they hold: doc_id, start, n_tokens, ids_crc32 of each document written.
+
+    Documents are written in the order in which the files of docs hold them, which is the mixture's; those of a
+    table that isn't read from files in the order in which it is read.  Null and empty texts are the end id
+    alone; null and repeated ids are written as they are; no rows give none.
+    """
+    return plane_output(_numbered(docs), public_tokenizers.path("byte_bpe_50k.json"), order=[F.col("_file"), F.col("_place")])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with where each row lies: the number of its file, then its place there."""
+    try:
+        number = F.regexp_extract("_metadata.file_name", r"^part-([0-9]{1,18})", 1).try_cast("long")
+        return docs.select("doc_id", "text", number.alias("_file"), F.struct("_metadata.file_name", "_metadata.row_index").alias("_place"))
+    except AnalysisException:  # not read from files
+        return docs.select("doc_id", "text", F.lit(0).alias("_file"), F.monotonically_increasing_id().alias("_place"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
