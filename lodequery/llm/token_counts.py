@@ -47,8 +47,10 @@ class ChunkCounter:
         if not self.encoder.splits:
             return self.encoder.counts(texts)
         huge = pc.fill_null(pc.greater(pc.utf8_length(texts), self.huge), False)
-        out = self.encoder.counts(pc.if_else(huge, pa.scalar(None, texts.type), texts))
-        for k in np.flatnonzero(huge.to_numpy(zero_copy_only=False)).tolist():
+        apart = huge.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        out[~apart] = self.encoder.counts(texts.filter(pc.invert(huge)))
+        for k in np.flatnonzero(apart).tolist():
             out[k] = self._spliced(texts[k].as_py())
         return out
 

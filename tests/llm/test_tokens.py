@@ -48,6 +48,13 @@ def test_spliced_chunks_count_as_the_whole_text(text):
     assert ChunkCounter(ENCODER, 10, 40, 12).count(text) == len(ids(text))
 
 
+def test_counts_of_a_slice_with_huge_texts_in_it():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(PIECES + ["word "] * 9) for _ in range(rnd.choice([3, 20, 300]))) for _ in range(80)] + [None, ""]
+    column = pa.array(texts, pa.string()).slice(11)
+    assert ChunkCounter(ENCODER, 200, 80, 20).counts(column).tolist() == [len(ids(t or "")) for t in texts[11:]]
+
+
 def test_overlap_widens_where_nothing_aligns():
     counter = ChunkCounter(ENCODER, 10, 40, 8)
     text = "plain words first " * 5 + "x" * 300 + " and some words after that " * 5
