@@ -29,30 +29,37 @@ class OrdinalModel:
         if k < 2:
             return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), grades if k else np.zeros(1))
         keys = np.unique(np.concatenate([T.telling(rows, level >= c, least, fewest, most) for c in range(1, k)]))
-        row, col = T.columns(rows, keys)
+        x_of = T.Sparse(rows, keys)
         share = np.clip(np.cumsum(np.bincount(level, minlength=k))[:-1] / len(y), 1e-4, 1 - 1e-4)
         start = np.log(share / (1 - share))
         x0 = np.concatenate([np.zeros(len(keys)), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))])
-        f, index = len(keys), np.arange(len(y))
+        f = len(keys)
+        gradient = OrdinalModel.gradient(x_of, level, k, l2)
+        x = T.adam(gradient, x0)
+        return OrdinalModel(keys, x[:f], x[f] + np.concatenate([[0], np.cumsum(np.exp(x[f + 1 :]))]), grades)
+
+    @staticmethod
+    def gradient(x_of: T.Sparse, level: np.ndarray, k: int, l2: float):
+        """The gradient of the mean of -log P(level), plus l2 |w|^2 / 2n, by weights, first threshold and logs of the steps between thresholds."""
+        f, n, index = x_of.shape[1], len(level), np.arange(len(level))
 
         def gradient(x: np.ndarray) -> np.ndarray:
             t = np.concatenate([[-np.inf], x[f] + np.concatenate([[0], np.cumsum(np.exp(x[f + 1 :]))]), [np.inf]])
-            z = np.bincount(row, x[col], len(y))
+            z = x_of.dot(x[:f])
             up, down = T.sigmoid(t[level + 1] - z), T.sigmoid(t[level] - z)
             p = np.maximum(up - down, 1e-12)
             d_up, d_down = up * (1 - up) / p, down * (1 - down) / p  # of -log p: -d_up by the upper threshold, +d_down by the lower
             g = np.zeros_like(x)
-            g[:f] = np.bincount(col, (d_up - d_down)[row], f) + l2 * x[:f]
-            by = np.zeros((len(y), k + 1))
+            g[:f] = x_of.back(d_up - d_down) + l2 * x[:f]
+            by = np.zeros((n, k + 1))
             by[index, level + 1] -= np.where(level + 1 < k, d_up, 0)
             by[index, level] += np.where(level > 0, d_down, 0)
             by = by.sum(axis=0)[1:k]
             g[f] = by.sum()
             g[f + 1 :] = np.exp(x[f + 1 :]) * (np.cumsum(by[::-1])[::-1][1:])
-            return g / len(y)
+            return g / n
 
-        x = T.adam(gradient, x0)
-        return OrdinalModel(keys, x[:f], x[f] + np.concatenate([[0], np.cumsum(np.exp(x[f + 1 :]))]), grades)
+        return gradient
 
     def tails(self, texts) -> np.ndarray:
         """P(grade >= grades[k]) for k = 1.., one row per text."""

@@ -1,6 +1,6 @@
 """Hashed-text features of labelled documents, for the classifiers.
 
-A document's features are the 64-bit hashes of its distinct words, and of a few
+A document's features are the (even) 64-bit hashes of its distinct words, and of a few
 coarse shape marks (share of capitals, of symbols, of words like the one before,
 variety of words, in tenths).  A model keeps the hashes that the labels show to
 matter, sorted, with a weight each, so hashes of different words don't meet.
@@ -46,7 +46,7 @@ def document_features(texts, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
     """
     w = split(texts, BLANK if shapes else ALNUM)
     n = np.diff(w.bounds)
-    h = w.hashes.copy()
+    h = w.hashes & ~U64(1)
     for a, b in zip(w.bounds.tolist(), w.bounds[1:].tolist()):
         h[a:b].sort()
     first = np.ones(len(h), bool)
@@ -66,7 +66,7 @@ def document_features(texts, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(begins[-1], U64)
     out[np.arange(len(h)) + np.repeat(len(marks) * np.arange(len(n)), own)] = h
     for k, share in enumerate(marks):
-        out[begins[1:] - len(marks) + k] = mix(U64(1 + k) * U64(1 << 8) + np.ceil(share * 10).astype(U64))
+        out[begins[1:] - len(marks) + k] = mix(U64(1 + k) * U64(1 << 8) + np.ceil(share * 10).astype(U64)) & ~U64(1)
     return out, begins
 
 
@@ -103,11 +103,12 @@ def telling(rows: list[np.ndarray], positive: np.ndarray, least: float, fewest:
     """The sorted hashes whose presence the label depends on: in ``fewest`` documents at least, signed root of G at least ``least`` either way, and the ``most`` strongest of them."""
     if not rows or not len(positive):
         return np.zeros(0, U64)
+    # Hashes are even, so a label fits beside each and one sort in place is all.
     h = np.concatenate(rows)
-    y = np.repeat(np.asarray(positive, bool).view(np.uint8), [len(r) for r in rows])
-    order = np.argsort(h)
-    h, y = h[order], y[order]
-    del order
+    h |= np.repeat(np.asarray(positive, bool).astype(U64), [len(r) for r in rows])
+    h.sort()
+    y = (h & U64(1)).astype(np.uint8)
+    h &= ~U64(1)
     keys, starts = runs(h)
     if not len(keys):
         return keys
@@ -125,15 +126,28 @@ def telling(rows: list[np.ndarray], positive: np.ndarray, least: float, fewest:
     return np.sort(keys[keep])
 
 
-def columns(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of every feature of the rows that is among keys."""
-    if not len(keys) or not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    have = keys[at] == h
-    return owner[have], at[have]
+class Sparse:
+    """Which of the keys each row has, as a matrix of 0 and 1."""
+
+    def __init__(self, rows: list[np.ndarray], keys: np.ndarray):
+        found = []
+        for r in rows:
+            at = np.minimum(np.searchsorted(keys, r), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
+            found.append(at[keys[at] == r].astype(np.int32) if len(keys) else at.astype(np.int32))
+        self.col = np.concatenate(found) if found else np.zeros(0, np.int32)
+        self.row_begins = np.cumsum([0, *map(len, found)])
+        self.shape = len(found), len(keys)
+        row = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(self.row_begins))
+        self.row = row[np.argsort(self.col, kind="stable")]
+        self.col_begins = np.concatenate([[0], np.cumsum(np.bincount(self.col, minlength=len(keys)))])
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        """The sum of x over each row's keys."""
+        return _sums(x[self.col], self.row_begins)
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        """The sum of d over the rows that have each key."""
+        return _sums(d[self.row], self.col_begins)
 
 
 def linear(h: np.ndarray, begins: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -39,7 +39,7 @@ def swaps(terms=IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the terms, and of what each is swapped for: the next of its kind."""
     pairs = {}
     for kind in terms:
-        h = split(pa.array([" ".join(kind)]), ALNUM).hashes
+        h = split(pa.array([" ".join(kind)]), ALNUM).hashes & ~U64(1)  # as features are
         for a, b in zip(h, np.roll(h, -1)):
             pairs.setdefault(int(a), int(b))
     keys = np.asarray(sorted(pairs), U64)
@@ -47,10 +47,14 @@ def swaps(terms=IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CounterfactualModel:
-    """Weights and bias; small enough for any closure."""
+    """Weights and bias, and by how much a swap of each term changes the sum; small enough for any closure."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, terms=IDENTITY_TERMS):
         self.keys, self.weights, self.bias = keys, weights, bias
+        term, other = swaps(terms)
+        self.moves = np.zeros(len(keys))
+        if len(keys):
+            self.moves[np.searchsorted(keys, term)] = weights[np.searchsorted(keys, other)] - weights[np.searchsorted(keys, term)]
 
     @staticmethod
     def fit(rows: list[np.ndarray], y: np.ndarray, *, penalty: float = 10.0, l2: float = 0.3, least: float = 4.0, fewest: int = 3, most: int = 4096, terms=IDENTITY_TERMS) -> CounterfactualModel:
@@ -61,34 +65,49 @@ class CounterfactualModel:
             return CounterfactualModel(np.zeros(0, U64), np.zeros(0), float(np.log(share / (1 - share))))
         term, other = swaps(terms)
         keys = np.union1d(T.telling(rows, y, least, fewest, most), term)
-        row, col = T.columns(rows, keys)
+        f = len(keys)
+        gradient = CounterfactualModel.gradient(T.Sparse(rows, keys), y, keys, term, other, penalty, l2)
+        share = y.mean()
+        x = T.adam(gradient, np.append(np.zeros(f), np.log(share / (1 - share))))
+        return CounterfactualModel(keys, x[:f], float(x[f]), terms)
+
+    @staticmethod
+    def gradient(x_of: T.Sparse, y: np.ndarray, keys: np.ndarray, term: np.ndarray, other: np.ndarray, penalty: float, l2: float):
+        """The gradient of the mean log loss + l2 |w|^2 / 2n + penalty * the mean square of w.change over rows with terms, by weights and bias."""
+        f, n = x_of.shape[1], x_of.shape[0]
         # The counterfactuals, as differences: -1 for the terms that go, +1 for those that come.
-        where, what = T.columns(rows, term)
+        place = np.searchsorted(keys, term)
+        swap = np.full(f, -1, np.int64)
+        swap[place] = np.searchsorted(keys, other)
+        what = x_of.col[swap[x_of.col] >= 0]
+        where = np.repeat(np.arange(n), np.diff(x_of.row_begins))[swap[x_of.col] >= 0]
         d_row = np.concatenate([where, where])
-        d_col = np.searchsorted(keys, np.concatenate([term[what], other[what]]))
+        d_col = np.concatenate([what, swap[what]])
         d_sign = np.concatenate([-np.ones(len(what)), np.ones(len(what))])
         named = max(1, len(np.unique(where)))
-        f, n = len(keys), len(y)
 
         def gradient(x: np.ndarray) -> np.ndarray:
-            error = T.sigmoid(np.bincount(row, x[col], n) + x[f]) - y
+            error = T.sigmoid(x_of.dot(x[:f]) + x[f]) - y
             change = np.bincount(d_row, d_sign * x[d_col], n)
             g = np.empty_like(x)
-            g[:f] = (np.bincount(col, error[row], f) + l2 * x[:f]) / n + 2 * penalty / named * np.bincount(d_col, d_sign * change[d_row], f)
+            g[:f] = (x_of.back(error) + l2 * x[:f]) / n + 2 * penalty / named * np.bincount(d_col, d_sign * change[d_row], f)
             g[f] = error.sum() / n
             return g
 
-        share = y.mean()
-        x = T.adam(gradient, np.append(np.zeros(f), np.log(share / (1 - share))))
-        return CounterfactualModel(keys, x[:f], float(x[f]))
+        return gradient
 
-    def scores(self, texts) -> np.ndarray:
+    def scores(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each text, and how much that of its counterfactual is above it."""
         h, begins = T.document_features(texts, False)
-        return T.sigmoid(T.linear(h, begins, self.keys, self.weights) + self.bias)
+        z = T.linear(h, begins, self.keys, self.weights) + self.bias
+        score = T.sigmoid(z)
+        return score, T.sigmoid(z + T.linear(h, begins, self.keys, self.moves)) - score
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, cut: float = 0.7, most: int = 20_000, **options) -> DataFrame:
-    """Per row: the id, held_out, score (0 to 1) and predicted (1 if score >= cut).
+    """Per row: the id, held_out, score (0 to 1), predicted (1 if score >= cut) and swap_change.
+
+    swap_change is the score of the text with every identity term swapped, less its own: 0 without such terms.
 
     Learns from at most ``most`` labels of ids whose crc32 as text mod folds is not held.  Only the text
     is an input of a score; null and empty texts get the score of no words.  Null labels and ids teach
@@ -100,7 +119,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     model = CounterfactualModel.fit(*T.fetch(sample, lambda t: T.document_features(t, False)), **options)
 
     def score(texts):
-        s = model.scores(texts)
-        return s, (s >= cut).astype(np.int32)
+        s, change = model.scores(texts)
+        return s, (s >= cut).astype(np.int32), change
 
-    return T.score_texts(docs, [F.col(id_col), F.coalesce(rest == held, F.lit(False)).alias("held_out")], "score double, predicted int", text_col, score)
+    return T.score_texts(docs, [F.col(id_col), F.coalesce(rest == held, F.lit(False)).alias("held_out")], "score double, predicted int, swap_change double", text_col, score)
