@@ -1,9 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Every step is a join-free aggregation with map-side combination followed by a
-window-free expansion, so no vertex's links are gathered in one task: a hub is
-relabelled through a join on its minimum.  Each round is written to the shared
-folder, which cuts the lineage, and read back.
+Every step takes each vertex's smallest neighbour by an aggregation with map-side
+combination and gives it to the vertex's links by ``spread_join``, so no vertex's
+links are gathered in one task.  Each round is written to the shared folder, which
+cuts the lineage, and read back.
 """
 
 from __future__ import annotations
@@ -21,6 +21,22 @@ def _saved(df: DataFrame, path: str) -> tuple[DataFrame, tuple]:
     return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["h"])
 
 
+def spread_join(rows: DataFrame, lookup: DataFrame, on: str | list[str], total: int, *, weight: str = "_c") -> DataFrame:
+    """rows joined with lookup's one row for each key; rows without one are left out.
+
+    weight says how many of the rows have the key, and total how many rows there are.  Keys with more than a
+    task's share of the rows, which can't be more than there are tasks, are broadcast; the others' rows are
+    shuffled, so no task gets more than about two shares.
+    """
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = F.col(weight) > max(64, total // tasks)
+    keys, names = [on] if isinstance(on, str) else list(on), [c for c in lookup.columns if c not in ({on} if isinstance(on, str) else set(on)) and c != weight]
+    hot = lookup.where(many).select(*keys, F.struct(*names).alias("_hot"))  # at most a row for each task
+    both = rows.join(F.broadcast(hot), keys, "left")
+    cold = both.where("_hot is null").drop("_hot").join(lookup.where(~many).select(*keys, *names), keys)
+    return both.where("_hot is not null").select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in names]).unionByName(cold.select(*rows.columns, *names))
+
+
 def components(links: DataFrame, *, max_rounds: int = 60, folder: str | None = None) -> DataFrame:
     """(vertex, root) for every vertex of links (a, b): root is the smallest vertex it reaches.
 
@@ -31,16 +47,18 @@ def components(links: DataFrame, *, max_rounds: int = 60, folder: str | None = N
     a, b = F.col("a"), F.col("b")
     edges = links.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges, previous = _saved(edges.where("a > b"), f"{folder}/0")
+    n = previous[0]
     for k in range(1, max_rounds + 1):
         # Large star: a vertex's larger neighbours are linked to its smallest neighbour.
         both = edges.union(edges.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = edges.select(a.alias("v"), b.alias("a")).join(low, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_c")).select("a", F.least("a", "m").alias("m"), "_c")
+        large = spread_join(edges.select(a.alias("v"), b.alias("a")), low, "a", n).select(F.col("v").alias("a"), F.col("m").alias("b"))
         # Small star: a vertex and its smaller neighbours are linked to the smallest of them.
         large = large.where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_c"))
+        small = spread_join(large, low, "a", n).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges, now = _saved(small.where("a > b").distinct(), f"{folder}/{k}")
+        n = now[0]
         if now == previous:
             break
         previous = now

@@ -20,9 +20,12 @@
    that are linked already, even indirectly, aren't compared again.
 6. Components of all links give the groups.
 
-Skew: copies collapse to a class first; a shingle whose count in the sketch passes
-``tile`` is split into a grid of tiles by the documents' salt, each pair of
-salts meeting in one tile, so no task holds more than two salts' documents.
+Skew: copies collapse to a class first; a shingle whose count in the sketch is over
+the usual one by more than ``tile`` is split into a grid of tiles by the documents'
+salt, each pair of salts meeting in one tile, so no task holds more than two salts'
+documents.  The sketch has 2**18 counters and more for larger inputs (about one for
+every 4 KB of text, up to 2**24); what counters hold of rare shingles is their median
+and is not counted, so copies of rare shingles don't grow with the input.
 Shingles, and sets, are compared by hash (64 bits a shingle, 128 a set).
 """
 
@@ -38,11 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .components import components
+from .components import components, spread_join
 from .wordhash import BLANK, U64, cut_rows, mix, runs, split, window_hashes
 
 SEEDS = [U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
-SKETCH = 1 << 18
+#: Counters of the sketch: at least, at most, and bytes of text for each.
+SKETCH, MOST_SKETCH, SKETCH_BYTES = 1 << 18, 1 << 24, 1 << 12
+STRETCH = 1 << 16
 MASK = (1 << 32) - 1
 
 
@@ -115,12 +120,12 @@ def _done() -> None:
     store.release_memory()
 
 
-def shingle_sets(docs: DataFrame, folder: str, n: int, segment_bytes: int) -> DataFrame:
-    """Write the segments; a row per document: place, doc_id, n, h1, h2, m0..m3; and each task's sketch of shingle counts."""
+def shingle_sets(docs: DataFrame, folder: str, n: int, segment_bytes: int, counters: int) -> DataFrame:
+    """Write the segments; a row per document: place, doc_id, n, h1, h2, m0..m3; and each task's sketch of shingle counts, in stretches of 2**16."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(counters, np.uint32)
         for k, t in enumerate(cut_rows(batches, segment_bytes)):
             if k >= 1 << 12:
                 raise ValueError("a partition of over 4096 segments; raise segment_bytes or read smaller partitions")
@@ -130,16 +135,16 @@ def shingle_sets(docs: DataFrame, folder: str, n: int, segment_bytes: int) -> Da
             bitmaps, bit_begins = _bitmaps(sets, begins)
             number = task << 12 | k
             store.put_pack(f"{folder}/sets/{number}.pack", sets=sets, begins=begins, bitmaps=bitmaps, bit_begins=bit_begins)
-            sketch += np.bincount((sets & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            np.add.at(sketch, (sets & U64(counters - 1)).astype(np.int64), np.uint32(1))
             columns = {"place": pa.array((number << 32) + np.arange(len(ids), dtype=np.int64)), "id": ids, "n": pa.array(np.diff(begins).astype(np.int64))}
             columns |= {"h1": _long(_per_set(np.add, mix(sets + SEEDS[0]), begins)), "h2": _long(_per_set(np.add, mix(sets ^ SEEDS[1]), begins))}
             columns |= {f"m{i}": _long(_per_set(np.minimum, mix(sets ^ s), begins)) for i, s in enumerate(SEEDS)}
-            yield pa.RecordBatch.from_pydict(columns | {"sketch": pa.nulls(len(ids), pa.list_(pa.int64()))})
-        if sketch.any():
-            yield pa.RecordBatch.from_pydict({c: pa.nulls(1, pa.int64()) for c in ("place", "id", "n", "h1", "h2", "m0", "m1", "m2", "m3")} | {"sketch": pa.array([sketch], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict(columns | {"part": pa.nulls(len(ids), pa.int32()), "sketch": pa.nulls(len(ids), pa.list_(pa.int32()))})
+        for part in range(0, counters, STRETCH) if sketch.any() else ():
+            yield pa.RecordBatch.from_pydict({c: pa.nulls(1, pa.int64()) for c in ("place", "id", "n", "h1", "h2", "m0", "m1", "m2", "m3")} | {"part": pa.array([part // STRETCH], pa.int32()), "sketch": pa.array([sketch[part : part + STRETCH].view(np.int32)], pa.list_(pa.int32()))})
         store.release_memory()
 
-    rows = docs.mapInArrow(write, "place long, id long, n long, h1 long, h2 long, m0 long, m1 long, m2 long, m3 long, sketch array<long>")
+    rows = docs.mapInArrow(write, "place long, id long, n long, h1 long, h2 long, m0 long, m1 long, m2 long, m3 long, part int, sketch array<int>")
     rows.write.parquet(f"{folder}/rows")
     return docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
 
@@ -187,13 +192,20 @@ def star_links(reps: DataFrame, folder: str, percent: int) -> DataFrame:
     return verified(pairs, folder, percent)
 
 
+def sketch_levels(counts: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each counter: how frequent its shingles are (0 to 15), and into how many salts a shingle of it is split."""
+    usual = float(np.median(counts))
+    usual += 4 * float(np.sqrt(usual)) + 1
+    level = np.minimum(15, np.ceil(np.log2(np.maximum(1, counts / usual)) * 2)).astype(np.uint8)
+    over = np.maximum(counts - usual, 0)
+    return level, np.where(over > tile, np.ceil(over / tile), 1).astype(np.int32)
+
+
 def prefix_groups(reps: DataFrame, folder: str, counts: np.ndarray, percent: int, tile: int, total: int) -> DataFrame:
     """(gid, place) of the documents that share a prefix shingle, for shingles that two at least share."""
     spark = reps.sparkSession
-    usual = float(counts.mean()) + 4 * float(np.sqrt(counts.mean())) + 1
-    level = np.minimum(15, np.ceil(np.log2(np.maximum(1, counts / usual)) * 2)).astype(np.uint8)
-    split_in = np.where(counts > tile, -(-counts // tile), 1).astype(np.int32)
-    shared = spark.sparkContext.broadcast((level, split_in))  # SKETCH entries each, whatever the input
+    level, split_in = sketch_levels(counts, tile)
+    shared = spark.sparkContext.broadcast((level, split_in))  # MOST_SKETCH entries each at most
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +220,14 @@ def prefix_groups(reps: DataFrame, folder: str, counts: np.ndarray, percent: int
                     x = s["sets"][begins[r] : begins[r + 1]]
                     n = len(x)
                     take = n - -(-percent * n // 100) + 1
-                    key = np.sort(level[(x & U64(SKETCH - 1)).astype(np.int64)].astype(U64) << U64(60) | x >> U64(4))[:take] if n > take else x >> U64(4)
+                    key = np.sort(level[(x & U64(len(level) - 1)).astype(np.int64)].astype(U64) << U64(60) | x >> U64(4))[:take] if n > take else x >> U64(4)
                     tokens.append(key & U64((1 << 60) - 1))
                     owner.append(np.full(len(key), r, np.uint32))
                 if not tokens:
                     continue
                 token, own = np.concatenate(tokens), np.concatenate(owner)
                 # The lowest four bits are gone, so the sketch's place is known up to 16 entries; the largest of them counts.
-                most = split_in.reshape(-1, 16).max(axis=1)[(token & U64((SKETCH >> 4) - 1)).astype(np.int64)]
+                most = split_in.reshape(-1, 16).max(axis=1)[(token & U64((len(level) >> 4) - 1)).astype(np.int64)]
                 if (most > 1).any():
                     hot = np.flatnonzero(most > 1)
                     m = most[hot].astype(np.int64)
@@ -246,7 +258,8 @@ def prefix_groups(reps: DataFrame, folder: str, counts: np.ndarray, percent: int
         keep[:-1] |= same
         return pa.table({"gid": _long(token[keep]), "place": pa.array(place[order[keep]], pa.int64())})
 
-    rows = reps.where("n > 1").select(F.shiftright("place", 32).alias("segment"), F.col("place").bitwiseAND(MASK).alias("row")).groupBy("segment").agg(F.collect_list("row").alias("rows"))  # at most a segment's rows
+    # A set of one shingle is at most half of a larger one.
+    rows = reps.where("n > 1" if percent > 50 else "n > 0").select(F.shiftright("place", 32).alias("segment"), F.col("place").bitwiseAND(MASK).alias("row")).groupBy("segment").agg(F.collect_list("row").alias("rows"))  # at most a segment's rows
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be put into one task
     blocks = rows.mapInArrow(emit, "shard int, segment long, tokens binary, rows binary")
     return blocks.groupBy("shard").applyInArrow(meet, "gid long, place long")
@@ -287,7 +300,7 @@ def tile_links(groups: DataFrame, folder: str, percent: int, every: bool) -> Dat
             return
         top = np.searchsorted(n, n * 100 // percent, "right")
         width = _width(n)
-        maps: dict[tuple[int, int], np.ndarray] = {}  # of own width, and folded to half of it
+        maps: dict[tuple[int, int], np.ndarray] = {}  # of own width, and folded to narrower ones
 
         def bitmaps(w: int) -> np.ndarray:
             a, b = np.searchsorted(width, [w, w + 1])
@@ -313,14 +326,11 @@ def tile_links(groups: DataFrame, folder: str, percent: int, every: bool) -> Dat
             first = int(np.searchsorted(width, w))
             mine = bitmaps(w)[i - first]
             apart = np.empty(len(near), np.int64)
-            same = width[near] == w
-            if same.any():
-                apart[same] = np.bitwise_count(bitmaps(w)[near[same] - first] ^ mine).sum(axis=1)
-            if not same.all():
-                v = int(width[near[~same][0]])
+            for v in np.unique(width[near]).tolist():  # its own width, and wider ones folded to it
+                own = width[near] == v
                 if (v, w) not in maps:
                     maps[v, w] = _fold(bitmaps(v), w)
-                apart[~same] = np.bitwise_count(maps[v, w][near[~same] - int(np.searchsorted(width, v))] ^ mine).sum(axis=1)
+                apart[own] = np.bitwise_count(maps[v, w][near[own] - int(np.searchsorted(width, v))] ^ mine).sum(axis=1)
             both = n[near] + n[i]
             least = -(-percent * both // (100 + percent))
             for j in near[(both - apart) // 2 >= least].tolist():
@@ -375,11 +385,14 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         self.id_col, self.percent, self.tile = id_col, percent, tile
         self.folder = store.new_folder(self.spark, "jaccard")
-        made = shingle_sets(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), self.folder, n, segment_bytes)
-        self.made = made.where("place is not null").drop("sketch")
-        self.sketches = made.where("sketch is not null").select("sketch")
+        texts = store.whole_ids(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        size, self.total = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        counters = min(MOST_SKETCH, max(SKETCH, 1 << (int(size or 0) // SKETCH_BYTES).bit_length()))
+        made = shingle_sets(texts, self.folder, n, segment_bytes, counters)
+        self.made = made.where("place is not null").drop("part", "sketch")
+        self.counters, self.sketches = counters, made.where("sketch is not null").select("part", "sketch")
         full = self.made.where("n > 0")
-        self.classes = self._keep("classes", full.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("place", "m0", "m1", "m2", "m3"), "place").alias("x")).select("h1", "h2", "n", "x.*"))
+        self.classes = self._keep("classes", full.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("place", "m0", "m1", "m2", "m3"), "place").alias("x"), F.count("*").alias("_c")).select("h1", "h2", "n", "x.*", "_c"))
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -392,17 +405,25 @@ class JaccardJoin:
 
     def rows(self) -> DataFrame:
         """Every row with its class's representative (null for empty sets)."""
-        return self.made.select("place", "id", "n", "h1", "h2").join(self.classes.select("h1", "h2", "n", F.col("place").alias("rep")), ["h1", "h2", "n"], "left").select("place", F.col("id").alias(self.id_col), "n", "rep")
+        rows = self.made.where("n > 0").select("place", "id", "n", "h1", "h2")
+        full = spread_join(rows, self.classes.select("h1", "h2", "n", F.col("place").alias("rep"), "_c"), ["h1", "h2", "n"], self.total)
+        bare = self.made.where("n = 0").select("place", "id", "n", F.lit(None).cast("long").alias("rep"))
+        return full.select("place", "id", "n", "rep").union(bare).withColumnRenamed("id", self.id_col)
 
     def _groups(self) -> DataFrame:
-        counts = np.zeros(SKETCH, np.int64)
-        sums = self.sketches.select(F.posexplode("sketch")).where("col > 0").groupBy("pos").agg(F.sum("col").alias("c")).toArrow()  # SKETCH rows at most
-        counts[sums["pos"].to_numpy()] = sums["c"].to_numpy()
+        counts = np.zeros(self.counters, np.int64)
+        at = F.col("part") * STRETCH + F.col("pos")
+        sums = self.sketches.select("part", F.posexplode("sketch")).where("col != 0").groupBy(at.alias("at")).agg(F.sum(F.col("col").cast("long")).alias("c")).toArrow()  # as many rows as counters at most
+        counts[sums["at"].to_numpy()] = sums["c"].to_numpy()
         prefix = self.classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).first()[0] or 0
         return prefix_groups(self.classes, self.folder, counts, self.percent, self.tile, int(prefix))
 
     def links(self) -> DataFrame:
-        """Every link (a, b) between different classes, by their representatives."""
+        """Every link (a, b) between different classes, by their representatives, once each with a > b.
+
+        Equal sets are one class and texts without words are none, so neither gives a link; ids play no part.
+        An empty table gives none.
+        """
         groups = self._groups().withColumn("root", F.col("place"))
         return tile_links(groups, self.folder, self.percent, True)
 
@@ -426,8 +447,10 @@ def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
     empty table gives an empty result.
     """
     join = JaccardJoin(docs, **options)
-    rows = join.rows().join(join.roots().withColumnRenamed("place", "rep"), "rep", "left")
-    rows = join._keep("result", rows.select(join.id_col, "n", F.coalesce("root", "rep", "place").alias("root")))
+    roots = join.classes.join(join.roots(), "place", "left").select("h1", "h2", "n", F.coalesce("root", "place").alias("root"), "_c")
+    full = spread_join(join.made.where("n > 0").select("id", "n", "h1", "h2"), roots, ["h1", "h2", "n"], join.total)
+    bare = join.made.where("n = 0").select("id", "n", F.col("place").alias("root"))
+    rows = join._keep("result", full.select("id", "n", "root").union(bare))
     join.clear()
-    least = rows.groupBy("root").agg(F.min(join.id_col).alias("component_id"))
-    return rows.join(least, "root").select(join.id_col, F.col("n").alias("n_shingles"), "component_id")
+    least = rows.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("_c"))
+    return spread_join(rows, least, "root", join.total).select(F.col("id").alias(join.id_col), F.col("n").alias("n_shingles"), "component_id")

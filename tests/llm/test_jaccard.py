@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodequery.llm import jaccard as J
-from lodequery.llm.components import components
+from lodequery.llm.components import components, spread_join
 
 
 def sets(text, n=5):
@@ -71,9 +73,48 @@ def test_groups_and_links_against_brute_force(spark, seed, tile, size):
     assert J.jaccard_groups(d.limit(0)).collect() == []
 
 
-def test_bitmap_bound_never_undercounts():
-    import numpy as np
+@pytest.mark.parametrize("percent", [1, 30, 50, 100])
+def test_links_at_other_percents(spark, percent):
+    r = random.Random(percent)
+    docs = corpus(7, 70)[:-1] + [(500 + k, f"{a} {b} c d e f"[: 9 + 2 * (k % 2)]) for k, (a, b) in enumerate((r.choice("xyz"), r.choice("uvw")) for _ in range(40))]
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    _, links, s = brute(docs, percent)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    join = J.JaccardJoin(d, percent=percent)
+    of = {r.rep: frozenset(s[r.doc_id]) for r in join.rows().collect() if r.rep is not None}
+    found = {frozenset((of[r.a], of[r.b])) for r in join.links().collect()}
+    assert found == {frozenset((frozenset(s[i]), frozenset(s[j]))) for i, j in links if s[i] != s[j]}
+    assert sorted(map(tuple, J.jaccard_groups(d, percent=percent).collect()), key=str) == brute(docs, percent)[0]
+
+
+def test_a_small_sketch_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(J, "SKETCH", 64)
+    monkeypatch.setattr(J, "MOST_SKETCH", 64)
+    docs = corpus(11, 150)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, J.jaccard_groups(d, tile=4).collect()), key=str) == brute(docs)[0]
+    # What rare shingles add to a counter doesn't split them, however many there are; a shingle far over it is split.
+    r = np.random.default_rng(3)
+    for usual in (3, 10**4, 10**8):
+        counts = r.poisson(usual, 64)
+        counts[5] += 1000 * 32
+        split = J.sketch_levels(counts, 1000)[1]
+        assert (np.delete(split, 5) == 1).all() and split[5] in range(30, 34) or usual == 10**8 and split[5] < 34
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError):
+        J.jaccard_groups(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(900)], "k long, v long")
+    lookup = rows.groupBy("k").agg(F.max("v").alias("m"), F.count("*").alias("_c")).where("k <> 9")
+    got = sorted(map(tuple, spread_join(rows, lookup, "k", 900).collect()))
+    assert got == sorted((0, k, 899) if k % 3 else (k, k, 899 if k == 0 else k) for k in range(900) if k != 9)
+
+
+def test_bitmap_bound_never_undercounts():
     r = np.random.default_rng(0)
     for _ in range(50):
         x = np.unique(r.integers(0, 2**63, r.integers(1, 300)).astype(np.uint64))
