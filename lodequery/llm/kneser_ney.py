@@ -20,8 +20,10 @@ and likewise p(w) from the number of words that precede w, interpolated with
 start mark, which is no token, and ends with an end token.
 
 The files hold every pair of the corpus and grow with it; nothing but S counts
-and the hot words (under 8 S of them) passes through the driver, with S shards,
-the power of two from the session's number of shuffle partitions on.
+and the hot words (under 8 S of them) passes through the driver, with S shards: a
+power of two, about one for every ``shard_bytes`` of text, so that a shard's size
+doesn't grow with the corpus until there are 2**18.  A model knows which shards it
+has written; one that can't be read later is an error, not a count of zero.
 """
 
 from __future__ import annotations
@@ -106,15 +108,12 @@ def find(keys: np.ndarray, buckets: np.ndarray, skip: int, wanted: np.ndarray) -
 
 
 @lru_cache(4096)
-def _pack(path: str) -> dict[str, np.ndarray] | None:
-    try:
-        return store.mapped_pack(path)
-    except FileNotFoundError:
-        return None
+def _pack(path: str) -> dict[str, np.ndarray]:
+    return store.mapped_pack(path)
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard.astype(np.uint16), kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
     which, starts = runs(shard[order])
     for k, a, b in zip(which.tolist(), starts, starts[1:]):
         yield k, order[a:b]
@@ -131,28 +130,31 @@ def _discounts(n: list[float]) -> list[float]:
 class KneserNey:
     """A fitted model: where its files are and a few totals.  Small enough for any closure."""
 
-    def __init__(self, folder: str, bits: int, hot: np.ndarray, tokens: int, words: int, pairs: list[float], single: list[float]):
-        self.folder, self.bits, self.hot, self.tokens, self.words = folder, bits, hot, tokens, words
+    def __init__(self, folder: str, bits: int, hot: np.ndarray, tokens: int, words: int, pairs: list[float], single: list[float], written: dict[str, np.ndarray]):
+        self.folder, self.bits, self.hot, self.tokens, self.words, self.written = folder, bits, hot, tokens, words, written
         self.d2, self.d1, self.kinds = _discounts(pairs[:4]), _discounts(single[:4]), single[5]
         self.open_mass = sum(d * n for d, n in zip(self.d1, (single[0], single[1], single[4] - single[0] - single[1])))
 
     @staticmethod
-    def fit(texts: DataFrame, *, text_col: str = "text") -> KneserNey:
+    def fit(texts: DataFrame, *, text_col: str = "text", shard_bytes: int = 1 << 24) -> KneserNey:
         """Count every row of texts."""
         spark = texts.sparkSession
         folder = store.new_folder(spark, "kneser-ney")
-        bits = min(15, max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
         rows = texts.select(F.col(text_col).cast("string").alias("text"))
-        tokens, words, hot = _count_words(rows, folder, bits)
-        pairs = _count_pairs(rows, folder, bits, hot)
-        return KneserNey(folder, bits, hot, tokens, words, pairs, _lexicon(spark, folder, bits))
+        size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        bits = min(18, max(3, (size // shard_bytes).bit_length()))
+        tokens, words, hot, own = _count_words(rows, folder, bits)
+        pairs, paired = _count_pairs(rows, folder, bits, hot)
+        single, listed = _lexicon(spark, folder, bits, own)
+        return KneserNey(folder, bits, hot, tokens, words, pairs, single, {"pairs": paired, "lexicon": listed})
 
     def _lookup(self, kind: str, shard: np.ndarray, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         out = [np.zeros(len(keys), np.int64) for _ in names]
         skip = self.bits if kind == "lexicon" else 0
         for k, own in _by_shard(shard):
-            if (p := _pack(f"{self.folder}/{kind}/{k}.pack")) is None:
+            if not self.written[kind][k]:
                 continue
+            p = _pack(f"{self.folder}/{kind}/{k}.pack")
             at = find(p["keys"], p["buckets"], skip, keys[own])
             have = at >= 0
             for o, name in zip(out, names):
@@ -213,7 +215,14 @@ def _shard_of(v: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.nd
     return (key >> U64(64 - bits)).astype(np.int64)
 
 
-def _count_words(rows: DataFrame, folder: str, bits: int) -> tuple[int, int, np.ndarray]:
+def _written(shards: DataFrame, bits: int) -> np.ndarray:
+    """Which shards there are, from a column of their numbers."""
+    out = np.zeros(1 << bits, bool)
+    out[shards.distinct().toArrow().column(0).to_numpy()] = True  # 2**18 numbers at most
+    return out
+
+
+def _count_words(rows: DataFrame, folder: str, bits: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = (pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["t", "text"]) for b in batches)
         for t in cut_rows(numbered, COUNT_BYTES):
@@ -230,19 +239,19 @@ def _count_words(rows: DataFrame, folder: str, bits: int) -> tuple[int, int, np.
         words, counts = _sum_by(_all(t, "words"), _all(t, "counts", True))
         store.put_pack(f"{folder}/words/{shard}.pack", keys=words, counts=counts)
         top = np.argsort(counts)[::-1][:most]
-        return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(words)], pa.int64()), "top": pa.array([words[top].view(np.int64)], pa.list_(pa.int64())), "top_n": pa.array([counts[top].astype(np.int64)], pa.list_(pa.int64()))})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(words)], pa.int64()), "top": pa.array([words[top].view(np.int64)], pa.list_(pa.int64())), "top_n": pa.array([counts[top].astype(np.int64)], pa.list_(pa.int64()))})
 
-    got = rows.mapInArrow(count, "shard long, words binary, counts binary").groupBy("shard").applyInArrow(merge, "n long, v long, top array<long>, top_n array<long>")
+    got = rows.mapInArrow(count, "shard long, words binary, counts binary").groupBy("shard").applyInArrow(merge, "shard long, n long, v long, top array<long>, top_n array<long>")
     got.write.parquet(f"{folder}/words-list")
     got = rows.sparkSession.read.schema(got.schema).parquet(f"{folder}/words-list")
     sums = got.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(sums.n or 0), int(sums.v or 0)
     each = got.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).where(F.col("x.top_n") * (8 << bits) > n).select("x.top")
     hot = np.asarray([r.top for r in each.collect()], np.int64).astype(np.int64).view(U64)  # under 8 S words
-    return n, v, np.unique(np.append(hot, START))
+    return n, v, np.unique(np.append(hot, START)), _written(got.select("shard"), bits)
 
 
-def _count_pairs(rows: DataFrame, folder: str, bits: int, hot: np.ndarray) -> list[float]:
+def _count_pairs(rows: DataFrame, folder: str, bits: int, hot: np.ndarray) -> tuple[list[float], np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = (pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["t", "text"]) for b in batches)
         for t in cut_rows(numbered, COUNT_BYTES):
@@ -285,22 +294,23 @@ def _count_pairs(rows: DataFrame, folder: str, bits: int, hot: np.ndarray) -> li
                     out[name][-1] = x[a:b].tobytes() if name in "vw" else _small(x[a:b])
         n = [int((c == k).sum()) for k in (1, 2, 3, 4)]
         sums = pa.array([n] + [None] * (len(out["shard"]) - 1), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(out["shard"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in list(out)[1:]), sums], names=[*out, "sums"])
+        made = pa.array(np.full(len(sums), shard), pa.int64())
+        return pa.Table.from_arrays([pa.array(out["shard"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in list(out)[1:]), sums, made], names=[*out, "sums", "made"])
 
-    schema = "shard long, v binary, total binary, n1 binary, n2 binary, n3 binary, w binary, kinds binary, sums array<long>"
+    schema = "shard long, v binary, total binary, n1 binary, n2 binary, n3 binary, w binary, kinds binary, sums array<long>, made long"
     got = rows.mapInArrow(count, "shard long, v binary, n binary, w binary, c binary").groupBy("shard").applyInArrow(merge, schema)
     got.write.option("compression", "none").parquet(f"{folder}/stats")
     saved = rows.sparkSession.read.schema(schema).parquet(f"{folder}/stats")
     r = saved.where("sums is not null").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).first()
-    return [float(x or 0) for x in r]
+    return [float(x or 0) for x in r], _written(saved.select("made"), bits)
 
 
-def _lexicon(spark: SparkSession, folder: str, bits: int) -> list[float]:
+def _lexicon(spark: SparkSession, folder: str, bits: int, written: np.ndarray) -> tuple[list[float], np.ndarray]:
     """Merge what the pairs say of words; n1..n4 of the words' kinds of predecessors, their number, and the sum."""
 
     def merge(key, t):
         shard = key[0].as_py()
-        own = _pack(f"{folder}/words/{shard}.pack") or {"keys": np.zeros(0, U64), "counts": np.zeros(0, np.int64)}
+        own = store.mapped_pack(f"{folder}/words/{shard}.pack") if written[shard] else {"keys": np.zeros(0, U64), "counts": np.zeros(0, np.int64)}
         contexts = _sum_by(_all(t, "v"), *(_all(t, k, True) for k in ("total", "n1", "n2", "n3")))
         words, kinds = _sum_by(_all(t, "w"), _all(t, "kinds", True))
         keys = np.unique(np.concatenate([own["keys"], contexts[0], words]))
@@ -311,12 +321,14 @@ def _lexicon(spark: SparkSession, folder: str, bits: int) -> list[float]:
             out[name][np.searchsorted(keys, at)] = values
         store.put_pack(f"{folder}/lexicon/{shard}.pack", keys=keys, buckets=_buckets(keys, bits), **out)
         k = out["kinds"]
-        return pa.table({"x": pa.array([[*(float((k == j).sum()) for j in (1, 2, 3, 4)), float((k > 0).sum()), float(k.sum())]], pa.list_(pa.float64()))})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "x": pa.array([[*(float((k == j).sum()) for j in (1, 2, 3, 4)), float((k > 0).sum()), float(k.sum())]], pa.list_(pa.float64()))})
 
-    stats = spark.read.parquet(f"{folder}/stats").drop("sums").where("shard is not null")
-    got = stats.groupBy("shard").applyInArrow(merge, "x array<double>")
+    stats = spark.read.parquet(f"{folder}/stats").drop("sums", "made").where("shard is not null")
+    got = stats.groupBy("shard").applyInArrow(merge, "shard long, x array<double>")
+    got.write.parquet(f"{folder}/lexicon-list")
+    got = spark.read.schema(got.schema).parquet(f"{folder}/lexicon-list")
     r = got.agg(*[F.sum(F.col("x")[k]) for k in range(6)]).first()
-    return [float(x or 0) for x in r]
+    return [float(x or 0) for x in r], _written(got.select("shard"), bits)
 
 
 def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:

@@ -1,12 +1,16 @@
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lodequery.llm import kneser_ney as K
+from lodequery.llm import store
+
 
 def corpus():
     r = random.Random(8)
@@ -76,9 +80,26 @@ def test_scores_against_brute_force(spark, monkeypatch, small):
     assert only_held and all(r.held_out and r.score == r.base_score == 0 for r in only_held)
 
 
-def test_many_counts_and_bucketed_search(spark):
-    import numpy as np
+def test_a_missing_shard_is_an_error(spark):
+    d = spark.createDataFrame([(k, f"some words {k} and more") for k in range(40)], "doc_id long, text string")
+    for kind in ("pairs", "lexicon"):
+        model = K.KneserNey.fit(d)
+        assert model.written[kind].sum() > 3 and model.score(d, ["doc_id"]).count() == 40
+        shard = int(np.flatnonzero(model.written[kind])[1])
+        os.remove(store._resolve(f"{model.folder}/{kind}/{shard}.pack")[1])
+        with pytest.raises(Exception, match=f"{shard}.pack"):
+            model.score(d, ["doc_id"]).collect()
+
 
+def test_shards_follow_the_corpus(spark):
+    d = spark.createDataFrame([(k, f"some words {k} and more") for k in range(400)], "doc_id long, text string")
+    few, many = K.KneserNey.fit(d), K.KneserNey.fit(d, shard_bytes=20)
+    assert few.bits == 3 and many.bits == 9
+    rows = [sorted((r.doc_id, round(r.score, 9)) for r in m.score(d, ["doc_id"]).collect()) for m in (few, many)]
+    assert rows[0] == rows[1]
+
+
+def test_many_counts_and_bucketed_search(spark):
     r = np.random.default_rng(2)
     for n in (0, 1, 5, 1000):
         keys = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
