@@ -58,12 +58,14 @@ def build_tree(x: np.ndarray, ids: np.ndarray, leaf: int) -> dict[str, np.ndarra
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Whole inner products; exact where they fit 63 bits, else held at the limits."""
+    """Whole inner products, exact; those that 63 bits can't hold are refused with an OverflowError."""
     most = (np.abs(q).max(initial=0) + 1) * (np.abs(x).max(initial=0) + 1) * max(1, q.shape[1])
     if most < 2**53:
         return (q @ x.T).astype(np.int64)
     exact = np.array([[int(v) for v in r] for r in q], object) @ np.array([[int(v) for v in r] for r in x], object).T
-    return np.clip(exact, LOWEST + 1, np.iinfo(np.int64).max).astype(np.int64)
+    if exact.size and not LOWEST < exact.min() <= exact.max() <= np.iinfo(np.int64).max:
+        raise OverflowError("an inner product beyond 63 bits; choose a smaller scale")
+    return exact.astype(np.int64)
 
 
 class _Best:
@@ -136,7 +138,7 @@ def search_tree(tree: dict[str, np.ndarray], q: np.ndarray, q_ids: np.ndarray, f
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col("v")
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite)
+    return store.whole_ids(df, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite)
 
 
 def _packs(df: DataFrame, folder: str, name: str, most: int, scale: float, leaf: int | None) -> DataFrame:
@@ -181,7 +183,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float =
     Rows with a null id, a null vector, or a null or non-finite component take no part.  Only vectors of
     the query's dimension are candidates, and rows with the query's own id are not.  Ties go to the
     smaller id; repeated vector rows are candidates each, repeated query rows are answered each.  Extra
-    columns don't matter; with an empty table the result is empty.
+    columns don't matter; with an empty table the result is empty.  Ids must be whole numbers; an inner
+    product beyond 63 bits is an error.
     """
     spark = vectors.sparkSession
     folder = store.new_folder(spark, "balltree")

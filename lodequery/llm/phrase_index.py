@@ -136,7 +136,7 @@ def segment_arrays(ids: pa.Array, texts: pa.Array) -> dict[str, np.ndarray]:
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 1 << 24, folder: str | None = None) -> str:
     """Index every document; returns the index's folder, with its list of segments in segments/.
 
-    Null texts have no words and null ids stay null; an empty table has no segments.
+    Null texts have no words and null ids stay null; ids must be whole numbers; an empty table has no segments.
     """
     spark = docs.sparkSession
     folder = folder or store.new_folder(spark, "phrases")
@@ -150,7 +150,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_pydict({"path": [path], "n_docs": pa.array([len(ids)], pa.int64())})
         store.release_memory()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = store.whole_ids(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows.mapInArrow(write, "path string, n_docs long").write.parquet(f"{folder}/segments")  # only what successful tasks wrote is listed
     return folder
 
@@ -254,7 +254,12 @@ def hits(spark: SparkSession, index: str, blocks: list[str], *, window: int = 10
 
 
 def near_matches(spark: SparkSession, index: str, blocks: list[str], *, width: int, id_col: str = "doc_id") -> DataFrame:
-    """Where all words of an item lie, in any order, within width words of one document: id, item_id, first, last (word numbers in the document)."""
+    """Where all words of an item lie, in any order, within width words of one document: id, item_id, first, last (word numbers in the document).
+
+    A row for each span of at most width words that starts with one of the item's words and ends with the last
+    of them to come; spans may overlap.  Equal words of an item count once.  Items and documents without words
+    match nothing; null ids stay null; repeated rows match each; without items or documents there are no rows.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,12 +10,17 @@ the key it can be undone (``undo=True``).
 * card: 13 to 19 digits with a valid Luhn digit, also in groups; all digits but the
   last are permuted and the check digit is set anew.
 * phone: after the country code of an international number, or of the national
-  form (123) 456-7890, every digit is permuted; signs and spaces stay.
+  form (123) 456-7890, every digit is permuted; signs and spaces stay.  Phone
+  numbers have no check digit: their form is all there is to validate.  A country
+  code with no sign or space after it can't be told from what follows and is
+  permuted with it.
 * ssn: ddd-dd-dddd that can be issued; digits permuted.
 * ip: dotted quads; the 32-bit number is permuted.
 * email: letters and digits of the local part, each within its kind; the domain stays.
 * date: yyyy-mm-dd, dd.mm.yyyy and mm/dd/yyyy from 1900 to 2099 that are in the
-  calendar; the day's number among those 73,049 is permuted.
+  calendar; the day's number among those 73,049 is permuted.  With slashes the month
+  comes first: dd/mm/yyyy with a day over 12 is found but stays, as there is no way
+  to permute both orders apart from each other and undo it.
 
 Texts without digit or @ pass unchanged without a look at the patterns.
 """

@@ -37,9 +37,24 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared root."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the shared root; results are read from it, so it stays until clear_folders() or this process ends."""
+    if not _made:
+        atexit.register(clear_folders)
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def clear_folders() -> None:
+    """Remove every folder of new_folder(); frames that read from them can't be used afterwards."""
+    while _made:
+        try:
+            remove(_made.pop())
+        except OSError:  # a store that is gone with its session
+            pass
 
 
 def _resolve(uri: str) -> tuple[pafs.FileSystem, str]:

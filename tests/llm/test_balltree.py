@@ -34,7 +34,16 @@ def test_top_k_against_brute_force(spark, seed):
     assert B.top_k(d.limit(0), d).collect() == [] and B.top_k(d, d.limit(0)).collect() == []
 
 
-def test_large_numbers_stay_exact():
-    q, x = np.array([[2.0**40 + 1, 3.0]]), np.array([[2.0**20 + 1, 5.0], [2.0**60, 1.0]])
+def test_large_numbers_stay_exact_or_are_refused():
+    q, x = np.array([[2.0**40 + 1, 3.0]]), np.array([[2.0**20 + 1, 5.0], [2.0**22, -(2.0**30)]])
     s = B._scores(q, x)
-    assert s[0, 0] == (2**40 + 1) * (2**20 + 1) + 15 and s[0, 1] == np.iinfo(np.int64).max
+    assert s.tolist() == [[(2**40 + 1) * (2**20 + 1) + 15, (2**40 + 1) * 2**22 - 3 * 2**30]]
+    for huge in (2.0**60, -(2.0**60)):
+        with pytest.raises(OverflowError):
+            B._scores(q, np.array([[huge, 1.0]]))
+
+
+def test_ids_must_be_numbers(spark):
+    d = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
+    with pytest.raises(TypeError):
+        B.top_k(d, d)

@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 import re
 
 import pytest
@@ -84,3 +85,108 @@ def test_number_permutation_is_one_to_one(spark):
 
     n = spark.range(0, 7 * 11).select(P.feistel_number(F.col("id"), 7, 11, "k", "x", 8, False).alias("y")).collect()
     assert sorted(r.y for r in n) == list(range(77))
+
+
+# Every kind again in plain Python, over whole documents.
+
+
+def feistel_number(value, high, low, kind, key, rounds=8):
+    left, right = divmod(value, low)
+    by = lambda k, other: int(hashlib.sha256(f"{key}|{kind}|{k}|{other}".encode()).hexdigest()[:12], 16)
+    for k in range(rounds):
+        if k % 2:
+            left = (left + by(k, right)) % high
+        else:
+            right = (right + by(k, left)) % low
+    return left * low + right
+
+
+def plain_card(m, key):
+    digits = re.sub(r"\D", "", m)
+    if not luhn(digits):
+        return None
+    body = feistel(digits[:-1], "card", key)
+    new = iter(body + next(c for c in "0123456789" if luhn(body + c)))
+    return "".join(next(new) if c.isdigit() else c for c in m)
+
+
+def plain_phone(m, key):
+    head = re.match(r"(\+[0-9]{1,3}[ .(-]+)?", m)[0]
+    return head + feistel(m[len(head) :], "phone", key)
+
+
+def plain_ssn(m, key):
+    area, group, serial = map(int, m.split("-"))
+    if area in (0, 666) or area >= 900 or not group or not serial:
+        return None
+    areas = [a for a in range(1, 900) if a != 666]
+    n = feistel_number((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "ssn", key)
+    return f"{areas[n // 9999 // 99]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
+
+
+def plain_ip(m, key):
+    parts = m.split(".")
+    if any(int(p) > 255 or str(int(p)) != p for p in parts):
+        return None
+    n = feistel_number(int.from_bytes(map(int, parts), "big"), 1 << 16, 1 << 16, "ip", key)
+    return ".".join(map(str, n.to_bytes(4, "big")))
+
+
+def plain_email(m, key):
+    local, domain = m.split("@", 1)
+    return f"{feistel(local, 'email', key)}@{domain}"
+
+
+def plain_date(m, key):
+    shape = "%Y-%m-%d" if m[4] == "-" else "%d.%m.%Y" if m[2] == "." else "%m/%d/%Y"
+    first = datetime.date(1900, 1, 1)
+    try:
+        day = (datetime.datetime.strptime(m, shape).date() - first).days
+    except ValueError:
+        return None
+    if not 0 <= day < 73_049:
+        return None
+    return (first + datetime.timedelta(feistel_number(day, 229, 319, "date", key))).strftime(shape)
+
+
+PLAIN = {"email": plain_email, "ip": plain_ip, "date": plain_date, "ssn": plain_ssn, "phone": plain_phone, "card": plain_card}
+
+
+def plain(text, key):
+    counts = dict.fromkeys([*PLAIN, "found"], 0)
+
+    def new(match):
+        m = match[0]
+        kind = next(k for k, p in P.PATTERNS.items() if re.fullmatch(p, m))
+        counts["found"] += 1
+        made = PLAIN[kind](m, key)
+        counts[kind] += made is not None
+        return m if made is None else made
+
+    return text and re.sub(P.ANY, new, text), counts
+
+
+def test_every_kind_against_plain_python(spark):
+    r = random.Random(6)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = [d.text for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + TEXTS
+    for _ in range(60):
+        card = digits(r.randrange(12, 19))
+        card += next(c for c in "0123456789" if luhn(card + c)) if r.random() < 0.8 else "0"
+        day = datetime.date(1890, 1, 1) + datetime.timedelta(r.randrange(80_000))
+        values = [
+            card, "-".join([card[:4], card[4:8], card[8:12], card[12:]]) if len(card) > 12 else card, f"{digits(3)}-{digits(2)}-{digits(4)}", ".".join(str(r.randrange(300)) for _ in range(4)), f"a{digits(2)}.B@x{digits(1)}.org",
+            day.isoformat(), day.strftime("%d.%m.%Y"), day.strftime("%m/%d/%Y"), day.strftime("%d/%m/%Y"), f"+{r.randrange(1, 400)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+4420{digits(8)}",
+        ]
+        r.shuffle(values)
+        texts.append(r.choice([", ", "; x ", "\n"]).join(values))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen = dict.fromkeys(PLAIN, 0)
+    for row in P.pseudonymise(d, "secret").collect():
+        want, counts = plain(texts[row.doc_id], "secret")
+        assert row.text == want
+        assert row.n_found == counts["found"] and row.n_replaced == sum(counts[k] for k in PLAIN)
+        for k in PLAIN:
+            assert row[f"n_{k}"] == counts[k]
+            seen[k] += counts[k]
+    assert min(seen.values()) > 20
