@@ -249,5 +249,5 @@ def plane_output(docs: DataFrame, tokenizer_path: str, *, folder: str | None = N
     Null ids and texts, repeated rows, clashing extra columns and empty tables: see write_planes().
     """
     spark = docs.sparkSession
-    folder = folder or store.new_folder(spark, "planes")
+    folder = folder or store.new_folder(spark, "planes", keep=True)  # the files are what is wanted
     return read_planes(spark, write_planes(docs, folder, tokenizer_path, **options), id_col=options.get("id_col", "doc_id"))

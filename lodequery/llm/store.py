@@ -40,12 +40,14 @@ def shared_root(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared root; results are read from it, so it stays until clear_folders() or this process ends."""
-    if not _made:
-        atexit.register(clear_folders)
-    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
-    return _made[-1]
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh folder below the shared root; results are read from it, so it stays until clear_folders() or this process ends, and longer with keep."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not keep:
+        if not _made:
+            atexit.register(clear_folders)
+        _made.append(folder)
+    return folder
 
 
 def clear_folders() -> None:
