@@ -101,9 +101,24 @@ class GridSearch:
     def _measured(self, cells: DataFrame) -> DataFrame:
         return cells.select("q", "at", "cell", "lb").join(self.points, "cell").withColumn("dist", self.grid.distance(F.col("at"), F.col("point")))
 
+    def _touched(self, queries: DataFrame, max_dist: float) -> DataFrame:
+        """(q, at, cell, lb): every query with each cell of the grid that is nearer than max_dist."""
+        q, g = checked(queries.select("q", "point"), self.grid, "query").withColumnRenamed("point", "at"), self.grid
+        for i, (a, b, n) in enumerate(zip(g.low, g.high, g.divisions)):
+            edge = lambda side, i=i, a=a, b=b, n=n: F.least(F.greatest(F.floor(n * (F.get("at", F.lit(i)) + side * max_dist - a) / (b - a)), F.lit(0)), F.lit(n - 1)).cast("int")
+            q = q.withColumn(f"_c{i}", F.explode(F.sequence(edge(-1), edge(1))))
+        q = q.select("q", "at", F.array(*[F.col(f"_c{i}") for i in range(g.d)]).alias("cell"))
+        return q.withColumn("lb", g.least_distance(F.col("at"), F.col("cell"))).where(F.col("lb") < max_dist)
+
     def within(self, queries: DataFrame, max_dist: float) -> DataFrame:
-        """(q, doc, point, dist) nearer than max_dist, strictly; none if that is negative."""
-        return self._measured(self._cells(queries).where(F.col("lb") < max_dist)).where(F.col("dist") < max_dist).select("q", "doc", "point", "dist")
+        """(q, doc, point, dist) nearer than max_dist, strictly; none if that is negative.
+
+        A query is joined with the cells that its ball touches and no others; only a ball wider than the grid meets
+        every occupied cell.
+        """
+        wide = max_dist >= max(b - a for a, b in zip(self.grid.low, self.grid.high))
+        cells = self._cells(queries).where(F.col("lb") < max_dist) if wide else self._touched(queries, max(max_dist, 0.0))
+        return self._measured(cells).where(F.col("dist") < max_dist).select("q", "doc", "point", "dist")
 
     def nearest(self, queries: DataFrame, k: int, max_dist: float = float("inf")) -> DataFrame:
         """(q, rank, doc, point, dist): the k nearest, ties by id.

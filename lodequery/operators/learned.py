@@ -61,10 +61,13 @@ class LearnedSearch:
     def search(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
         return self.structure.search(self._queries(queries), limit)
 
+    def candidates(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
+        """(q, step, doc): each document at the first probe that finds it."""
+        return self.structure.candidates(self._queries(queries), limit)
+
     def deltas(self, queries: DataFrame, limit: int | None = None, yield_empty: bool = False) -> DataFrame:
         return self.structure.deltas(self._queries(queries), limit, yield_empty)
 
-
     def state(self) -> tuple[str, DataFrame]:
         """Both encoders as JSON, and the structure's index."""
         return json.dumps([self.fq.to_json(), self.fd.to_json()]), self.structure.state()
@@ -277,21 +280,24 @@ def loss_and_gradient(kind: str, zq: np.ndarray, zd: np.ndarray, r: np.ndarray,
     return float(loss), gq, gd
 
 
-def train(features: DataFrame, kind: str, nbits: int, steps: int = 200, rate: float = 1e-2, seed: int = 7, batch: int = 512, shared: bool = True, beta_ramp: tuple[float, float, float, float] = (0, 1024, -64, -8), **options) -> tuple[Encoder, Encoder, list[float]]:
+def train(features: DataFrame, kind: str, nbits: int, steps: int = 200, rate: float = 1e-2, seed: int = 7, batch: int = 512, most: int = 50_000, shared: bool = True, beta_ramp: tuple[float, float, float, float] = (0, 1024, -64, -8), **options) -> tuple[Encoder, Encoder, list[float]]:
     """Encoders fitted to features(id, x, label), pairs matching on equal labels; and the loss of every step.
 
-    A training batch is at most ``batch`` rows, those with the smallest hash of their id, read once: a
-    bounded, documented sample.  Without shared, queries and documents get an encoder each.
+    Every step has a batch of its own: the next ``batch`` rows in the order of a hash of the id, of at most ``most``
+    rows that are read for all steps together (a bounded, documented sample); after the last of them it begins again.
+    Without shared, queries and documents get an encoder each.
     """
-    rows = features.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(batch).select("x", "label").collect()
-    x = np.asarray([r.x for r in rows], float)
-    label = np.asarray([r.label for r in rows])
-    r = (label[:, None] == label[None]).astype(float)
+    rows = features.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(most, steps * batch)).select("x", "label").collect()
+    every = np.asarray([r.x for r in rows], float)
+    labels = np.unique([r.label for r in rows], return_inverse=True)[1]
     rng = np.random.default_rng(seed)
-    new = lambda: [rng.normal(size=(nbits, x.shape[1])) / np.sqrt(x.shape[1]), rng.normal(size=nbits) * 0.01]
+    new = lambda: [rng.normal(size=(nbits, every.shape[1])) / np.sqrt(every.shape[1]), rng.normal(size=nbits) * 0.01]
     params = new() if shared else new() + new()
     adam, losses = Adam(rate), []
     for t in range(steps):
+        own = np.arange(t * batch, (t + 1) * batch) % len(every) if len(every) > batch else np.arange(len(every))
+        x, label = every[own], labels[own]
+        r = (label[:, None] == label[None]).astype(float)
         o = dict(options)
         if kind == "fbeta":
             x0, x1, y0, y1 = beta_ramp

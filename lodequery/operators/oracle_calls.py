@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def found_at(candidates: DataFrame, relevant: DataFrame, recall_break: float = 1.0) -> DataFrame:
-    """(q, n_rel, j, calls): calls made when the j-th distinct relevant document comes.
+def found_at(candidates: DataFrame, relevant: DataFrame, recall_break: float = 1.0, seconds: str | None = None) -> DataFrame:
+    """(q, n_rel, j, calls): calls made when the j-th distinct relevant document comes; with a column of seconds also those spent by then.
 
     Candidates are (q, step, doc), by step and then doc; repeats cost a call but find nothing new.
-    An error for a query whose candidates hold too few relevant documents.
+    An error for a query whose candidates hold too few relevant documents.  Calls are counted per step, and
+    ranks taken inside a step only, so no task sorts all of a query's candidates.
     """
+    spent = F.col(seconds) if seconds else F.lit(0.0)
     rel = relevant.select("q", "doc").distinct()
     sizes = rel.groupBy("q").agg(F.count("*").alias("n_rel"))
-    stream = candidates.withColumn("calls", F.row_number().over(Window.partitionBy("q").orderBy("step", "doc")))
-    hits = stream.join(rel, ["q", "doc"]).groupBy("q", "doc").agg(F.min("calls").alias("calls"))
+    stream = candidates.select("q", "step", "doc", spent.cast("double").alias("_s"))
+    steps = stream.groupBy("q", "step").agg(F.count("*").alias("_n"), F.sum("_s").alias("_t"))
+    upto = Window.partitionBy("q").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("q", "step", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.coalesce(F.sum("_t").over(upto), F.lit(0.0)).alias("_gone"))
+    inside = Window.partitionBy("q", "step").orderBy("doc").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = stream.withColumn("_rank", F.count("*").over(inside)).withColumn("_spent", F.sum("_s").over(inside))
+    hits = ranked.join(rel, ["q", "doc"]).join(steps, ["q", "step"]).select("q", "doc", F.struct((F.col("_before") + F.col("_rank")).alias("calls"), (F.col("_gone") + F.col("_spent")).alias("seconds")).alias("at"))
+    hits = hits.groupBy("q", "doc").agg(F.min("at").alias("at")).select("q", "doc", "at.*")
     hits = hits.withColumn("j", F.row_number().over(Window.partitionBy("q").orderBy("calls")))
     need = F.ceil(F.lit(float(recall_break)) * F.col("n_rel").cast("double"))
-    got = sizes.join(hits.groupBy("q").agg(F.max("j").alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < need)
-    flag = got.agg((F.count("*") > 0).alias("short"))
-    out = sizes.join(hits, "q").where(F.col("j") <= need).crossJoin(F.broadcast(flag))  # one row
-    j = F.when(F.col("short"), F.raise_error(F.lit("candidates end before the recall is reached")).cast("int")).otherwise(F.col("j"))
-    return out.select("q", "n_rel", j.cast("long").alias("j"), F.col("calls").cast("long").alias("calls"))
+    out = sizes.join(hits, "q", "left").withColumn("_found", F.max(F.coalesce("j", F.lit(0))).over(Window.partitionBy("q")))
+    j = F.when(F.col("_found") < need, F.raise_error(F.lit("candidates end before the recall is reached")).cast("int")).otherwise(F.col("j"))
+    out = out.withColumn("j", j).where(F.col("j") <= need)
+    return out.select("q", "n_rel", F.col("j").cast("long").alias("j"), F.col("calls").cast("long").alias("calls"), *(["seconds"] if seconds else []))
 
 
 def mean_by_size(found: DataFrame, value: str = "calls") -> DataFrame:
@@ -53,14 +60,20 @@ def random_baseline(shares: DataFrame, n: int, recalls: list[float]) -> DataFram
     return _recalls(shares, recalls).groupBy("recall").agg(F.sum(F.col("p") * (n + 1.0) / (F.col("n_rel") + 1.0) * F.col("j")).alias("expected"))
 
 
-def calls_experiment(candidates: DataFrame, relevant: DataFrame, n: int, recalls: list[float]) -> DataFrame:
-    """(recall, calls, baseline): expected calls of the candidates and of random order."""
+def calls_experiment(candidates: DataFrame, relevant: DataFrame, n: int, recalls: list[float], seconds: str | None = None) -> DataFrame:
+    """(recall, calls, baseline): expected calls of the candidates and of random order; with a column of seconds also the expected ``seconds``."""
     shares = size_shares(relevant)
-    calls = expected_by_recall(shares, mean_by_size(found_at(candidates, relevant, max(recalls))), recalls)
-    return calls.withColumnRenamed("expected", "calls").join(random_baseline(shares, n, recalls).withColumnRenamed("expected", "baseline"), "recall")
+    found = found_at(candidates, relevant, max(recalls), seconds)
+    names = ["calls", *(["seconds"] if seconds else [])]
+    means = found.groupBy("n_rel", "j").agg(*[F.avg(c).alias(f"_{c}") for c in names])
+    at = _recalls(shares, recalls).join(means, ["n_rel", "j"], "left")
+    share = lambda x: F.sum(F.col("p") * x)
+    random = share((n + 1.0) / (F.col("n_rel") + 1.0) * F.col("j")).alias("baseline")
+    return at.groupBy("recall").agg(share(F.when(F.col("j") == 0, 0.0).otherwise(F.col("_calls"))).alias("calls"), random, *[share(F.when(F.col("j") == 0, 0.0).otherwise(F.col(f"_{c}"))).alias(c) for c in names[1:]])
 
 
-def time_per_saved_call(experiment: DataFrame, seconds: DataFrame) -> DataFrame:
-    """(recall, tocr): seconds(recall, expected) per call saved; infinite where none is."""
+def time_per_saved_call(experiment: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
+    """(recall, tocr): expected seconds per call saved, infinite where none is; seconds(recall, expected), or the experiment's own column."""
     saved = F.col("baseline") - F.col("calls")
-    return experiment.join(seconds, "recall").select("recall", F.when(saved > 0, F.col("expected") / saved).otherwise(F.lit(float("inf"))).alias("tocr"))
+    both = experiment.withColumn("expected", F.col("seconds")) if seconds is None else experiment.join(seconds, "recall")
+    return both.select("recall", F.when(saved > 0, F.col("expected") / saved).otherwise(F.lit(float("inf"))).alias("tocr"))

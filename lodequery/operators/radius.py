@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import hamming
-from ..plans.planner import ball_size, radius_by_probing
+from ..plans.planner import SMALL, ball_size, radius_by_probing
 from .search import SearchStructure
 
 
@@ -39,7 +39,8 @@ class RadiusSearch(SearchStructure):
 
     def probes(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
         steps = self.spark.createDataFrame([(r * self.ntables + t, t, m) for r, m in enumerate(self.masks) for t in range(self.ntables) if limit is None or r < limit], "step long, table_no int, mask long")
-        return queries.select("q", F.col("code").alias("own")).crossJoin(F.broadcast(steps)).select("q", "step", "table_no", F.col("own").bitwiseXOR(F.col("mask")).alias("code"))
+        steps = F.broadcast(steps) if len(self.masks) * self.ntables <= SMALL else steps  # beyond, partitions are paired block by block
+        return queries.select("q", F.col("code").alias("own")).crossJoin(steps).select("q", "step", "table_no", F.col("own").bitwiseXOR(F.col("mask")).alias("code"))
 
 
 def within_radius(queries: DataFrame, docs: DataFrame, nbits: int, radius: int, n_docs: int | None = None) -> DataFrame:

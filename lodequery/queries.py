@@ -49,16 +49,6 @@ def head(n: int, scale: float = 1.0, start: int = 0) -> Column:
     return F.array(*[F.get(F.col("e"), F.lit(start + i)) * scale for i in range(n)])
 
 
-def whole(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query whose registered form reads a part, for the query NAME_whole: each of cuts is (part, whole)."""
-    sql = ORACLE[name]
-    for part, rest in cuts:
-        if part not in sql:
-            raise ValueError(f"{name}: {part!r} isn't in its SQL")
-        sql = sql.replace(part, rest)
-    return sql
-
-
 # Hamming distances and precision/recall.
 
 _D64 = "list_sum(list_transform(range(1, 65), lambda i: ((a.embedding[i] > 0) <> (b.embedding[i] > 0))::INT))::INT"
@@ -109,16 +99,8 @@ def hamming_pr_valid(spark, sf_dir):
 
 
 @query("""SELECT a.vec_id AS q, b.vec_id AS d, round((64 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2, 6) AS dist
-FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND b.vec_id % 7 = 0""")
+FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0""")
 def soft_hamming(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("a"))
-    d = v.where("vec_id % 7 = 0").select(F.col("vec_id").alias("d"), F.col("e").alias("b"))
-    return hamming.all_pairs(q, d).select("q", "d", r6(bits.soft_hamming(F.col("a"), F.col("b"))).alias("dist"))
-
-
-@query(whole("soft_hamming", (" AND b.vec_id % 7 = 0", "")))
-def soft_hamming_whole(spark, sf_dir):
     v = vectors(spark, sf_dir)
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("a"))
     d = v.select(F.col("vec_id").alias("d"), F.col("e").alias("b"))
@@ -149,6 +131,15 @@ def radius_search(spark, sf_dir):
     return s.search(q).select("q", F.explode("docs").alias("doc"))
 
 
+@query(ORACLE["radius_search"])
+def radius_reset(spark, sf_dir):
+    """What was inserted before a reset isn't found."""
+    s, q = _radius(spark, sf_dir)
+    docs = coded(spark, sf_dir, 16)
+    s.insert(docs.select((F.col("vec_id") + 10_000_000).alias("doc"), "code"))
+    return s.reset().insert(docs.select(F.col("vec_id").alias("doc"), "code")).search(q).select("q", F.explode("docs").alias("doc"))
+
+
 @query(f"{_CODES} SELECT a.vec_id AS q, b.vec_id AS doc, bit_count(xor(a.code, b.code))::INT AS dist FROM v AS a, v AS b WHERE a.vec_id % 10 = 0 AND bit_count(xor(a.code, b.code)) <= 2")
 def radius_planned(spark, sf_dir):
     v = coded(spark, sf_dir, 16)
@@ -185,30 +176,19 @@ def _ranked(n: int, scale: float, where: str = "true") -> str:
     return f"""s AS ({inner}), k AS (SELECT s.vec_id, label, row_number() OVER (PARTITION BY s.vec_id ORDER BY cost, mask) - 1 AS rank, cost, mask, xor({mode}, mask) AS code FROM s JOIN embeddings AS e ON e.vec_id = s.vec_id)"""
 
 
-@query(f"WITH {_ranked(8, 1.0, 'vec_id % 5 = 0')} SELECT vec_id, rank::INT AS rank, round(cost, 6) AS cost, mask::BIGINT AS mask FROM k WHERE rank < 12")
+@query(f"WITH {_ranked(8, 1.0)} SELECT vec_id, rank::INT AS rank, round(cost, 6) AS cost, mask::BIGINT AS mask FROM k WHERE rank < 12")
 def kbest_subsets(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("vec_id % 5 = 0")
+    v = vectors(spark, sf_dir)
     best = kbest.cheapest_subsets(F.transform(head(8), F.abs), 8, 12)
     return v.select("vec_id", F.posexplode(best).alias("rank", "x")).select("vec_id", "rank", r6(F.col("x.cost")).alias("cost"), "x.mask")
 
 
-@query(f"WITH {_ranked(8, 10.0, 'vec_id % 5 = 0')} SELECT vec_id, rank::INT AS rank, code FROM k WHERE rank < 12")
+@query(f"WITH {_ranked(8, 10.0)} SELECT vec_id, rank::INT AS rank, code FROM k WHERE rank < 12")
 def kbest_outcomes(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("vec_id % 5 = 0")
+    v = vectors(spark, sf_dir)
     return v.select("vec_id", F.posexplode(kbest.likeliest_outcomes(head(8, 10.0), 8, 12)).alias("rank", "x")).select("vec_id", "rank", "x.code")
 
 
-@query(whole("kbest_subsets", ("vec_id % 5 = 0", "true")))
-def kbest_subsets_whole(spark, sf_dir):
-    best = kbest.cheapest_subsets(F.transform(head(8), F.abs), 8, 12)
-    return vectors(spark, sf_dir).select("vec_id", F.posexplode(best).alias("rank", "x")).select("vec_id", "rank", r6(F.col("x.cost")).alias("cost"), "x.mask")
-
-
-@query(whole("kbest_outcomes", ("vec_id % 5 = 0", "true")))
-def kbest_outcomes_whole(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.posexplode(kbest.likeliest_outcomes(head(8, 10.0), 8, 12)).alias("rank", "x")).select("vec_id", "rank", "x.code")
-
-
 def _multiprobe(spark, sf_dir, lookups=4) -> tuple[MultiProbe, DataFrame]:
     v = vectors(spark, sf_dir).select("vec_id", head(10).alias("logits"))
     return MultiProbe(spark, 10, 3, lookups).insert(v.select(F.col("vec_id").alias("doc"), "logits")), v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "logits")
@@ -257,10 +237,15 @@ def state_roundtrip(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{tempfile.gettempdir()}/lodequery-scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:  # this machine only, as in tests
+        root = tempfile.mkdtemp(prefix="lodequery-scratch-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -275,33 +260,33 @@ def stream_ingest(spark, sf_dir):
     return ingest.read_index(spark, f"{path}/index")
 
 
-# Distributions.
+# Distributions, of all 64 components.
 
 _SIG = "1 / (1 + exp(-embedding[{i}]::DOUBLE))"
+_P = _SIG.format(i="i")
 
 
-def _pmf_sql(n: int, prob: str, source: str, key: str) -> str:
-    """The pmf of a sum of n bits by going through all their settings; prob is in terms of i (1-based)."""
-    p = f"list_product(list_transform(range(1, {n + 1}), lambda i: CASE WHEN (s >> (i - 1)) & 1 = 1 THEN {prob} ELSE 1 - ({prob}) END))"
-    return f"SELECT {key}, bit_count(s)::INT AS j, sum({p}) AS p FROM {source}, range(0, {1 << n}) AS r(s) GROUP BY ALL"
-
-
-_P6 = _SIG.format(i="i")
+def _pmf_sql(prob: str, source: str) -> str:
+    """CTEs up to pmf(vec_id, j, p): the distribution of a sum of 64 bits, a bit at a time; prob is in terms of i (1-based)."""
+    return f"""bq AS (SELECT vec_id, list_transform(range(1, 65), lambda i: {prob}) AS q FROM {source}),
+br(vec_id, n, p) AS (SELECT vec_id, 0, [1::DOUBLE] FROM bq UNION ALL
+SELECT br.vec_id, n + 1, list_transform(range(0, n + 2), lambda j: coalesce(p[j + 1], 0) * (1 - q[n + 1]) + coalesce(p[j], 0) * q[n + 1]) FROM br JOIN bq ON bq.vec_id = br.vec_id WHERE n < 64),
+pmf AS (SELECT vec_id, j::INT AS j, p[j + 1] AS p FROM br, range(0, 65) AS r(j) WHERE n = 64)"""
 
 
-def _lp(n: int) -> tuple[Column, Column]:
+def _lp(n: int = 64) -> tuple[Column, Column]:
     z = head(n)
     return F.transform(z, lambda x: L.log_sigmoid_pair(x)[0]), F.transform(z, lambda x: L.log_sigmoid_pair(x)[1])
 
 
-@query(f"SELECT vec_id, j, round(ln(p), 6) AS lp FROM ({_pmf_sql(6, _P6, 'embeddings', 'vec_id')}) AS x")
+@query(f"WITH RECURSIVE {_pmf_sql(_P, 'embeddings')} SELECT vec_id, j, round(ln(p), 6) AS lp FROM pmf")
 def poisson_binomial(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.log_poisson_binomial(*_lp(6))).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("lp"))
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.log_poisson_binomial(*_lp())).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("lp"))
 
 
-@query(f"SELECT vec_id, j, round(p, 6) AS p FROM ({_pmf_sql(6, _P6, 'embeddings', 'vec_id')}) AS x")
+@query(f"WITH RECURSIVE {_pmf_sql(_P, 'embeddings')} SELECT vec_id, j, round(p, 6) AS p FROM pmf")
 def poisson_binomial_linear(spark, sf_dir):
-    q = F.transform(head(6), lambda x: 1 / (1 + F.exp(-x)))
+    q = F.transform(head(64), lambda x: 1 / (1 + F.exp(-x)))
     return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.poisson_binomial(q)).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("p"))
 
 
@@ -315,42 +300,16 @@ _PAIRS = "pr AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embedd
 _SX, _SY = "(1 / (1 + exp(-x[i]::DOUBLE)))", "(1 / (1 + exp(-y[i]::DOUBLE)))"
 
 
-@query(f"WITH {_PAIRS} SELECT vec_id, j, round(ln(p), 6) AS lp FROM ({_pmf_sql(5, f'{_SX} * (1 - {_SY}) + (1 - {_SX}) * {_SY}', 'pr', 'vec_id')}) AS q")
+@query(f"WITH RECURSIVE {_PAIRS}, {_pmf_sql(f'{_SX} * (1 - {_SY}) + (1 - {_SX}) * {_SY}', 'pr')} SELECT vec_id, j, round(ln(p), 6) AS lp FROM pmf")
 def hamming_binomial(spark, sf_dir):
-    h = distributions.log_hamming_binomial(F.col("x"), F.col("y"))
-    return pairs_of(spark, sf_dir, 5).select("vec_id", F.posexplode(h).alias("j", "p")).select("vec_id", "j", r6(F.col("p")).alias("lp"))
-
-
-@query("""SELECT vec_id, round(ln(n), 6) AS log_none, round(ln(1 - n), 6) AS log_some
-FROM (SELECT vec_id, list_product(list_transform(range(1, 7), lambda i: 1 - 1 / (1 + exp(-embedding[i]::DOUBLE)))) AS n FROM embeddings) AS q""")
-def log_prob_any(spark, sf_dir):
-    none, some = distributions.log_any(*_lp(6))
-    return vectors(spark, sf_dir).select("vec_id", r6(none).alias("log_none"), r6(some).alias("log_some"))
-
-
-# The same of all 64 components; going through 2**64 settings isn't possible in SQL, so the tests hold the distributions against numpy.
-
-
-@query()
-def poisson_binomial_whole(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.log_poisson_binomial(*_lp(64))).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("lp"))
-
-
-@query()
-def poisson_binomial_linear_whole(spark, sf_dir):
-    q = F.transform(head(64), lambda x: 1 / (1 + F.exp(-x)))
-    return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.poisson_binomial(q)).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("p"))
-
-
-@query()
-def hamming_binomial_whole(spark, sf_dir):
     h = distributions.log_hamming_binomial(F.col("x"), F.col("y"))
     return pairs_of(spark, sf_dir, 64).select("vec_id", F.posexplode(h).alias("j", "p")).select("vec_id", "j", r6(F.col("p")).alias("lp"))
 
 
-@query(whole("log_prob_any", ("range(1, 7)", "range(1, 65)")))
-def log_prob_any_whole(spark, sf_dir):
-    none, some = distributions.log_any(*_lp(64))
+@query("""SELECT vec_id, round(ln(n), 6) AS log_none, round(ln(1 - n), 6) + 0.0 AS log_some
+FROM (SELECT vec_id, list_product(list_transform(range(1, 65), lambda i: 1 - 1 / (1 + exp(-embedding[i]::DOUBLE)))) AS n FROM embeddings) AS q""")
+def log_prob_any(spark, sf_dir):
+    none, some = distributions.log_any(*_lp())
     return vectors(spark, sf_dir).select("vec_id", r6(none).alias("log_none"), r6(some).alias("log_some"))
 
 
@@ -386,20 +345,20 @@ def _bit_rows(df: DataFrame, pair: tuple[Column, Column]) -> DataFrame:
 def _bits_sql(yes: str, third: bool = False) -> str:
     source = "pr3 AS (SELECT pr.*, c.embedding AS z FROM pr JOIN embeddings AS c ON c.vec_id = pr.vec_id + 2)" if third else "pr3 AS (SELECT * FROM pr)"
     yes = yes.replace("X", _SX).replace("Y", _SY).replace("A", _SY.replace("y[", "z["))
-    return f"WITH {_PAIRS}, {source} SELECT vec_id, (i - 1)::INT AS i, round(ln(1 - ({yes})), 6) AS log_no, round(ln({yes}), 6) AS log_yes FROM pr3, range(1, 9) AS r(i)"
+    return f"WITH {_PAIRS}, {source} SELECT vec_id, (i - 1)::INT AS i, round(ln(1 - ({yes})), 6) AS log_no, round(ln({yes}), 6) AS log_yes FROM pr3, range(1, 65) AS r(i)"
 
 
 @query(_bits_sql("X * Y + (1 - X) * (1 - Y)"))
 def mb_equality(spark, sf_dir):
-    return _bit_rows(pairs_of(spark, sf_dir, 8), L.bits_equal(F.col("x"), F.col("y")))
+    return _bit_rows(pairs_of(spark, sf_dir, 64), L.bits_equal(F.col("x"), F.col("y")))
 
 
 @query(_bits_sql("1 - X * (1 - Y)"))
 def mb_subset(spark, sf_dir):
-    return _bit_rows(pairs_of(spark, sf_dir, 8), L.bits_subset(F.col("x"), F.col("y")))
+    return _bit_rows(pairs_of(spark, sf_dir, 64), L.bits_subset(F.col("x"), F.col("y")))
 
 
-def _triples(spark, sf_dir, n: int = 8) -> DataFrame:
+def _triples(spark, sf_dir, n: int = 64) -> DataFrame:
     third = vectors(spark, sf_dir).select((F.col("vec_id") - 2).alias("vec_id"), head(n).alias("a"))
     return pairs_of(spark, sf_dir, n).join(third, "vec_id")
 
@@ -414,29 +373,6 @@ def mb_act_subset(spark, sf_dir):
     return _bit_rows(_triples(spark, sf_dir), L.bits_subset_or(F.col("x"), F.col("y"), F.col("a")))
 
 
-_ALL_BITS = ("range(1, 9)", "range(1, 65)")
-
-
-@query(whole("mb_equality", _ALL_BITS))
-def mb_equality_whole(spark, sf_dir):
-    return _bit_rows(pairs_of(spark, sf_dir, 64), L.bits_equal(F.col("x"), F.col("y")))
-
-
-@query(whole("mb_subset", _ALL_BITS))
-def mb_subset_whole(spark, sf_dir):
-    return _bit_rows(pairs_of(spark, sf_dir, 64), L.bits_subset(F.col("x"), F.col("y")))
-
-
-@query(whole("mb_act_equality", _ALL_BITS))
-def mb_act_equality_whole(spark, sf_dir):
-    return _bit_rows(_triples(spark, sf_dir, 64), L.bits_equal_or(F.col("x"), F.col("y"), F.col("a")))
-
-
-@query(whole("mb_act_subset", _ALL_BITS))
-def mb_act_subset_whole(spark, sf_dir):
-    return _bit_rows(_triples(spark, sf_dir, 64), L.bits_subset_or(F.col("x"), F.col("y"), F.col("a")))
-
-
 @query("SELECT vec_id, round(ln(exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE)), 6) AS lse, round(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))), 6) AS lse_all, round(greatest(embedding[1], embedding[2], embedding[3])::DOUBLE, 6) AS top FROM embeddings")
 def logsumexp(spark, sf_dir):
     a, b, c = (F.get("e", F.lit(i)) for i in range(3))
@@ -502,16 +438,16 @@ def _stream(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
     return s.candidates(q, 6), rel, v.count()
 
 
-def _sswr_sql(recall: float, halts: int | None = None, dups: bool = False, count_empty: bool = False) -> str:
+def _sswr_sql(recall: float, halts: int | None = None, dups: bool = False, count_empty: bool = False, cost: str | None = None) -> str:
     s = "step + 1" if count_empty else "dense_rank() OVER (PARTITION BY q ORDER BY step)"
     stream = "st AS (SELECT k.vec_id AS q, (k.rank * 3 + idx.table_no)::BIGINT AS step, idx.doc FROM k JOIN idx ON idx.code = k.code WHERE k.vec_id % 10 = 0 AND k.rank < 6)" if dups else f"{_HITS.format(n=6)}, st AS (SELECT * FROM hits)"
     out = f"""{_MB}, {stream}, l AS (SELECT vec_id, label FROM embeddings), n AS (SELECT count(*)::DOUBLE AS n FROM l),
 d AS (SELECT q, step, doc, row_number() OVER (PARTITION BY q, doc ORDER BY step) AS nth FROM st),
-c AS (SELECT q, step, count(*) FILTER (nth = 1)::DOUBLE AS new, count(*) FILTER (nth = 1 AND a.label = b.label)::DOUBLE AS hit FROM d JOIN l AS a ON a.vec_id = q JOIN l AS b ON b.vec_id = doc GROUP BY q, step),
+c AS (SELECT q, step, {cost or 1}::DOUBLE AS cost, count(*) FILTER (nth = 1)::DOUBLE AS new, count(*) FILTER (nth = 1 AND a.label = b.label)::DOUBLE AS hit FROM d JOIN l AS a ON a.vec_id = q JOIN l AS b ON b.vec_id = doc GROUP BY q, step),
 needs AS (SELECT a.vec_id AS q, count(*)::DOUBLE AS n_rel, ceil({recall}::DOUBLE * count(*)) AS need FROM l AS a JOIN l AS b ON a.label = b.label WHERE a.vec_id % 10 = 0 GROUP BY a.vec_id),
-steps AS (SELECT q, {s} AS s, new, hit FROM c UNION ALL SELECT q, 0, 0, 0 FROM needs),
-run AS (SELECT *, sum(new) OVER w AS seen, sum(hit) OVER w AS hits FROM steps JOIN needs USING (q) WINDOW w AS (PARTITION BY q ORDER BY s)),
-state AS (SELECT q, s, hits >= need AS met, CASE WHEN hits >= need THEN (need - hits + hit) * (new + 1) / (hit + 1) + seen - new + s ELSE (need - hits) * (n - seen + 1) / (n_rel - hits + 1) + seen + s END / (need * (n + 1) / (n_rel + 1)) AS ratio FROM run, n)"""
+steps AS (SELECT q, {s} AS s, new, hit, cost FROM c UNION ALL SELECT q, 0, 0, 0, 0 FROM needs),
+run AS (SELECT *, sum(new) OVER w AS seen, sum(hit) OVER w AS hits, {"sum(cost) OVER w" if cost else "s"} AS calls FROM steps JOIN needs USING (q) WINDOW w AS (PARTITION BY q ORDER BY s)),
+state AS (SELECT q, s, hits >= need AS met, CASE WHEN hits >= need THEN (need - hits + hit) * (new + 1) / (hit + 1) + seen - new + calls ELSE (need - hits) * (n - seen + 1) / (n_rel - hits + 1) + seen + calls END / (need * (n + 1) / (n_rel + 1)) AS ratio FROM run, n)"""
     if halts is None:
         return out + " SELECT q, round(coalesce(arg_min(ratio, s) FILTER (met), arg_max(ratio, s)), 6) AS ratio, NOT bool_or(met) AS halted FROM state GROUP BY q"
     return out + f""", e AS (SELECT q, min(s) FILTER (met) AS met_at, max(s) AS last FROM state WHERE s <= {halts} GROUP BY q)
@@ -559,22 +495,39 @@ def halting_counter_sswr(spark, sf_dir):
     return _ratio(sswr.halting_work_ratio(c, rel, n, 8, recall=0.05))
 
 
-@query()
+#: Seconds that a look-up is said to have taken, by its step: with times given, all that follows can be checked.
+_SECONDS = "(1 + step % 3) * 0.001"
+
+
+@query(_sswr_sql(0.2, cost=_SECONDS))
 def chrono_sswr(spark, sf_dir):
-    """Steps cost the seconds that a look-up took, on average, when the candidates were made."""
-    watch = state.Stopwatch().start()
     c, rel, n = _stream(spark, sf_dir)
-    calls = max(1, c.select("q", "step").distinct().count())
-    per = watch.stop().time() / calls
-    return sswr.work_ratio(c, rel, n, recall=0.2, allow_halt=True, cost=F.lit(per))
+    return _ratio(sswr.work_ratio(c, rel, n, recall=0.2, allow_halt=True, cost=F.expr(_SECONDS).cast("double")))
 
 
-@query()
+@query(_sswr_sql(0.05, halts=8, cost=_SECONDS))
 def halting_chrono_sswr(spark, sf_dir):
     c, rel, n = _stream(spark, sf_dir)
+    return _ratio(sswr.halting_work_ratio(c, rel, n, 8, recall=0.05, cost=F.expr(_SECONDS).cast("double")))
+
+
+def _measured(c: DataFrame) -> Column:
+    """The seconds that a look-up takes on average when all candidates are made."""
     watch = state.Stopwatch().start()
     calls = max(1, c.select("q", "step").distinct().count())
-    return sswr.halting_work_ratio(c, rel, n, 8, recall=0.05, cost=F.lit(watch.stop().time() / calls))
+    return F.lit(watch.stop().time() / calls)
+
+
+@query()
+def chrono_sswr_measured(spark, sf_dir):
+    c, rel, n = _stream(spark, sf_dir)
+    return sswr.work_ratio(c, rel, n, recall=0.2, allow_halt=True, cost=_measured(c))
+
+
+@query()
+def halting_chrono_sswr_measured(spark, sf_dir):
+    c, rel, n = _stream(spark, sf_dir)
+    return sswr.halting_work_ratio(c, rel, n, 8, recall=0.05, cost=_measured(c))
 
 
 @query("SELECT k, round(k * (r.n + 1.0) / (5 + 1.0), 6) AS cost FROM range(1, 6) AS a(k), (SELECT count(*) AS n FROM embeddings) AS r")
@@ -586,11 +539,12 @@ def matching_oracle_cost(spark, sf_dir):
 # Oracle calls. Candidates: all documents by 16-bit distance; relevance: equal labels.
 
 _RECALLS = [0.1, 0.25, 0.5, 1.0]
-_ORC = f"""{_CODES}, st AS (SELECT a.vec_id AS q, a.label = b.label AS rel, row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.code, b.code)), b.vec_id) AS calls FROM v AS a, v AS b WHERE a.vec_id % 10 = 0),
-f AS (SELECT q, count(*) OVER (PARTITION BY q) AS n_rel, row_number() OVER (PARTITION BY q ORDER BY calls) AS j, calls FROM st WHERE rel),
+_ORC = f"""{_CODES}, st AS (SELECT a.vec_id AS q, a.label = b.label AS rel, row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.code, b.code)), b.vec_id) AS calls,
+sum((1 + b.vec_id % 5) * 0.001::DOUBLE) OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.code, b.code)), b.vec_id) AS seconds FROM v AS a, v AS b WHERE a.vec_id % 10 = 0),
+f AS (SELECT q, count(*) OVER (PARTITION BY q) AS n_rel, row_number() OVER (PARTITION BY q ORDER BY calls) AS j, calls, seconds FROM st WHERE rel),
 sh AS (SELECT n_rel, count(*) / sum(count(*)) OVER () AS p FROM (SELECT DISTINCT q, n_rel FROM f) AS d GROUP BY n_rel),
 rc AS (SELECT n_rel, p, r::DOUBLE AS recall, ceil(r::DOUBLE * n_rel) AS j FROM sh, unnest([0.1, 0.25, 0.5, 1.0]) AS u(r)),
-ex AS (SELECT recall, sum(rc.p * m.c) AS calls FROM rc JOIN (SELECT n_rel, j, avg(calls) AS c FROM f GROUP BY n_rel, j) AS m ON m.n_rel = rc.n_rel AND m.j = rc.j GROUP BY recall),
+ex AS (SELECT recall, sum(rc.p * m.c) AS calls, sum(rc.p * m.t) AS seconds FROM rc JOIN (SELECT n_rel, j, avg(calls) AS c, avg(seconds) AS t FROM f GROUP BY n_rel, j) AS m ON m.n_rel = rc.n_rel AND m.j = rc.j GROUP BY recall),
 ba AS (SELECT recall, sum(p * ((SELECT count(*) FROM v) + 1.0) / (n_rel + 1.0) * j) AS baseline FROM rc GROUP BY recall)"""
 
 
@@ -605,6 +559,24 @@ def oracle_calls_at(spark, sf_dir):
     return oracle_calls.found_at(c, rel, 0.5)
 
 
+def _timed(c: DataFrame) -> DataFrame:
+    """Candidates with the seconds that each is said to have taken."""
+    return c.withColumn("seconds", (1 + F.col("doc") % 5) * F.lit(0.001))
+
+
+@query(f"{_ORC} SELECT q, n_rel::BIGINT AS n_rel, j::BIGINT AS j, calls::BIGINT AS calls, round(seconds, 6) AS seconds FROM f WHERE j <= ceil(0.5::DOUBLE * n_rel)")
+def oracle_times_at(spark, sf_dir):
+    c, rel, _ = _by_distance(spark, sf_dir)
+    return oracle_calls.found_at(_timed(c), rel, 0.5, "seconds").withColumn("seconds", r6(F.col("seconds")))
+
+
+@query(f"{_ORC} SELECT recall, round(calls, 6) AS calls, round(seconds, 6) AS seconds, round(baseline, 6) AS baseline FROM ex JOIN ba USING (recall)")
+def oracle_experiment_times(spark, sf_dir):
+    c, rel, n = _by_distance(spark, sf_dir)
+    e = oracle_calls.calls_experiment(_timed(c), rel, n, _RECALLS, "seconds")
+    return e.select("recall", *[r6(F.col(x)).alias(x) for x in ("calls", "seconds", "baseline")])
+
+
 @query(f"{_ORC} SELECT recall, round(baseline, 6) AS expected FROM ba")
 def oracle_random_baseline(spark, sf_dir):
     _, rel, n = _by_distance(spark, sf_dir)
@@ -627,8 +599,9 @@ def oracle_expectation(spark, sf_dir):
 @query(f"{_ORC} SELECT recall, CASE WHEN baseline > calls THEN round(calls * 0.001 / (baseline - calls), 6) ELSE 'inf'::DOUBLE END AS tocr FROM ex JOIN ba USING (recall) WHERE recall < 1")
 def tocr(spark, sf_dir):
     """With a look-up's time given as a millisecond."""
-    e = oracle_calls.calls_experiment(*_by_distance(spark, sf_dir), _RECALLS)
-    return oracle_calls.time_per_saved_call(e, e.select("recall", (F.col("calls") * 0.001).alias("expected"))).where("recall < 1").select("recall", r6(F.col("tocr")).alias("tocr"))
+    c, rel, n = _by_distance(spark, sf_dir)
+    e = oracle_calls.calls_experiment(c.withColumn("seconds", F.lit(0.001)), rel, n, _RECALLS, "seconds")
+    return oracle_calls.time_per_saved_call(e).where("recall < 1").select("recall", r6(F.col("tocr")).alias("tocr"))
 
 
 # Grid search on part(p_size, p_retailprice).
@@ -653,14 +626,8 @@ def grid_cells(spark, sf_dir):
 
 
 @query("""SELECT p_partkey AS q, c0::INT AS c0, c1::INT AS c1, round(sqrt(pow(greatest(c0 * 3.0 - p_size, 0, p_size - (c0 + 1) * 3.0), 2) + pow(greatest(c1 * 10.0 - p_retailprice, 0, p_retailprice - (c1 + 1) * 10.0), 2)), 6) AS lb
-FROM part, range(0, 17) AS a(c0), range(0, 250) AS b(c1) WHERE p_partkey % 200 = 0""")
+FROM part, range(0, 17) AS a(c0), range(0, 250) AS b(c1) WHERE p_partkey % 100 = 0""")
 def grid_cell_dists(spark, sf_dir):
-    g, q = _grid_sides(spark, sf_dir, 200)
-    return g.ordered_cells(q).select("q", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
-
-
-@query(whole("grid_cell_dists", ("p_partkey % 200 = 0", "p_partkey % 100 = 0")))
-def grid_cell_dists_whole(spark, sf_dir):
     g, q = _grid_sides(spark, sf_dir, 100)
     return g.ordered_cells(q).select("q", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
 
@@ -704,13 +671,27 @@ def learned_search(spark, sf_dir):
     return s.search(v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "q")).select("q", F.explode("docs").alias("doc"))
 
 
+@query(f"""WITH embeddings AS (SELECT vec_id, label, {_Z.format(n=10)} AS embedding FROM main.embeddings), {_ranked(10, 1.0)}, idx AS (SELECT rank AS table_no, code, vec_id AS doc FROM k WHERE rank < 3), {_HITS.format(n=6)} SELECT q, step, doc FROM hits""")
+def learned_itersearch(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", F.col("e").alias("features"))
+    s = learned.LearnedSearch(_ENC, _ENC, MultiProbe(spark, 10, 3, 4)).insert(v.withColumnRenamed("vec_id", "doc"))
+    return s.candidates(v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "q"), 6)
+
+
+@query("SELECT vec_id, round((1 + abs(embedding[1]::DOUBLE)) * 1.1, 6) AS loss FROM embeddings")
+def relative_l2(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", r6(L.loss_with_relative_l2(1 + F.abs(F.get("e", F.lit(0))), 0.1)).alias("loss"))
+
+
 def loss_pairs(spark, sf_dir, n: int = 6) -> DataFrame:
-    v = vectors(spark, sf_dir).where("vec_id < 48").select("vec_id", "label", head(n, 10.0).alias("z"))
-    q, d = v.where("vec_id < 16"), v.where("vec_id >= 16")
-    return hamming.all_pairs(q.select(F.col("z").alias("zq"), F.col("label").alias("lq")), d.select(F.col("z").alias("zd"), F.col("label").alias("ld"))).select("zq", "zd", (F.col("lq") == F.col("ld")).alias("r"))
+    """Queries are the vectors whose id is divisible by 100; each is paired with all others."""
+    v = vectors(spark, sf_dir).select("vec_id", "label", head(n, 10.0).alias("z"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("z").alias("zq"), F.col("label").alias("lq"))
+    d = v.select(F.col("vec_id").alias("d"), F.col("z").alias("zd"), F.col("label").alias("ld"))
+    return hamming.all_pairs(q, d).where("q <> d").select("zq", "zd", (F.col("lq") == F.col("ld")).alias("r"))
 
 
-_LP = "lp AS (SELECT row_number() OVER () AS id, a.label = b.label AS r, list_transform(a.embedding[1:6], lambda v: 10 * v::DOUBLE) AS x, list_transform(b.embedding[1:6], lambda v: 10 * v::DOUBLE) AS y FROM embeddings AS a, embeddings AS b WHERE a.vec_id < 16 AND b.vec_id BETWEEN 16 AND 47)"
+_LP = "lp AS (SELECT row_number() OVER () AS id, a.label = b.label AS r, list_transform(a.embedding[1:6], lambda v: 10 * v::DOUBLE) AS x, list_transform(b.embedding[1:6], lambda v: 10 * v::DOUBLE) AS y FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id)"
 _TANH = "(1 - 2 / (exp(2 * {v}[i]) + 1))"
 _SH = f"list_sum(list_transform(range(1, 7), lambda i: {_TANH.format(v='x')} * {_TANH.format(v='y')}))"
 _DIFF = f"{_SX.replace('::DOUBLE', '')} * (1 - {_SY.replace('::DOUBLE', '')}) + (1 - {_SX.replace('::DOUBLE', '')}) * {_SY.replace('::DOUBLE', '')}"
@@ -728,7 +709,7 @@ def loss_mihash(spark, sf_dir):
     return learned.mihash_loss(loss_pairs(spark, sf_dir), 6, 0.1).select(r6(F.col("loss")).alias("loss"))
 
 
-@query(f"""WITH {_LP}, h AS ({_pmf_sql(6, _DIFF, 'lp', 'id, r')}), b AS (SELECT *, ln(factorial(6)::DOUBLE / (factorial(j) * factorial(6 - j))::DOUBLE) + j * ln(0.1) + (6 - j) * ln(0.9) AS lpos, ln(factorial(6)::DOUBLE / (factorial(j) * factorial(6 - j))::DOUBLE) + 6 * ln(0.5) AS lneg FROM h),
+@query(f"""WITH {_LP}, h AS (SELECT id, r, bit_count(s)::INT AS j, sum(list_product(list_transform(range(1, 7), lambda i: CASE WHEN (s >> (i - 1)) & 1 = 1 THEN {_DIFF} ELSE 1 - ({_DIFF}) END))) AS p FROM lp, range(0, 64) AS t(s) GROUP BY ALL), b AS (SELECT *, ln(factorial(6)::DOUBLE / (factorial(j) * factorial(6 - j))::DOUBLE) + j * ln(0.1) + (6 - j) * ln(0.9) AS lpos, ln(factorial(6)::DOUBLE / (factorial(j) * factorial(6 - j))::DOUBLE) + 6 * ln(0.5) AS lneg FROM h),
 k AS (SELECT id, r, sum(exp(lpos) * (lpos - ln(p))) AS kp, sum(p * (ln(p) - lneg)) AS kn FROM b GROUP BY id, r) SELECT round(avg(kp) FILTER (r) + avg(kn) FILTER (NOT r), 6) AS loss FROM k""")
 def loss_hbkl(spark, sf_dir):
     return learned.hbkl_loss(loss_pairs(spark, sf_dir), 6, 0.1, 0.5).select(r6(F.col("loss")).alias("loss"))
@@ -744,39 +725,6 @@ def loss_fbeta(spark, sf_dir):
     return learned.fbeta_loss(loss_pairs(spark, sf_dir), 6, log(0.1), -8.0, nindex=2, match_dist=1, l2_ratio=0.01).select(r6(F.col("loss")).alias("loss"))
 
 
-def whole_loss_pairs(spark, sf_dir, n: int = 6) -> DataFrame:
-    """Queries are the vectors whose id is divisible by 100; each is paired with all others."""
-    v = vectors(spark, sf_dir).select("vec_id", "label", head(n, 10.0).alias("z"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("z").alias("zq"), F.col("label").alias("lq"))
-    d = v.select(F.col("vec_id").alias("d"), F.col("z").alias("zd"), F.col("label").alias("ld"))
-    return hamming.all_pairs(q, d).where("q <> d").select("zq", "zd", (F.col("lq") == F.col("ld")).alias("r"))
-
-
-_SOME_PAIRS = ("a.vec_id < 16 AND b.vec_id BETWEEN 16 AND 47", "a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id")
-
-
-@query(whole("loss_hashnet", _SOME_PAIRS))
-def loss_hashnet_whole(spark, sf_dir):
-    return learned.hashnet_loss(whole_loss_pairs(spark, sf_dir), 0.1).select(r6(F.col("loss")).alias("loss"))
-
-
-@query(whole("loss_mihash", _SOME_PAIRS))
-def loss_mihash_whole(spark, sf_dir):
-    return learned.mihash_loss(whole_loss_pairs(spark, sf_dir), 6, 0.1).select(r6(F.col("loss")).alias("loss"))
-
-
-@query(whole("loss_hbkl", _SOME_PAIRS))
-def loss_hbkl_whole(spark, sf_dir):
-    return learned.hbkl_loss(whole_loss_pairs(spark, sf_dir), 6, 0.1, 0.5).select(r6(F.col("loss")).alias("loss"))
-
-
-@query(whole("loss_fbeta", _SOME_PAIRS))
-def loss_fbeta_whole(spark, sf_dir):
-    from math import log
-
-    return learned.fbeta_loss(whole_loss_pairs(spark, sf_dir), 6, log(0.1), -8.0, nindex=2, match_dist=1, l2_ratio=0.01).select(r6(F.col("loss")).alias("loss"))
-
-
 def _trained(spark, sf_dir, kind: str, **options) -> DataFrame:
     f = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("e").alias("x"), "label")
     _, _, losses = learned.train(f, kind, 16, steps=40, batch=64, **options)
@@ -819,7 +767,18 @@ def split_filter(spark, sf_dir):
     return datasets.split(v, "train").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query()
+def _h(*parts: str) -> str:
+    """datasets.hashed() in SQL."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+def _normal(key: str, i: str, seed: int) -> str:
+    """datasets.noise() in SQL."""
+    u = [f"(({_h(key, i, str(seed), str(k))} % 1099511627776 + 1) / 1099511627777::DOUBLE)" for k in (0, 1)]
+    return f"(sqrt(-2 * ln({u[0]})) * cos({u[1]} * 6.283185307179586))"
+
+
+@query(f"SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'valid' ELSE 'test' END AS split, count(*)::BIGINT AS n FROM (SELECT {_h('vec_id', '0')} % 1000000 / 1000000 AS u FROM embeddings) AS q GROUP BY ALL")
 def split_by_hash(spark, sf_dir):
     return datasets.with_split(table(spark, sf_dir, "embeddings"), "vec_id").groupBy("split").agg(F.count("*").alias("n"))
 
@@ -834,17 +793,86 @@ def class_pairs(spark, sf_dir):
     return datasets.class_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "label", F.col("vec_id"))
 
 
-@query("SELECT vec_id AS q, vec_id AS doc FROM embeddings")
+_NOISY = "list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE + 0.1 * {})"
+
+
+@query(f"""SELECT vec_id AS q, vec_id AS doc, round(x[1], 6) AS q0, round(list_sum(x), 6) AS q_sum, round(y[1], 6) AS d0, round(list_sum(y), 6) AS d_sum
+FROM (SELECT vec_id, {_NOISY.format(_normal('vec_id', '(i - 1)', 0xCAFE))} AS x, {_NOISY.format(_normal('vec_id', '(i - 1)', 0xBEEF))} AS y FROM embeddings) AS v""")
 def noisy_relevance(spark, sf_dir):
-    """Relevance of two noisy versions of every vector, found again through their ids."""
+    """Two noisy versions of every vector, relevant to each other."""
     q, d, rel = datasets.noisy_pairs(vectors(spark, sf_dir), "vec_id", "e", 0.1)
-    return rel.join(q.where(F.size("x") == 64), "q").join(d.where(F.size("x") == 64), "doc").select("q", "doc")
+    total = lambda x: r6(F.aggregate(x, F.lit(0.0), lambda a, b: a + b))
+    q = q.select("q", r6(F.get("x", F.lit(0))).alias("q0"), total(F.col("x")).alias("q_sum"))
+    d = d.select("doc", r6(F.get("x", F.lit(0))).alias("d0"), total(F.col("x")).alias("d_sum"))
+    return rel.join(q, "q").join(d, "doc").select("q", "doc", "q0", "q_sum", "d0", "d_sum")
 
 
-@query()
+@query(f"SELECT round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd FROM (SELECT {_normal('vec_id', '(i - 1)', 0xCAFE)} AS x FROM embeddings, range(1, 65) AS r(i)) AS q")
 def noise_moments(spark, sf_dir):
     x = datasets.noisy(vectors(spark, sf_dir).withColumn("zero", F.transform("e", lambda v: v * 0)), "vec_id", "zero", 1.0, 0xCAFE)
-    return x.select(F.explode("x").alias("v")).agg(F.avg("v").alias("mean"), F.stddev("v").alias("sd"))
+    return x.select(F.explode("x").alias("v")).agg(r6(F.avg("v")).alias("mean"), r6(F.stddev("v")).alias("sd"))
+
+
+def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "label"), v.select(F.col("vec_id").alias("d"), "label")
+
+
+@query("SELECT a.vec_id AS q, b.vec_id AS d, a.label IS NOT DISTINCT FROM b.label AS r FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0")
+def relation_matrix(spark, sf_dir):
+    return datasets.relation(*_sides(spark, sf_dir), "relational_matrix")
+
+
+@query(f"""SELECT q, arg_min(d, h) FILTER (r) AS d, arg_min(d, h) FILTER (NOT r) AS other
+FROM (SELECT a.vec_id AS q, b.vec_id AS d, a.label IS NOT DISTINCT FROM b.label AS r, {_h('a.vec_id', 'b.vec_id', '3')} AS h FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0) AS p GROUP BY q""")
+def relation_triplets(spark, sf_dir):
+    return datasets.relation(*_sides(spark, sf_dir), "relational_triplets", 3)
+
+
+@query("SELECT vec_id AS q, label FROM embeddings WHERE vec_id % 100 = 0")
+def relation_classes(spark, sf_dir):
+    return datasets.relation(*_sides(spark, sf_dir), "class_relation")
+
+
+def _side(name: str) -> str:
+    key = f"concat_ws('/', w.batch, e.vec_id, '{name}')"
+    pick = _h("w.batch", "w.label", f"'{name}'", "9")
+    return f"SELECT w.batch, w.label, e.vec_id, e.embedding[1]::DOUBLE + 0.5 * {_normal(key, '0', 9)} AS x FROM w JOIN e ON e.label = w.label AND e.n = {pick} % w.size"
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY {_h('vec_id', '9')}, vec_id) - 1 AS n FROM embeddings WHERE label IS NOT NULL),
+w AS (SELECT b.batch, label, count(*) AS size FROM e, range(0, 12) AS b(batch) GROUP BY ALL)
+SELECT q.batch::INT AS batch, q.label, q.vec_id AS query_id, d.vec_id AS doc_id, round(q.x, 6) AS q0, round(d.x, 6) AS d0 FROM ({_side('q')}) AS q JOIN ({_side('d')}) AS d ON d.batch = q.batch AND d.label = q.label""")
+def class_batches(spark, sf_dir):
+    b = datasets.class_batches(vectors(spark, sf_dir), "vec_id", "label", "e", 12, 0.5, 9)
+    return b.select("batch", "label", "query_id", "doc_id", r6(F.get("q", F.lit(0))).alias("q0"), r6(F.get("d", F.lit(0))).alias("d0"))
+
+
+_OWN_SLOT = _h("doc", "'own'", "5")
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS part, row_number() OVER (ORDER BY {_h('p_partkey', '5')}, p_partkey) - 1 AS n FROM part)
+SELECT doc, slot::INT AS slot, part FROM (SELECT doc, slot, CASE WHEN doc < 300 AND doc < w AND {_OWN_SLOT} % 4 = slot THEN doc ELSE {_h('doc', 'slot', '5')} % w END AS pick
+FROM range(0, 1000) AS d(doc), range(0, 4) AS s(slot), (SELECT count(*) AS w FROM part) AS c) AS t JOIN p ON p.n = t.pick""")
+def mosaic_parts(spark, sf_dir):
+    return datasets.mosaics(table(spark, sf_dir, "part"), "p_partkey", 1000, 4, 300, 5)
+
+
+@query("SELECT vec_id + 1000000 AS q, vec_id AS doc FROM embeddings")
+def altered_relevance(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"))
+    return datasets.altered_relevance(v.select((F.col("source") + 1_000_000).alias("q"), "source"), v.select(F.col("source").alias("doc"), "source"), "source")
+
+
+@query("SELECT p_partkey, round(p_size * cos(0.3) - p_retailprice * sin(0.3), 6) AS x, round(p_size * sin(0.3) + p_retailprice * cos(0.3), 6) AS y FROM part")
+def rotate_points(spark, sf_dir):
+    x, y = datasets.rotate(F.col("p_size").cast("double"), F.col("p_retailprice"), F.lit(0.3))
+    return table(spark, sf_dir, "part").select("p_partkey", r6(x).alias("x"), r6(y).alias("y"))
+
+
+@query("SELECT i::INT AS i, j::INT AS j, round(2.0 * j / 23 - 1, 6) AS x, round(2.0 * i / 15 - 1, 6) AS y FROM range(0, 16) AS a(i), range(0, 24) AS b(j)")
+def image_grid(spark, sf_dir):
+    return datasets.image_grid(spark, 16, 24).select("i", "j", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
 @query("SELECT l_partkey AS part, count(DISTINCT l_orderkey)::BIGINT AS n_docs, min(l_orderkey) AS first_doc, max(l_orderkey) AS last_doc FROM lineitem GROUP BY l_partkey")
@@ -853,40 +881,27 @@ def mosaic_inverted_index(spark, sf_dir):
     return i.select("part", F.size("docs").cast("long").alias("n_docs"), F.element_at("docs", 1).alias("first_doc"), F.element_at("docs", -1).alias("last_doc"))
 
 
-@query("SELECT DISTINCT p_partkey AS q, l_orderkey AS doc FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey % 10 = 0")
+@query("SELECT DISTINCT p_partkey AS q, l_orderkey AS doc FROM part JOIN lineitem ON l_partkey = p_partkey")
 def mosaic_relation(spark, sf_dir):
-    q = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("q"), F.col("p_partkey").alias("part"))
-    return datasets.mosaic_relation(q, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("part")))
-
-
-@query("SELECT round(avg((a.label = b.label)::INT), 6) AS rate, round(ln(avg((a.label = b.label)::INT)), 6) AS log_rate FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 10 = 0")
-def match_rate(spark, sf_dir):
-    """From counts per label: no pair is made."""
-    v = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sum((F.col("vec_id") % 10 == 0).cast("long")).alias("a"), F.count("*").alias("b"))
-    rate = v.agg((F.sum(F.col("a") * F.col("b")) / (F.sum("a") * F.sum("b"))).alias("rate"))
-    return rate.select(r6(F.col("rate")).alias("rate"), r6(F.ln("rate")).alias("log_rate"))
-
-
-@query(whole("mosaic_relation", (" WHERE p_partkey % 10 = 0", "")))
-def mosaic_relation_whole(spark, sf_dir):
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("q"), F.col("p_partkey").alias("part"))
     return datasets.mosaic_relation(q, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("part")))
 
 
-@query(whole("match_rate", (" WHERE a.vec_id % 10 = 0", "")))
-def match_rate_whole(spark, sf_dir):
+@query("SELECT round(avg((a.label = b.label)::INT), 6) AS rate, round(ln(avg((a.label = b.label)::INT)), 6) AS log_rate FROM embeddings AS a, embeddings AS b")
+def match_rate(spark, sf_dir):
     """From counts per label: no pair is made."""
     v = table(spark, sf_dir, "embeddings").where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
     rate = v.agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("rate"))
     return rate.select(r6(F.col("rate")).alias("rate"), r6(F.ln("rate")).alias("log_rate"))
 
 
-@query()
+@query(f"SELECT p_partkey FROM part ORDER BY {_h('p_partkey', '3')}, p_partkey LIMIT 50")
 def choose_rows(spark, sf_dir):
     return datasets.choose(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 50, 3)
 
 
-@query()
+@query(f"""SELECT draw, r_regionkey FROM (SELECT d AS draw, {_h('d', '3')} % (SELECT count(*) FROM region) AS pick FROM range(0, 40) AS r(d)) AS p
+JOIN (SELECT r_regionkey, row_number() OVER (ORDER BY {_h('r_regionkey', '3')}, r_regionkey) - 1 AS n FROM region) AS q ON n = pick""")
 def sample_rows(spark, sf_dir):
     return datasets.sample_with_replacement(table(spark, sf_dir, "region").select("r_regionkey"), "r_regionkey", 40, 3)
 
@@ -921,10 +936,10 @@ def rgb_hls(spark, sf_dir):
     return _colours(spark, sf_dir).select("l_orderkey", "l_linenumber", r6(h).alias("h"), r6(l).alias("l"), r6(s).alias("s"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(r, 6) + 0.0 AS r, round(g, 6) + 0.0 AS g, round(b, 6) + 0.0 AS b FROM ({_RGB}) AS x WHERE greatest(r, g, b) < 1")
+@query(f"SELECT l_orderkey, l_linenumber, round(r, 6) + 0.0 AS r, round(g, 6) + 0.0 AS g, round(b, 6) + 0.0 AS b FROM ({_RGB}) AS x")
 def hls_rgb(spark, sf_dir):
     """There and back again."""
-    c = _colours(spark, sf_dir).where(F.greatest("r", "g", "b") < 1)
+    c = _colours(spark, sf_dir)
     h, l, s = colour.rgb_to_hls(F.col("r"), F.col("g"), F.col("b"))  # noqa: E741
     r, g, b = colour.hls_to_rgb(F.col("h"), F.col("l"), F.col("s"))
     return c.select("l_orderkey", "l_linenumber", h.alias("h"), l.alias("l"), s.alias("s")).select("l_orderkey", "l_linenumber", r6(r).alias("r"), r6(g).alias("g"), r6(b).alias("b"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.planner import all_pairs
+
 SPLITS = ("train", "valid", "test")
 MODES = ("unsupervised", "class_relation", "relational_triplets", "relational_matrix")
 
@@ -14,9 +16,31 @@ def read_features(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def hashed(*parts: Column) -> Column:
+    """A number under 2**60: the first 15 hex digits of the MD5 of the parts as text, joined by colons; nulls are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def numbered(df: DataFrame, part: Column, *order, within: tuple[str, ...] = ()) -> DataFrame:
+    """df with (_row, _all): each row's number from 0, and how many rows there are, in the order of part and then of ``order``.
+
+    part cuts the table into stretches that follow each other in that order.  Only their counts are summed up
+    in one task, and each is numbered by itself, so no window spans the table.  With ``within``, numbers and
+    counts are those of each group of equal values of these columns.
+    """
+    keys = [*within, "_part"]
+    cut = df.withColumn("_part", part)
+    counts = cut.groupBy(*keys).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    upto = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each stretch
+    places = counts.select(*keys, upto.alias("_before"), F.sum("_n").over(group).alias("_all"))
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return cut.join(places, keys).withColumn("_row", F.col("_before") + row).drop("_part", "_before")
+
+
 def with_split(df: DataFrame, id_col: str, train: float = 0.8, valid: float = 0.1, seed: int = 0) -> DataFrame:
     """A split column from a hash of the id: stable under repartitioning."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    u = F.pmod(hashed(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     return df.withColumn("split", F.when(u < train, "train").when(u < train + valid, "valid").otherwise("test"))
 
 
@@ -26,56 +50,95 @@ def split(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split") == name)
 
 
-def check_mode(mode: str) -> str:
+def relation(queries: DataFrame, docs: DataFrame, mode: str, seed: int = 0) -> DataFrame:
+    """What a batch of queries(q, label) and docs(d, label) says of relevance, in one of MODES.
+
+    unsupervised: (q) and nothing else; class_relation: (q, label); relational_matrix: (q, d, r) for every pair, r
+    where labels are equal; relational_triplets: (q, d, other), a relevant document of each query and one that
+    isn't, drawn by a hash, null where there is none.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    return mode
+    if mode == "unsupervised":
+        return queries.select("q")
+    if mode == "class_relation":
+        return queries.select("q", "label")
+    pairs = all_pairs(queries.select("q", F.col("label").alias("_lq")), docs.select("d", F.col("label").alias("_ld"))).select("q", "d", F.col("_lq").eqNullSafe(F.col("_ld")).alias("r"))
+    if mode == "relational_matrix":
+        return pairs
+    drawn = F.struct(hashed(F.col("q"), F.col("d"), F.lit(seed)).alias("h"), "d")
+    return pairs.groupBy("q").agg(F.min(F.when(F.col("r"), drawn))["d"].alias("d"), F.min(F.when(~F.col("r"), drawn))["d"].alias("other"))
 
 
 def full_batches(df: DataFrame, order_col: str, size: int, slice_rows: int = 100_000) -> DataFrame:
-    """df with (batch, place): consecutive batches of exactly size rows, the short last one left out.
+    """df with (batch, place): consecutive batches of exactly size rows by a numeric column, the short last one left out; nulls come first."""
+    slices = max(1, -(-df.count() // slice_rows))
+    bounds = sorted(set(df.approxQuantile(order_col, [k / slices for k in range(1, slices)], 0.1 / slices))) if slices > 1 else []
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order_col))), F.lit(-1)) if bounds else F.lit(0)
+    out = numbered(df, F.when(F.col(order_col).isNull(), -1).otherwise(part), order_col).where(F.floor(F.col("_row") / size) < F.floor(F.col("_all") / size))
+    return out.withColumn("batch", F.floor(F.col("_row") / size).cast("long")).withColumn("place", F.pmod("_row", F.lit(size)).cast("long")).drop("_all", "_row")
 
-    Row numbers come from counts per range of the order column, so no window spans the table.
-    """
-    ranged = df.repartitionByRange(F.col(order_col)).withColumn("_part", F.spark_partition_id()) if slice_rows else df.withColumn("_part", F.lit(0))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min(order_col).alias("_lo"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    whole = counts.agg(F.sum("_n").alias("_all"))
-    base = counts.select(F.col("_part").alias("_p"), before.alias("_before")).crossJoin(F.broadcast(whole))
-    numbered = ranged.join(F.broadcast(base), F.col("_part") == F.col("_p")).withColumn("_row", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order_col)) - 1)
-    out = numbered.where(F.floor(F.col("_row") / size) < F.floor(F.col("_all") / size))
-    return out.withColumn("batch", F.floor(F.col("_row") / size).cast("long")).withColumn("place", F.pmod("_row", F.lit(size)).cast("long")).drop("_part", "_p", "_n", "_lo", "_before", "_all", "_row")
+
+def _shuffled(df: DataFrame, id_col: str, seed: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """df numbered in the order of a hash of the id."""
+    h = hashed(F.col(id_col), F.lit(seed))
+    return numbered(df, F.shiftright(h, 50), h, id_col, within=within)
 
 
 def sample_with_replacement(df: DataFrame, id_col: str, size: int, seed: int = 0) -> DataFrame:
     """(draw, row): exactly size draws of a row of df, each uniform, from hashes of the draw and the row's rank by hash."""
     n = df.count()
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)) - 1)
-    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max(n, 1))).alias("_pick"))
-    return draws.join(ranked, F.col("_pick") == F.col("_rank")).drop("_pick", "_rank")
+    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(hashed(F.col("id"), F.lit(seed)), F.lit(max(n, 1))).alias("_pick"))
+    return draws.join(_shuffled(df, id_col, seed), F.col("_pick") == F.col("_row")).drop("_pick", "_row", "_all")
 
 
 def choose(df: DataFrame, id_col: str, size: int, seed: int = 0) -> DataFrame:
     """size different rows, by hash of the id."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(size)
+    return df.orderBy(hashed(F.col(id_col), F.lit(seed)), id_col).limit(size)
 
 
 def class_pairs(df: DataFrame, id_col: str, label_col: str, order: Column | None = None) -> DataFrame:
     """(label, query_id, doc_id): the first two rows of each class in an order (by default a hash of the id)."""
-    order = order if order is not None else F.xxhash64(F.col(id_col))
-    ranked = df.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.row_number().over(Window.partitionBy(label_col).orderBy(order, id_col)).alias("n")).where("n <= 2")
-    return ranked.groupBy("label").agg(F.max(F.when(F.col("n") == 1, F.col("id"))).alias("query_id"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("doc_id"))
+    order = order if order is not None else hashed(F.col(id_col))
+    first = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(id_col).alias("id"))))
+    part = F.pmod(F.xxhash64(id_col), F.lit(1024))
+    two = df.groupBy(F.col(label_col).alias("label"), part.alias("_part")).agg(F.slice(first, 1, 2).alias("x"))  # a class's rows are cut in 1,024 first
+    best = F.sort_array(F.flatten(F.collect_list("x")))  # 2,048 at most
+    return two.groupBy("label").agg(best.alias("x")).select("label", F.get("x", F.lit(0))["id"].alias("query_id"), F.get("x", F.lit(1))["id"].alias("doc_id"))
+
 
+def class_batches(df: DataFrame, id_col: str, label_col: str, vec_col: str, batches: int, sigma: float = 0.0, seed: int = 0) -> DataFrame:
+    """(batch, label, query_id, doc_id, q, d): in every batch a random row of each class as query and one as document, with noise.
 
-def noise(id_col: Column, i: Column, seed: int) -> Column:
-    """A standard normal number from the hash of (id, i, seed): the same wherever the row is."""
-    u = lambda k: (F.pmod(F.xxhash64(id_col, i, F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    Within a batch a document is relevant to the query of its own class and to no other, so the relevance matrix is
+    the identity.  Rows are drawn with replacement, from hashes of (batch, label, seed).
+    """
+    rows = _shuffled(df.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("_x")), "_id", seed, within=("label",))
+    sizes = rows.groupBy("label").agg(F.max("_all").alias("_size"))
+    wanted = sizes.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    sides = []
+    for side, name in (("q", "query_id"), ("d", "doc_id")):
+        pick = F.pmod(hashed(F.col("batch"), F.col("label"), F.lit(side), F.lit(seed)), F.col("_size"))
+        drawn = wanted.withColumn("_row", pick).join(rows, ["label", "_row"])
+        key = F.concat_ws("/", F.col("batch").cast("string"), F.col("_id").cast("string"), F.lit(side))
+        x = _with_noise(F.col("_x"), key, sigma, seed) if sigma else F.col("_x")
+        sides.append(drawn.select("batch", "label", F.col("_id").alias(name), x.alias(side)))
+    return sides[0].join(sides[1], ["batch", "label"]).select("batch", "label", "query_id", "doc_id", "q", "d")
+
+
+def noise(key: Column, i: Column, seed: int) -> Column:
+    """A standard normal number from the hash of (key, i, seed): the same wherever the row is."""
+    u = lambda k: (F.pmod(hashed(key, i, F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
     return F.sqrt(-2 * F.ln(u(0))) * F.cos(u(1) * 6.283185307179586)
 
 
+def _with_noise(x: Column, key: Column, sigma: float, seed: int) -> Column:
+    return F.transform(x, lambda v, i: v + sigma * noise(key, i, seed))
+
+
 def noisy(df: DataFrame, id_col: str, vec_col: str, sigma: float, seed: int) -> DataFrame:
     """(id, x): every vector with its own reproducible noise."""
-    return df.select(F.col(id_col).alias("id"), F.transform(F.col(vec_col), lambda v, i: v + sigma * noise(F.col(id_col), i, seed)).alias("x"))
+    return df.select(F.col(id_col).alias("id"), _with_noise(F.col(vec_col), F.col(id_col), sigma, seed).alias("x"))
 
 
 def noisy_pairs(df: DataFrame, id_col: str, vec_col: str, sigma: float, seeds: tuple[int, int] = (0xCAFE, 0xBEEF)) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -84,6 +147,25 @@ def noisy_pairs(df: DataFrame, id_col: str, vec_col: str, sigma: float, seeds: t
     return q.withColumnRenamed("id", "q"), d.withColumnRenamed("id", "doc"), df.select(F.col(id_col).alias("q"), F.col(id_col).alias("doc"))
 
 
+def mosaics(parts: DataFrame, id_col: str, n: int, slots: int = 4, forced: int = 0, seed: int = 0) -> DataFrame:
+    """(doc, slot, part): n mosaics of ``slots`` parts drawn with replacement, from hashes of (doc, slot, seed).
+
+    Parts are numbered by the hash of their id; each of the first ``forced`` mosaics (at most as many as there are
+    parts) holds the part of its own number, in a slot drawn by a hash.
+    """
+    rows = _shuffled(parts.select(F.col(id_col).alias("part")), "part", seed)
+    count = parts.count()
+    docs = parts.sparkSession.range(n).select(F.col("id").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    own = (F.col("doc") < min(forced, count)) & (F.pmod(hashed(F.col("doc"), F.lit("own"), F.lit(seed)), F.lit(slots)) == F.col("slot"))
+    drawn = F.when(own, F.col("doc")).otherwise(F.pmod(hashed(F.col("doc"), F.col("slot"), F.lit(seed)), F.lit(max(1, count))))
+    return docs.withColumn("_row", drawn).join(rows.select("part", "_row"), "_row").select("doc", "slot", "part")
+
+
+def altered_relevance(queries: DataFrame, originals: DataFrame, key: str) -> DataFrame:
+    """(q, doc): altered copies queries(q, key) and the originals(doc, key) they were made from, by the key that both keep."""
+    return queries.select("q", key).join(originals.select("doc", key), key).select("q", "doc").distinct()
+
+
 def inverted_index(df: DataFrame, doc_col: str, part_col: str) -> DataFrame:
     """(part, docs): which mosaics hold a part; the list of a part is its answer, as long as that is."""
     return df.select(F.col(part_col).alias("part"), F.col(doc_col).alias("doc")).distinct().groupBy("part").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
@@ -106,19 +188,27 @@ def index_range(df: DataFrame, col: str, lo: int | None = None, hi: int | None =
 
 
 def squeeze(mu: float, x):
-    """numpy: the normal share of x moved by 2 mu standard deviations and back to (0, 1)."""
+    """numpy: the normal share of x moved by 2 mu standard deviations and back to (0, 1); worked out once for each value."""
     from statistics import NormalDist
 
     import numpy as np
 
     n = NormalDist()
-    return np.vectorize(lambda v: n.cdf(n.inv_cdf(min(max(float(v), 1e-12), 1 - 1e-12)) + 2 * mu))(x)
+    values, at = np.unique(np.clip(np.asarray(x, float), 1e-12, 1 - 1e-12), return_inverse=True)
+    return np.asarray([n.cdf(n.inv_cdf(v) + 2 * mu) for v in values.tolist()])[at].reshape(np.shape(x))
 
 
 def rotate(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
     return x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle)
 
 
+def image_grid(spark, height: int, width: int) -> DataFrame:
+    """(i, j, x, y): the pixels of an image with their centres' places, -1 to 1 on both axes; 0 on an axis of one pixel."""
+    place = lambda c, n: (2.0 * F.col(c) / (n - 1) - 1 if n > 1 else F.lit(0.0))
+    pixels = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("i"), F.pmod("id", F.lit(width)).cast("int").alias("j"))
+    return pixels.select("i", "j", place("j", width).alias("x"), place("i", height).alias("y"))
+
+
 def altered_images(df: DataFrame, seed: int = 0, max_angle: float = 0.3, squeeze_by: float = 0.1) -> DataFrame:
     """(id, image, h, w): images (flat h*w arrays in [0, 1]) turned and with their brightness squeezed, by amounts from the id."""
 

@@ -59,7 +59,7 @@ def test_dataset_views(spark):
     with pytest.raises(ValueError):
         datasets.split(s, "all")
     with pytest.raises(ValueError):
-        datasets.check_mode("x")
+        datasets.relation(df, df, "x")
     b = datasets.full_batches(df.repartition(5), "id", 64).collect()
     assert len(b) == 960 and all(r.batch * 64 + r.place == r.id for r in b)
     assert datasets.full_batches(df.limit(3), "id", 64).count() == 0

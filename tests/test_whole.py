@@ -37,9 +37,9 @@ def same(a: list[tuple], b: list[tuple]) -> None:
 @pytest.mark.parametrize("kind", ["hashnet", "mihash", "hbkl", "fbeta"])
 def test_losses_take_all_pairs(spark, tables, kind):
     folder, x, label = tables
-    assert Q.whole_loss_pairs(spark, folder).count() == 3 * 229
-    got = rows_of(spark, folder, f"loss_{kind}_whole")
-    same(got, by_sql(folder, f"loss_{kind}_whole"))
+    assert Q.loss_pairs(spark, folder).count() == 3 * 229
+    got = rows_of(spark, folder, f"loss_{kind}")
+    same(got, by_sql(folder, f"loss_{kind}"))
     if kind == "hashnet":
         t = np.tanh(10 * x[:, :6])
         want = [(np.log1p(np.exp(s)) - s) / 0.1 if label[q] == label[d] else np.log1p(np.exp(s)) / 0.9 for q in (0, 100, 200) for d in range(230) if d != q for s in [t[q] @ t[d]]]
@@ -49,8 +49,8 @@ def test_losses_take_all_pairs(spark, tables, kind):
 @pytest.mark.parametrize("name", ["kbest_subsets", "kbest_outcomes"])
 def test_kbest_takes_every_vector(spark, tables, name):
     folder, x, _ = tables
-    got = rows_of(spark, folder, f"{name}_whole")
-    same(got, by_sql(folder, f"{name}_whole"))
+    got = rows_of(spark, folder, f"{name}")
+    same(got, by_sql(folder, f"{name}"))
     assert {r[0] for r in got} == set(range(230)) and len(got) == 230 * 12
     bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
     for i in (1, 229):  # not divisible by 5
@@ -61,15 +61,15 @@ def test_kbest_takes_every_vector(spark, tables, name):
 
 def test_soft_hamming_meets_all_documents(spark, tables):
     folder, x, _ = tables
-    got = rows_of(spark, folder, "soft_hamming_whole")
-    same(got, by_sql(folder, "soft_hamming_whole"))
+    got = rows_of(spark, folder, "soft_hamming")
+    same(got, by_sql(folder, "soft_hamming"))
     same(got, [(q, d, (64 - x[q] @ x[d]) / 2) for q in (0, 100, 200) for d in range(230)])
 
 
 @pytest.mark.parametrize("name", ["log_prob_any", "mb_equality", "mb_subset", "mb_act_equality", "mb_act_subset"])
 def test_all_components(spark, tables, name):
-    got = rows_of(spark, tables[0], f"{name}_whole")
-    same(got, by_sql(tables[0], f"{name}_whole"))
+    got = rows_of(spark, tables[0], f"{name}")
+    same(got, by_sql(tables[0], f"{name}"))
     assert name == "log_prob_any" or {r[1] for r in got} == set(range(64))
 
 
@@ -85,7 +85,7 @@ def test_distributions_of_all_components(spark, tables, name):
         for q in row:
             pmf = np.convolve(pmf, [1 - q, q])
         want += [(i, j, v if name.endswith("linear") else np.log(v)) for j, v in enumerate(pmf)]
-    same(rows_of(spark, folder, f"{name}_whole"), want)
+    same(rows_of(spark, folder, f"{name}"), want)
 
 
 def test_parts_and_labels_are_all_taken(spark, tables, tmp_path):
@@ -95,11 +95,11 @@ def test_parts_and_labels_are_all_taken(spark, tables, tmp_path):
     lines = [(int(o), int(p)) for o, p in rng.integers(1, 231, (500, 2))]
     spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{here}/part.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{here}/lineitem.parquet")
-    got = rows_of(spark, here, "mosaic_relation_whole")
-    assert got == sorted({(p, o) for o, p in lines}) == by_sql(here, "mosaic_relation_whole", "part", "lineitem")
-    got = rows_of(spark, here, "grid_cell_dists_whole")
-    same(got, by_sql(here, "grid_cell_dists_whole", "part"))
+    got = rows_of(spark, here, "mosaic_relation")
+    assert got == sorted({(p, o) for o, p in lines}) == by_sql(here, "mosaic_relation", "part", "lineitem")
+    got = rows_of(spark, here, "grid_cell_dists")
+    same(got, by_sql(here, "grid_cell_dists", "part"))
     assert {r[0] for r in got} == {100, 200} and len(got) == 2 * 17 * 250
-    got = rows_of(spark, folder, "match_rate_whole")
-    same(got, by_sql(folder, "match_rate_whole"))
+    got = rows_of(spark, folder, "match_rate")
+    same(got, by_sql(folder, "match_rate"))
     same(got, [(np.mean(label[:, None] == label), np.log(np.mean(label[:, None] == label)))])
