@@ -1,25 +1,30 @@
-"""An interpolated modified Kneser-Ney bigram model of a corpus.
+"""An interpolated modified Kneser-Ney model of a corpus, of any order from 2 on.
 
-Counting: tasks hash the words of their texts, count pairs of neighbours within
-about 2 million tokens, and send binary blocks of distinct pairs to shards by the
-pair's first word; pairs of the words that alone make up a fair share of a shard
+Counting, for order 2: tasks hash the words of their texts, count pairs of neighbours
+within about 2 million tokens, and send binary blocks of distinct pairs to shards by
+the pair's first word; pairs of the words that alone make up a fair share of a shard
 are spread by both words.  A shard merges its pairs and writes them as sorted
 64-bit hashes with counts.  What its pairs say of single words, as contexts and
 as continuations, goes on to the lexicon, sharded by word, whose files hold the
 sorted word hashes with their counts and context statistics.
 
+For a higher order the same is done with a hash of the order - 1 words before in the
+first word's place.  What the grams of a level say of their contexts goes to files of
+contexts, and with each gram's first word left out they are the grams of the level
+below, each counted as often as there are words that come before it.
+
 Scoring: tasks memory-map the files, find every token in the lexicon and every
-pair among the pairs by bucketed search, and add up the log probabilities of a
-text.  With c the count of a pair, t, n1, n2, n3 its first word's number of
-pairs, and of those seen once, twice, more:
+gram among the grams by bucketed search, and add up the log probabilities of a
+text.  With c the count of a gram, t, n1, n2, n3 its context's number of
+grams, and of those seen once, twice, more:
 
-    p(w | v) = max(c - D(c), 0) / t + (D1 n1 + D2 n2 + D3 n3) / t * p(w)
+    p(w | v) = max(c - D(c), 0) / t + (D1 n1 + D2 n2 + D3 n3) / t * p(w | shorter v)
 
-and likewise p(w) from the number of words that precede w, interpolated with
-1 / (V + 1), so that an unknown word has a share too.  A text starts after a
-start mark, which is no token, and ends with an end token.
+and at last p(w) from the number of words that precede w, interpolated with
+1 / (V + 1), so that an unknown word has a share too.  A text starts after
+order - 1 start marks, which are no tokens, and ends with an end token.
 
-The files hold every pair of the corpus and grow with it; nothing but S counts
+The files hold every gram of the corpus and grow with it; nothing but S counts
 and the hot words (under 8 S of them) passes through the driver, with S shards: a
 power of two, about one for every ``shard_bytes`` of text, so that a shard's size
 doesn't grow with the corpus until there are 2**18.  A model knows which shards it
@@ -62,6 +67,16 @@ def _before(tokens: np.ndarray, begins: np.ndarray, start) -> np.ndarray:
     return v
 
 
+def _contexts(tokens: np.ndarray, begins: np.ndarray, order: int, start) -> list[np.ndarray]:
+    """Hashes of the order - 1 words before each token, of the order - 2 before it, ... and of the one before it."""
+    before = _before(tokens, begins, start)
+    out = [before]
+    for _ in range(order - 2):
+        before = _before(before, begins, start)
+        out.append(_pair(before, out[-1]))
+    return out[::-1]
+
+
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys)
     found, starts = runs(keys[order])
@@ -130,27 +145,36 @@ def _discounts(n: list[float]) -> list[float]:
 class KneserNey:
     """A fitted model: where its files are and a few totals.  Small enough for any closure."""
 
-    def __init__(self, folder: str, bits: int, hot: np.ndarray, tokens: int, words: int, pairs: list[float], single: list[float], written: dict[str, np.ndarray]):
-        self.folder, self.bits, self.hot, self.tokens, self.words, self.written = folder, bits, hot, tokens, words, written
-        self.d2, self.d1, self.kinds = _discounts(pairs[:4]), _discounts(single[:4]), single[5]
+    def __init__(self, folder: str, order: int, bits: int, hot: np.ndarray, tokens: int, words: int, grams: dict[int, list[float]], single: list[float], written: dict[str, np.ndarray]):
+        self.folder, self.order, self.bits, self.hot, self.tokens, self.words, self.written = folder, order, bits, hot, tokens, words, written
+        self.d, self.d1, self.kinds = {m: _discounts(n[:4]) for m, n in grams.items()}, _discounts(single[:4]), single[5]
         self.open_mass = sum(d * n for d, n in zip(self.d1, (single[0], single[1], single[4] - single[0] - single[1])))
 
     @staticmethod
-    def fit(texts: DataFrame, *, text_col: str = "text", shard_bytes: int = 1 << 24) -> KneserNey:
+    def fit(texts: DataFrame, *, text_col: str = "text", order: int = 2, shard_bytes: int = 1 << 24) -> KneserNey:
         """Count every row of texts."""
+        if order < 2:
+            raise ValueError("order must be at least 2")
         spark = texts.sparkSession
         folder = store.new_folder(spark, "kneser-ney")
         rows = texts.select(F.col(text_col).cast("string").alias("text"))
         size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
         bits = min(18, max(3, (size // shard_bytes).bit_length()))
         tokens, words, hot, own = _count_words(rows, folder, bits)
-        pairs, paired = _count_pairs(rows, folder, bits, hot)
-        single, listed = _lexicon(spark, folder, bits, own)
-        return KneserNey(folder, bits, hot, tokens, words, pairs, single, {"pairs": paired, "lexicon": listed})
+        blocks, sums, written = _count_grams(rows, bits, hot, order), {}, {}
+        for m in range(order, 1, -1):
+            saved = _merge_grams(spark, blocks, folder, bits, hot, m)
+            r = saved.where("sums is not null").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).first()
+            sums[m], written[f"grams-{m}"] = [float(x or 0) for x in r], _written(saved.select("made"), bits)
+            if m > 2:
+                written[f"contexts-{m}"] = _merge_contexts(saved.where("ctx is not null"), folder, bits, m)
+                blocks = saved.where("w is not null").select("shard", "n", *[f"k{j}" for j in range(m - 1, 1, -1)], "w", "c")
+        single, written["lexicon"] = _lexicon(spark, folder, bits, own)
+        return KneserNey(folder, order, bits, hot, tokens, words, sums, single, written)
 
     def _lookup(self, kind: str, shard: np.ndarray, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         out = [np.zeros(len(keys), np.int64) for _ in names]
-        skip = self.bits if kind == "lexicon" else 0
+        skip = 0 if kind.startswith("grams") else self.bits  # leading bits that are the same in all of a shard
         for k, own in _by_shard(shard):
             if not self.written[kind][k]:
                 continue
@@ -159,26 +183,27 @@ class KneserNey:
             have = at >= 0
             for o, name in zip(out, names):
                 o[own[have]] = p[name][at[have]]
-            if kind == "pairs" and len(p["many"]):
+            if kind.startswith("grams") and len(p["many"]):
                 big = own[have][p["counts"][at[have]] == 255]
                 if len(big):
                     out[0][big] = p["many"][np.searchsorted(p["many_keys"], keys[big])]
         return out
 
     def token_logs(self, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each token after the one before it in its text, and each one's count in the corpus."""
-        names = ("counts", "kinds", "total", "n1", "n2", "n3")
-        found = self._lookup("lexicon", tokens >> U64(64 - self.bits), tokens, names)
-        start = self._lookup("lexicon", np.asarray([START >> U64(64 - self.bits)]), np.asarray([START]), names)
-        total, n1, n2, n3 = (_before(x, begins, s[0]) for x, s in zip(found[2:], start[2:]))
-        v = _before(tokens, begins, START)
-        c = self._lookup("pairs", _shard_of(v, tokens, self.hot, self.bits), _pair(v, tokens), ("counts",))[0]
+        """log10 p of each token after those before it in its text, and each one's count in the corpus."""
+        names, of = ("counts", "kinds", "total", "n1", "n2", "n3"), U64(64 - self.bits)
+        found = self._lookup("lexicon", tokens >> of, tokens, names)
+        start = self._lookup("lexicon", np.asarray([START >> of]), np.asarray([START]), names)
         kinds = found[1]
-        single = 1 / (self.words + 1) if not self.kinds else (np.maximum(kinds - np.asarray([0.0, *self.d1])[np.minimum(kinds, 3)], 0) + self.open_mass / (self.words + 1)) / self.kinds
-        less = np.asarray([0.0, *self.d2])
-        spared = self.d2[0] * n1 + self.d2[1] * n2 + self.d2[2] * n3
-        known = np.maximum(total, 1)
-        p = np.where(total > 0, (np.maximum(c - less[np.minimum(c, 3)], 0) + spared * single) / known, single)
+        p = 1 / (self.words + 1) if not self.kinds else (np.maximum(kinds - np.asarray([0.0, *self.d1])[np.minimum(kinds, 3)], 0) + self.open_mass / (self.words + 1)) / self.kinds
+        contexts = _contexts(tokens, begins, self.order, START)
+        v = contexts[-1]
+        for m in range(2, self.order + 1):
+            ctx = contexts[self.order - m]
+            total, n1, n2, n3 = (_before(x, begins, s[0]) for x, s in zip(found[2:], start[2:])) if m == 2 else self._lookup(f"contexts-{m}", ctx >> of, ctx, names[2:])
+            c = self._lookup(f"grams-{m}", _shard_of(ctx, v, tokens, self.hot, self.bits), _pair(ctx, tokens), ("counts",))[0]
+            d = self.d[m]
+            p = np.where(total > 0, (np.maximum(c - np.asarray([0.0, *d])[np.minimum(c, 3)], 0) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * p) / np.maximum(total, 1), p)
         return np.log10(p), found[0]
 
     def score(self, docs: DataFrame, keep: list[str], *, text_col: str = "text") -> DataFrame:
@@ -206,12 +231,13 @@ class KneserNey:
         return rows.mapInArrow(look, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _shard_of(v: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    key = v.copy()
+def _shard_of(ctx: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    """By the context, and where the word before, v, is hot by the word too."""
+    key = ctx.copy()
     if len(hot):
         at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
         spread = hot[at] == v
-        key[spread] = mix(v[spread] ^ w[spread])
+        key[spread] = mix(ctx[spread] ^ w[spread])
     return (key >> U64(64 - bits)).astype(np.int64)
 
 
@@ -251,59 +277,89 @@ def _count_words(rows: DataFrame, folder: str, bits: int) -> tuple[int, int, np.
     return n, v, np.unique(np.append(hot, START)), _written(got.select("shard"), bits)
 
 
-def _count_pairs(rows: DataFrame, folder: str, bits: int, hot: np.ndarray) -> tuple[list[float], np.ndarray]:
+def _blocks(k: list[np.ndarray], w: np.ndarray, c: np.ndarray, hot: np.ndarray, bits: int) -> dict[str, list]:
+    """Grams as binary blocks, one for each shard: k are the contexts' hashes, the longest first, and the word before last."""
+    order = np.argsort(k[0])
+    k, w, c = [x[order] for x in k], w[order], c[order]
+    out: dict[str, list] = {x: [] for x in ("shard", "n", *(f"k{j}" for j in range(len(k) + 1, 1, -1)), "w", "c")}
+    for shard, own in _by_shard(_shard_of(k[0], k[-1], w, hot, bits)):
+        each, starts = runs(k[0][own])
+        for name, x in zip(out, (shard, _small(np.diff(starts)), each.tobytes(), *(y[own].tobytes() for y in k[1:]), w[own].tobytes(), _small(c[own]))):
+            out[name].append(x)
+    return out
+
+
+def _block_types(m: int) -> str:
+    return f"shard long, n binary, {', '.join(f'k{j} binary' for j in range(m, 1, -1))}, w binary, c binary"
+
+
+def _distinct(ctx: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of grams: the sorted distinct keys, where one of each is, and the sum of each one's counts."""
+    keys = _pair(ctx, w)
+    order = np.argsort(keys)
+    keys, starts = runs(keys[order])
+    return keys, order[starts[:-1]], np.add.reduceat(c[order], starts[:-1]) if len(keys) else c[:0]
+
+
+def _count_grams(rows: DataFrame, bits: int, hot: np.ndarray, order: int) -> DataFrame:
+    """Blocks of the distinct grams of each stretch of text."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = (pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["t", "text"]) for b in batches)
         for t in cut_rows(numbered, COUNT_BYTES):
             w, begins = _tokens(t.column("text"))
-            v = _before(w, begins, START)
-            key = _pair(v, w)
-            order = np.argsort(key)
-            _, starts = runs(key[order])
-            first = order[starts[:-1]]
-            v, w, c = v[first], w[first], np.diff(starts)
-            order = np.argsort(v)
-            v, w, c = v[order], w[order], c[order]
-            out = {k: [] for k in ("shard", "v", "n", "w", "c")}
-            for shard, own in _by_shard(_shard_of(v, w, hot, bits)):
-                each, starts = runs(v[own])
-                for k, x in zip(out, (shard, each.tobytes(), _small(np.diff(starts)), w[own].tobytes(), _small(c[own]))):
-                    out[k].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("v", "n", "w", "c"))], names=list(out))
+            k = _contexts(w, begins, order, START)
+            _, first, c = _distinct(k[0], w, np.ones(len(w), np.int64))
+            out = _blocks([x[first] for x in k], w[first], c, hot, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if name == "shard" else pa.binary()) for name, x in out.items()], names=list(out))
         store.release_memory()
 
+    return rows.mapInArrow(count, _block_types(order))
+
+
+def _merge_grams(spark: SparkSession, blocks: DataFrame, folder: str, bits: int, hot: np.ndarray, m: int) -> DataFrame:
+    """Write each shard's grams of m words; and as rows what they say of contexts, of words or of the grams below, counts of counts, and which shards there are."""
+    names = ["v", "total", "n1", "n2", "n3", "w", "kinds"] if m == 2 else ["ctx", "total", "n1", "n2", "n3", "n", *(f"k{j}" for j in range(m - 1, 1, -1)), "w", "c"]
+
     def merge(key, t):
         shard = key[0].as_py()
-        v = np.concatenate([np.repeat(np.frombuffer(a, U64), _unsmall(b).astype(np.int64)) for a, b in zip(t.column("v").to_pylist(), t.column("n").to_pylist())])
-        w, c = _all(t, "w"), _all(t, "c", True)
-        keys = _pair(v, w)
-        order = np.argsort(keys)
-        keys, starts = runs(keys[order])
-        first = order[starts[:-1]]
-        v, w, c = v[first], w[first], np.add.reduceat(c[order], starts[:-1])
+        ctx = np.concatenate([np.repeat(np.frombuffer(a, U64), _unsmall(b).astype(np.int64)) for a, b in zip(t.column(f"k{m}").to_pylist(), t.column("n").to_pylist())])
+        k, w = [_all(t, f"k{j}") for j in range(m - 1, 1, -1)], _all(t, "w")
+        keys, first, c = _distinct(ctx, w, _all(t, "c", True))
+        ctx, k, w = ctx[first], [x[first] for x in k], w[first]
         many = c >= 255
-        store.put_pack(f"{folder}/pairs/{shard}.pack", keys=keys, buckets=_buckets(keys, 0), counts=np.minimum(c, 255).astype(np.uint8), many_keys=keys[many], many=c[many].astype(np.int64))
-        contexts = _sum_by(v, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-        follow = _sum_by(w, np.ones(len(w), np.int64))
-        out = {k: [] for k in ("shard", "v", "total", "n1", "n2", "n3", "w", "kinds")}
-        for names, arrays in ((("v", "total", "n1", "n2", "n3"), contexts), (("w", "kinds"), follow)):
+        store.put_pack(f"{folder}/grams-{m}/{shard}.pack", keys=keys, buckets=_buckets(keys, 0), counts=np.minimum(c, 255).astype(np.uint8), many_keys=keys[many], many=c[many].astype(np.int64))
+        rows: list[dict] = []
+        tables = [(("ctx" if m > 2 else "v", "total", "n1", "n2", "n3"), _sum_by(ctx, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)))]
+        if m == 2:
+            tables.append((("w", "kinds"), _sum_by(w, np.ones(len(w), np.int64))))
+        for head, arrays in tables:
             which, at = runs((arrays[0] >> U64(64 - bits)).astype(np.int64))
-            for k, a, b in zip(which.tolist(), at, at[1:]):
-                for name in out:
-                    out[name].append(k if name == "shard" else None)
-                for name, x in zip(names, arrays):
-                    out[name][-1] = x[a:b].tobytes() if name in "vw" else _small(x[a:b])
-        n = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        sums = pa.array([n] + [None] * (len(out["shard"]) - 1), pa.list_(pa.int64()))
-        made = pa.array(np.full(len(sums), shard), pa.int64())
-        return pa.Table.from_arrays([pa.array(out["shard"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in list(out)[1:]), sums, made], names=[*out, "sums", "made"])
-
-    schema = "shard long, v binary, total binary, n1 binary, n2 binary, n3 binary, w binary, kinds binary, sums array<long>, made long"
-    got = rows.mapInArrow(count, "shard long, v binary, n binary, w binary, c binary").groupBy("shard").applyInArrow(merge, schema)
-    got.write.option("compression", "none").parquet(f"{folder}/stats")
-    saved = rows.sparkSession.read.schema(schema).parquet(f"{folder}/stats")
-    r = saved.where("sums is not null").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).first()
-    return [float(x or 0) for x in r], _written(saved.select("made"), bits)
+            for s, a, b in zip(which.tolist(), at, at[1:]):
+                rows.append({"shard": s} | {name: x[a:b].tobytes() if j == 0 else _small(x[a:b]) for j, (name, x) in enumerate(zip(head, arrays))})
+        if m > 2:
+            _, below, n = _distinct(k[0], w, np.ones(len(w), np.int64))
+            out = _blocks([x[below] for x in k], w[below], n, hot, bits)
+            rows += [dict(zip(out, x)) for x in zip(*out.values())]
+        sums = pa.array([[int((c == j).sum()) for j in (1, 2, 3, 4)]] + [None] * (len(rows) - 1), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array([r["shard"] for r in rows], pa.int64()), *(pa.array([r.get(x) for r in rows], pa.binary()) for x in names), sums, pa.array(np.full(len(rows), shard), pa.int64())], names=["shard", *names, "sums", "made"])
+
+    schema = f"shard long, {', '.join(f'{x} binary' for x in names)}, sums array<long>, made long"
+    blocks.groupBy("shard").applyInArrow(merge, schema).write.option("compression", "none").parquet(f"{folder}/stats-{m}")
+    return spark.read.schema(schema).parquet(f"{folder}/stats-{m}")
+
+
+def _merge_contexts(stats: DataFrame, folder: str, bits: int, m: int) -> np.ndarray:
+    """Write the contexts of m - 1 words of each shard; which shards there are."""
+
+    def merge(key, t):
+        shard = key[0].as_py()
+        keys, total, *n = _sum_by(_all(t, "ctx"), *(_all(t, x, True) for x in ("total", "n1", "n2", "n3")))
+        store.put_pack(f"{folder}/contexts-{m}/{shard}.pack", keys=keys, buckets=_buckets(keys, bits), total=total.astype(np.int64), **{f"n{j + 1}": x.astype(np.uint32) for j, x in enumerate(n)})
+        return pa.table({"shard": pa.array([shard], pa.int64())})
+
+    got = stats.select("shard", "ctx", "total", "n1", "n2", "n3").groupBy("shard").applyInArrow(merge, "shard long")
+    return _written(got, bits)
 
 
 def _lexicon(spark: SparkSession, folder: str, bits: int, written: np.ndarray) -> tuple[list[float], np.ndarray]:
@@ -324,7 +380,7 @@ def _lexicon(spark: SparkSession, folder: str, bits: int, written: np.ndarray) -
         k = out["kinds"]
         return pa.table({"shard": pa.array([shard], pa.int64()), "x": pa.array([[*(float((k == j).sum()) for j in (1, 2, 3, 4)), float((k > 0).sum()), float(k.sum())]], pa.list_(pa.float64()))})
 
-    stats = spark.read.parquet(f"{folder}/stats").drop("sums", "made").where("shard is not null")
+    stats = spark.read.parquet(f"{folder}/stats-2").drop("sums", "made").where("shard is not null")
     got = stats.groupBy("shard").applyInArrow(merge, "shard long, x array<double>")
     got.write.parquet(f"{folder}/lexicon-list")
     got = spark.read.schema(got.schema).parquet(f"{folder}/lexicon-list")
@@ -332,8 +388,8 @@ def _lexicon(spark: SparkSession, folder: str, bits: int, written: np.ndarray) -
     return [float(x or 0) for x in r], _written(got.select("shard"), bits)
 
 
-def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
-    """Learn from the rows whose crc32(id as text) mod folds is not held, and score every row.
+def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, order: int = 2) -> DataFrame:
+    """Learn from the rows whose crc32(id as text) mod folds is not held, with grams of up to order words, and score every row.
 
     Returns the id, held_out, n_tokens, n_known, train_tokens, base_score and score.  A null or empty
     text is an end token only; a null id is never held out; repeated rows count and are scored each;
@@ -342,5 +398,5 @@ def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model = KneserNey.fit(rows.where(~F.col("held_out")))
+    model = KneserNey.fit(rows.where(~F.col("held_out")), order=order)
     return model.score(rows, ["id", "held_out"]).withColumnRenamed("id", id_col)

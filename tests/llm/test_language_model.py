@@ -19,19 +19,19 @@ def corpus():
     return docs + [(None, "the a the b,"), (200, None), (201, ""), (202, " \n"), (5, "the the the the zz"), (5, "the the the the zz"), (203, "unknown things " * 300)]
 
 
-def brute(docs):
+def brute(docs, order=2):
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + ["</s>"]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs]
-    c, pairs = Counter(), Counter()
+    grams = lambda w, m: zip(*[(["<s>"] * (m - 1) + w)[k:] for k in range(m)])
+    c, levels = Counter(), {order: Counter()}
     for (_, t), h in zip(docs, held):
         if not h:
             w = tok(t)
             c.update(w)
-            pairs.update(zip(["<s>", *w], w))
+            levels[order].update(grams(w, order))
     n, v = sum(c.values()), len(c)
-    kinds, by_v = Counter(w for _, w in pairs), defaultdict(list)
-    for (a, _), x in pairs.items():
-        by_v[a].append(x)
+    for m in range(order - 1, 0, -1):  # each gram below counts the words that come before it
+        levels[m] = Counter(g[1:] for g in levels[m + 1])
 
     def discounts(values):
         k = [sum(x == j for x in values) for j in (1, 2, 3, 4)]
@@ -40,28 +40,43 @@ def brute(docs):
         y = k[0] / (k[0] + 2 * k[1])
         return [0] + [min(max(j - (j + 1) * y * k[j] / k[j - 1], 0), j) for j in (1, 2, 3)]
 
-    d2, d1 = discounts(pairs.values()), discounts(kinds.values())
-    t = sum(kinds.values())
-    open_ = sum(d1[min(x, 3)] for x in kinds.values())
-
-    def single(w):
-        return (max(kinds[w] - d1[min(kinds[w], 3)], 0) + open_ / (v + 1)) / t if t else 1 / (v + 1)
-
-    def p(a, w):
-        if a not in by_v:
-            return single(w)
-        x = pairs[a, w]
-        return (max(x - d2[min(x, 3)], 0) + sum(d2[min(y, 3)] for y in by_v[a]) * single(w)) / sum(by_v[a])
-
-    for a in list(by_v)[:5]:
-        assert math.isclose(sum(p(a, w) for w in c) + p(a, "never seen"), 1)
+    d = {m: discounts(x.values()) for m, x in levels.items()}
+    after = {m: defaultdict(list) for m in levels}
+    for m, x in levels.items():
+        for g, k in x.items():
+            after[m][g[:-1]].append(k)
+
+    def p(context, w):
+        if context is None:
+            return 1 / (v + 1)
+        m = len(context) + 1
+        below = p(context[1:] if context else None, w)
+        if not (have := after[m].get(context)):
+            return below
+        x = levels[m][(*context, w)]
+        return (max(x - d[m][min(x, 3)], 0) + sum(d[m][min(y, 3)] for y in have) * below) / sum(have)
+
+    for context in list(after[order])[:5]:
+        assert math.isclose(sum(p(context, w) for w in c) + p(context, "never seen"), 1)
     out = []
     for (i, text), h in zip(docs, held):
         w = tok(text)
-        out.append((i, h, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(a, x)) for a, x in zip(["<s>", *w], w))))
+        out.append((i, h, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(g[:-1], g[-1])) for g in grams(w, order))))
     return out
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_higher_orders_against_brute_force(spark, order):
+    docs = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, K.language_model_scores(d, order=order).collect()), key=lambda r: str(r[:3]))
+    for g, w in zip(got, sorted(brute(docs, order), key=lambda r: str(r[:3])), strict=True):
+        assert g[:5] == w[:5] and g[6] == pytest.approx(w[6], abs=1e-9)
+    assert K.language_model_scores(d.limit(0), order=order).collect() == []
+    with pytest.raises(ValueError):
+        K.KneserNey.fit(d, order=1)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_scores_against_brute_force(spark, monkeypatch, small):
     if small:
@@ -82,7 +97,7 @@ def test_scores_against_brute_force(spark, monkeypatch, small):
 
 def test_a_missing_shard_is_an_error(spark):
     d = spark.createDataFrame([(k, f"some words {k} and more") for k in range(40)], "doc_id long, text string")
-    for kind in ("pairs", "lexicon"):
+    for kind in ("grams-2", "lexicon"):
         model = K.KneserNey.fit(d)
         assert model.written[kind].sum() > 3 and model.score(d, ["doc_id"]).count() == 40
         shard = int(np.flatnonzero(model.written[kind])[1])
