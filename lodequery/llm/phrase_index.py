@@ -165,7 +165,8 @@ def write_phrases(items: DataFrame, folder: str, *, id_col: str = "item_id", tex
             ids, texts = (c.chunk(0) for c in t.columns)
             w = split(texts, ALNUM)
             names = [x.encode() if x is not None else b"" for x in ids.to_pylist()]
-            store.put_pack(path, words=w.hashes, bounds=w.bounds.astype(np.int64), valid=ids.is_valid().to_numpy(zero_copy_only=False), names=np.frombuffer(b"".join(names), np.uint8), name_ends=np.cumsum([0, *map(len, names)]))
+            terms, inverse = np.unique(w.hashes, return_inverse=True)
+            store.put_pack(path, words=w.hashes, terms=terms, inverse=inverse.reshape(-1).astype(np.int32), bounds=w.bounds.astype(np.int64), valid=ids.is_valid().to_numpy(zero_copy_only=False), names=np.frombuffer(b"".join(names), np.uint8), name_ends=np.cumsum([0, *map(len, names)]))
             yield pa.RecordBatch.from_pydict({"path": [path]})
 
     rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -179,8 +180,7 @@ class Windows:
         self.words, bounds = np.asarray(block["words"]), np.asarray(block["bounds"])
         names, ends = block["names"].tobytes(), block["name_ends"].tolist()
         self.names = [names[a:b].decode() if ok else None for a, b, ok in zip(ends, ends[1:], block["valid"].tolist())]
-        self.terms, inverse = np.unique(self.words, return_inverse=True)
-        self.inverse = inverse.reshape(-1)
+        self.terms, self.inverse = np.asarray(block["terms"]), np.asarray(block["inverse"])
         n = np.diff(bounds)
         many = np.where(n > window, n - window + 1, np.minimum(n, 1))
         self.item = np.repeat(np.arange(len(n)), many)
