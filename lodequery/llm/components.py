@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from . import store
 
 
+#: Links that need no spreading.
+FEW = 50_000
+
+
 def _saved(df: DataFrame, path: str) -> tuple[DataFrame, tuple]:
     """The edges as written and read back, and figures that tell when they have settled."""
     seen = Observation()
@@ -21,13 +25,16 @@ def _saved(df: DataFrame, path: str) -> tuple[DataFrame, tuple]:
     return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["h"])
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, on: str | list[str], total: int, *, weight: str = "_c") -> DataFrame:
+def spread_join(rows: DataFrame, lookup: DataFrame, on: str | list[str], total: int, *, weight: str = "_c", few: int = 0) -> DataFrame:
     """rows joined with lookup's one row for each key; rows without one are left out.
 
     weight says how many of the rows have the key, and total how many rows there are.  Keys with more than a
     task's share of the rows, which can't be more than there are tasks, are broadcast; the others' rows are
-    shuffled, so no task gets more than about two shares.
+    shuffled, so no task gets more than about two shares.  Up to ``few`` rows are joined as they are: any task
+    can hold them, and the plan is smaller.
     """
+    if total <= few:
+        return rows.join(lookup.drop(weight), on)
     tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     many = F.col(weight) > max(64, total // tasks)
     keys, names = [on] if isinstance(on, str) else list(on), [c for c in lookup.columns if c not in ({on} if isinstance(on, str) else set(on)) and c != weight]
@@ -52,11 +59,11 @@ def components(links: DataFrame, *, max_rounds: int = 60, folder: str | None = N
         # Large star: a vertex's larger neighbours are linked to its smallest neighbour.
         both = edges.union(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_c")).select("a", F.least("a", "m").alias("m"), "_c")
-        large = spread_join(edges.select(a.alias("v"), b.alias("a")), low, "a", n).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = spread_join(edges.select(a.alias("v"), b.alias("a")), low, "a", n, few=FEW).select(F.col("v").alias("a"), F.col("m").alias("b"))
         # Small star: a vertex and its smaller neighbours are linked to the smallest of them.
         large = large.where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_c"))
-        small = spread_join(large, low, "a", n).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        small = spread_join(large, low, "a", n, few=FEW).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges, now = _saved(small.where("a > b").distinct(), f"{folder}/{k}")
         n = now[0]
         if now == previous:

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textfeatures as T
 
 
@@ -71,7 +72,9 @@ class OrdinalModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, train=None) -> OrdinalModel:
     """Fit on at most ``most`` labelled rows."""
     sample = T.labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, most=most, train=train)
-    return OrdinalModel.fit(*T.fetch(sample, lambda t: T.document_features(t, True)))
+    model = OrdinalModel.fit(*T.fetch(sample, lambda t: T.document_features(t, True)))
+    store.release_memory()  # the driver's, of the sample
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good: float = 1.0, cut: float = 0.5, most: int = 20_000, model: OrdinalModel | None = None, keep: list | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textfeatures as T
 from .wordhash import ALNUM, U64, split
 
@@ -117,6 +118,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     rest = F.crc32(F.col(id_col).cast("string")) % folds
     sample = T.labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, most=most, train=rest != held)
     model = CounterfactualModel.fit(*T.fetch(sample, lambda t: T.document_features(t, False)), **options)
+    store.release_memory()  # the driver's, of the sample
 
     def score(texts):
         s, change = model.scores(texts)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodequery.llm import components as C
 from lodequery.llm import jaccard as J
 from lodequery.llm.components import components, spread_join
 
@@ -125,7 +126,9 @@ def test_bitmap_bound_never_undercounts():
         assert len(np.intersect1d(x, y)) <= bound
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW", few)
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (200, 200), (None, 3), (150, 120), (150, 120)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 151)} | {200: 200}
