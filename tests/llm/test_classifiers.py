@@ -152,7 +152,8 @@ def labelled(spark, name, train):
     return docs, [(docs[i], y) for i, y in sorted(labels.items()) if train(i)]
 
 
-def test_op3_against_brute_force(spark):
+def plain_quality(spark):
+    """P(good) of every document, by brute force."""
     docs, rated = labelled(spark, "quality", lambda i: True)
     rows, y = [plain_features(t, True) for t, _ in rated], [int(q) for _, q in rated]
     keys = sorted(plain_telling(rows, y, 3.5, 3, 4096), key=str)
@@ -164,9 +165,13 @@ def test_op3_against_brute_force(spark):
         return np.append(-(m.T @ d) + 0.5 * x[:-1], d.sum()) / len(level)
 
     x = plain_adam(gradient, np.append(np.zeros(len(keys)), np.log(share / (1 - share))))
-    want = {i: 1 - logistic(x[-1] - dense([plain_features(t, True)], keys) @ x[:-1])[0] for i, t in docs.items()}
-    got = L.op3_ordinal_quality(spark, SF).collect()
-    assert len(keys) > 3 and len(got) == len(docs)
+    assert len(keys) > 3
+    return {i: 1 - logistic(x[-1] - dense([plain_features(t, True)], keys) @ x[:-1])[0] for i, t in docs.items()}
+
+
+def test_op3_against_brute_force(spark):
+    want, got = plain_quality(spark), L.op3_ordinal_quality(spark, SF).collect()
+    assert len(got) == len(want)
     for r in got:
         assert r.p_good == pytest.approx(want[r.doc_id], abs=1e-6) and r.expected_grade == pytest.approx(want[r.doc_id], abs=1e-6) and r.keep == (r.p_good >= 0.5)
 

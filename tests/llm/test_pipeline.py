@@ -1,11 +1,21 @@
 import os
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from lodequery.llm import jaccard, phrase_index, quality
 
+from .test_classifiers import plain_quality
+from .test_jaccard import brute as plain_groups
+from .test_mixture import brute as plain_mixture
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -48,6 +58,29 @@ def test_stages_take_nulls_repeats_and_nothing(spark, stage):
     assert stage(spark, docs.limit(0), SF).collect() == []
 
 
-def test_run(spark):
-    out = C.run(spark, SF).collect()
-    assert out and sorted(r.start for r in out)[0] == 0 and 4 <= len(C.STAGES) <= 5
+def test_run_against_brute_force(spark):
+    """Every stage again in plain Python; the rows of the last one, and which documents each stage leaves."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    good = plain_quality(spark)
+    left = {i for i in docs if good[i] >= C.SURELY_BAD}
+    assert left < set(docs)
+    groups, *_ = plain_groups([(i, docs[i].text) for i in sorted(left)])
+    left = {i for i, n, first in groups if i == first or not n}
+    assert len(left) < len(groups)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    windows = set().union(*(runs(w, min(len(w), 10)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := words(r.text))))
+    sizes = {len(w) for w in windows}
+    hit = {i for i in left if any(runs(words(docs[i].text), n) & windows for n in sizes)}
+    assert hit
+    left -= hit
+    drawn, *_ = plain_mixture([(i, docs[i].text, docs[i].source) for i in sorted(left)])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, *_ in drawn:
+        ids = np.asarray([*library.encode(docs[i].text or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    out = C.run(spark, SF).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+    assert [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out)])[:-1].tolist()
+    assert 4 <= len(C.STAGES) <= 5
