@@ -1,15 +1,21 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
 Vectors are cut into shards, each with a ball tree in a file of the shared
-folder; queries are written in blocks.  A task maps a shard and takes the blocks
-one after the other, so neither side is gathered anywhere.  For a query q, no
-vector of a ball with centre c and radius r scores more than q.c + |q| r; nodes
-whose bound is under the query's current k-th score are dropped, level by level,
-and the leaves left are visited from the highest bound down while the k-th score
-rises.  The k-th scores are shared: a first pass over at most ``seeds`` shards
-looks into each query's most promising leaf only, and every shard starts from the
-k-th best score found there.  That is a lower bound of the true one, so nothing
-is lost, and only candidates that reach it leave a shard.
+folder; queries are written in blocks.  Before the cut each partition is sorted by
+the nearest of a few pivots, so shards hold neighbours and their balls are narrow;
+that takes no shuffle, and a cluster of any size is spread as its rows were.  A
+task maps a shard and takes the blocks one after the other, so neither side is
+gathered anywhere.  For a query q, no vector of a ball with centre c and radius r
+scores more than q.c + |q| r; nodes whose bound is under the query's current k-th
+score are dropped, level by level, and the leaves left are visited from the highest
+bound down while the k-th score rises.
+
+The k-th scores are shared.  A first pass over about ``seeds`` shards looks into each
+query's most promising leaf only.  Then shards are searched in waves, about ``seeds``
+first and each wave GROWTH times all before it; every wave starts from the k-th best
+scores found so far.  These are lower bounds of the true ones, so nothing is lost,
+only candidates that reach them leave a shard, and a query's candidates number about
+k * GROWTH in each wave, whatever the number of shards.
 
 Components are floor(scale * x) and scores whole numbers; bounds are in floating
 point with a margin for rounding.
@@ -27,6 +33,10 @@ from pyspark.sql import functions as F
 
 from . import store
 
+#: How many times the shards searched so far the next wave takes.
+GROWTH = 8
+#: Vectors of the smallest hashes of their ids that neighbours are told by.
+PIVOTS = 64
 LOWEST = np.iinfo(np.int64).min + 1  # its negative is a number too
 
 
@@ -141,6 +151,28 @@ def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return store.whole_ids(df, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite)
 
 
+def _by_pivot(df: DataFrame) -> DataFrame:
+    """Usable rows, each partition sorted by the nearest of at most PIVOTS vectors of its dimension; an order only, no row is lost."""
+    chosen: dict[int, list] = {}
+    for r in df.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect():
+        chosen.setdefault(len(r.v), []).append(r.v)
+    pivots = {dim: np.asarray(v, float).reshape(len(v), dim) for dim, v in chosen.items()}
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            size, at = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            flat, out = lists.flatten().to_numpy(zero_copy_only=False), np.full(len(b), -1, np.int32)
+            for dim in np.intersect1d(size, list(pivots)).tolist():
+                own, p = np.flatnonzero(size == dim), pivots[dim]
+                x = flat[at[own][:, None] + np.arange(dim)]
+                with np.errstate(over="ignore", invalid="ignore"):  # huge components: any pivot will do
+                    out[own] = ((p * p).sum(axis=1) - 2 * (x @ p.T)).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out)], ["id", "v", "near"])
+
+    return df.mapInArrow(near, "id long, v array<double>, near int").sortWithinPartitions("near", "id")
+
+
 def _packs(df: DataFrame, folder: str, name: str, most: int, scale: float, leaf: int | None) -> DataFrame:
     """Write the vectors in files of at most ``most``, by dimension; (path, dim) of each."""
 
@@ -188,12 +220,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float =
     """
     spark = vectors.sparkSession
     folder = store.new_folder(spark, "balltree")
-    shards = _packs(_usable(vectors, id_col, vec_col), folder, "shards", shard, scale, leaf)
+    shards = _packs(_by_pivot(_usable(vectors, id_col, vec_col)), folder, "shards", shard, scale, leaf)
     blocks = _packs(_usable(queries, id_col, vec_col), folder, "queries", block, scale, None)
     block_list = [(r.path, r.dim) for r in blocks.orderBy("path").collect()]  # a path for each block of queries
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def look(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch], floors: dict[int, str], first: bool = False) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, dim in zip(b.column("path").to_pylist(), b.column("dim").to_pylist()):
                 tree = store.mapped_pack(path)
@@ -201,9 +233,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float =
                     if block_dim != dim:
                         continue
                     q = store.mapped_pack(block_path)
-                    floor = np.full(len(q["ids"]), LOWEST, np.int64)
-                    if not first and n in started:
-                        floor = store.mapped_pack(f"{folder}/floors/{n}.pack")["floor"]
+                    floor = store.mapped_pack(floors[n])["floor"] if n in floors else np.full(len(q["ids"]), LOWEST, np.int64)
                     best = search_tree(tree, q["x"], q["ids"], floor, k, first)
                     row, col = np.nonzero((best.scores > LOWEST) & (best.scores >= floor[:, None]))
                     yield pa.RecordBatch.from_pydict({
@@ -215,15 +245,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float =
     best_first = Window.partitionBy("block", "row").orderBy(F.desc("score"), "id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
-    def put_floors(key, t):
-        n = key[0].as_py()
-        floor = np.full(len(store.mapped_pack(block_list[n][0])["ids"]), LOWEST, np.int64)
-        floor[t.column("row").to_numpy()] = t.column("score").to_numpy()
-        store.put_pack(f"{folder}/floors/{n}.pack", floor=floor)
-        return pa.table({"block": pa.array([n], pa.int64())})
-
-    sample = shards.orderBy(F.xxhash64("path")).limit(seeds).repartition(min(tasks, seeds))
-    kth = ranked(sample.mapInArrow(lambda it: look(it, True), schema)).where(F.col("rank") == k)
-    started = {r.block for r in kth.groupBy("block").applyInArrow(put_floors, "block long").collect()}  # at most a row for each block
-    found = ranked(shards.repartition(tasks).mapInArrow(lambda it: look(it, False), schema))
-    return found.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def shared(found: DataFrame, name: str) -> dict[int, str]:
+        """Write the k-th scores of found for each block that has any; the files by block."""
+
+        def put(key, t):
+            n = key[0].as_py()
+            floor = np.full(len(store.mapped_pack(block_list[n][0])["ids"]), LOWEST, np.int64)
+            floor[t.column("row").to_numpy()] = t.column("score").to_numpy()
+            store.put_pack(f"{folder}/floors/{name}-{n}.pack", floor=floor)
+            return pa.table({"block": pa.array([n], pa.int64())})
+
+        kth = ranked(found).where(F.col("rank") == k)
+        return {r.block: f"{folder}/floors/{name}-{r.block}.pack" for r in kth.groupBy("block").applyInArrow(put, "block long").collect()}  # at most a row for each block
+
+    n_shards = shards.count()
+    ends = [seeds]
+    while ends[-1] < n_shards:
+        ends.append(ends[-1] * (1 + GROWTH))
+    place = F.pmod(F.xxhash64("path"), F.lit(1 << 40))
+    wave = sum(((place >= int(end / n_shards * (1 << 40))).cast("int") for end in ends[:-1]), F.lit(0))
+    of_wave = lambda w: shards.where(wave == w).repartition(min(tasks, ends[w]))
+
+    floors = shared(of_wave(0).mapInArrow(lambda it: look(it, {}, True), schema), "first")
+    done: list[str] = []
+    for w in range(len(ends)):
+        found = of_wave(w).mapInArrow(lambda it, floors=floors: look(it, floors), schema)
+        if done:
+            found = found.unionByName(spark.read.schema(schema).parquet(done[-1]))
+        if w < len(ends) - 1:
+            done.append(f"{folder}/found-{w}")
+            ranked(found).drop("rank").write.parquet(done[-1])
+            floors = shared(spark.read.schema(schema).parquet(done[-1]), str(w))
+    return ranked(found).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -31,6 +31,8 @@ def test_top_k_against_brute_force(spark, seed):
     queries = [v for v in vectors if v[0] is not None and v[0] % 100 == 0]
     got = B.top_k(d, d.where("vec_id % 100 = 0"), shard=90, leaf=7, block=3, seeds=3).collect()
     assert sorted(map(tuple, got)) == brute(vectors, queries, 10)
+    waves = B.top_k(d, d.where("vec_id % 100 = 0"), shard=11, leaf=3, block=4, seeds=2).collect()
+    assert sorted(map(tuple, waves)) == brute(vectors, queries, 10)
     assert B.top_k(d.limit(0), d).collect() == [] and B.top_k(d, d.limit(0)).collect() == []
 
 
@@ -47,3 +49,15 @@ def test_ids_must_be_numbers(spark):
     d = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
     with pytest.raises(TypeError):
         B.top_k(d, d)
+
+
+def test_shards_hold_neighbours(spark):
+    r = random.Random(3)
+    centres = [[r.gauss(0, 5) for _ in range(8)] for _ in range(6)]
+    rows = [(k, [c + r.gauss(0, 0.1) for c in centres[r.randrange(6)]]) for k in range(1200)]
+    d = B._usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), "vec_id", "embedding")
+    got = B._by_pivot(d).collect()
+    assert sorted((x.id, x.v) for x in got) == sorted(rows)
+    cluster = [min(range(6), key=lambda c: math.dist(x.v, centres[c])) for x in got]
+    groups = 1 + sum(a != b for a, b in zip(cluster, cluster[1:]))
+    assert groups <= B.PIVOTS < 600  # in the order of the input there would be about a thousand
