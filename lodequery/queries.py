@@ -13,7 +13,7 @@ from .operators import grid as G
 from .operators import hamming, learned, oracle_calls, sswr
 from .operators.multiprobe import MultiProbe
 from .operators.radius import RadiusSearch, within_radius
-from .sources import datasets, state
+from .sources import augment, datasets, state
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -875,6 +875,19 @@ def image_grid(spark, sf_dir):
     return datasets.image_grid(spark, 16, 24).select("i", "j", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as an image of 8 x 8 pixels."""
+    e, unit = F.col("e"), lambda v: F.least(F.greatest((v + 1) / 2, F.lit(0.0)), F.lit(1.0))
+    v = vectors(spark, sf_dir)
+    return v.select(F.col("vec_id").alias("id"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform(e, unit).alias("r"), F.transform(F.reverse(e), unit).alias("g"), F.transform(e, lambda x: 1 - unit(x)).alias("b"))
+
+
+@query()
+def altered_images(spark, sf_dir):
+    """Random draws are numpy's, so rows only; tests hold the images against plain Python."""
+    return augment.altered_images(images(spark, sf_dir), seed=3).withColumnRenamed("id", "vec_id")
+
+
 @query("SELECT l_partkey AS part, count(DISTINCT l_orderkey)::BIGINT AS n_docs, min(l_orderkey) AS first_doc, max(l_orderkey) AS last_doc FROM lineitem GROUP BY l_partkey")
 def mosaic_inverted_index(spark, sf_dir):
     i = datasets.inverted_index(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")

@@ -187,17 +187,6 @@ def index_range(df: DataFrame, col: str, lo: int | None = None, hi: int | None =
     return out if hi is None else out.where(F.col(col) < hi)
 
 
-def squeeze(mu: float, x):
-    """numpy: the normal share of x moved by 2 mu standard deviations and back to (0, 1); worked out once for each value."""
-    from statistics import NormalDist
-
-    import numpy as np
-
-    n = NormalDist()
-    values, at = np.unique(np.clip(np.asarray(x, float), 1e-12, 1 - 1e-12), return_inverse=True)
-    return np.asarray([n.cdf(n.inv_cdf(v) + 2 * mu) for v in values.tolist()])[at].reshape(np.shape(x))
-
-
 def rotate(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
     return x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle)
 
@@ -207,27 +196,3 @@ def image_grid(spark, height: int, width: int) -> DataFrame:
     place = lambda c, n: (2.0 * F.col(c) / (n - 1) - 1 if n > 1 else F.lit(0.0))
     pixels = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("i"), F.pmod("id", F.lit(width)).cast("int").alias("j"))
     return pixels.select("i", "j", place("j", width).alias("x"), place("i", height).alias("y"))
-
-
-def altered_images(df: DataFrame, seed: int = 0, max_angle: float = 0.3, squeeze_by: float = 0.1) -> DataFrame:
-    """(id, image, h, w): images (flat h*w arrays in [0, 1]) turned and with their brightness squeezed, by amounts from the id."""
-
-    def alter(batches):
-        import numpy as np
-
-        for pdf in batches:
-            out = []
-            for i, img, h, w in zip(pdf["id"], pdf["image"], pdf["h"], pdf["w"]):
-                rng = np.random.default_rng([seed, int(i)])
-                a, mu = rng.uniform(-max_angle, max_angle), rng.uniform(-squeeze_by, squeeze_by)
-                yy, xx = np.mgrid[0:h, 0:w]
-                cy, cx = (h - 1) / 2, (w - 1) / 2
-                sy = np.rint(cy + (yy - cy) * np.cos(a) - (xx - cx) * np.sin(a)).astype(int)
-                sx = np.rint(cx + (yy - cy) * np.sin(a) + (xx - cx) * np.cos(a)).astype(int)
-                inside = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
-                src = np.asarray(img, float).reshape(h, w)
-                turned = np.where(inside, src[sy.clip(0, h - 1), sx.clip(0, w - 1)], 0.0)
-                out.append(squeeze(mu, turned).reshape(-1).tolist())
-            yield pdf[["id"]].assign(image=out, h=pdf["h"], w=pdf["w"])
-
-    return df.select("id", "image", "h", "w").mapInPandas(alter, "id long, image array<double>, h int, w int")

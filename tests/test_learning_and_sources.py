@@ -77,10 +77,6 @@ def test_dataset_views(spark):
     m = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 5)], "doc long, part long")
     assert {r.part: r.docs for r in datasets.inverted_index(m, "doc", "part").collect()} == {5: [1, 2], 6: [1]}
     assert {tuple(r) for r in datasets.mosaic_relation(spark.createDataFrame([(9, 5)], "q long, part long"), m).collect()} == {(9, 1), (9, 2)}
-    img = spark.createDataFrame([(1, [0.5] * 12, 3, 4)], "id long, image array<double>, h int, w int")
-    got = datasets.altered_images(img).first()
-    assert len(got.image) == 12 and all(0 <= p <= 1 for p in got.image)
-    assert datasets.squeeze(0.0, [0.2, 0.9]) == pytest.approx([0.2, 0.9])
 
 
 def test_state_paths_and_stopwatch(spark, tmp_path, monkeypatch):
