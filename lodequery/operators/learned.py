@@ -280,19 +280,24 @@ def loss_and_gradient(kind: str, zq: np.ndarray, zd: np.ndarray, r: np.ndarray,
     return float(loss), gq, gd
 
 
-def train(features: DataFrame, kind: str, nbits: int, steps: int = 200, rate: float = 1e-2, seed: int = 7, batch: int = 512, most: int = 50_000, shared: bool = True, beta_ramp: tuple[float, float, float, float] = (0, 1024, -64, -8), **options) -> tuple[Encoder, Encoder, list[float]]:
+def train(features: DataFrame, kind: str, nbits: int, steps: int = 200, rate: float = 1e-2, seed: int = 7, batch: int = 512, most: int = 50_000, shared: bool = True, beta_ramp: tuple[float, float, float, float] = (0, 1024, -64, -8), start: tuple[Encoder, Encoder] | None = None, freeze: str | None = None, **options) -> tuple[Encoder, Encoder, list[float]]:
     """Encoders fitted to features(id, x, label), pairs matching on equal labels; and the loss of every step.
 
     Every step has a batch of its own: the next ``batch`` rows in the order of a hash of the id, of at most ``most``
     rows that are read for all steps together (a bounded, documented sample); after the last of them it begins again.
-    Without shared, queries and documents get an encoder each.
+    Without shared, queries and documents get an encoder each.  With ``start`` these encoders are trained on (the first,
+    if shared), and ``freeze``, "query" or "doc", leaves one of two as it is: an index of frozen document codes stays valid.
     """
+    if freeze not in (None, "query", "doc") or freeze and (shared or start is None):
+        raise ValueError("freeze is 'query' or 'doc', of two encoders to start from")
     rows = features.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(most, steps * batch)).select("x", "label").collect()
     every = np.asarray([r.x for r in rows], float)
     labels = np.unique([r.label for r in rows], return_inverse=True)[1]
     rng = np.random.default_rng(seed)
     new = lambda: [rng.normal(size=(nbits, every.shape[1])) / np.sqrt(every.shape[1]), rng.normal(size=nbits) * 0.01]
-    params = new() if shared else new() + new()
+    given = [[np.asarray(e.w), np.asarray(e.b)] for e in start or ()]
+    params = (given[0] if shared else given[0] + given[1]) if given else new() if shared else new() + new()
+    still = {"query": (0, 1), "doc": (2, 3)}.get(freeze, ())
     adam, losses = Adam(rate), []
     for t in range(steps):
         own = np.arange(t * batch, (t + 1) * batch) % len(every) if len(every) > batch else np.arange(len(every))
@@ -307,6 +312,6 @@ def train(features: DataFrame, kind: str, nbits: int, steps: int = 200, rate: fl
         loss, gq, gd = loss_and_gradient(kind, zq, zd, r, **o)
         losses.append(loss)
         grads = [(gq + gd).T @ x, (gq + gd).sum(0)] if shared else [gq.T @ x, gq.sum(0), gd.T @ x, gd.sum(0)]
-        params = adam.step(params, grads)
+        params = [old if k in still else stepped for k, (old, stepped) in enumerate(zip(params, adam.step(params, grads)))]
     q = Encoder(params[0].tolist(), params[1].tolist())
     return q, q if shared else Encoder(params[2].tolist(), params[3].tolist()), losses

@@ -31,7 +31,7 @@ class MultiProbe(SearchStructure):
         return F.transform(likeliest_outcomes(checked, self.nbits, k), lambda x: x["code"])
 
     def keys(self, docs: DataFrame) -> DataFrame:
-        return docs.select(F.posexplode(self._codes(F.col("logits"), self.ntables)).alias("table_no", "code"), F.col("doc").cast("long").alias("doc")).distinct()
+        return docs.select(F.posexplode(self._codes(F.col("logits"), self.ntables)).alias("table_no", "code"), F.col("doc").cast("long").alias("doc"))
 
     def probes(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
         ranked = queries.select("q", F.posexplode(self._codes(F.col("logits"), limit)).alias("rank", "code"))

@@ -35,7 +35,7 @@ class RadiusSearch(SearchStructure):
 
     def keys(self, docs: DataFrame) -> DataFrame:
         own = F.array(*[F.struct(F.lit(t).alias("table_no"), F.col("code").bitwiseXOR(F.lit(m).cast("long")).alias("code")) for t, m in enumerate(self.masks[: self.ntables])])
-        return docs.select(F.col("doc").cast("long").alias("doc"), F.explode(own).alias("k")).select("k.table_no", "k.code", "doc").distinct()
+        return docs.select(F.col("doc").cast("long").alias("doc"), F.explode(own).alias("k")).select("k.table_no", "k.code", "doc")
 
     def probes(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
         steps = self.spark.createDataFrame([(r * self.ntables + t, t, m) for r, m in enumerate(self.masks) for t in range(self.ntables) if limit is None or r < limit], "step long, table_no int, mask long")

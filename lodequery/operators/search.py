@@ -2,7 +2,9 @@
 
 A structure turns documents into ``keys`` rows and queries into ``probes`` rows
 (q, step, table_no, code); the rest is joins.  Buckets are sets: an id is in a
-bucket once.
+bucket once.  Inserting appends rows and shuffles nothing; repeated rows are dropped
+where buckets are looked at, and need not be for a search, which takes each document
+at its first step anyhow.
 """
 
 from __future__ import annotations
@@ -36,17 +38,34 @@ class SearchStructure:
     # The interface.
     def reset(self) -> SearchStructure:
         """Drop everything inserted."""
-        self.index = self.spark.createDataFrame([], KEYS)
+        return self._hold(self.spark.createDataFrame([], KEYS), True)
+
+    def _hold(self, rows: DataFrame, once: bool) -> SearchStructure:
+        self._rows, self._once = rows, once
         return self
 
+    @property
+    def index(self) -> DataFrame:
+        """(table_no, code, doc), each once."""
+        return self._rows if self._once else self._rows.distinct()
+
     def insert(self, docs: DataFrame) -> SearchStructure:
         """Add documents; ids inserted before stay in their buckets."""
-        self.index = self.index.unionByName(self.keys(docs)).distinct()
-        return self
+        return self._hold(self._rows.unionByName(self.keys(docs)), False)
+
+    def store(self, table: str, buckets: int) -> SearchStructure:
+        """Write the index as a table of the warehouse, bucketed and sorted by its key, and go on from that.
+
+        Searches then shuffle their probes only, and earlier inserts are not worked out again.  A bucket is a file:
+        where one code holds a large share of all rows, leave the index unstored, so that the join can split it.
+        """
+        rows = self.index.repartition(buckets, "table_no", "code")
+        rows.write.bucketBy(buckets, "table_no", "code").sortBy("table_no", "code").mode("overwrite").saveAsTable(table)
+        return self._hold(self.spark.table(table), True)
 
     def candidates(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
         """(q, step, doc): each document at the first probe that finds it."""
-        hits = self.probes(queries, limit).join(self.index, ["table_no", "code"])
+        hits = self.probes(queries, limit).join(self._rows, ["table_no", "code"])
         return hits.groupBy("q", "doc").agg(F.min("step").alias("step")).select("q", "step", "doc")
 
     def search(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -76,5 +95,4 @@ class SearchStructure:
         return self.index
 
     def set_state(self, index: DataFrame) -> SearchStructure:
-        self.index = index.select("table_no", "code", "doc")
-        return self
+        return self._hold(index.select("table_no", "code", "doc"), False)

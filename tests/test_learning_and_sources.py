@@ -46,6 +46,14 @@ def test_training_lowers_the_loss_and_retrieves(spark):
         assert all(k in got[k] for k in range(16))  # one encoder: every item finds itself
     again = learned.LearnedSearch.from_state(*s.state(), MultiProbe(spark, 12, 1, 1))
     assert again.fq == q and again.structure.index.count() == s.structure.index.count() == 16
+    fixed = learned.Encoder([[0.1 * (i - j) for j in range(16)] for i in range(12)])
+    for side in ("query", "doc"):
+        q, d, losses = learned.train(eye, "hashnet", 12, steps=60, rate=0.05, p=1 / 16, shared=False, start=(fixed, fixed), freeze=side)
+        kept, moved = (q, d) if side == "query" else (d, q)
+        assert kept == fixed != moved and losses[-1] < losses[0]
+    for wrong in ({"freeze": "query"}, {"freeze": "doc", "start": (fixed, fixed)}, {"freeze": "both", "shared": False, "start": (fixed, fixed)}):
+        with pytest.raises(ValueError):
+            learned.train(eye, "hashnet", 12, steps=1, p=0.5, **wrong)
     with pytest.raises(ValueError):
         learned.log_match(F.col("a"), F.col("b"), 16, 3)
     with pytest.raises(ValueError):

@@ -139,3 +139,22 @@ def test_grid_search_against_brute_force(spark):
     for f in (lambda: s.within(out, 1.0).collect(), lambda: G.GridSearch(s.grid).insert(out.withColumnRenamed("q", "doc")).points.collect()):
         with pytest.raises(Exception, match="out of bounds"):
             f()
+
+
+def test_inserts_shuffle_nothing_and_a_stored_index_is_not_shuffled_again(spark):
+    docs = spark.createDataFrame([(k, k % 7) for k in range(60)], "doc long, code long")
+    queries = docs.select((F.col("doc") + 100).alias("q"), "code").limit(9)
+    s = RadiusSearch(spark, 4, 1, 2).insert(docs).insert(docs)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(s._rows) and s.index.count() == 120
+    want = found(s.search(queries))
+    at, small = spark.conf.get("spark.sql.warehouse.dir"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert found(s.store("stored_index", 3).search(queries)) == want and s.index.count() == 120
+        hits = s.probes(queries, None).join(s._rows, ["table_no", "code"])
+        assert plan(hits).count("Exchange hashpartitioning") == 1, at  # of the probes
+        assert found(s.insert(docs.select((F.col("doc") + 60).alias("doc"), "code")).search(queries)) == {q: x | {d + 60 for d in x} for q, x in want.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+        spark.sql("DROP TABLE IF EXISTS stored_index")
