@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import product
-from math import prod
+from math import dist, prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..plans.planner import all_pairs
@@ -66,8 +66,10 @@ class Grid:
         return F.sqrt(reduce(lambda x, y: x + y, [g * g for g in gaps]))
 
     def all_cells(self, spark) -> DataFrame:
-        """Every cell of the grid."""
-        return spark.createDataFrame([(list(c),) for c in product(*map(range, self.divisions))], "cell array<int>")
+        """Every cell of the grid, made where it is used."""
+        steps = [prod(self.divisions[i + 1 :]) for i in range(self.d)]
+        place = [F.pmod(F.expr(f"id div {k}"), F.lit(n)).cast("int") for k, n in zip(steps, self.divisions)]
+        return spark.range(self.n_cells).select(F.array(*place).alias("cell"))
 
 
 def checked(df: DataFrame, grid: Grid, what: str) -> DataFrame:
@@ -110,6 +112,22 @@ class GridSearch:
         q = q.select("q", "at", F.array(*[F.col(f"_c{i}") for i in range(g.d)]).alias("cell"))
         return q.withColumn("lb", g.least_distance(F.col("at"), F.col("cell"))).where(F.col("lb") < max_dist)
 
+    def near_cells(self, queries: DataFrame, max_dist: float) -> DataFrame:
+        """(q, cell, lb): the cells of the grid whose lower bound is under max_dist, without listing others but those of the ball's box."""
+        return self._touched(queries, max_dist).select("q", "cell", "lb")
+
+    def iterate_cells(self, queries: DataFrame, q: int) -> Iterator[Row]:
+        """One query's cells by (lb, cell), lazily: rings of doubling radius, so a reader that stops early has caused few cells."""
+        g, own = self.grid, queries.where(F.col("q") == q)
+        done, upto = 0.0, max((b - a) / n for a, b, n in zip(g.low, g.high, g.divisions))
+        end = dist(g.low, g.high)
+        while True:
+            last = upto > end
+            yield from self.near_cells(own, upto).where(F.col("lb") >= done).orderBy("lb", "cell").toLocalIterator()
+            if last:
+                return
+            done, upto = upto, 2 * upto
+
     def within(self, queries: DataFrame, max_dist: float) -> DataFrame:
         """(q, doc, point, dist) nearer than max_dist, strictly; none if that is negative.
 

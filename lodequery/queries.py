@@ -632,6 +632,13 @@ def grid_cell_dists(spark, sf_dir):
     return g.ordered_cells(q).select("q", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
 
 
+@query(f"""SELECT * FROM ({ORACLE['grid_cell_dists']}) AS c WHERE lb < 60""")
+def grid_near_cells(spark, sf_dir):
+    """The cells of a ball, without the grid's others."""
+    g, q = _grid_sides(spark, sf_dir, 100)
+    return g.near_cells(q, 60.0).select("q", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
+
+
 _PART_DIST = "sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2))"
 
 

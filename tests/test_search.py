@@ -134,7 +134,12 @@ def test_grid_search_against_brute_force(spark):
             assert [d for _, d in mine] == [d for _, d in order[q][:k]] and [x for x, _ in mine] == pytest.approx([x for x, _ in order[q][:k]])
     for most in (0.0, 1.0, -1.0):
         assert {(x.q, x.doc) for x in s.within(queries, most).collect()} == {(q, d) for q in order for x, d in order[q] if x < most}
-    assert s.ordered_cells(queries).count() == 8 * 64
+    assert s.ordered_cells(queries).count() == 8 * 64 and s.grid.all_cells(spark).distinct().count() == 64
+    for q in (0, 5):
+        every = s.ordered_cells(queries).where(F.col("q") == q).orderBy("lb", "cell").collect()
+        assert [(x.cell, x.lb) for x in s.iterate_cells(queries, q)] == [(x.cell, x.lb) for x in every]
+        assert [x.cell for x, _ in zip(s.iterate_cells(queries, q), range(3))] == [x.cell for x in every[:3]]
+        assert {tuple(x.cell) for x in s.near_cells(queries, 1.5).where(F.col("q") == q).collect()} == {tuple(x.cell) for x in every if x.lb < 1.5}
     out = spark.createDataFrame([(0, [9.0, 0.0, 0.0])], "q long, point array<double>")
     for f in (lambda: s.within(out, 1.0).collect(), lambda: G.GridSearch(s.grid).insert(out.withColumnRenamed("q", "doc")).points.collect()):
         with pytest.raises(Exception, match="out of bounds"):
