@@ -103,14 +103,34 @@ class GridSearch:
     def _measured(self, cells: DataFrame) -> DataFrame:
         return cells.select("q", "at", "cell", "lb").join(self.points, "cell").withColumn("dist", self.grid.distance(F.col("at"), F.col("point")))
 
-    def _touched(self, queries: DataFrame, max_dist: float) -> DataFrame:
-        """(q, at, cell, lb): every query with each cell of the grid that is nearer than max_dist."""
-        q, g = checked(queries.select("q", "point"), self.grid, "query").withColumnRenamed("point", "at"), self.grid
+    def _touched(self, queries: DataFrame, max_dist: float | Column) -> DataFrame:
+        """(q, at, cell, lb): every query with each cell of the grid that is nearer than max_dist, a number or a column of queries."""
+        reach, g = max_dist if isinstance(max_dist, Column) else F.lit(float(max_dist)), self.grid
+        q = checked(queries.select("q", "point", reach.alias("_reach")), g, "query").withColumnRenamed("point", "at")
         for i, (a, b, n) in enumerate(zip(g.low, g.high, g.divisions)):
-            edge = lambda side, i=i, a=a, b=b, n=n: F.least(F.greatest(F.floor(n * (F.get("at", F.lit(i)) + side * max_dist - a) / (b - a)), F.lit(0)), F.lit(n - 1)).cast("int")
+            edge = lambda side, i=i, a=a, b=b, n=n: F.least(F.greatest(F.floor(n * (F.get("at", F.lit(i)) + side * F.col("_reach") - a) / (b - a)), F.lit(0)), F.lit(n - 1)).cast("int")
             q = q.withColumn(f"_c{i}", F.explode(F.sequence(edge(-1), edge(1))))
-        q = q.select("q", "at", F.array(*[F.col(f"_c{i}") for i in range(g.d)]).alias("cell"))
-        return q.withColumn("lb", g.least_distance(F.col("at"), F.col("cell"))).where(F.col("lb") < max_dist)
+        q = q.select("q", "at", "_reach", F.array(*[F.col(f"_c{i}") for i in range(g.d)]).alias("cell"))
+        return q.withColumn("lb", g.least_distance(F.col("at"), F.col("cell"))).where(F.col("lb") < F.col("_reach")).drop("_reach")
+
+    def _reach(self, queries: DataFrame, k: int) -> DataFrame:
+        """(q, reach): a distance within which k points lie surely, from counts of blocks of cells; none if there are fewer than k.
+
+        A block is about the root of an axis's divisions wide, so a query meets about the root of all cells.
+        """
+        g = self.grid
+        wide = [max(1, round(n**0.5)) for n in g.divisions]
+        blocks = [-(-n // w) for n, w in zip(g.divisions, wide)]
+        high = [a + m * w * (b - a) / n for a, b, n, m, w in zip(g.low, g.high, g.divisions, blocks, wide)]
+        coarse = Grid(g.low, high, blocks)
+        held = self.points.groupBy(F.array(*[F.expr(f"cast(cell[{i}] div {w} AS int)") for i, w in enumerate(wide)]).alias("cell")).agg(F.count("*").alias("n"))
+        pairs = all_pairs(checked(queries.select("q", "point"), g, "query"), held)
+        return self._upper(pairs.withColumn("ub", coarse.most_distance(F.col("point"), F.col("cell"))), k)
+
+    def _upper(self, cells: DataFrame, k: int) -> DataFrame:
+        """(q, reach): the least upper bound by which cells(q, cell, n, ub) hold k points."""
+        upto = Window.partitionBy("q").orderBy("ub", "cell").rowsBetween(Window.unboundedPreceding, 0)
+        return cells.withColumn("held", F.sum("n").over(upto)).where(F.col("held") >= k).groupBy("q").agg((F.min("ub") * (1 + 1e-9) + 1e-300).alias("reach"))
 
     def near_cells(self, queries: DataFrame, max_dist: float) -> DataFrame:
         """(q, cell, lb): the cells of the grid whose lower bound is under max_dist, without listing others but those of the ball's box."""
@@ -141,13 +161,15 @@ class GridSearch:
     def nearest(self, queries: DataFrame, k: int, max_dist: float = float("inf")) -> DataFrame:
         """(q, rank, doc, point, dist): the k nearest, ties by id.
 
-        The k-th distance is at most the upper bound by which the nearest cells hold k points; cells
-        whose lower bound is beyond that aren't joined.
+        The k-th distance is at most the upper bound by which the nearest cells hold k points.  Blocks of cells give
+        a first bound, the cells that it touches a second; cells whose lower bound is beyond that aren't joined.
         """
-        cells = self._cells(queries).where(F.col("lb") < max_dist).withColumn("ub", self.grid.most_distance(F.col("at"), F.col("cell")))
-        upto = Window.partitionBy("q").orderBy("ub", "cell").rowsBetween(Window.unboundedPreceding, 0)
-        radius = cells.withColumn("held", F.sum("n").over(upto)).where(F.col("held") >= k).groupBy("q").agg(F.min("ub").alias("radius"))
-        near = cells.join(radius, "q", "left").where(F.col("lb") <= F.coalesce("radius", F.lit(float("inf"))) * (1 + 1e-12))
+        most = min(float(max_dist), 2 * dist(self.grid.low, self.grid.high))  # beyond the grid's diagonal is everything
+        reach = F.least(F.coalesce("reach", F.lit(most)), F.lit(most))
+        bounded = queries.select("q", "point").join(self._reach(queries, k), "q", "left")
+        counts = self.points.groupBy("cell").agg(F.count("*").alias("n"))
+        cells = self._touched(bounded, reach).join(counts, "cell").withColumn("ub", self.grid.most_distance(F.col("at"), F.col("cell")))
+        near = cells.join(self._upper(cells, k), "q", "left").where(F.col("lb") < reach)
         order = Window.partitionBy("q").orderBy("dist", "doc")
         found = self._measured(near).where(F.col("dist") < max_dist)
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "rank", "doc", "point", "dist")

@@ -132,6 +132,8 @@ def test_grid_search_against_brute_force(spark):
         for q in range(len(qs)):
             mine = [(x.dist, x.doc) for x in got if x.q == q]
             assert [d for _, d in mine] == [d for _, d in order[q][:k]] and [x for x, _ in mine] == pytest.approx([x for x, _ in order[q][:k]])
+    for most in (0.0, 1.2, -1.0):
+        assert sorted((x.q, x.doc) for x in s.nearest(queries, 42, most).collect()) == sorted((q, d) for q in order for x, d in order[q][:42] if x < most)
     for most in (0.0, 1.0, -1.0):
         assert {(x.q, x.doc) for x in s.within(queries, most).collect()} == {(q, d) for q in order for x, d in order[q] if x < most}
     assert s.ordered_cells(queries).count() == 8 * 64 and s.grid.all_cells(spark).distinct().count() == 64
