@@ -17,6 +17,7 @@ from .pseudonyms import pseudonymise
 from .quality import quality_scores
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
+from .vectorcodes import codes_sql, vector_codes
 
 BPE = "byte_bpe_50k.json"
 #: For the query only; a real run takes its key from a secret store.
@@ -68,6 +69,10 @@ def op10_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_output(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_token_counts": op9_token_counts,
     "op10_plane_output": op10_plane_output,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,4 +128,5 @@ ORACLE: dict[str, str] = {
     "op5_ball_tree": _OP5,
     "op6_temperature_mixing": mixture_sql(),
     "op7_phrase_index": _OP7,
+    "op11_vector_codes": codes_sql(),
 }
