@@ -15,6 +15,7 @@ from .phrase_index import contamination
 from .planes import plane_output
 from .pseudonyms import pseudonymise
 from .quality import quality_scores
+from .qualityrules import quality_rules
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 from .vectorcodes import codes_sql, vector_codes
@@ -73,6 +74,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_jaccard_join": op2_jaccard_join,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_plane_output": op10_plane_output,
     "op11_vector_codes": op11_vector_codes,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
