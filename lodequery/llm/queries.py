@@ -19,6 +19,7 @@ from .qualityrules import quality_rules
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 from .vectorcodes import codes_sql, vector_codes
+from .wavelet import ranked_search, search_sql
 
 BPE = "byte_bpe_50k.json"
 #: For the query only; a real run takes its key from a secret store.
@@ -79,6 +80,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op13_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_jaccard_join": op2_jaccard_join,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_plane_output": op10_plane_output,
     "op11_vector_codes": op11_vector_codes,
     "op12_quality_rules": op12_quality_rules,
+    "op13_wavelet_search": op13_wavelet_search,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,4 +142,5 @@ ORACLE: dict[str, str] = {
     "op6_temperature_mixing": mixture_sql(),
     "op7_phrase_index": _OP7,
     "op11_vector_codes": codes_sql(),
+    "op13_wavelet_search": search_sql(),
 }
