@@ -1,8 +1,10 @@
 """Learned codes: linear encoders, the losses they are trained with, and training.
 
 Encoders are a weight matrix and a bias, fixed values in a plan; logits are array
-columns.  The losses are DataFrame aggregations over pairs; training computes
-the same losses' gradients with numpy over the partitions of a pair batch.
+columns.  The losses are DataFrame aggregations over pairs.  Every loss is a function of
+sums over pairs, and so is its gradient once those are known; both are numpy kernels here.
+``training.train_on_cluster`` adds them up over partitions; ``train`` is the same on one
+batch after the other of a bounded sample, on the driver.
 """
 
 from __future__ import annotations
@@ -184,6 +186,17 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def _pmf(q: np.ndarray) -> np.ndarray:
+    """pmf of the number of ones (.., n+1)."""
+    f = np.ones((*q.shape[:-1], 1))
+    for i in range(q.shape[-1]):
+        p, g = q[..., i : i + 1], np.zeros((*f.shape[:-1], f.shape[-1] + 1))
+        g[..., :-1] += f * (1 - p)
+        g[..., 1:] += f * p
+        f = g
+    return f
+
+
 def _pb(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """pmf of the number of ones (.., n+1), and its derivative by each probability (.., n, n+1)."""
     n = q.shape[-1]
@@ -213,71 +226,136 @@ def _pb(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before[-1], grad
 
 
-def loss_and_gradient(kind: str, zq: np.ndarray, zd: np.ndarray, r: np.ndarray, **o) -> tuple[float, np.ndarray, np.ndarray]:
-    """A loss on all pairs of a batch, and its gradients by the logits."""
-    nq, n = zq.shape
-    nd = len(zd)
-    tiny = 1e-300
+TINY = 1e-300
+
+
+def _differ(zq: np.ndarray, zd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(1) of each bit of both sides, and P(bit differs) of each pair."""
+    pq, pd = sigmoid(zq), sigmoid(zd)
+    return pq, pd, pq[:, None] * (1 - pd[None]) + (1 - pq[:, None]) * pd[None]
+
+
+def _tanh_distance(zq: np.ndarray, zd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = np.tanh(zq), np.tanh(zd)
+    return a, b, (zq.shape[1] - a @ b.T) / 2
+
+
+def _triangles(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of distances in the bins 0..n, and their slopes."""
+    c = np.arange(n + 1)
+    t = np.maximum(1 - np.abs(c - x[..., None]), 0)
+    return t, np.where(t > 0, np.sign(c - x[..., None]), 0)
+
+
+def _near(q: np.ndarray, o: dict, grad: bool):
+    """P(codes match in some index) of each pair, from P(bit differs); with grad its derivative too."""
+    m, dist = o.get("nindex", 1), o.get("match_dist", 0)
+    if q.shape[-1] % m:
+        raise ValueError(f"{q.shape[-1]} bits don't divide into {m} indexes")
+    parts = q.reshape(*q.shape[:2], m, q.shape[-1] // m)
+    if not grad:
+        return np.maximum(1 - np.prod(1 - _pmf(parts)[..., : dist + 1].sum(-1), -1), TINY)
+    pmf, by = _pb(parts)
+    near = pmf[..., : dist + 1].sum(-1)
+    none = np.prod(1 - near, -1)
+    d_match = (none[..., None] / np.maximum(1 - near, 1e-12))[..., None] * by[..., : dist + 1].sum(-1)
+    return np.maximum(1 - none, TINY), d_match.reshape(q.shape)
+
+
+def pair_sums(kind: str, zq: np.ndarray, zd: np.ndarray, r: np.ndarray, o: dict) -> np.ndarray:
+    """What a block of pairs adds to the sums that the loss is a function of: sums of blocks are sums of all pairs.
+
+    hashnet: pairs, weighted losses; mihash: both histograms; hbkl: matches, others, KL of both; fbeta: matches,
+    others, log match of matches, match of both, and the documents' squared logits and their number.
+    """
+    n = zq.shape[1]
     if kind == "hashnet":
-        a, b = np.tanh(zq), np.tanh(zd)
-        sh, p, alpha = a @ b.T, o["p"], o.get("alpha", 1.0)
+        sh, p, alpha = np.tanh(zq) @ np.tanh(zd).T, o["p"], o.get("alpha", 1.0)
         w = r / p + (1 - r) / (1 - p)
-        loss = (w * (np.logaddexp(0, alpha * sh) - r * alpha * sh)).mean()
-        g = w * alpha * (sigmoid(alpha * sh) - r) / r.size
-        return float(loss), (g @ b) * (1 - a * a), (g.T @ a) * (1 - b * b)
+        return np.array([r.size, (w * (np.logaddexp(0, alpha * sh) - r * alpha * sh)).sum()])
     if kind == "mihash":
-        a, b = np.tanh(zq), np.tanh(zd)
-        x, p = (n - a @ b.T) / 2, o["p"]
-        c = np.arange(n + 1)
-        t = np.maximum(1 - np.abs(c - x[..., None]), 0)
-        slope = np.where(t > 0, np.sign(c - x[..., None]), 0)
-        hp, hn = (t * r[..., None]).sum((0, 1)), (t * (1 - r)[..., None]).sum((0, 1))
-        sp, sn = max(hp.sum(), tiny), max(hn.sum(), tiny)
+        t = _triangles(_tanh_distance(zq, zd)[2], n)[0]
+        return np.concatenate([(t * r[..., None]).sum((0, 1)), (t * (1 - r)[..., None]).sum((0, 1))])
+    q = _differ(zq, zd)[2]
+    if kind == "hbkl":
+        pmf = _pmf(q)
+        lp = np.log(np.maximum(pmf, TINY))
+        lw = [np.asarray(_log_binomial(n, o[k])) for k in ("p_pos", "p_neg")]
+        return np.array([r.sum(), (1 - r).sum(), (r * (np.exp(lw[0]) * (lw[0] - lp)).sum(-1)).sum(), ((1 - r) * (pmf * (lp - lw[1])).sum(-1)).sum()])
+    if kind == "fbeta":
+        match = _near(q, o, False)
+        return np.array([r.sum(), (1 - r).sum(), (np.log(match) * r).sum(), (match * r).sum(), (match * (1 - r)).sum(), (zd**2).sum(), zd.size])
+    raise ValueError(f"unknown loss {kind!r}")
+
+
+def loss_of(kind: str, totals: np.ndarray, zq: np.ndarray, o: dict) -> tuple[float, dict]:
+    """The loss from the sums over all pairs, and what the gradient needs to know of them."""
+    if kind == "hashnet":
+        return float(totals[1] / totals[0]), {"size": totals[0]}
+    if kind == "mihash":
+        hp, hn = np.split(totals, 2)
+        sp, sn, p = max(hp.sum(), TINY), max(hn.sum(), TINY), o["p"]
         fp, fn = hp / sp, hn / sn
         mix = p * fp + (1 - p) * fn
-        h = lambda f: -np.sum(np.where(f > 0, f * np.log(np.maximum(f, tiny)), 0))
-        loss = -(h(mix) - p * h(fp) - (1 - p) * h(fn))
+        h = lambda f: -np.sum(np.where(f > 0, f * np.log(np.maximum(f, TINY)), 0))
         lg = lambda f: np.log(np.maximum(f, 1e-12))
         dp, dn = p * (lg(mix) - lg(fp)), (1 - p) * (lg(mix) - lg(fn))
-        dp, dn = (dp - dp @ fp) / sp, (dn - dn @ fn) / sn
-        g = (slope * np.where(r[..., None] > 0, dp, dn)).sum(-1) * -0.5
-        return float(loss), (g @ b) * (1 - a * a), (g.T @ a) * (1 - b * b)
-    pq, pd = sigmoid(zq), sigmoid(zd)
-    q = pq[:, None] * (1 - pd[None]) + (1 - pq[:, None]) * pd[None]  # P(bit differs)
+        return float(-(h(mix) - p * h(fp) - (1 - p) * h(fn))), {"dp": (dp - dp @ fp) / sp, "dn": (dn - dn @ fn) / sn}
+    n_pos, n_neg = max(totals[0], 1), max(totals[1], 1)
     if kind == "hbkl":
-        pmf, grad = _pb(q)
+        return float(totals[2] / n_pos + totals[3] / n_neg), {"pos": n_pos, "neg": n_neg}
+    size, lp = totals[0] + totals[1], o["log_p"]
+    rate = totals[0] / size
+    weights = np.exp(lp) / max(rate, TINY), (1 - np.exp(lp)) / max(1 - rate, TINY)
+    mean = (weights[0] * totals[3] + weights[1] * totals[4]) / size
+    log_b2 = 2 * o["log2_beta"] * np.log(2)
+    z = np.log(np.maximum(mean, TINY)) - (lp + log_b2)
+    loss = -(totals[2] / n_pos + np.log1p(np.exp(log_b2)) - log_b2 - np.logaddexp(0, z))
+    slope = sigmoid(z) / size / np.maximum(mean, TINY)
+    more = {"pos": n_pos, "on_match": slope * weights[0], "on_other": slope * weights[1], "pull_q": 0.0, "pull_d": 0.0}
+    if ratio := o.get("l2_ratio", 0.0):
+        k = ratio * loss / max(((zq**2).mean() + totals[5] / totals[6]) / 2, TINY)
+        more |= {"pull_q": k / zq.size, "pull_d": k / totals[6]}
+        loss *= 1 + ratio
+    return float(loss), more
+
+
+def pair_gradient(kind: str, zq: np.ndarray, zd: np.ndarray, r: np.ndarray, o: dict, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What a block of pairs adds to the gradients by the logits; the pull of the queries' own logits is left to query_pull()."""
+    n = zq.shape[1]
+    if kind == "hashnet":
+        a, b = np.tanh(zq), np.tanh(zd)
+        p, alpha = o["p"], o.get("alpha", 1.0)
+        g = (r / p + (1 - r) / (1 - p)) * alpha * (sigmoid(alpha * (a @ b.T)) - r) / known["size"]
+        return (g @ b) * (1 - a * a), (g.T @ a) * (1 - b * b)
+    if kind == "mihash":
+        a, b, x = _tanh_distance(zq, zd)
+        g = (_triangles(x, n)[1] * np.where(r[..., None] > 0, known["dp"], known["dn"])).sum(-1) * -0.5
+        return (g @ b) * (1 - a * a), (g.T @ a) * (1 - b * b)
+    pq, pd, q = _differ(zq, zd)
+    if kind == "hbkl":
+        pmf, by = _pb(q)
         lw = [np.asarray(_log_binomial(n, o[k])) for k in ("p_pos", "p_neg")]
-        lp = np.log(np.maximum(pmf, tiny))
-        np_, nn = max(r.sum(), 1), max((1 - r).sum(), 1)
-        loss = (r * (np.exp(lw[0]) * (lw[0] - lp)).sum(-1)).sum() / np_ + ((1 - r) * (pmf * (lp - lw[1])).sum(-1)).sum() / nn
-        d = r[..., None] / np_ * (-np.exp(lw[0]) / np.maximum(pmf, 1e-30)) + (1 - r)[..., None] / nn * (lp - lw[1] + 1)
-        dq = np.einsum("abij,abj->abi", grad, d)
-    elif kind == "fbeta":
-        m, size, dist = o.get("nindex", 1), n // o.get("nindex", 1), o.get("match_dist", 0)
-        if n % m:
-            raise ValueError(f"{n} bits don't divide into {m} indexes")
-        pmf, grad = _pb(q.reshape(nq, nd, m, size))
-        near, d_near = pmf[..., : dist + 1].sum(-1), grad[..., : dist + 1].sum(-1)
-        none = np.prod(1 - near, -1)
-        match = np.maximum(1 - none, tiny)
-        d_match = (none[..., None] / np.maximum(1 - near, 1e-12))[..., None] * d_near
-        lp, rate = o["log_p"], r.mean()
-        weight = np.where(r > 0, np.exp(lp) / max(rate, tiny), (1 - np.exp(lp)) / max(1 - rate, tiny))
-        mean = (weight * match).mean()
-        log_b2 = 2 * o["log2_beta"] * np.log(2)
-        z = np.log(np.maximum(mean, tiny)) - (lp + log_b2)
-        loss = -((np.log(match) * r).sum() / max(r.sum(), 1) + np.log1p(np.exp(log_b2)) - log_b2 - np.logaddexp(0, z))
-        d = -r / max(r.sum(), 1) / match + sigmoid(z) * weight / r.size / np.maximum(mean, tiny)
-        dq = (d[..., None, None] * d_match).reshape(nq, nd, n)
+        lp = np.log(np.maximum(pmf, TINY))
+        d = r[..., None] / known["pos"] * (-np.exp(lw[0]) / np.maximum(pmf, 1e-30)) + (1 - r)[..., None] / known["neg"] * (lp - lw[1] + 1)
+        dq = np.einsum("abij,abj->abi", by, d)
     else:
-        raise ValueError(f"unknown loss {kind!r}")
-    gq = (dq * (1 - 2 * pd[None])).sum(1) * pq * (1 - pq)
-    gd = (dq * (1 - 2 * pq[:, None])).sum(0) * pd * (1 - pd)
-    if kind == "fbeta" and (ratio := o.get("l2_ratio", 0.0)):
-        reg = ((zq**2).mean() + (zd**2).mean()) / 2
-        k = ratio * loss / max(reg, tiny)
-        gq, gd, loss = gq + k * zq / zq.size, gd + k * zd / zd.size, loss * (1 + ratio)
-    return float(loss), gq, gd
+        match, d_match = _near(q, o, True)
+        d = -r / known["pos"] / match + np.where(r > 0, known["on_match"], known["on_other"])
+        dq = d[..., None] * d_match
+    gq, gd = (dq * (1 - 2 * pd[None])).sum(1) * pq * (1 - pq), (dq * (1 - 2 * pq[:, None])).sum(0) * pd * (1 - pd)
+    return gq, gd + known.get("pull_d", 0.0) * zd
+
+
+def query_pull(zq: np.ndarray, known: dict) -> np.ndarray:
+    return known.get("pull_q", 0.0) * zq
+
+
+def loss_and_gradient(kind: str, zq: np.ndarray, zd: np.ndarray, r: np.ndarray, **o) -> tuple[float, np.ndarray, np.ndarray]:
+    """A loss on all pairs of a batch, and its gradients by the logits."""
+    loss, known = loss_of(kind, pair_sums(kind, zq, zd, r, o), zq, o)
+    gq, gd = pair_gradient(kind, zq, zd, r, o, known)
+    return loss, gq + query_pull(zq, known), gd
 
 
 def train(features: DataFrame, kind: str, nbits: int, steps: int = 200, rate: float = 1e-2, seed: int = 7, batch: int = 512, most: int = 50_000, shared: bool = True, beta_ramp: tuple[float, float, float, float] = (0, 1024, -64, -8), start: tuple[Encoder, Encoder] | None = None, freeze: str | None = None, **options) -> tuple[Encoder, Encoder, list[float]]:

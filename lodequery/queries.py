@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import bits, colour, distributions, kbest
 from .functions import logspace as L
 from .operators import grid as G
-from .operators import hamming, learned, oracle_calls, sswr
+from .operators import hamming, learned, oracle_calls, sswr, training
 from .operators.multiprobe import MultiProbe
 from .operators.radius import RadiusSearch, within_radius
 from .sources import augment, datasets, state
@@ -732,9 +732,13 @@ def loss_fbeta(spark, sf_dir):
     return learned.fbeta_loss(loss_pairs(spark, sf_dir), 6, log(0.1), -8.0, nindex=2, match_dist=1, l2_ratio=0.01).select(r6(F.col("loss")).alias("loss"))
 
 
+def _labelled(spark, sf_dir) -> DataFrame:
+    return vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("e").alias("x"), "label")
+
+
 def _trained(spark, sf_dir, kind: str, **options) -> DataFrame:
-    f = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("e").alias("x"), "label")
-    _, _, losses = learned.train(f, kind, 16, steps=40, batch=64, **options)
+    """The losses of some steps, each of 64 queries against all rows."""
+    _, _, losses = training.train_on_cluster(_labelled(spark, sf_dir), kind, 16, steps=6, batch=64, **options)
     return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
 
 
@@ -742,7 +746,7 @@ def _trained(spark, sf_dir, kind: str, **options) -> DataFrame:
 def train_fbeta(spark, sf_dir):
     from math import log
 
-    return _trained(spark, sf_dir, "fbeta", log_p=log(0.1), l2_ratio=0.01, beta_ramp=(0, 40, -16, -4))
+    return _trained(spark, sf_dir, "fbeta", log_p=log(0.1), l2_ratio=0.01, beta_ramp=(0, 6, -16, -4))
 
 
 @query()
@@ -760,6 +764,74 @@ def train_hashnet(spark, sf_dir):
     return _trained(spark, sf_dir, "hashnet", p=0.1)
 
 
+# The first step of training two fixed encoders of 10 bits: 32 queries by hash against all rows.
+
+_ENC_D = learned.Encoder([[((5 * i + 2 * j) % 7 - 3) / 5 for j in range(64)] for i in range(10)], [-i / 50 for i in range(10)])
+_ZD = "list_transform(range(0, 10), lambda i: list_sum(list_transform(range(0, 64), lambda j: ((5 * i + 2 * j) % 7 - 3) / 5 * embedding[j + 1]::DOUBLE)) - i / 50)"
+
+
+def _first_step(spark, sf_dir, kind: str, **options) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    block = training.query_block(rows, 0, rows.where("label is not null").count(), 32, 7)
+    params = training.first_parameters(10, 64, False, 7, (_ENC, _ENC_D))
+    loss, grads = training.loss_and_gradients(rows, block, params, kind, options)
+    norm = sum(float((g**2).sum()) for g in grads) ** 0.5
+    return spark.createDataFrame([(round(loss, 6), round(norm, 6))], "loss double, grad_norm double")
+
+
+def _first_step_sql(of_bit: str, pairs: str, loss: str) -> str:
+    """of_bit: a side's value of a bit and its slope by the logit, of z; pairs: CTEs to pg(q, d, by_a, by_b), a pair's derivatives by the logits of each side."""
+    h = "('0x' || substr(md5(concat_ws(':', vec_id, '7')), 1, 15))::BIGINT"
+    return f"""WITH e AS (SELECT vec_id, label, embedding, {of_bit.format(z=_Z.format(n=10))} AS a, {of_bit.format(z=_ZD)} AS b, {h} AS h FROM embeddings),
+qs AS (SELECT e.* FROM e, (SELECT greatest(1, ceil(count(*) / 32.0))::BIGINT AS s FROM embeddings WHERE label IS NOT NULL) AS n WHERE label IS NOT NULL AND h % s = 0 ORDER BY h, vec_id LIMIT 32),
+p AS (SELECT qs.vec_id AS q, e.vec_id AS d, coalesce(qs.label = e.label, false) AS r, qs.a AS a, e.b AS b FROM qs, e),
+{pairs},
+i AS (SELECT range AS i FROM range(1, 11)), k AS (SELECT range AS k FROM range(1, 66)),
+gq AS (SELECT q AS vec_id, i, sum(by_a[i]) AS g FROM pg, i GROUP BY ALL), gd AS (SELECT d AS vec_id, i, sum(by_b[i]) AS g FROM pg, i GROUP BY ALL),
+w AS (SELECT 'q' AS side, i, k, sum(g * coalesce(embedding[k]::DOUBLE, 1)) AS g FROM gq JOIN e USING (vec_id), k GROUP BY ALL UNION ALL
+      SELECT 'd', i, k, sum(g * coalesce(embedding[k]::DOUBLE, 1)) FROM gd JOIN e USING (vec_id), k GROUP BY ALL)
+SELECT round({loss}, 6) AS loss, round((SELECT sqrt(sum(g * g)) FROM w), 6) AS grad_norm"""
+
+
+_TANHS = "list_transform({z}, lambda v: 1 - 2 / (exp(2 * v) + 1))"
+_BY_PRODUCT = "list_transform(range(1, 11), lambda i: slope * b[i] * (1 - a[i] * a[i])) AS by_a, list_transform(range(1, 11), lambda i: slope * a[i] * (1 - b[i] * b[i])) AS by_b"
+
+
+@query(_first_step_sql(_TANHS, f"""s AS (SELECT *, list_dot_product(a, b) AS sh, CASE WHEN r THEN 1 / 0.1 ELSE 1 / 0.9 END AS w, r::INT AS y FROM p),
+pg AS (SELECT q, d, {_BY_PRODUCT} FROM (SELECT *, w * (1 / (1 + exp(-sh)) - y) / (SELECT count(*) FROM p) AS slope FROM s) AS t)""", "(SELECT avg(w * (ln(1 + exp(sh)) - y * sh)) FROM s)"))
+def first_step_hashnet(spark, sf_dir):
+    return _first_step(spark, sf_dir, "hashnet", p=0.1)
+
+
+@query(_first_step_sql(_TANHS, f"""s AS (SELECT *, (10 - list_dot_product(a, b)) / 2 AS x FROM p),
+t AS (SELECT c, sum(greatest(1 - abs(c - x), 0)) FILTER (r) AS hp, sum(greatest(1 - abs(c - x), 0)) FILTER (NOT r) AS hn FROM s, range(0, 11) AS u(c) GROUP BY c),
+f AS (SELECT c, hp / sum(hp) OVER () AS fp, hn / sum(hn) OVER () AS fn, sum(hp) OVER () AS sp, sum(hn) OVER () AS sn FROM t), m AS (SELECT *, 0.1 * fp + 0.9 * fn AS mix FROM f),
+l AS (SELECT *, 0.1 * (ln(greatest(mix, 1e-12)) - ln(greatest(fp, 1e-12))) AS up, 0.9 * (ln(greatest(mix, 1e-12)) - ln(greatest(fn, 1e-12))) AS un FROM m),
+v AS (SELECT list((up - up_all) / sp ORDER BY c) AS dp, list((un - un_all) / sn ORDER BY c) AS dn FROM l, (SELECT sum(up * fp) AS up_all, sum(un * fn) AS un_all FROM l) AS z),
+pg AS (SELECT q, d, {_BY_PRODUCT} FROM (SELECT *, -0.5 * list_sum(list_transform(range(0, 11), lambda c: CASE WHEN abs(c - x) < 1 THEN sign(c - x) * CASE WHEN r THEN dp[c + 1] ELSE dn[c + 1] END ELSE 0 END)) AS slope FROM s, v) AS t)""",
+"""(SELECT -(sum(CASE WHEN mix > 0 THEN -mix * ln(mix) ELSE 0 END) - 0.1 * sum(CASE WHEN fp > 0 THEN -fp * ln(fp) ELSE 0 END) - 0.9 * sum(CASE WHEN fn > 0 THEN -fn * ln(fn) ELSE 0 END)) FROM m)"""))
+def first_step_mihash(spark, sf_dir):
+    return _first_step(spark, sf_dir, "mihash", p=0.1)
+
+
+@query(_first_step_sql("list_transform({z}, lambda v: 1 / (1 + exp(-v)))", """s AS (SELECT *, list_transform(range(1, 11), lambda i: 1 - a[i] * (1 - b[i]) - (1 - a[i]) * b[i]) AS same FROM p),
+t AS (SELECT *, list_product(same) AS m FROM s),
+c AS (SELECT count(*) FILTER (r)::DOUBLE AS n1, count(*)::DOUBLE AS n, avg(ln(m)) FILTER (r) AS rho, avg(CASE WHEN r THEN m * 0.1 / (SELECT avg(r::INT) FROM p) ELSE m * 0.9 / (1 - (SELECT avg(r::INT) FROM p)) END) AS mean FROM t),
+pg AS (SELECT q, d, list_transform(range(1, 11), lambda i: -slope * m / same[i] * (1 - 2 * b[i]) * a[i] * (1 - a[i])) AS by_a, list_transform(range(1, 11), lambda i: -slope * m / same[i] * (1 - 2 * a[i]) * b[i] * (1 - b[i])) AS by_b
+  FROM (SELECT *, CASE WHEN r THEN -1 / n1 / m ELSE 0 END + 1 / (1 + 0.1 * pow(2, -4) / mean) / n / mean * CASE WHEN r THEN 0.1 / (n1 / n) ELSE 0.9 / (1 - n1 / n) END AS slope FROM t, c) AS u)""",
+"(SELECT -(rho + ln(1 + pow(2, -4)) + 4 * ln(2) - ln(1 + mean / (0.1 * pow(2, -4)))) FROM c)"))
+def first_step_fbeta(spark, sf_dir):
+    from math import log
+
+    return _first_step(spark, sf_dir, "fbeta", log_p=log(0.1), log2_beta=-2.0)
+
+
+@query()
+def first_step_hbkl(spark, sf_dir):
+    """Its gradient is held by finite differences in the tests."""
+    return _first_step(spark, sf_dir, "hbkl", p_pos=0.05, p_neg=0.5)
+
+
 # Dataset views.
 
 
