@@ -11,8 +11,10 @@ from .functions import bits, colour, distributions, kbest
 from .functions import logspace as L
 from .operators import grid as G
 from .operators import hamming, learned, oracle_calls, sswr, training
+from .operators.multi_index import MultiIndex, sign_words
 from .operators.multiprobe import MultiProbe
 from .operators.radius import RadiusSearch, within_radius
+from .operators.subsets import cheapest_subsets
 from .sources import augment, datasets, state
 from .streaming import ingest
 
@@ -165,6 +167,34 @@ def radius_multi_table(spark, sf_dir):
     return s.search(q).select("q", F.explode("docs").alias("doc"))
 
 
+# Within a radius of codes of any length: 64 bits, radius 20, and 128 bits (each vector's signs and those of its halves' sums), radius 40.
+
+
+def _words(spark, sf_dir, nbits: int) -> DataFrame:
+    e = F.col("embedding")
+    wide = F.concat(e, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(e, i) + F.get(e, (i + 1) % 64)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", sign_words(e if nbits <= 64 else wide, nbits).alias("code"))
+
+
+def _multi_index(spark, sf_dir, nbits: int, radius: int, parts: int) -> DataFrame:
+    v = _words(spark, sf_dir, nbits)
+    found = MultiIndex(spark, nbits, radius, parts).insert(v.select(F.col("vec_id").alias("doc"), "code")).candidates(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "code"))
+    return found.select("q", F.col("step").alias("dist"), "doc")
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id AS doc, {_D64} AS dist FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND {_D64} <= 20")
+def multi_index_search(spark, sf_dir):
+    return _multi_index(spark, sf_dir, 64, 20, 6)
+
+
+_D128 = f"({_D64} + list_sum(list_transform(range(0, 64), lambda i: ((a.embedding[i + 1] + a.embedding[(i + 1) % 64 + 1] > 0) <> (b.embedding[i + 1] + b.embedding[(i + 1) % 64 + 1] > 0))::INT)))::INT"
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id AS doc, {_D128} AS dist FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND {_D128} <= 40")
+def multi_index_wide(spark, sf_dir):
+    return _multi_index(spark, sf_dir, 128, 40, 12)
+
+
 # k-best subsets and multi-probe hashing.
 
 _SUBSETS = "SELECT vec_id, mask, list_sum(list_transform(range(0, {n}), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN abs(embedding[i + 1]::DOUBLE * {scale}) ELSE 0 END)) AS cost FROM embeddings, range(0, {size}) AS r(mask) WHERE {where}"
@@ -189,6 +219,16 @@ def kbest_outcomes(spark, sf_dir):
     return v.select("vec_id", F.posexplode(kbest.likeliest_outcomes(head(8, 10.0), 8, 12)).alias("rank", "x")).select("vec_id", "rank", "x.code")
 
 
+@query("""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS v FROM embeddings),
+b(vec_id, n, beam) AS (SELECT vec_id, 0, [{'c': 0::DOUBLE, 'items': []::INT[]}] FROM v UNION ALL
+SELECT b.vec_id, n + 1, list_sort(list_concat(beam, list_transform(beam, lambda x: {'c': x.c + v[n + 1], 'items': list_append(x.items, n::INT)})))[1:40] FROM b JOIN v ON v.vec_id = b.vec_id WHERE n < 64)
+SELECT vec_id, (r - 1)::INT AS rank, round(beam[r].c, 6) AS cost, array_to_string(beam[r].items, ' ') AS items FROM b, range(1, 41) AS t(r) WHERE n = 64""")
+def kbest_wide(spark, sf_dir):
+    """The 40 cheapest subsets of all 64 components."""
+    v = vectors(spark, sf_dir).select("vec_id", F.transform("e", F.abs).alias("v"))
+    return cheapest_subsets(v, "v", 40).select("vec_id", "rank", r6(F.col("cost")).alias("cost"), F.array_join("items", " ").alias("items"))
+
+
 def _multiprobe(spark, sf_dir, lookups=4) -> tuple[MultiProbe, DataFrame]:
     v = vectors(spark, sf_dir).select("vec_id", head(10).alias("logits"))
     return MultiProbe(spark, 10, 3, lookups).insert(v.select(F.col("vec_id").alias("doc"), "logits")), v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "logits")
