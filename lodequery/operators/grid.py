@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
-from math import dist, prod
+from itertools import islice
+from math import dist, prod, sqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,35 @@ class Grid:
         return spark.range(self.n_cells).select(F.array(*place).alias("cell"))
 
 
+    def best_first(self, point: list[float]) -> Iterator[tuple[float, tuple[int, ...]]]:
+        """(lb, cell) of the grid's cells by rising (lb, cell), lazily, from a heap that holds the frontier only.
+
+        On each axis the divisions are ranked by their gap to the point.  A cell is a rank on each axis, and
+        its successors raise one of the ranks from the last raised axis on, so every cell has one predecessor, which is no
+        farther away, and none needs to be remembered.
+        """
+        gaps = []
+        for p, a, b, n in zip(point, self.low, self.high, self.divisions):
+            w = (b - a) / n
+            gaps.append(sorted((max(a + c * w - p, 0.0, p - (a + (c + 1) * w)), c) for c in range(n)))
+
+        def state(ranks: tuple[int, ...], axis: int):
+            own = [gaps[i][r] for i, r in enumerate(ranks)]
+            return sqrt(reduce(lambda x, y: x + y, [g * g for g, _ in own])), tuple(c for _, c in own), ranks, axis
+
+        heap, level, same = [state((0,) * self.d, 0)], 0.0, []
+        while heap:
+            lb, cell, ranks, axis = heapq.heappop(heap)
+            if lb > level:
+                yield from sorted(same)
+                level, same = lb, []
+            same.append((lb, cell))
+            for i in range(axis, self.d):
+                if ranks[i] + 1 < self.divisions[i]:
+                    heapq.heappush(heap, state((*ranks[:i], ranks[i] + 1, *ranks[i + 1 :]), i))
+        yield from sorted(same)
+
+
 def checked(df: DataFrame, grid: Grid, what: str) -> DataFrame:
     """df, failing at run time if a point is out of bounds: the whole batch is refused."""
     p = F.col("point")
@@ -136,6 +168,38 @@ class GridSearch:
         """(q, cell, lb): the cells of the grid whose lower bound is under max_dist, without listing others but those of the ball's box."""
         return self._touched(queries, max_dist).select("q", "cell", "lb")
 
+    def best_first_cells(self, queries: DataFrame, most: int | None = None, reach: str | None = None) -> DataFrame:
+        """(q, rank, cell, lb): every query's cells by (lb, cell), best first, as many as are asked for and no others made.
+
+        At most ``most`` of them, and only those whose bound is under the column ``reach`` of queries where that is given (and
+        not null).  Queries keep a heap each, in whichever task holds them; nothing is shuffled.
+        """
+        g = self.grid
+        limit = F.col(reach).cast("double") if reach else F.lit(None).cast("double")
+        rows = checked(queries.select("q", "point", limit.alias("_reach")), g, "query")
+        kind = rows.schema["q"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            for b in batches:
+                for q, point, upto in zip(*(c.to_pylist() for c in b.columns)):
+                    for rank, (lb, cell) in enumerate(islice(g.best_first(point), most)):
+                        if upto is not None and lb >= upto:
+                            break
+                        held.append((q, rank, list(cell), lb))
+                        if len(held) == 4096:
+                            yield put(held, b.schema.field(0).type)
+                            held = []
+                if held:
+                    yield put(held, b.schema.field(0).type)
+                    held = []
+
+        def put(rows, of):
+            q, rank, cell, lb = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(q, of), pa.array(rank, pa.int32()), pa.array(cell, pa.list_(pa.int32())), pa.array(lb, pa.float64())], names=["q", "rank", "cell", "lb"])
+
+        return rows.mapInArrow(run, f"q {kind}, rank int, cell array<int>, lb double")
+
     def iterate_cells(self, queries: DataFrame, q: int) -> Iterator[Row]:
         """One query's cells by (lb, cell), lazily: rings of doubling radius, so a reader that stops early has caused few cells."""
         g, own = self.grid, queries.where(F.col("q") == q)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import bits, colour, distributions, kbest
 from .functions import logspace as L
 from .operators import grid as G
-from .operators import hamming, learned, oracle_calls, sswr, training
+from .operators import hamming, learned, oracle_calls, sswr, timed, training
 from .operators.multi_index import MultiIndex, sign_words
 from .operators.multiprobe import MultiProbe
 from .operators.radius import RadiusSearch, within_radius
@@ -84,6 +84,15 @@ def hamming_hist(spark, sf_dir):
     return hamming.distance_histogram(*code_sides(spark, sf_dir), 64)
 
 
+_D16 = _D64.replace("range(1, 65)", "range(1, 17)")
+
+
+@query(f"{_HIST} SELECT * FROM h".replace(_D64, _D16).replace("range(0, 65)", "range(0, 17)").replace("a.vec_id % 10 = 0", "true"))
+def hamming_hist_narrow(spark, sf_dir):
+    """All vectors against all, 16 bits: from transforms of the counts of codes, with no pair made."""
+    return hamming.narrow_distance_histogram(*code_sides(spark, sf_dir, 16, 1), 16)
+
+
 _CURVE = f"""{_HIST}, c AS (SELECT dist, sum(n_rel) OVER (ORDER BY dist) AS cr, sum(n_rel + n_irrel) OVER (ORDER BY dist) AS ca, sum(n_rel) OVER () AS w FROM h)
 SELECT dist, round(cr / ca, 6) AS prec, round(cr / w, 6) AS recall FROM c"""
 
@@ -330,6 +339,12 @@ def poisson_binomial_linear(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.poisson_binomial(q)).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("p"))
 
 
+@query(ORACLE["poisson_binomial_linear"])
+def poisson_binomial_fft(spark, sf_dir):
+    q = F.transform(head(64), lambda x: 1 / (1 + F.exp(-x)))
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(distributions.poisson_binomial_fft(q)).alias("j", "x")).select("vec_id", "j", r6(F.col("x")).alias("p"))
+
+
 def pairs_of(spark, sf_dir, n: int, scale: float = 1.0) -> DataFrame:
     """(vec_id, x, y): logits of each vector and of the next one."""
     v = vectors(spark, sf_dir).select("vec_id", head(n, scale).alias("z"))
@@ -551,23 +566,33 @@ def halting_chrono_sswr(spark, sf_dir):
     return _ratio(sswr.halting_work_ratio(c, rel, n, 8, recall=0.05, cost=F.expr(_SECONDS).cast("double")))
 
 
-def _measured(c: DataFrame) -> Column:
-    """The seconds that a look-up takes on average when all candidates are made."""
-    watch = state.Stopwatch().start()
-    calls = max(1, c.select("q", "step").distinct().count())
-    return F.lit(watch.stop().time() / calls)
+def _measured(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    """The candidates with the seconds that their look-ups took where they were made; written once, as another run takes other times."""
+    s, q = _multiprobe(spark, sf_dir)
+    _, rel, n = _stream(spark, sf_dir)
+    path = _scratch(spark, "timed")
+    timed.timed_candidates(timed.timed_lookups(s.probes(q, 6), s.index)).write.parquet(path)
+    return spark.read.parquet(path), rel, n
 
 
 @query()
 def chrono_sswr_measured(spark, sf_dir):
-    c, rel, n = _stream(spark, sf_dir)
-    return sswr.work_ratio(c, rel, n, recall=0.2, allow_halt=True, cost=_measured(c))
+    c, rel, n = _measured(spark, sf_dir)
+    return sswr.work_ratio(c, rel, n, recall=0.2, allow_halt=True, cost=F.col("seconds"))
 
 
 @query()
 def halting_chrono_sswr_measured(spark, sf_dir):
-    c, rel, n = _stream(spark, sf_dir)
-    return sswr.halting_work_ratio(c, rel, n, 8, recall=0.05, cost=_measured(c))
+    c, rel, n = _measured(spark, sf_dir)
+    return sswr.halting_work_ratio(c, rel, n, 8, recall=0.05, cost=F.col("seconds"))
+
+
+@query(f"""{_MB}, a AS (SELECT k.vec_id AS q, k.rank * 3 + t AS step, count(idx.doc)::BIGINT AS n_docs FROM k JOIN range(0, 3) AS r(t) ON true LEFT JOIN idx ON idx.code = k.code AND idx.table_no = t WHERE k.vec_id % 10 = 0 AND k.rank < 4 GROUP BY ALL)
+SELECT q, step::BIGINT AS step, n_docs, true AS timed FROM a""")
+def timed_lookups(spark, sf_dir):
+    """What each look-up found; its time is another in each run, so only that it has one is compared."""
+    s, q = _multiprobe(spark, sf_dir)
+    return timed.timed_lookups(s.probes(q, 4), s.index).select("q", "step", F.size("docs").cast("long").alias("n_docs"), (F.col("seconds") > 0).alias("timed"))
 
 
 @query("SELECT k, round(k * (r.n + 1.0) / (5 + 1.0), 6) AS cost FROM range(1, 6) AS a(k), (SELECT count(*) AS n FROM embeddings) AS r")
@@ -679,6 +704,13 @@ def grid_near_cells(spark, sf_dir):
     return g.near_cells(q, 60.0).select("q", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
 
 
+@query(f"""SELECT q, rank::INT AS rank, c0, c1, lb FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY b, c0, c1) - 1 AS rank FROM ({ORACLE['grid_cell_dists'].replace('AS lb', 'AS lb, sqrt(pow(greatest(c0 * 3.0 - p_size, 0, p_size - (c0 + 1) * 3.0), 2) + pow(greatest(c1 * 10.0 - p_retailprice, 0, p_retailprice - (c1 + 1) * 10.0), 2)) AS b')}) AS c) AS r WHERE rank < 40""")
+def grid_best_first(spark, sf_dir):
+    """The 40 nearest cells of every query, best first, without making others."""
+    g, q = _grid_sides(spark, sf_dir, 100)
+    return g.best_first_cells(q, 40).select("q", "rank", F.get("cell", F.lit(0)).alias("c0"), F.get("cell", F.lit(1)).alias("c1"), r6(F.col("lb")).alias("lb"))
+
+
 _PART_DIST = "sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2))"
 
 
