@@ -16,11 +16,6 @@ def is_small(df: DataFrame, most: int = SMALL) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def maybe_broadcast(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it is small enough, else as it is: the join then shuffles."""
-    return F.broadcast(df) if is_small(df, most) else df
-
-
 def all_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Every row of a stated query set with every row of docs, for operators defined over all pairs.
 

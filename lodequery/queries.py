@@ -15,7 +15,7 @@ from .operators.multi_index import MultiIndex, sign_words
 from .operators.multiprobe import MultiProbe
 from .operators.radius import RadiusSearch, within_radius
 from .operators.subsets import cheapest_subsets
-from .sources import augment, datasets, state
+from .sources import augment, datasets, imagefiles, state
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,6 +309,20 @@ def stream_ingest(spark, sf_dir):
     return ingest.read_index(spark, f"{path}/index")
 
 
+@query(f"{_MB}, {_HITS.format(n=6)} SELECT q, step, doc FROM hits")
+def stream_itersearch(spark, sf_dir):
+    """The queries' steps asked for in three requests that overlap, the last one of them after a restart."""
+    path = _scratch(spark, "steps")
+    s, q = _multiprobe(spark, sf_dir)
+    for n, (first, after) in enumerate(((0, 5), (3, 11), (11, 18))):
+        q.select("q", "logits", F.lit(first).alias("first"), F.lit(after).alias("after")).coalesce(1).write.mode("append").parquet(f"{path}/requests")  # a tenth of the vectors, one batch
+        if n:
+            requests = spark.readStream.schema("q long, logits array<double>, first int, after int").option("maxFilesPerTrigger", 1).parquet(f"{path}/requests")
+            out = ingest.first_hits(requests, s, 6).writeStream.format("parquet").option("path", f"{path}/hits").option("checkpointLocation", f"{path}/offsets")
+            out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("q long, step long, doc long").parquet(f"{path}/hits")
+
+
 # Distributions, of all 64 components.
 
 _SIG = "1 / (1 + exp(-embedding[{i}]::DOUBLE))"
@@ -1009,6 +1023,35 @@ def mosaic_parts(spark, sf_dir):
     return datasets.mosaics(table(spark, sf_dir, "part"), "p_partkey", 1000, 4, 300, 5)
 
 
+_TILES = f"""p AS (SELECT vec_id AS part, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY {_h('vec_id', '5')}, vec_id) - 1 AS n FROM embeddings),
+s AS (SELECT doc, slot, part, x FROM (SELECT doc, slot, {_h('doc', 'slot', '5')} % w AS pick FROM range(0, 300) AS d(doc), range(0, 4) AS s(slot), (SELECT count(*) AS w FROM embeddings) AS c) AS t JOIN p ON p.n = t.pick)"""
+
+
+@query(f"""WITH {_TILES} SELECT doc, ((slot // 2) * 8 + i // 8)::INT AS y, ((slot % 2) * 8 + i % 8)::INT AS x, round(s.x[i + 1], 6) AS v FROM s, range(0, 64) AS r(i)""")
+def mosaic_images(spark, sf_dir):
+    """300 mosaics of 2 x 2 vectors, each an image of 8 x 8 pixels."""
+    parts = vectors(spark, sf_dir).select(F.col("vec_id").alias("part"), F.col("e").alias("x"))
+    m = datasets.mosaic_images(datasets.mosaics(parts, "part", 300, 4, 0, 5), parts, 8, 8)
+    return m.select("doc", F.posexplode("x").alias("i", "v")).select("doc", F.expr("int(i div 16)").alias("y"), F.expr("int(i % 16)").alias("x"), r6(F.col("v")).alias("v"))
+
+
+@query(f"""WITH {_TILES.replace('range(0, 300)', 'range(0, 120)')}, q AS (SELECT doc AS q, part FROM s WHERE slot = {_h('doc', "'query'", '5')} % 4), d AS (SELECT doc, list(part ORDER BY slot) AS parts FROM s GROUP BY doc)
+SELECT q, doc, list_contains(parts, part) AS r FROM q, d""")
+def mosaic_batch(spark, sf_dir):
+    """What a batch of 120 mosaics says of relevance."""
+    parts = vectors(spark, sf_dir).select(F.col("vec_id").alias("part"), F.col("e").alias("x"))
+    return datasets.mosaic_batch(parts, 120, 8, 8, 0.1, 5)[2]
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split, label, (i - 1)::INT AS i, round(embedding[i]::DOUBLE, 6) AS v FROM embeddings, range(1, 65) AS r(i)")
+def image_files(spark, sf_dir):
+    """The vectors as packed files of 8 x 8 pixels, written and read by the data source."""
+    path = _scratch(spark, "images")
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 5 == 0, "valid").otherwise("train").alias("split"), "label", F.col("e").alias("pixels"))
+    imagefiles.write(v, path, 8, 8)
+    return imagefiles.read(spark, path).select("id", "split", "label", F.posexplode("pixels").alias("i", "v")).select("id", "split", "label", "i", r6(F.col("v")).alias("v"))
+
+
 @query("SELECT vec_id + 1000000 AS q, vec_id AS doc FROM embeddings")
 def altered_relevance(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"))

@@ -161,6 +161,45 @@ def mosaics(parts: DataFrame, id_col: str, n: int, slots: int = 4, forced: int =
     return docs.withColumn("_row", drawn).join(rows.select("part", "_row"), "_row").select("doc", "slot", "part")
 
 
+def tiled(tiles: Column, height: int, width: int, across: int, down: int) -> Column:
+    """One image from an array of down * across images of height * width pixels, each an array by rows: by rows again."""
+    rows = F.sequence(F.lit(0), F.lit(down * height - 1))
+
+    def line(y: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda x: F.slice(F.get(tiles, F.floor(y / height).cast("int") * across + x), (F.pmod(y, F.lit(height)) * width + 1).cast("int"), F.lit(width)))
+        return F.flatten(own)
+
+    return F.flatten(F.transform(rows, line))
+
+
+def mosaic_images(slots: DataFrame, images: DataFrame, height: int, width: int, across: int = 2, down: int = 2, sigma: float = 0.0, seed: int = 0xBEEF) -> DataFrame:
+    """(doc, parts, x): the pixels of mosaics(doc, slot, part) of images(part, x), slots going by rows; with noise if sigma is given.
+
+    parts are the ids by slot.  A mosaic that lacks a slot, or a part of other than height * width pixels, is an error.
+    """
+    n = across * down
+    got = slots.join(images.select("part", "x"), "part", "left").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("slot", "part", "x"))).alias("t"))  # across * down entries
+    whole = (F.size("t") == n) & F.forall("t", lambda t: F.size(t["x"]) == height * width)
+    t = F.when(whole, F.col("t")).otherwise(F.raise_error(F.lit("a mosaic lacks a part")).cast(got.schema["t"].dataType))
+    got = got.select("doc", t.alias("t")).select("doc", F.transform("t", lambda t: t["part"]).alias("parts"), tiled(F.transform("t", lambda t: t["x"]), height, width, across, down).alias("x"))
+    return got.withColumn("x", _with_noise(F.col("x"), F.col("doc"), sigma, seed)) if sigma else got
+
+
+def mosaic_batch(images: DataFrame, size: int, height: int, width: int, sigma: float = 0.0, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A batch of ``size`` mosaics of 2 x 2 images(part, x) and as many queries, each the part in a slot of its own mosaic; and what is relevant.
+
+    Queries (q, part, x), documents (doc, parts, x) and their relation (q, doc, r) for every pair: r says that the mosaic
+    holds the query's part.  Parts and slots are drawn by hashes of the number and the seed; noise is drawn for both sides.
+    """
+    slots = mosaics(images, "part", size, 4, 0, seed)
+    docs = mosaic_images(slots, images, height, width, sigma=sigma, seed=seed + 1)
+    own = slots.where(F.pmod(hashed(F.col("doc"), F.lit("query"), F.lit(seed)), F.lit(4)) == F.col("slot")).select(F.col("doc").alias("q"), "part")
+    x = _with_noise(F.col("x"), F.col("q"), sigma, seed + 2) if sigma else F.col("x")
+    queries = own.join(images.select("part", "x"), "part").select("q", "part", x.alias("x"))
+    relation = all_pairs(own.select("q", "part"), docs.select("doc", "parts")).select("q", "doc", F.array_contains("parts", F.col("part")).alias("r"))
+    return queries, docs, relation
+
+
 def altered_relevance(queries: DataFrame, originals: DataFrame, key: str) -> DataFrame:
     """(q, doc): altered copies queries(q, key) and the originals(doc, key) they were made from, by the key that both keep."""
     return queries.select("q", key).join(originals.select("doc", key), key).select("q", "doc").distinct()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.search import SearchStructure
 
@@ -34,12 +36,22 @@ def probe(queries: DataFrame, structure: SearchStructure, limit: int | None = No
     return structure.probes(queries, limit).join(structure.index, ["table_no", "code"]).select("q", "step", "doc")
 
 
-def event_counts(events: DataFrame, ts: str, key: str, window: str, late: str) -> DataFrame:
-    """(start, key, n) per tumbling window of event time, dropping rows later than ``late``."""
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return timed.groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+def first_hits(requests: DataFrame, structure: SearchStructure, limit: int | None = None, shards: int = 16) -> DataFrame:
+    """(q, step, doc) of a stream of requests: each document of a query at the first step that gives it, whatever batch that is in.
 
-
-def on_batches(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run f on what is available, batch by batch, and stop."""
-    return df.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    requests are queries with two columns more, first and after: the steps that are wanted now, from first up to but without
+    after.  A reader goes on with a query by asking for its next steps; steps asked for again give nothing.  What has been given
+    is kept as state, an array for each query and each of ``shards`` parts of the ids, and survives a restart.
+    """
+    wanted = requests.withColumn("q", F.struct("q", "first", "after"))
+    hits = structure.probes(wanted, limit).where((F.col("step") >= F.col("q.first")) & (F.col("step") < F.col("q.after"))).join(structure.index, ["table_no", "code"])
+    hits = hits.select(F.col("q.q").cast("long").alias("q"), F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"), "step", "doc")
+
+    def new_only(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        given = set(state.get[0]) if state.exists else set()
+        rows = pd.concat(list(frames)).sort_values(["step", "doc"]).drop_duplicates("doc")
+        rows = rows[~rows["doc"].isin(given)]
+        state.update((sorted(given | set(rows["doc"].tolist())),))
+        yield rows[["q", "step", "doc"]]
+
+    return hits.groupBy("q", "shard").applyInPandasWithState(new_only, "q long, step long, doc long", "given array<bigint>", "append", GroupStateTimeout.NoTimeout)
