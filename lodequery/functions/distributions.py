@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import logspace as L
 
@@ -97,37 +96,77 @@ def log_any(lq0: Column, lq1: Column) -> tuple[Column, Column]:
     return F.element_at(pmf, 1), L.let(pmf, lambda p: L.logsumexp_array(F.slice(p, 2, F.size(p) - 1)))
 
 
-def log_factorials(spark: SparkSession, top: int) -> DataFrame:
-    """(i, lf) with lf = log(i!) for i = 0..top."""
-    logs = spark.range(0, top + 1).select(F.col("id").alias("i"), F.ln(F.greatest(F.col("id"), F.lit(1))).alias("x"))
-    return logs.select("i", F.sum("x").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("lf"))
+def log_factorial(n: Column) -> Column:
+    """log(n!) of a whole number: a table up to 15, then Stirling's series, whose next term is under 1e-14 there."""
+    from math import lgamma
 
+    few = F.array(*[F.lit(lgamma(k + 1)) for k in range(16)])
+    x = F.greatest(n, F.lit(16)).cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n < 16, F.get(few, n.cast("int"))).otherwise(series)
 
-def hypergeometric(spark: SparkSession, n_all: int, n_white: int) -> DataFrame:
-    """(draws, whites, p): P(whites among draws) of n_all marbles, n_white of them white."""
+
+def _hypergeometric(n_all: Column, n_white: Column, draws: Column, whites: Column) -> Column:
+    """P(whites among draws) of n_all marbles, n_white of them white; 0 where that can't be."""
+    black, n_black = draws - whites, n_all - n_white
+    ok = (whites >= 0) & (whites <= n_white) & (black >= 0) & (black <= n_black)
+    up = [n_white, n_black, draws, n_all - draws]
+    down = [whites, n_white - whites, black, n_black - black, n_all]
+    log_p = sum((log_factorial(x) for x in up[1:]), log_factorial(up[0])) - sum((log_factorial(x) for x in down[1:]), log_factorial(down[0]))
+    return F.when(ok, F.exp(log_p)).otherwise(0.0)
+
+
+def _cells(sizes: DataFrame, draws: bool, most_draws: int | None = None) -> DataFrame:
+    """sizes(.., n_all, n_white) with whites = 0..n_white, and draws = 0..n_all (or most_draws) if they are wanted."""
+    good = (F.col("n_white") >= 0) & (F.col("n_white") <= F.col("n_all"))
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c)))
+    out = sizes.where("n_all is not null and n_white is not null").withColumn("n_all", F.when(good, F.col("n_all").cast("long")).otherwise(F.raise_error(F.lit("need 0 <= n_white <= n_all")).cast("long"))).withColumn("n_white", F.col("n_white").cast("long"))
+    if draws:
+        last = F.col("n_all") if most_draws is None else F.least(F.col("n_all"), F.lit(most_draws).cast("long"))
+        out = out.withColumn("_last", last).withColumn("draws", to("_last")).drop("_last")
+    return out.withColumn("whites", to("n_white"))
+
+
+def hypergeometric_of(sizes: DataFrame, most_draws: int | None = None) -> DataFrame:
+    """(.., draws, whites, p) of sizes(.., n_all, n_white): P(whites among draws), for every number of draws up to most_draws.
+
+    A row for each cell, from the row's own numbers: no table of factorials, no window and no shuffle.  Rows with a null
+    number give none; n_white outside 0..n_all is an error.
+    """
+    keep = [c for c in sizes.columns if c not in ("n_all", "n_white")]
+    p = _hypergeometric(*[F.col(c) for c in ("n_all", "n_white", "draws", "whites")])
+    return _cells(sizes, True, most_draws).select(*keep, "draws", "whites", p.alias("p"))
+
+
+def draws_needed_of(sizes: DataFrame, most_draws: int | None = None) -> DataFrame:
+    """(.., draws, whites, p): P(exactly this many draws are needed to have so many whites)."""
+    keep = [c for c in sizes.columns if c not in ("n_all", "n_white")]
+    n_all, n_white, draws, whites = (F.col(c) for c in ("n_all", "n_white", "draws", "whites"))
+    p = _hypergeometric(n_all, n_white, draws - 1, whites - 1) * (n_white - whites + 1) / (n_all - draws + 1)
+    p = F.when(whites == 0, (draws == 0).cast("double")).when(draws == 0, 0.0).otherwise(p)
+    return _cells(sizes, True, most_draws).select(*keep, "draws", "whites", p.alias("p"))
+
+
+def draws_expected_of(sizes: DataFrame) -> DataFrame:
+    """(.., whites, draws): the expected number of draws for 0..n_white whites, in closed form."""
+    keep = [c for c in sizes.columns if c not in ("n_all", "n_white")]
+    return _cells(sizes, False).select(*keep, "whites", ((F.col("n_all") + 1) / (F.col("n_white") + 1) * F.col("whites")).alias("draws"))
+
+
+def _one(spark: SparkSession, n_all: int, n_white: int) -> DataFrame:
     if not 0 <= n_white <= n_all:
         raise ValueError("need 0 <= n_white <= n_all")
-    f = log_factorials(spark, n_all)
-    # The table of factorials has n_all + 1 rows, as many as the result's draws.
-    lf = F.broadcast(f) if n_all <= 1_000_000 else f
-    grid = spark.range(0, n_all + 1).select(F.col("id").alias("draws"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_white).cast("long"))).alias("whites"))
-    grid = grid.withColumn("ok", (F.col("whites") <= F.col("draws")) & (F.col("draws") - F.col("whites") <= n_all - n_white)).withColumn("black", F.greatest(F.col("draws") - F.col("whites"), F.lit(0)))
-    terms = {"a": F.lit(n_white), "b": F.col("whites"), "c": F.lit(n_white) - F.col("whites"), "d": F.lit(n_all - n_white), "e": F.least(F.col("black"), F.lit(n_all - n_white)), "g": F.greatest(F.lit(n_all - n_white) - F.col("black"), F.lit(0)), "h": F.lit(n_all), "j": F.col("draws"), "k": F.lit(n_all) - F.col("draws")}
-    for name, key in terms.items():
-        grid = grid.join(lf.select(F.col("i").alias(f"i_{name}"), F.col("lf").alias(name)), key.cast("long") == F.col(f"i_{name}")).drop(f"i_{name}")
-    log_p = F.expr("a - b - c + d - e - g - h + j + k")
-    return grid.select("draws", "whites", F.when(F.col("ok"), F.exp(log_p)).otherwise(0.0).alias("p"))
+    return spark.range(1).select(F.lit(n_all).cast("long").alias("n_all"), F.lit(n_white).cast("long").alias("n_white"))
+
+
+def hypergeometric(spark: SparkSession, n_all: int, n_white: int) -> DataFrame:
+    """(draws, whites, p) of one pair of numbers."""
+    return hypergeometric_of(_one(spark, n_all, n_white))
 
 
 def draws_needed(spark: SparkSession, n_all: int, n_white: int) -> DataFrame:
-    """(draws, whites, p): P(exactly this many draws are needed to have so many whites)."""
-    h = hypergeometric(spark, n_all, n_white).where((F.col("draws") < n_all) & (F.col("whites") < n_white))
-    step = h.select((F.col("draws") + 1).alias("draws"), (F.col("whites") + 1).alias("whites"), (F.col("p") * (n_white - F.col("whites")) / (n_all - F.col("draws"))).alias("p"))
-    edge = spark.range(0, n_all + 1).select(F.col("id").alias("draws"), F.lit(0).cast("long").alias("whites"), F.when(F.col("id") == 0, 1.0).otherwise(0.0).alias("p"))
-    zero = spark.range(1, n_white + 1).select(F.lit(0).cast("long").alias("draws"), F.col("id").alias("whites"), F.lit(0.0).alias("p"))
-    return edge.union(zero).union(step)
+    return draws_needed_of(_one(spark, n_all, n_white))
 
 
 def draws_expected(spark: SparkSession, n_all: int, n_white: int) -> DataFrame:
-    """(whites, draws): the expected number of draws for 0..n_white whites, in closed form."""
-    return spark.range(0, n_white + 1).select(F.col("id").alias("whites"), ((n_all + 1) / (n_white + 1) * F.col("id")).alias("draws"))
+    return draws_expected_of(_one(spark, n_all, n_white))

@@ -292,6 +292,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not root:  # this machine only, as in tests
         root = tempfile.mkdtemp(prefix="lodequery-scratch-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -382,26 +384,37 @@ def log_prob_any(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", r6(none).alias("log_none"), r6(some).alias("log_some"))
 
 
+# Draws from all vectors, the ones of a label being white.
+
+_SIZES = "z AS (SELECT label, count(*)::DOUBLE AS k, (SELECT count(*) FROM embeddings)::DOUBLE AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)"
+_DRAWS = f"WITH {_SIZES}, c AS (SELECT label, n, k, d::DOUBLE AS d, j::DOUBLE AS j FROM z, unnest(range(0, n::BIGINT + 1)) AS a(d), unnest(range(0, k::BIGINT + 1)) AS b(j) WHERE d <= 60)"
+
+
 def _hyper(d: str, j: str) -> str:
-    """P(j whites among d draws) of 20 marbles, 3 of them white."""
-    c = lambda n, k: f"(gamma({n} + 1) / (gamma({k} + 1) * gamma({n} - ({k}) + 1)))"
-    return f"CASE WHEN {j} <= {d} AND {d} - ({j}) <= 17 THEN {c('3.0', j)} * {c('17.0', f'({d} - ({j}))')} / {c('20.0', d)} ELSE 0 END"
+    c = lambda n, k: f"lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
+    black = f"({d} - ({j}))"
+    return f"CASE WHEN {j} <= {d} AND {j} <= k AND {black} <= n - k THEN exp({c('k', j)} + {c('(n - k)', black)} - ({c('n', d)})) ELSE 0 END"
+
+
+def _label_sizes(spark, sf_dir) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return v.where("label is not null").groupBy("label").agg(F.count("*").alias("n_white")).crossJoin(F.broadcast(v.agg(F.count("*").alias("n_all"))))  # one row
 
 
-@query(f"SELECT d AS draws, j AS whites, round({_hyper('d', 'j')}, 9) AS p FROM range(0, 21) AS a(d), range(0, 4) AS b(j)")
+@query(f"{_DRAWS} SELECT label, d::BIGINT AS draws, j::BIGINT AS whites, round({_hyper('d', 'j')}, 9) AS p FROM c")
 def hypergeometric(spark, sf_dir):
-    return distributions.hypergeometric(spark, 20, 3).select("draws", "whites", (F.round("p", 9) + 0.0).alias("p"))
+    """How many of a label there are among the vectors of a list of up to 60 (a parameter), were it drawn."""
+    return distributions.hypergeometric_of(_label_sizes(spark, sf_dir), 60).select("label", "draws", "whites", (F.round("p", 9) + 0.0).alias("p"))
 
 
-@query(f"""SELECT d AS draws, j AS whites, round(CASE WHEN j = 0 THEN (d = 0)::INT::DOUBLE WHEN d = 0 THEN 0 ELSE ({_hyper('(d - 1)', '(j - 1)')}) * (4 - j) / (21 - d) END, 9) AS p
-FROM range(0, 21) AS a(d), range(0, 4) AS b(j)""")
+@query(f"{_DRAWS} SELECT label, d::BIGINT AS draws, j::BIGINT AS whites, round(CASE WHEN j = 0 THEN (d = 0)::INT::DOUBLE WHEN d = 0 THEN 0 ELSE ({_hyper('(d - 1)', '(j - 1)')}) * (k - j + 1) / (n - d + 1) END, 9) AS p FROM c")
 def draws_needed(spark, sf_dir):
-    return distributions.draws_needed(spark, 20, 3).select("draws", "whites", (F.round("p", 9) + 0.0).alias("p"))
+    return distributions.draws_needed_of(_label_sizes(spark, sf_dir), 60).select("label", "draws", "whites", (F.round("p", 9) + 0.0).alias("p"))
 
 
-@query("SELECT j AS whites, round(21 / 4 * j, 9) AS draws FROM range(0, 4) AS b(j)")
+@query(f"WITH {_SIZES} SELECT label, j AS whites, round((n + 1) / (k + 1) * j, 9) AS draws FROM z, unnest(range(0, k::BIGINT + 1)) AS b(j)")
 def draws_expected(spark, sf_dir):
-    return distributions.draws_expected(spark, 20, 3).select("whites", F.round("draws", 9).alias("draws"))
+    return distributions.draws_expected_of(_label_sizes(spark, sf_dir)).select("label", "whites", F.round("draws", 9).alias("draws"))
 
 
 # Log-space arithmetic.
@@ -988,8 +1001,10 @@ def relation_matrix(spark, sf_dir):
     return datasets.relation(*_sides(spark, sf_dir), "relational_matrix")
 
 
-@query(f"""SELECT q, arg_min(d, h) FILTER (r) AS d, arg_min(d, h) FILTER (NOT r) AS other
-FROM (SELECT a.vec_id AS q, b.vec_id AS d, a.label IS NOT DISTINCT FROM b.label AS r, {_h('a.vec_id', 'b.vec_id', '3')} AS h FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0) AS p GROUP BY q""")
+@query(f"""WITH n AS (SELECT vec_id, label, row_number() OVER (ORDER BY label IS NOT NULL, label::VARCHAR, {_h('vec_id', '3')}, vec_id) - 1 AS n FROM embeddings),
+z AS (SELECT label, count(*) AS size, min(n) AS first FROM n GROUP BY label), w AS (SELECT count(*) AS w FROM embeddings),
+p AS (SELECT vec_id AS q, first + {_h('vec_id', "'match'", '3')} % size AS d, {_h('vec_id', "'other'", '3')} % nullif(w - size, 0) AS o, first, size FROM embeddings AS e JOIN z ON z.label IS NOT DISTINCT FROM e.label, w WHERE vec_id % 100 = 0)
+SELECT q, a.vec_id AS d, b.vec_id AS other FROM p JOIN n AS a ON a.n = d LEFT JOIN n AS b ON b.n = CASE WHEN o < first THEN o ELSE o + size END""")
 def relation_triplets(spark, sf_dir):
     return datasets.relation(*_sides(spark, sf_dir), "relational_triplets", 3)
 
@@ -1064,9 +1079,12 @@ def rotate_points(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6(x).alias("x"), r6(y).alias("y"))
 
 
-@query("SELECT i::INT AS i, j::INT AS j, round(2.0 * j / 23 - 1, 6) AS x, round(2.0 * i / 15 - 1, 6) AS y FROM range(0, 16) AS a(i), range(0, 24) AS b(j)")
+@query("""SELECT h, i::INT AS i, j::INT AS j, round(2.0 * j / (h + 7) - 1, 6) AS x, round(CASE WHEN h = 1 THEN 0 ELSE 2.0 * i / (h - 1) - 1 END, 6) AS y
+FROM (SELECT DISTINCT p_size AS h FROM part) AS s, unnest(range(0, h)) AS a(i), unnest(range(0, h + 8)) AS b(j)""")
 def image_grid(spark, sf_dir):
-    return datasets.image_grid(spark, 16, 24).select("i", "j", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+    """The grids of images of as many rows as a part's size, and 8 more columns."""
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", F.col("p_size").alias("h"), (F.col("p_size") + 8).alias("w"))
+    return datasets.image_grids(sizes).select(F.col("p_size").alias("h"), "i", "j", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,20 +63,57 @@ def relation(queries: DataFrame, docs: DataFrame, mode: str, seed: int = 0) -> D
         return queries.select("q")
     if mode == "class_relation":
         return queries.select("q", "label")
-    pairs = all_pairs(queries.select("q", F.col("label").alias("_lq")), docs.select("d", F.col("label").alias("_ld"))).select("q", "d", F.col("_lq").eqNullSafe(F.col("_ld")).alias("r"))
-    if mode == "relational_matrix":
-        return pairs
-    drawn = F.struct(hashed(F.col("q"), F.col("d"), F.lit(seed)).alias("h"), "d")
-    return pairs.groupBy("q").agg(F.min(F.when(F.col("r"), drawn))["d"].alias("d"), F.min(F.when(~F.col("r"), drawn))["d"].alias("other"))
+    if mode == "relational_triplets":
+        return _triplets(queries, docs, seed)
+    pairs = all_pairs(queries.select("q", F.col("label").alias("_lq")), docs.select("d", F.col("label").alias("_ld")))
+    return pairs.select("q", "d", F.col("_lq").eqNullSafe(F.col("_ld")).alias("r"))
+
+
+def _triplets(queries: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """(q, d, other): drawn as numbers, and looked up by them: documents are numbered class by class, in the order of a hash.
+
+    The document that matters is one of the numbers of the query's class, the other one of those before or after them, so no
+    pair is made.  Null labels are a class.
+    """
+    key = [F.col("label").isNotNull().alias("_known"), F.coalesce(F.col("label").cast("string"), F.lit("")).alias("_label")]
+    rows = _shuffled(docs.select("d", *key), "d", seed, within=("_known", "_label"))
+    sizes = docs.select(*key).groupBy("_known", "_label").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_known", "_label").rowsBetween(Window.unboundedPreceding, -1)  # a row for each class
+    sizes = sizes.withColumn("_first", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("_every", F.sum("_size").over(Window.partitionBy()))
+    numbers = rows.join(sizes, ["_known", "_label"]).select(F.col("d"), (F.col("_first") + F.col("_row")).alias("_number"))
+    total = sizes.agg(F.coalesce(F.max("_every"), F.lit(0)).alias("_total"))
+    asked = queries.select("q", *key).join(sizes.drop("_every"), ["_known", "_label"], "left").crossJoin(F.broadcast(total))  # one row
+    size, first = F.coalesce("_size", F.lit(0)), F.coalesce("_first", F.lit(0))
+    draw = lambda what, n: F.pmod(hashed(F.col("q"), F.lit(what), F.lit(seed)), F.when(n > 0, n))
+    other = draw("other", F.col("_total") - size)
+    asked = asked.select("q", (first + draw("match", size)).alias("_d"), F.when(other < first, other).otherwise(other + size).alias("_o"))
+    own = asked.join(numbers.select("d", F.col("_number").alias("_d")), "_d", "left")
+    return own.join(numbers.select(F.col("d").alias("other"), F.col("_number").alias("_o")), "_o", "left").select("q", "d", "other")
+
+
+def stretch_of(x: Column, bounds: Column, n: int) -> Column:
+    """How many of the n ascending bounds are at most x, by halving."""
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.get(bounds, mid) <= x
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(done | ~up, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(done | up, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))), ends, halve)["lo"]
 
 
 def full_batches(df: DataFrame, order_col: str, size: int, slice_rows: int = 100_000) -> DataFrame:
     """df with (batch, place): consecutive batches of exactly size rows by a numeric column, the short last one left out; nulls come first."""
     slices = max(1, -(-df.count() // slice_rows))
     bounds = sorted(set(df.approxQuantile(order_col, [k / slices for k in range(1, slices)], 0.1 / slices))) if slices > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order_col))), F.lit(-1)) if bounds else F.lit(0)
+    part = F.lit(0)
+    if bounds:
+        df = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(bounds,)], "_bounds array<double>")))  # one row, a number for each slice
+        part = stretch_of(F.col(order_col).cast("double"), F.col("_bounds"), len(bounds))
     out = numbered(df, F.when(F.col(order_col).isNull(), -1).otherwise(part), order_col).where(F.floor(F.col("_row") / size) < F.floor(F.col("_all") / size))
-    return out.withColumn("batch", F.floor(F.col("_row") / size).cast("long")).withColumn("place", F.pmod("_row", F.lit(size)).cast("long")).drop("_all", "_row")
+    return out.withColumn("batch", F.floor(F.col("_row") / size).cast("long")).withColumn("place", F.pmod("_row", F.lit(size)).cast("long")).drop("_all", "_row", "_bounds")
 
 
 def _shuffled(df: DataFrame, id_col: str, seed: int, within: tuple[str, ...] = ()) -> DataFrame:
@@ -100,11 +137,10 @@ def choose(df: DataFrame, id_col: str, size: int, seed: int = 0) -> DataFrame:
 def class_pairs(df: DataFrame, id_col: str, label_col: str, order: Column | None = None) -> DataFrame:
     """(label, query_id, doc_id): the first two rows of each class in an order (by default a hash of the id)."""
     order = order if order is not None else hashed(F.col(id_col))
-    first = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(id_col).alias("id"))))
-    part = F.pmod(F.xxhash64(id_col), F.lit(1024))
-    two = df.groupBy(F.col(label_col).alias("label"), part.alias("_part")).agg(F.slice(first, 1, 2).alias("x"))  # a class's rows are cut in 1,024 first
-    best = F.sort_array(F.flatten(F.collect_list("x")))  # 2,048 at most
-    return two.groupBy("label").agg(best.alias("x")).select("label", F.get("x", F.lit(0))["id"].alias("query_id"), F.get("x", F.lit(1))["id"].alias("doc_id"))
+    rows = df.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), order.alias("o"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("o", "id"))  # tasks keep two rows of a class each before it is shuffled
+    two = rows.withColumn("n", nth).where("n <= 2")
+    return two.groupBy("label").agg(F.max(F.when(F.col("n") == 1, F.col("id"))).alias("query_id"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("doc_id"))
 
 
 def class_batches(df: DataFrame, id_col: str, label_col: str, vec_col: str, batches: int, sigma: float = 0.0, seed: int = 0) -> DataFrame:
@@ -230,8 +266,15 @@ def rotate(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
     return x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle)
 
 
+def image_grids(sizes: DataFrame) -> DataFrame:
+    """(.., i, j, x, y) of sizes(.., h, w): the pixels of images with their centres' places, -1 to 1 on both axes; 0 on an axis of one pixel."""
+    keep = [c for c in sizes.columns if c not in ("h", "w")]
+    to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    pixels = sizes.where("h > 0 and w > 0").withColumn("i", to("h")).withColumn("j", to("w"))
+    place = lambda c, n: F.when(F.col(n) > 1, 2.0 * F.col(c) / F.greatest(F.col(n) - 1, F.lit(1)) - 1).otherwise(0.0)
+    return pixels.select(*keep, "i", "j", place("j", "w").alias("x"), place("i", "h").alias("y"))
+
+
 def image_grid(spark, height: int, width: int) -> DataFrame:
-    """(i, j, x, y): the pixels of an image with their centres' places, -1 to 1 on both axes; 0 on an axis of one pixel."""
-    place = lambda c, n: (2.0 * F.col(c) / (n - 1) - 1 if n > 1 else F.lit(0.0))
-    pixels = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("i"), F.pmod("id", F.lit(width)).cast("int").alias("j"))
-    return pixels.select("i", "j", place("j", width).alias("x"), place("i", height).alias("y"))
+    """image_grids() of one size."""
+    return image_grids(spark.range(1).select(F.lit(height).alias("h"), F.lit(width).alias("w")))

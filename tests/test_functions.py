@@ -46,42 +46,53 @@ def test_distances_refuse_unequal_lengths(spark):
             one(spark, c=f(a.cast("array<long>"), b.cast("array<long>")))
 
 
-def test_poisson_binomial_equals_enumeration(spark):
-    q = [0.2, 0.1, 0.8, 0.7, 0.99]
-    want = [0.0] * 6
-    for s in itertools.product([0, 1], repeat=5):
+probabilities = st.floats(0.01, 0.99)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(probabilities, min_size=1, max_size=7))
+def test_poisson_binomial_equals_enumeration(spark, q):
+    want = [0.0] * (len(q) + 1)
+    for s in itertools.product([0, 1], repeat=len(q)):
         want[sum(s)] += math.prod(p if b else 1 - p for p, b in zip(q, s))
-    lp = one(spark, c=distributions.log_poisson_binomial(F.transform(arr(q), lambda p: F.ln(1 - p)), F.transform(arr(q), F.ln)))
-    assert [math.exp(x) for x in lp] == pytest.approx(want)
-    assert one(spark, c=distributions.poisson_binomial(arr(q))) == pytest.approx(want)
+    r = one(spark, lp=distributions.log_poisson_binomial(F.transform(arr(q), lambda p: F.ln(1 - p)), F.transform(arr(q), F.ln)), p=distributions.poisson_binomial(arr(q)))
+    assert [math.exp(x) for x in r.lp] == pytest.approx(want) and r.p == pytest.approx(want)
+
+
+def test_unequal_arrays_are_refused(spark):
     with pytest.raises(Exception, match="length"):
-        one(spark, c=distributions.log_poisson_binomial(arr([0.1]), arr([0.1, 0.2])))
+        one(spark, c=distributions.log_poisson_binomial(arr([0.4]), arr([0.6, 0.9])))
 
 
-def test_hamming_binomial_and_any(spark):
-    p1, p2 = [0.2, 0.1, 0.8, 0.7, 0.99], [0.3, 0.75, 0.4, 0.5, 0.9]
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(probabilities, probabilities), min_size=1, max_size=6))
+def test_hamming_binomial_and_any(spark, pairs):
     logit = lambda p: math.log(p / (1 - p))
-    got = one(spark, c=distributions.log_hamming_binomial(arr(map(logit, p1)), arr(map(logit, p2))))
-    want = one(spark, c=distributions.poisson_binomial(arr([a * (1 - b) + (1 - a) * b for a, b in zip(p1, p2)])))
-    assert [math.exp(x) for x in got] == pytest.approx(want)
+    p1, p2 = zip(*pairs)
     none, some = distributions.log_any(F.transform(arr(p1), lambda p: F.ln(1 - p)), F.transform(arr(p1), F.ln))
-    r = one(spark, n=none, s=some)
+    r = one(spark, h=distributions.log_hamming_binomial(arr(map(logit, p1)), arr(map(logit, p2))), n=none, s=some)
+    want = [0.0] * (len(pairs) + 1)
+    for a, b in itertools.product(itertools.product([0, 1], repeat=len(pairs)), repeat=2):
+        want[sum(x != y for x, y in zip(a, b))] += math.prod((p if x else 1 - p) * (q if y else 1 - q) for x, y, p, q in zip(a, b, p1, p2)) if len(pairs) < 5 else 0
+    if len(pairs) < 5:
+        assert [math.exp(x) for x in r.h] == pytest.approx(want)
+    assert sum(math.exp(x) for x in r.h) == pytest.approx(1)
     assert math.exp(r.n) == pytest.approx(math.prod(1 - p for p in p1)) and math.exp(r.n) + math.exp(r.s) == pytest.approx(1)
 
 
-def test_bit_algebra(spark):
-    x, y, a = [-0.5, 0.1, 0.9], [0.5, 0.3, -0.8], [0.5, 0.3, -0.8]
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(*[st.floats(-4, 4)] * 3), min_size=1, max_size=5))
+def test_bit_algebra(spark, rows):
+    x, y, a = zip(*rows)
     cases = [
-        (L.bits_equal(arr(x), arr(y)), lambda p, q, s: p * q + (1 - p) * (1 - q)),
-        (L.bits_subset(arr(x), arr(y)), lambda p, q, s: 1 - p * (1 - q)),
-        (L.bits_equal_or(arr(x), arr(y), arr(a)), lambda p, q, s: 1 - (1 - (p * q + (1 - p) * (1 - q))) * (1 - s)),
-        (L.bits_subset_or(arr(x), arr(y), arr(a)), lambda p, q, s: 1 - p * (1 - q) * (1 - s)),
-    ]
-    for (no, yes), f in cases:
-        r = one(spark, no=no, yes=yes)
-        want = [f(*map(sigmoid, z)) for z in zip(x, y, a)]
-        assert [math.exp(v) for v in r.yes] == pytest.approx(want)
-        assert [math.exp(v) for v in r.no] == pytest.approx([1 - w for w in want])
+        (L.bits_equal(arr(x), arr(y)), lambda p, q, s: p == q), (L.bits_subset(arr(x), arr(y)), lambda p, q, s: p <= q),
+        (L.bits_equal_or(arr(x), arr(y), arr(a)), lambda p, q, s: p == q or s), (L.bits_subset_or(arr(x), arr(y), arr(a)), lambda p, q, s: p <= q or s),
+    ]
+    got = one(spark, **{f"{side}{k}": c for k, (pair, _) in enumerate(cases) for side, c in zip(("no", "yes"), pair)})
+    for k, (_, holds) in enumerate(cases):
+        want = [sum(math.prod(sigmoid(v) if b else 1 - sigmoid(v) for v, b in zip(z, bits_)) for bits_ in itertools.product([False, True], repeat=3) if holds(*bits_)) for z in rows]
+        assert [math.exp(v) for v in got[f"yes{k}"]] == pytest.approx(want)
+        assert [math.exp(v) for v in got[f"no{k}"]] == pytest.approx([1 - w for w in want])
 
 
 def test_log_arithmetic_at_the_edges(spark):
@@ -95,9 +106,10 @@ def test_log_arithmetic_at_the_edges(spark):
     assert one(spark, c=L.maximum(F.lit(1.0), F.lit(None).cast("double"))) is None
     r = one(spark, a=L.log_sigmoid_pair(F.lit(-800.0))[0], b=L.log_sigmoid_pair(F.lit(-800.0))[1])
     assert r.a == 0 and r.b == -800
-    ramp = [one(spark, c=L.ramp(F.lit(v).cast("double"), 3, 5, -1, 7)) for v in (2, 3, 4, 5, 6, None)]
-    assert ramp == [-1, -1, 3, 7, 7, 7]
-    assert one(spark, c=L.unique_in_order(F.array(*map(F.lit, [7, 7, -1, 5, 7, 5, 9])))) == [7, -1, 5, 9]
+    ramp = [one(spark, c=L.ramp(F.lit(v).cast("double"), 10, 30, 6, 2)) for v in (-4, 10, 15, 30, 99, None)]
+    assert ramp == [6, 6, 5, 2, 2, 2]
+    drawn = random.Random(11).choices(range(6), k=25)
+    assert one(spark, c=L.unique_in_order(F.array(*map(F.lit, drawn)))) == list(dict.fromkeys(drawn))
     assert one(spark, c=L.complex_exp(*L.complex_log(F.lit(-3.0), F.lit(4.0)))[0]) == pytest.approx(-3)
 
 
@@ -123,14 +135,36 @@ def test_outcomes_descend_in_probability(spark):
 
 
 def test_hypergeometric_family(spark):
-    got = {(r.draws, r.whites): r.p for r in distributions.hypergeometric(spark, 20, 3).collect()}
-    for (n, j), p in got.items():
-        want = math.comb(3, j) * math.comb(17, n - j) / math.comb(20, n) if 0 <= n - j <= 17 else 0
-        assert p == pytest.approx(want, abs=1e-10)
-    need = distributions.draws_needed(spark, 300, 12)
-    by = {r.whites: r.e for r in need.groupBy("whites").agg(F.sum(F.col("draws") * F.col("p")).alias("e")).collect()}
-    for r in distributions.draws_expected(spark, 300, 12).collect():
-        assert by[r.whites] == pytest.approx(r.draws, abs=1e-8) == pytest.approx(301 / 13 * r.whites, abs=1e-8)
+    sizes = spark.createDataFrame([("a", 9, 4), ("b", 31, 0), ("c", 40, 40), ("d", 1, 1), ("e", 0, 0), ("f", 120, 17), ("g", None, 3)], "k string, n_all int, n_white int")
+    numbers = {r.k: (r.n_all, r.n_white) for r in sizes.collect()}
+    got = distributions.hypergeometric_of(sizes).collect()
+    assert len(got) == sum((n + 1) * (w + 1) for k, (n, w) in numbers.items() if k != "g")
+    for r in got:
+        n, w = numbers[r.k]
+        want = math.comb(w, r.whites) * math.comb(n - w, r.draws - r.whites) / math.comb(n, r.draws) if r.whites <= r.draws else 0
+        assert r.p == pytest.approx(want, abs=1e-12)
+    few = distributions.hypergeometric_of(sizes.where("k = 'f'"), 5).collect()
+    assert {r.draws for r in few} == set(range(6)) and len(few) == 6 * 18
+    with pytest.raises(Exception, match="n_white"):
+        distributions.hypergeometric_of(spark.createDataFrame([(3, 4)], "n_all int, n_white int")).collect()
+    with pytest.raises(ValueError):
+        distributions.hypergeometric(spark, 3, 4)
+
+
+@pytest.mark.parametrize("n, w", [(260, 9), (10_000, 125)])
+def test_draws_needed_have_their_expectation(spark, n, w):
+    need = distributions.draws_needed(spark, n, w)
+    by = {r.whites: (r.e, r.p) for r in need.groupBy("whites").agg(F.sum(F.col("draws") * F.col("p")).alias("e"), F.sum("p").alias("p")).collect()}
+    expected = {r.whites: r.draws for r in distributions.draws_expected(spark, n, w).collect()}
+    assert set(by) == set(expected) == set(range(w + 1))
+    for k, (e, p) in by.items():
+        assert p == pytest.approx(1, abs=1e-10) and e == pytest.approx(expected[k], rel=1e-10, abs=1e-8) and expected[k] == pytest.approx((n + 1) / (w + 1) * k)
+
+
+def test_log_factorials(spark):
+    n = [*range(40), 1000, 10**6, 10**12]
+    got = spark.createDataFrame([(k,) for k in n], "n long").select(distributions.log_factorial(F.col("n"))).collect()
+    assert [r[0] for r in got] == pytest.approx([math.lgamma(k + 1) for k in n], rel=1e-14, abs=1e-13)
 
 
 def test_colours_agree_with_the_library(spark):

@@ -1,4 +1,4 @@
-"""Metrics on worked examples."""
+"""Metrics against loops over pairs and simulated searches."""
 
 import itertools
 import math
@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from lodequery.operators import hamming, oracle_calls, sswr
 
 
-def code(s):
-    return sum(1 << i for i, c in enumerate(s) if c == "1")
-
-
-def test_precision_and_recall(spark):
-    q = spark.createDataFrame([(k, code(s)) for k, s in enumerate(["0000", "0011", "1111"])], "q long, code long")
-    d = spark.createDataFrame([(k, code(s)) for k, s in enumerate(["0001", "0101", "1011", "0010"])], "d long, code long")
-    rel = spark.createDataFrame([(0, 0), (0, 3), (1, 1), (1, 2), (2, 0), (2, 0)], "q long, d long")
-    got = hamming.hamming_pr_curve(q, d, rel, 4).orderBy("dist").collect()
-    assert math.isnan(got[0].prec) and [x.prec for x in got[1:]] == pytest.approx([1 / 2, 4 / 9, 5 / 12, 5 / 12])
-    assert [x.recall for x in got] == pytest.approx([0, 3 / 5, 4 / 5, 1, 1])
-    assert [x.dist for x in hamming.hamming_pr_curve(q, d, rel, 4, True).orderBy("dist").collect()] == [1, 2, 3, 4]
-    none = hamming.distance_histogram(q, d, rel.limit(0), 4).collect()
-    assert sum(x.n_rel for x in none) == 0 and sum(x.n_irrel for x in none) == 12
+@pytest.mark.parametrize("nbits", [5, 7, 9])
+def test_precision_and_recall(spark, nbits):
+    r = random.Random(nbits)
+    q, d = ([r.getrandbits(nbits) | 1 << (nbits - 1) * side for _ in range(n)] for side, n in ((0, 7), (1, 11)))
+    matters = {(r.randrange(7), r.randrange(11)) for _ in range(14)}
+    rel = spark.createDataFrame([*matters, *list(matters)[:3]], "q long, d long")  # repeated ones count once
+    queries, docs = (spark.createDataFrame(list(enumerate(x)), f"{name} long, code long") for x, name in ((q, "q"), (d, "d")))
+    near = [[(i, j) for i, a in enumerate(q) for j, b in enumerate(d) if (a ^ b).bit_count() <= dist] for dist in range(nbits + 1)]
+    got = hamming.hamming_pr_curve(queries, docs, rel, nbits).orderBy("dist").collect()
+    assert len(got) == nbits + 1
+    for x, pairs in zip(got, near):
+        assert x.recall == pytest.approx(len(matters & set(pairs)) / len(matters))
+        assert math.isnan(x.prec) if not pairs else x.prec == pytest.approx(len(matters & set(pairs)) / len(pairs))
+    valid = hamming.hamming_pr_curve(queries, docs, rel, nbits, True).orderBy("dist").collect()
+    assert [x.dist for x in valid] == [k for k, pairs in enumerate(near) if pairs]
+    none = hamming.distance_histogram(queries, docs, rel.limit(0), nbits).collect()
+    assert sum(x.n_rel for x in none) == 0 and sum(x.n_irrel for x in none) == 77
 
 
 def stream(spark, deltas):

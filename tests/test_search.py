@@ -1,4 +1,4 @@
-"""Search structures on worked examples and against brute force."""
+"""Search structures against brute force."""
 
 import math
 import random
@@ -13,33 +13,36 @@ from lodequery.operators.search import SearchStructure
 from lodequery.streaming import ingest
 
 
-def code(s):
-    return sum(1 << i for i, c in enumerate(s) if c == "1")
-
-
 def found(df):
     return {r.q: set(r.docs) for r in df.collect()}
 
 
+NBITS, RADIUS = 6, 2
+
+
 @pytest.fixture
 def radius_sides(spark):
-    docs = spark.createDataFrame([(k, code(s)) for k, s in enumerate(["0000", "0011", "0101", "1110"])], "doc long, code long")
-    queries = spark.createDataFrame([(k, code(s)) for k, s in enumerate(["0000", "1000", "0110"])], "q long, code long")
-    return docs, queries
+    r = random.Random(17)
+    docs, queries = [r.getrandbits(NBITS) for _ in range(14)], [r.getrandbits(NBITS) for _ in range(5)]
+    frames = [spark.createDataFrame(list(enumerate(x)), f"{name} long, code long") for x, name in ((docs, "doc"), (queries, "q"))]
+    return docs, queries, *frames
 
 
 def test_radius_search(spark, radius_sides):
-    docs, queries = radius_sides
-    s = RadiusSearch(spark, 4, 2).insert(docs)
-    assert len(s.masks) == 11 and len(masks(64, 2)) == 2081
-    assert found(s.search(queries)) == {0: {0, 1, 2}, 1: {0, 3}, 2: {0, 1, 2, 3}}
-    steps = [r.docs for r in s.iterate(queries, 0, yield_empty=True)]
-    assert [set(x) for x in steps if x] == [set(r.docs) for r in s.iterate(queries, 0)] and len(steps) == 11
-    assert steps[0] == [0] and all(not x for x in steps[1:5]) and sorted(map(tuple, filter(None, steps[5:]))) == [(1,), (2,)]
-    assert found(s.reset().search(queries)) == {0: set(), 1: set(), 2: set()}
-    assert found(RadiusSearch(spark, 4, 0).insert(docs).search(queries)) == {0: {0}, 1: set(), 2: set()}
+    codes, asked, docs, queries = radius_sides
+    within = lambda radius: {q: {d for d, b in enumerate(codes) if (a ^ b).bit_count() <= radius} for q, a in enumerate(asked)}
+    s = RadiusSearch(spark, NBITS, RADIUS).insert(docs)
+    assert [m.bit_count() for m in s.masks] == [w for w in range(RADIUS + 1) for _ in range(math.comb(NBITS, w))] and len(set(s.masks)) == len(s.masks)
+    assert len(masks(64, 2)) == 1 + 64 + math.comb(64, 2)
+    assert found(s.search(queries)) == within(RADIUS)
+    for q, a in enumerate(asked):
+        want = [sorted(d for d, b in enumerate(codes) if a ^ b == m) for m in s.masks]
+        assert [r.docs for r in s.iterate(queries, q, yield_empty=True)] == want
+        assert [r.docs for r in s.iterate(queries, q)] == [x for x in want if x]
+    assert found(s.reset().search(queries)) == {q: set() for q in range(len(asked))}
+    assert found(RadiusSearch(spark, NBITS, 0).insert(docs).search(queries)) == within(0)
     with pytest.raises(ValueError):
-        RadiusSearch(spark, 4, 5)
+        RadiusSearch(spark, NBITS, NBITS + 1)
 
 
 def test_radius_with_more_tables_and_wide_codes(spark):
@@ -58,27 +61,46 @@ def test_radius_with_more_tables_and_wide_codes(spark):
         assert got == {(q, d, (b ^ c).bit_count()) for q, b in enumerate(base) for d, c in enumerate(codes) if (b ^ c).bit_count() <= 2}
 
 
+BITS, TABLES, LOOKUPS = 4, 3, 5
+
+
 @pytest.fixture
 def probes(spark):
-    logit = lambda ps: [math.log(p / (1 - p)) for p in ps]
-    docs = spark.createDataFrame([(k, logit(p)) for k, p in enumerate([[0.3, 0.1, 0.8], [0.7, 0.9, 0.2], [0.3, 0.2, 0.1]])], "doc long, logits array<double>")
-    queries = spark.createDataFrame([(k, logit(p)) for k, p in enumerate([[0.1, 0.4, 0.8], [0.1, 0.6, 0.2]])], "q long, logits array<double>")
-    return docs, queries
+    r = random.Random(23)
+    sides = [[[r.uniform(-3, 3) for _ in range(BITS)] for _ in range(n)] for n in (12, 4)]
+    return *sides, *[spark.createDataFrame(list(enumerate(x)), f"{name} long, logits array<double>") for x, name in zip(sides, ("doc", "q"))]
+
+
+def likeliest(z):
+    """All codes, the likeliest first."""
+    return sorted(range(1 << len(z)), key=lambda c: sum(math.log1p(math.exp(-v if c >> i & 1 else v)) for i, v in enumerate(z)))
 
 
 def test_multi_probe(spark, probes, tmp_path):
-    docs, queries = probes
-    s = MultiProbe(spark, 3, 3, 2).insert(docs)
-    assert found(s.search(queries)) == {0: {0}, 1: {0, 1, 2}}
-    assert [r.docs for r in s.iterate(queries, 0, 2)] == [[0]] and [r.docs for r in s.iterate(queries, 1, 2)] == [[1], [2], [0]]
-    assert [r.docs for r in s.iterate(queries, 0, 2, True)] == [[0], [], [], [], [], []]
-    assert [r.docs for r in s.iterate(queries, 1, 2, True)] == [[], [1], [2], [], [], [0]]
-    assert {(r.table_no, r.n_buckets, r.avg_size, r.max_size) for r in s.bucket_sizes().collect()} == {(t, 3, 1.0, 1) for t in range(3)}
-    assert found(s.insert(docs).search(queries)) == {0: {0}, 1: {0, 1, 2}}  # buckets are sets
-    again = MultiProbe(spark, 3, 3, 2).set_state(s.state())
-    assert found(again.search(queries)) == found(s.search(queries))
+    held, asked, docs, queries = probes
+    tables = [{} for _ in range(TABLES)]
+    for d, z in enumerate(held):
+        for t, c in enumerate(likeliest(z)[:TABLES]):
+            tables[t].setdefault(c, set()).add(d)
+    steps = {}
+    for q, z in enumerate(asked):
+        seen, steps[q] = set(), []
+        for c in likeliest(z)[:LOOKUPS]:
+            for t in tables:
+                steps[q].append(sorted(t.get(c, set()) - seen))
+                seen |= t.get(c, set())
+    s = MultiProbe(spark, BITS, TABLES, LOOKUPS).insert(docs)
+    want = {q: {d for x in steps[q] for d in x} for q in steps}
+    assert found(s.search(queries)) == want
+    for q in steps:
+        assert [r.docs for r in s.iterate(queries, q, LOOKUPS, True)] == steps[q]
+        assert [r.docs for r in s.iterate(queries, q, LOOKUPS)] == [x for x in steps[q] if x]
+    assert {(r.table_no, r.n_buckets, round(r.avg_size, 9), r.max_size) for r in s.bucket_sizes().collect()} == {(k, len(t), round(len(held) / len(t), 9), max(map(len, t.values()))) for k, t in enumerate(tables)}
+    assert found(s.insert(docs).search(queries)) == want  # buckets are sets
+    again = MultiProbe(spark, BITS, TABLES, LOOKUPS).set_state(s.state())
+    assert found(again.search(queries)) == want
     with pytest.raises(Exception, match="logits"):
-        MultiProbe(spark, 4, 3).insert(docs).index.collect()
+        MultiProbe(spark, BITS + 1, TABLES).insert(docs).index.collect()
     docs.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     ingest.ingest(stream, s, str(tmp_path / "index"), str(tmp_path / "offsets")).awaitTermination()
@@ -102,47 +124,55 @@ def test_interface_defaults(spark):
     assert found(e.search(spark.createDataFrame([(0, 5), (1, 7)], "q long, code long"))) == {0: {1, 3}, 1: set()}
 
 
-LOW, HIGH, DIV = [-1.0, -2.0, -3.0], [3.0, 2.0, 1.0], [4, 2, 8]
+LOW, HIGH, DIV = [0.0, 10.0, -5.0], [6.0, 12.0, 4.0], [3, 5, 6]
 
 
 def test_grid_arithmetic(spark):
-    g = G.Grid(LOW, HIGH, DIV)
-    p = F.array(*map(F.lit, [0.6, 1.5, -2.1]))
-    r = spark.range(1).select(g.scaled(p).alias("s"), g.cell(p).alias("c"), g.place_in_cell(p).alias("r")).first()
-    assert r.s == pytest.approx([1.6, 1.75, 1.8]) and r.c == [1, 1, 1] and r.r == pytest.approx([0.6, 0.75, 0.8])
-    cells = [spark.range(1).select(g.cell_in_bounds(F.array(*map(F.lit, c)))).first()[0] for c in ([0, 0, 0], [0, 2, 0], [-1, 0, 0])]
-    assert cells == [True, False, False]
-    points = [spark.range(1).select(g.in_bounds(F.array(*[F.lit(float(x)) for x in c]))).first()[0] for c in ([0, 0, 0], [-1, -2, -3], [-4, 6, 2], [3, 0, 0])]
-    assert points == [True, True, False, False]
+    g, r = G.Grid(LOW, HIGH, DIV), random.Random(31)
+    points = [[r.uniform(a, b) for a, b in zip(LOW, HIGH)] for _ in range(20)] + [LOW]
+    p = F.col("p")
+    got = spark.createDataFrame([(x,) for x in points], "p array<double>").select("p", g.scaled(p).alias("s"), g.cell(p).alias("c"), g.place_in_cell(p).alias("r"), g.in_bounds(p).alias("ok"), g.cell_in_bounds(g.cell(p)).alias("cell_ok")).collect()
+    for x in got:
+        units = [n * (v - a) / (b - a) for v, a, b, n in zip(x.p, LOW, HIGH, DIV)]
+        assert x.s == pytest.approx(units) and x.c == [math.floor(u) for u in units] and x.r == pytest.approx([u - math.floor(u) for u in units]) and x.ok and x.cell_ok
+    for axis in range(3):
+        for v, cell in ((HIGH[axis], DIV[axis]), (LOW[axis] - 0.01, -1)):  # half open
+            point, at = [*LOW], [0, 0, 0]
+            point[axis], at[axis] = v, cell
+            assert not any(spark.range(1).select(g.in_bounds(arr(point)), g.cell_in_bounds(F.array(*map(F.lit, at)))).first())
     with pytest.raises(ValueError):
-        G.Grid([0.0], [0.0], [1])
+        G.Grid([2.0], [1.0], [4])
+
+
+def arr(xs):
+    return F.array(*[F.lit(float(x)) for x in xs])
 
 
 def test_grid_search_against_brute_force(spark):
-    r = random.Random(0xCAFE)
-    pts = [[r.uniform(a, b) for a, b in zip(LOW, HIGH)] for _ in range(300)]
+    r = random.Random(37)
+    pts = [[r.uniform(a, b) for a, b in zip(LOW, HIGH)] for _ in range(280)]
     pts += pts[:3]
     qs = [[r.uniform(a, b) for a, b in zip(LOW, HIGH)] for _ in range(8)]
     points = spark.createDataFrame(list(enumerate(pts)), "doc long, point array<double>")
     queries = spark.createDataFrame(list(enumerate(qs)), "q long, point array<double>")
     s = G.GridSearch(G.Grid(LOW, HIGH, DIV)).insert(points)
     order = {q: sorted((math.dist(a, b), d) for d, b in enumerate(pts)) for q, a in enumerate(qs)}
-    for k in (1, 42, 400):
+    for k in (1, 30, 400):
         got = s.nearest(queries, k).orderBy("q", "rank").collect()
         for q in range(len(qs)):
             mine = [(x.dist, x.doc) for x in got if x.q == q]
             assert [d for _, d in mine] == [d for _, d in order[q][:k]] and [x for x, _ in mine] == pytest.approx([x for x, _ in order[q][:k]])
     for most in (0.0, 1.2, -1.0):
-        assert sorted((x.q, x.doc) for x in s.nearest(queries, 42, most).collect()) == sorted((q, d) for q in order for x, d in order[q][:42] if x < most)
+        assert sorted((x.q, x.doc) for x in s.nearest(queries, 30, most).collect()) == sorted((q, d) for q in order for x, d in order[q][:30] if x < most)
     for most in (0.0, 1.0, -1.0):
         assert {(x.q, x.doc) for x in s.within(queries, most).collect()} == {(q, d) for q in order for x, d in order[q] if x < most}
-    assert s.ordered_cells(queries).count() == 8 * 64 and s.grid.all_cells(spark).distinct().count() == 64
+    assert s.ordered_cells(queries).count() == 8 * 90 and s.grid.all_cells(spark).distinct().count() == 90
     for q in (0, 5):
         every = s.ordered_cells(queries).where(F.col("q") == q).orderBy("lb", "cell").collect()
         assert [(x.cell, x.lb) for x in s.iterate_cells(queries, q)] == [(x.cell, x.lb) for x in every]
         assert [x.cell for x, _ in zip(s.iterate_cells(queries, q), range(3))] == [x.cell for x in every[:3]]
         assert {tuple(x.cell) for x in s.near_cells(queries, 1.5).where(F.col("q") == q).collect()} == {tuple(x.cell) for x in every if x.lb < 1.5}
-    out = spark.createDataFrame([(0, [9.0, 0.0, 0.0])], "q long, point array<double>")
+    out = spark.createDataFrame([(0, [9.0, 11.0, 0.0])], "q long, point array<double>")
     for f in (lambda: s.within(out, 1.0).collect(), lambda: G.GridSearch(s.grid).insert(out.withColumnRenamed("q", "doc")).points.collect()):
         with pytest.raises(Exception, match="out of bounds"):
             f()
