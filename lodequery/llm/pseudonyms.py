@@ -9,14 +9,14 @@ the key it can be undone (``undo=True``).
 
 * card: 13 to 19 digits with a valid Luhn digit, also in groups; all digits but the
   last are permuted and the check digit is set anew.
-* phone: after the country code of an international number, or of the national
-  form (123) 456-7890, every digit is permuted; signs and spaces stay.  Phone
-  numbers have no check digit: their form is all there is to validate.  A country
-  code with no sign or space after it can't be told from what follows and is
-  permuted with it.
+* phone: international numbers, and the national forms (123) 456-7890, 123-456-7890 and 123.456.7890.  The
+  digits after the country code, which is told from the digits, are permuted by themselves and laid between the signs that
+  stood there, so a number has one pseudonym in every notation, with the code of the national forms' country or without.
+  Phone numbers have no check digit: their form is all there is to validate.
 * ssn: ddd-dd-dddd that can be issued; digits permuted.
 * ip: dotted quads; the 32-bit number is permuted.
-* email: letters and digits of the local part, each within its kind; the domain stays.
+* email: letters and digits of the local part, each within its kind; the domain stays.  Case doesn't
+  matter to the permutation, so addresses that differ in it stay linked.
 * date: yyyy-mm-dd, dd.mm.yyyy and mm/dd/yyyy from 1900 to 2099 that are in the
   calendar; the day's number among those 73,049 is permuted.  With slashes the month
   comes first: dd/mm/yyyy with a day over 12 is found but stays, as there is no way
@@ -40,7 +40,8 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9])",
     "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + _END,
     "ssn": r"(?<![0-9A-Za-z_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})" + _END,
+    "phone": r"(?<![0-9A-Za-z_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})" + _END
+    + r"|(?<![0-9A-Za-z_+.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z_]|[-.][0-9])",
     "card": r"(?<![0-9A-Za-z_.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z_]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -51,7 +52,7 @@ def _chars(s: Column) -> Column:
 
 
 def _digest(key: str, kind: str, r: int, other: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(r)), other), 256)
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(r)), F.lower(other)), 256)
 
 
 def _number(digest: Column, at: Column | int = 1, n: int = 12) -> Column:
@@ -111,18 +112,29 @@ def _luhn(digits: Column) -> Column:
     )
 
 
+def _laid(m: Column, digits: Column) -> Column:
+    """m with its digits replaced, one after the other, by these."""
+    nth = lambda i: F.length(F.regexp_replace(m.substr(F.lit(1), i + 1), "[^0-9]", ""))
+    return F.array_join(F.transform(_chars(m), lambda c, i: F.when(F.ascii(c).between(48, 57), digits.substr(nth(i), F.lit(1))).otherwise(c)), "")
+
+
 def _card(m: Column, key: str, rounds: int, undo: bool) -> Column:
     digits = F.regexp_replace(m, "[ -]", "")
     body = feistel_text(digits.substr(F.lit(1), F.length(digits) - 1), key, "card", rounds, undo)
     full = F.element_at(F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))), 1)
-    # Put the digits back between the separators.
-    laid = F.element_at(F.transform(F.array(full), lambda d: F.array_join(F.transform(_chars(m), lambda c, i: F.when(c.isin(" ", "-"), c).otherwise(d.substr(F.length(F.regexp_replace(m.substr(F.lit(1), i + 1), "[ -]", "")), F.lit(1)))), "")), 1)
+    laid = F.element_at(F.transform(F.array(full), lambda d: _laid(m, d)), 1)
     return F.when(_luhn(digits) % 10 == 0, laid).otherwise(m)
 
 
+#: The country codes of one digit, and those of two; all others have three.
+CODES_1, CODES_2 = "[17]", "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
 def _phone(m: Column, key: str, rounds: int, undo: bool) -> Column:
-    head = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .(-]+)?", 0)
-    return F.concat(head, feistel_text(m.substr(F.length(head) + 1, F.length(m)), key, "phone", rounds, undo))
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    code = F.when(~m.startswith("+"), 0).when(digits.rlike(f"^{CODES_1}"), 1).when(digits.rlike(f"^(?:{CODES_2})"), 2).otherwise(3)
+    new = F.concat(digits.substr(F.lit(1), code), feistel_text(digits.substr(code + 1, F.length(digits)), key, "phone", rounds, undo))
+    return F.element_at(F.transform(F.array(new), lambda d: _laid(m, d)), 1)
 
 
 def _ssn_valid(m: Column) -> Column:

@@ -24,7 +24,7 @@ def feistel(value, kind, key, rounds=8):
     l, r = value[:half], value[half:]  # noqa: E741
 
     def shift(x, k, other):
-        h = hashlib.sha256(f"{key}|{kind}|{k}|{other}".encode()).hexdigest()
+        h = hashlib.sha256(f"{key}|{kind}|{k}|{other.lower()}".encode()).hexdigest()
         out = ""
         for i, c in enumerate(x):
             by = int(h[(2 * i) % 62 : (2 * i) % 62 + 2], 16)
@@ -110,9 +110,14 @@ def plain_card(m, key):
     return "".join(next(new) if c.isdigit() else c for c in m)
 
 
+TWO = {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98}
+
+
 def plain_phone(m, key):
-    head = re.match(r"(\+[0-9]{1,3}[ .(-]+)?", m)[0]
-    return head + feistel(m[len(head) :], "phone", key)
+    digits = re.sub(r"\D", "", m)
+    code = 0 if m[0] != "+" else 1 if digits[0] in "17" else 2 if int(digits[:2]) in TWO else 3
+    new = iter(digits[:code] + feistel(digits[code:], "phone", key))
+    return "".join(next(new) if c.isdigit() else c for c in m)
 
 
 def plain_ssn(m, key):
@@ -176,7 +181,7 @@ def test_every_kind_against_plain_python(spark):
         day = datetime.date(1890, 1, 1) + datetime.timedelta(r.randrange(80_000))
         values = [
             card, "-".join([card[:4], card[4:8], card[8:12], card[12:]]) if len(card) > 12 else card, f"{digits(3)}-{digits(2)}-{digits(4)}", ".".join(str(r.randrange(300)) for _ in range(4)), f"a{digits(2)}.B@x{digits(1)}.org",
-            day.isoformat(), day.strftime("%d.%m.%Y"), day.strftime("%m/%d/%Y"), day.strftime("%d/%m/%Y"), f"+{r.randrange(1, 400)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+4420{digits(8)}",
+            day.isoformat(), day.strftime("%d.%m.%Y"), day.strftime("%m/%d/%Y"), day.strftime("%d/%m/%Y"), f"+{r.randrange(1, 400)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+4420{digits(8)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"not {digits(3)}-{digits(3)}-{digits(4)}-{digits(2)}",
         ]
         r.shuffle(values)
         texts.append(r.choice([", ", "; x ", "\n"]).join(values))
@@ -190,3 +195,21 @@ def test_every_kind_against_plain_python(spark):
             assert row[f"n_{k}"] == counts[k]
             seen[k] += counts[k]
     assert min(seen.values()) > 20
+
+
+def test_one_value_has_one_pseudonym(spark):
+    notations = ["+1 555 123 4567", "+1-555-123-4567", "+1.555.123.4567", "+1 (555) 123-4567", "+15551234567", "(555) 123-4567", "555-123-4567", "555.123.4567"]
+    mails = ["A.Bc7@x.org", "a.bc7@x.org", "a.BC7@x.org"]
+    other = ["+44 20 7946 0958", "+44-20-7946-0958", "+44 (20) 7946 0958"]
+    texts = [f"call {x}, or write" for x in notations + mails + other]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in P.pseudonymise(d, "k").collect()}
+    assert all(r.n_replaced == r.n_found == 1 for r in got.values())
+    new = [re.sub(r"\D", "", got[k].text)[-10:] for k in range(8)]
+    assert set(new) == {feistel("5551234567", "phone", "k")} and new[0] != "5551234567"
+    for k, x in enumerate(texts):  # signs stay where they were, and so does the country's code
+        assert re.sub(r"[0-9A-Za-z]", "x", got[k].text) == re.sub(r"[0-9A-Za-z]", "x", x) and (not x.startswith("call +1") or got[k].text.startswith("call +1"))
+    assert len({got[k].text.lower() for k in range(8, 11)}) == 1 and got[8].text != got[9].text
+    assert len({re.sub(r"\D", "", got[k].text) for k in range(11, 14)}) == 1 and got[11].text.startswith("call +44 ")
+    back = P.pseudonymise(spark.createDataFrame([(k, r.text) for k, r in got.items()], "doc_id long, text string"), "k", undo=True).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
