@@ -46,13 +46,15 @@ def walsh_rows(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def walsh(counts: DataFrame, nbits: int) -> DataFrame:
+def walsh(counts: DataFrame, nbits: int, key: str | None = None) -> DataFrame:
     """(code, value): the Walsh-Hadamard transform over all 2 ** nbits codes of counts(code, value), whole numbers.
 
     In two passes, over the low half of the bits of each setting of the high half and the other way round, so a group has
-    2 ** (nbits / 2) numbers whatever the number of rows.
+    2 ** (nbits / 2) numbers whatever the number of rows.  With ``key``, a transform for each value of that column.
     """
     low = nbits // 2
+    named = [key] if key else []
+    kind = f"`{key}` {counts.schema[key].dataType.simpleString()}, " if key else ""
 
     def over(first: int, bits: int):
         size, mask = 1 << bits, ((1 << bits) - 1) << first
@@ -62,14 +64,15 @@ def walsh(counts: DataFrame, nbits: int) -> DataFrame:
             x = np.zeros((1, size), np.int64)
             np.add.at(x[0], (code & mask) >> first, table.column("value").to_numpy())
             rest = int(code[0]) & ~mask
-            return pa.table({"code": rest | (np.arange(size) << first), "value": walsh_rows(x)[0]})
+            own = {k: pa.chunked_array([table.column(k).combine_chunks().take(pa.array(np.zeros(size, np.int64)))]) for k in named}
+            return pa.table(own | {"code": rest | (np.arange(size) << first), "value": walsh_rows(x)[0]})
 
         return transform
 
-    out = counts.select(F.col("code").cast("long").alias("code"), F.col("value").cast("long").alias("value"))
+    out = counts.select(*named, F.col("code").cast("long").alias("code"), F.col("value").cast("long").alias("value"))
     for first, bits in ((0, low), (low, nbits - low)):
         rest = F.col("code").bitwiseAND(F.lit(~(((1 << bits) - 1) << first)).cast("long"))
-        out = out.groupBy(rest.alias("_rest")).applyInArrow(over(first, bits), "code long, value long")
+        out = out.groupBy(*named, rest.alias("_rest")).applyInArrow(over(first, bits), f"{kind}code long, value long")
     return out
 
 
@@ -78,28 +81,48 @@ def krawtchouk(nbits: int, d: int, w: int) -> int:
     return sum((-1) ** j * comb(w, j) * comb(nbits - w, d - j) for j in range(min(d, w) + 1) if d - j <= nbits - w)
 
 
-def narrow_distance_histogram(queries: DataFrame, docs: DataFrame, relevant: DataFrame, nbits: int) -> DataFrame:
-    """distance_histogram() for codes of up to 24 bits (in BIGINTs under 2 ** nbits) without a pair: O(nbits * 2 ** nbits) whatever the tables' sizes.
+def _pairs_by_distance(queries: DataFrame, docs: DataFrame, nbits: int, key: str | None = None) -> DataFrame:
+    """(dist, n) of all pairs of queries(code) and docs(code), or of those that agree in the column key; no pair is made.
 
     The numbers of pairs by the XOR of their codes are the inverse transform of the product of both sides' transforms; summed
     over codes of one weight that is a sum over weights of the product, with whole coefficients.
     """
     if not 1 <= nbits <= 24:
         raise ValueError("1 to 24 bits; distance_histogram() takes more")
+    on = [*([key] if key else []), "code"]
     exact = lambda c: F.col(c).cast("decimal(19,0)")
-    count = lambda df: walsh(df.where("code is not null").groupBy("code").agg(F.count("*").alias("value")), nbits)
-    both = count(queries).withColumnRenamed("value", "a").join(count(docs).withColumnRenamed("value", "b"), "code")
+    count = lambda df: walsh(df.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("value")), nbits, key)
+    both = count(queries).withColumnRenamed("value", "a").join(count(docs).withColumnRenamed("value", "b"), on)
     by_weight = both.groupBy(F.bit_count("code").alias("w")).agg(F.sum(exact("a") * exact("b")).alias("s"))
-    spark = queries.sparkSession
-    table = spark.createDataFrame([(d, w, krawtchouk(nbits, d, w)) for d in range(nbits + 1) for w in range(nbits + 1)], "dist int, w int, k long")
-    every = F.broadcast(by_weight).join(table, "w").groupBy("dist").agg((F.sum(F.col("s") * F.col("k")) / F.lit(1 << nbits)).cast("long").alias("n_all"))  # nbits + 1 rows
-    rel = relevant.select("q", "d").distinct().join(queries.select("q", F.col("code").alias("q_code")), "q").join(docs.select("d", F.col("code").alias("d_code")), "d")
-    rel = rel.groupBy(hamming(F.col("q_code"), F.col("d_code")).alias("dist")).agg(F.count("*").alias("n_rel"))
-    spine = spark.range(0, nbits + 1).select(F.col("id").cast("int").alias("dist"))
+    table = queries.sparkSession.createDataFrame([(d, w, krawtchouk(nbits, d, w)) for d in range(nbits + 1) for w in range(nbits + 1)], "dist int, w int, k long")
+    return F.broadcast(by_weight).join(table, "w").groupBy("dist").agg((F.sum(F.col("s") * F.col("k")) / F.lit(1 << nbits)).cast("long").alias("n"))  # nbits + 1 rows
+
+
+def _histogram(every: DataFrame, rel: DataFrame, nbits: int) -> DataFrame:
+    spine = every.sparkSession.range(0, nbits + 1).select(F.col("id").cast("int").alias("dist"))
     out = spine.join(every, "dist", "left").join(rel, "dist", "left").select("dist", F.coalesce("n_rel", F.lit(0)).cast("long").alias("n_rel"), F.coalesce("n_all", F.lit(0)).cast("long").alias("n_all"))
     return out.select("dist", "n_rel", (F.col("n_all") - F.col("n_rel")).alias("n_irrel"))
 
 
+def narrow_distance_histogram(queries: DataFrame, docs: DataFrame, relevant: DataFrame, nbits: int) -> DataFrame:
+    """distance_histogram() for codes of up to 24 bits (in BIGINTs under 2 ** nbits): O(nbits * 2 ** nbits) for all pairs, whatever the tables' sizes.
+
+    The relevant pairs, which are given, are counted one by one.
+    """
+    rel = relevant.select("q", "d").distinct().join(queries.select("q", F.col("code").alias("q_code")), "q").join(docs.select("d", F.col("code").alias("d_code")), "d")
+    rel = rel.groupBy(hamming(F.col("q_code"), F.col("d_code")).alias("dist")).agg(F.count("*").alias("n_rel"))
+    return _histogram(_pairs_by_distance(queries, docs, nbits).withColumnRenamed("n", "n_all"), rel, nbits)
+
+
+def narrow_label_histogram(queries: DataFrame, docs: DataFrame, nbits: int) -> DataFrame:
+    """The same where rows with equal labels are relevant, of queries(code, label) and docs(code, label): neither kind of pair is made.
+
+    A transform for each label, so labels should be few; a null label matches nothing.
+    """
+    rel = _pairs_by_distance(queries.withColumnRenamed("label", "_label"), docs.withColumnRenamed("label", "_label"), nbits, "_label").withColumnRenamed("n", "n_rel")
+    return _histogram(_pairs_by_distance(queries, docs, nbits).withColumnRenamed("n", "n_all"), rel, nbits)
+
+
 def pr_curve(counts: DataFrame, valid_only: bool = False) -> DataFrame:
     """(dist, prec, recall) from a histogram; precision is NaN where nothing is retrieved, and those rows go with valid_only.
 

@@ -87,10 +87,11 @@ def hamming_hist(spark, sf_dir):
 _D16 = _D64.replace("range(1, 65)", "range(1, 17)")
 
 
-@query(f"{_HIST} SELECT * FROM h".replace(_D64, _D16).replace("range(0, 65)", "range(0, 17)").replace("a.vec_id % 10 = 0", "true"))
+@query(f"{_HIST} SELECT * FROM h".replace("a.label = b.label AS rel", "coalesce(a.label = b.label, false) AS rel").replace(_D64, _D16).replace("range(0, 65)", "range(0, 17)").replace("a.vec_id % 10 = 0", "true"))
 def hamming_hist_narrow(spark, sf_dir):
     """All vectors against all, 16 bits: from transforms of the counts of codes, with no pair made."""
-    return hamming.narrow_distance_histogram(*code_sides(spark, sf_dir, 16, 1), 16)
+    v = coded(spark, sf_dir, 16)
+    return hamming.narrow_label_histogram(v, v, 16)
 
 
 _CURVE = f"""{_HIST}, c AS (SELECT dist, sum(n_rel) OVER (ORDER BY dist) AS cr, sum(n_rel + n_irrel) OVER (ORDER BY dist) AS ca, sum(n_rel) OVER () AS w FROM h)
@@ -188,10 +189,13 @@ def _words(spark, sf_dir, nbits: int) -> DataFrame:
 def _multi_index(spark, sf_dir, nbits: int, radius: int, parts: int) -> DataFrame:
     v = _words(spark, sf_dir, nbits)
     found = MultiIndex(spark, nbits, radius, parts).insert(v.select(F.col("vec_id").alias("doc"), "code")).candidates(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "code"))
-    return found.select("q", F.col("step").alias("dist"), "doc")
+    return found.groupBy("q", F.col("step").alias("dist")).agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.sum("doc").alias("sum_docs"))  # every hit, in sums
+
+
+_FOUND = "SELECT q, dist, count(*)::BIGINT AS n_docs, min(doc) AS first_doc, max(doc) AS last_doc, sum(doc)::BIGINT AS sum_docs FROM ({}) AS f GROUP BY q, dist"
 
 
-@query(f"SELECT a.vec_id AS q, b.vec_id AS doc, {_D64} AS dist FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND {_D64} <= 20")
+@query(_FOUND.format(f"SELECT a.vec_id AS q, b.vec_id AS doc, {_D64} AS dist FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND {_D64} <= 20"))
 def multi_index_search(spark, sf_dir):
     return _multi_index(spark, sf_dir, 64, 20, 6)
 
@@ -199,7 +203,7 @@ def multi_index_search(spark, sf_dir):
 _D128 = f"({_D64} + list_sum(list_transform(range(0, 64), lambda i: ((a.embedding[i + 1] + a.embedding[(i + 1) % 64 + 1] > 0) <> (b.embedding[i + 1] + b.embedding[(i + 1) % 64 + 1] > 0))::INT)))::INT"
 
 
-@query(f"SELECT a.vec_id AS q, b.vec_id AS doc, {_D128} AS dist FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND {_D128} <= 40")
+@query(_FOUND.format(f"SELECT a.vec_id AS q, b.vec_id AS doc, {_D128} AS dist FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND {_D128} <= 40"))
 def multi_index_wide(spark, sf_dir):
     return _multi_index(spark, sf_dir, 128, 40, 12)
 

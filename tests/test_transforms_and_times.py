@@ -118,6 +118,10 @@ def test_histogram_without_pairs(spark, nbits):
     rel = spark.createDataFrame([(k, r.randrange(90)) for k in range(40) for _ in range(3)], "q long, d long")
     narrow = {tuple(x) for x in hamming.narrow_distance_histogram(q, d, rel, nbits).collect()}
     assert narrow == {tuple(x) for x in hamming.distance_histogram(q.where("code is not null"), d, rel, nbits).collect()}
+    labelled = lambda df, name: df.withColumn("label", F.when(F.col(name) % 5 > 0, F.concat(F.lit("l"), F.col(name) % 3)))
+    ql, dl = labelled(q, "q"), labelled(d, "d")
+    same = ql.join(dl.select("d", "label"), "label").select("q", "d")
+    assert {tuple(y) for y in hamming.narrow_label_histogram(ql, dl, nbits).collect()} == {tuple(y) for y in hamming.distance_histogram(q.where("code is not null"), d, same, nbits).collect()}
     x = {i: r.randrange(-5, 9) for i in range(1 << nbits)}
     got = {y.code: y.value for y in hamming.walsh(spark.createDataFrame(list(x.items()), "code long, value long"), nbits).collect()}
     assert got == {u: sum(v * (-1) ** (u & i).bit_count() for i, v in x.items()) for u in range(1 << nbits)}
