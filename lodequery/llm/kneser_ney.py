@@ -15,7 +15,9 @@ below, each counted as often as there are words that come before it.
 
 Scoring: tasks memory-map the files, find every token in the lexicon and every
 gram among the grams by bucketed search, and add up the log probabilities of a
-text.  With c the count of a gram, t, n1, n2, n3 its context's number of
+text.  A model of more files than a task should map, or whose folder isn't mounted,
+is searched file by file instead: slices of text send their different grams there
+and get the counts back.  With c the count of a gram, t, n1, n2, n3 its context's number of
 grams, and of those seen once, twice, more:
 
     p(w | v) = max(c - D(c), 0) / t + (D1 n1 + D2 n2 + D3 n3) / t * p(w | shorter v)
@@ -33,12 +35,13 @@ has written; one that can't be read later is an error, not a count of zero.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,8 @@ from .wordhash import BLANK, U64, cut_rows, mix, runs, split
 START, END = U64(0x5A17A57D1B54A32D), U64(0xE4D70CE2A0761D64)
 #: Bytes of text handled at once, for counting and for scoring.
 COUNT_BYTES, SCORE_BYTES = 12 << 20, 3 << 20
+#: Files that a task keeps mapped; and how many ways, at most, requests are sent to the files' tasks.
+MOST_MAPS, MOST_ROUTES = 4096, 4096
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -122,7 +127,7 @@ def find(keys: np.ndarray, buckets: np.ndarray, skip: int, wanted: np.ndarray) -
     return np.where(keys[at] == wanted, at, -1)
 
 
-@lru_cache(4096)
+@lru_cache(MOST_MAPS)
 def _pack(path: str) -> dict[str, np.ndarray]:
     return store.mapped_pack(path)
 
@@ -142,6 +147,16 @@ def _discounts(n: list[float]) -> list[float]:
     return [float(np.clip(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.0, k + 1)) for k in range(3)]
 
 
+#: What a look-up gives, by kind of file, and what a score adds to a row.
+LEXICON, GRAM = ("counts", "kinds", "total", "n1", "n2", "n3"), ("counts",)
+OUT = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    """Rows (row, text) of the batch's last column, whole texts, SCORE_BYTES at a time; row is the place in the batch."""
+    return cut_rows(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(batch.num_columns - 1)], names=["row", "text"])]), SCORE_BYTES)
+
+
 class KneserNey:
     """A fitted model: where its files are and a few totals.  Small enough for any closure."""
 
@@ -189,46 +204,149 @@ class KneserNey:
                     out[0][big] = p["many"][np.searchsorted(p["many_keys"], keys[big])]
         return out
 
-    def token_logs(self, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each token after those before it in its text, and each one's count in the corpus."""
-        names, of = ("counts", "kinds", "total", "n1", "n2", "n3"), U64(64 - self.bits)
-        found = self._lookup("lexicon", tokens >> of, tokens, names)
-        start = self._lookup("lexicon", np.asarray([START >> of]), np.asarray([START]), names)
+    def token_logs(self, tokens: np.ndarray, begins: np.ndarray, lookup: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p of each token after those before it in its text, and each one's count in the corpus; lookup reads the files unless another is given."""
+        names, of, lookup = LEXICON, U64(64 - self.bits), lookup or self._lookup
+        found = lookup("lexicon", tokens >> of, tokens, names)
+        start = lookup("lexicon", np.asarray([START >> of]), np.asarray([START]), names)
         kinds = found[1]
         p = 1 / (self.words + 1) if not self.kinds else (np.maximum(kinds - np.asarray([0.0, *self.d1])[np.minimum(kinds, 3)], 0) + self.open_mass / (self.words + 1)) / self.kinds
         contexts = _contexts(tokens, begins, self.order, START)
         v = contexts[-1]
         for m in range(2, self.order + 1):
             ctx = contexts[self.order - m]
-            total, n1, n2, n3 = (_before(x, begins, s[0]) for x, s in zip(found[2:], start[2:])) if m == 2 else self._lookup(f"contexts-{m}", ctx >> of, ctx, names[2:])
-            c = self._lookup(f"grams-{m}", _shard_of(ctx, v, tokens, self.hot, self.bits), _pair(ctx, tokens), ("counts",))[0]
+            total, n1, n2, n3 = (_before(x, begins, s[0]) for x, s in zip(found[2:], start[2:])) if m == 2 else lookup(f"contexts-{m}", ctx >> of, ctx, names[2:])
+            c = lookup(f"grams-{m}", _shard_of(ctx, v, tokens, self.hot, self.bits), _pair(ctx, tokens), GRAM)[0]
             d = self.d[m]
             p = np.where(total > 0, (np.maximum(c - np.asarray([0.0, *d])[np.minimum(c, 3)], 0) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * p) / np.maximum(total, 1), p)
         return np.log10(p), found[0]
 
-    def score(self, docs: DataFrame, keep: list[str], *, text_col: str = "text") -> DataFrame:
-        """The columns keep, and n_tokens, n_known, train_tokens, base_score, score of every row's whole text."""
+    def _sums(self, tokens: np.ndarray, begins: np.ndarray, lookup: Callable | None = None) -> tuple[np.ndarray, ...]:
+        """n_tokens, n_known, base_score and score of each text."""
+        logs, counts = self.token_logs(tokens, begins, lookup)
+        base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
+        at = begins[:-1]
+        return np.diff(begins), np.add.reduceat((counts > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(logs, at)
+
+    def _scored(self, kept: list[pa.Array], keep: list[str], sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        n, known, base, score = sums
+        return pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), self.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=[*keep, *OUT])
+
+    @property
+    def files(self) -> int:
+        """How many files a scoring task may have to map."""
+        return int(sum(x.sum() for x in self.written.values()))
+
+    def score(self, docs: DataFrame, keep: list[str], *, text_col: str = "text", most_maps: int = MOST_MAPS) -> DataFrame:
+        """The columns keep, and n_tokens, n_known, train_tokens, base_score, score of every row's whole text.
+
+        Tasks map the model's files where they are while those are at most most_maps and lie in a mounted folder; else
+        the grams of the texts are sent to the files, see _score_by_shard().  The result is the same.
+        """
         rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+        schema = f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        if self.files > most_maps or not store.mounted(self.folder):
+            return self._score_by_shard(rows, keep, schema)
         n_keep = len(keep)
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                whole = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(n_keep)], names=["row", "text"])
-                parts = [[] for _ in range(4)]
-                for t in cut_rows(iter([whole]), SCORE_BYTES):
-                    tokens, begins = _tokens(t.column("text"))
-                    logs, counts = self.token_logs(tokens, begins)
-                    base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-                    at = begins[:-1]
-                    for p, x in zip(parts, (np.diff(begins), np.add.reduceat((counts > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(logs, at))):
-                        p.append(x)
-                n, known, base, score = (np.concatenate(p) if p else np.zeros(0) for p in parts)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), self.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                parts = [self._sums(*_tokens(t.column("text"))) for t in _slices(batch)]
+                yield self._scored(batch.columns[:n_keep], keep, tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0),) * 4)
             _pack.cache_clear()  # a mapped file keeps its space on disk
             store.release_memory()
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep])
-        return rows.mapInArrow(look, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return rows.mapInArrow(look, schema)
+
+    def _score_by_shard(self, rows: DataFrame, keep: list[str], schema: str) -> DataFrame:
+        """Scores for a model of more files than a task should map.
+
+        A slice of text asks for each different gram once: its keys go to the tasks of the files, some shards in a row by
+        one of MOST_ROUTES ways, in that order, so a file is mapped once a task; the counts go back to the slice, which
+        waits as word hashes and places among them.  Requests and slices are written to the shared folder, so a lost
+        executor costs no other task its work.
+        """
+        spark, folder = rows.sparkSession, store.new_folder(rows.sparkSession, "kneser-ney-asked")
+        n_keep, wide = len(keep), max(0, self.bits - (MOST_ROUTES.bit_length() - 1))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for t in _slices(batch):
+                    tokens, begins = _tokens(t.column("text"))
+                    asked: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+                    def note(kind: str, shard: np.ndarray, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+                        asked.setdefault(kind, []).append((shard.astype(np.int64), keys))
+                        return [np.zeros(len(keys), np.int64) for _ in names]
+
+                    self.token_logs(tokens, begins, note)
+                    out: list[tuple] = []
+                    for kind, parts in asked.items():
+                        keys, first = np.unique(np.concatenate([k for _, k in parts]), return_index=True)
+                        shard = np.concatenate([s for s, _ in parts])[first]
+                        order = np.argsort(shard, kind="stable")
+                        keys, shard = keys[order], shard[order]
+                        which, starts = runs(shard >> wide)
+                        out += [(kind, int(r), _small(shard[a:b]), keys[a:b].tobytes()) for r, a, b in zip(which.tolist(), starts, starts[1:])]
+                    words, place = np.unique(tokens, return_inverse=True)
+                    kept = pa.RecordBatch.from_arrays([c.take(t.column("row").combine_chunks()) for c in batch.columns[:n_keep]], names=keep)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, kept.schema) as w:
+                        w.write_batch(kept)
+                    body = (words.tobytes(), place.astype(np.uint32).tobytes(), begins.astype(np.int64).tobytes(), sink.getvalue().to_pybytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number] * (len(out) + 1), pa.int64()), pa.array([r[0] for r in out] + [None], pa.string()), pa.array([r[1] for r in out] + [None], pa.int64())]
+                        + [pa.array([r[k] for r in out] + [None], pa.binary()) for k in (2, 3)]
+                        + [pa.array([None] * len(out) + [list(body)], pa.list_(pa.binary()))],
+                        names=["slice", "kind", "route", "shards", "keys", "body"],
+                    )
+                    number += 1
+            store.release_memory()
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here = None
+            for batch in batches:
+                values = []
+                for kind, route, shards, keys in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                    if (kind, route) != here:
+                        _pack.cache_clear()  # the last way's files
+                        here = kind, route
+                    names = GRAM if kind.startswith("grams") else LEXICON if kind == "lexicon" else LEXICON[2:]
+                    values.append([_small(x) for x in self._lookup(kind, _unsmall(shards).astype(np.int64), np.frombuffer(keys, U64), names)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(values, pa.list_(pa.binary()))], names=["slice", "kind", "keys", "body"])
+            _pack.cache_clear()
+            store.release_memory()
+
+        def finish(key, t):
+            found: dict[str, tuple[np.ndarray, list[np.ndarray]]] = {}
+            of_kind: dict[str | None, list[tuple]] = {}
+            for kind, keys, values in zip(*(t.column(c).to_pylist() for c in ("kind", "keys", "body"))):
+                of_kind.setdefault(kind, []).append((keys, values))
+            words, place, begins, kept = of_kind.pop(None)[0][1]
+            for kind, parts in of_kind.items():
+                keys = np.concatenate([np.frombuffer(k, U64) for k, _ in parts])
+                order = np.argsort(keys)
+                found[kind] = keys[order], [np.concatenate([_unsmall(x).astype(np.int64) for x in column])[order] for column in zip(*(v for _, v in parts))]
+
+            def lookup(kind: str, shard: np.ndarray, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+                have, values = found[kind]
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                if not (have[at] == keys).all():
+                    raise RuntimeError(f"answers of {kind} are missing")
+                return [x[at] for x in values]
+
+            tokens = np.frombuffer(words, U64)[np.frombuffer(place, np.uint32)]
+            kept = pa.ipc.open_stream(kept).read_all().combine_chunks()
+            return pa.Table.from_batches([self._scored([c.chunk(0) for c in kept.columns], keep, self._sums(tokens, np.frombuffer(begins, np.int64), lookup))])
+
+        asked = rows.mapInArrow(ask, "slice long, kind string, route long, shards binary, keys binary, body array<binary>")
+        asked.write.option("compression", "none").parquet(folder)
+        asked = spark.read.schema(asked.schema).parquet(folder)
+        sent = asked.where("kind is not null").select("slice", "kind", "route", "shards", "keys").repartition("kind", "route").sortWithinPartitions("kind", "route")
+        answers = sent.mapInArrow(answer, "slice long, kind string, keys binary, body array<binary>")
+        return answers.union(asked.where("kind is null").select("slice", "kind", "keys", "body")).groupBy("slice").applyInArrow(finish, schema)
 
 
 def _shard_of(ctx: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
@@ -388,7 +506,7 @@ def _lexicon(spark: SparkSession, folder: str, bits: int, written: np.ndarray) -
     return [float(x or 0) for x in r], _written(got.select("shard"), bits)
 
 
-def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, order: int = 2) -> DataFrame:
+def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, order: int = 2, most_maps: int = MOST_MAPS) -> DataFrame:
     """Learn from the rows whose crc32(id as text) mod folds is not held, with grams of up to order words, and score every row.
 
     Returns the id, held_out, n_tokens, n_known, train_tokens, base_score and score.  A null or empty
@@ -399,4 +517,4 @@ def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     model = KneserNey.fit(rows.where(~F.col("held_out")), order=order)
-    return model.score(rows, ["id", "held_out"]).withColumnRenamed("id", id_col)
+    return model.score(rows, ["id", "held_out"], most_maps=most_maps).withColumnRenamed("id", id_col)

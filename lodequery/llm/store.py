@@ -27,8 +27,10 @@ _LIBC = ctypes.CDLL(None)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine that becomes it."""
+    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine that becomes it, and on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not root:
         root = os.path.join(tempfile.gettempdir(), f"lodequery-{uuid.uuid4().hex[:12]}")
         spark.sparkContext.setCheckpointDir(root)
@@ -67,6 +69,11 @@ def _resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def mounted(uri: str) -> bool:
+    """Whether the files below uri can be mapped where they are."""
+    return isinstance(_resolve(uri)[0], pafs.LocalFileSystem)
+
+
 def remove(uri: str) -> None:
     fs, path = _resolve(uri)
     if fs.get_file_info(path).type == pafs.FileType.Directory:

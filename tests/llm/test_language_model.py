@@ -123,3 +123,43 @@ def test_many_counts_and_bucketed_search(spark):
         assert (K.find(keys, b, 0, keys + np.uint64(1)) == -1).all()
     x = np.array([0, 1, 255, 256, 2**40], np.uint64)
     assert (K._unsmall(K._small(x)) == x).all()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_look_ups_by_shard_give_the_same(spark, monkeypatch, order):
+    """64 shards of each kind, of which a task may map two: grams are sent to the files."""
+    monkeypatch.setattr(K, "SCORE_BYTES", 300)
+    monkeypatch.setattr(K, "MOST_ROUTES", 16)  # four shards a way
+    docs = corpus()
+    d = spark.createDataFrame([(*x, "x") for x in docs], "doc_id long, text string, score string").repartition(3)
+    size = sum(len((t or "").encode()) for _, t in docs)
+    model = K.KneserNey.fit(d, order=order, shard_bytes=size // 40)
+    assert model.bits == 6 and model.files > 64
+    plain, sent = (sorted(map(tuple, model.score(d, ["doc_id"], most_maps=n).collect()), key=str) for n in (4096, 2))
+    assert plain == sent and len(plain) == len(docs)
+    assert model.score(d.limit(0), ["doc_id"], most_maps=2).collect() == []
+    got = sorted(map(tuple, K.language_model_scores(d, order=order, most_maps=2).collect()), key=lambda r: str(r[:3]))
+    for g, w in zip(got, sorted(brute(docs, order), key=lambda r: str(r[:3])), strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], abs=1e-9) and g[6] == pytest.approx(w[6], abs=1e-9)
+
+
+def test_a_missing_shard_is_an_error_when_grams_are_sent(spark):
+    d = spark.createDataFrame([(k, f"some words {k} and more") for k in range(40)], "doc_id long, text string")
+    model = K.KneserNey.fit(d)
+    shard = int(np.flatnonzero(model.written["grams-2"])[1])
+    os.remove(store._resolve(f"{model.folder}/grams-2/{shard}.pack")[1])
+    with pytest.raises(Exception, match=f"{shard}.pack"):
+        model.score(d, ["doc_id"], most_maps=2).collect()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        store.shared_root(Session)
