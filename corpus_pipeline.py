@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.llm import store
@@ -40,14 +40,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a key of their id and text, as ids may be null or repeated."""
-    return docs.select(COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
+    """Documents with a key for each row, as ids may be null or repeated: its file's number and its place there.
+
+    Rows that aren't read from files, or from files without numbers of their own, are written to the shared folder first.
+    """
+    try:
+        place = F.shiftleft(_file_number(), 40) + F.col("_metadata.row_index")
+        files = docs.select(F.col("_metadata.file_path").alias("f"), _file_number().alias("n")).distinct()
+        seen = files.agg(F.count("f").alias("f"), F.countDistinct("n").alias("n"), F.max("n").alias("most")).first()
+        if seen.f == seen.n and (seen.most or 0) < 1 << 23:
+            return docs.select(*COLUMNS, place.alias("_key"))
+    except AnalysisException:
+        pass
+    folder = store.new_folder(docs.sparkSession, "rows")
+    docs.select(COLUMNS).write.option("maxRecordsPerFile", 0).parquet(folder)
+    return docs.sparkSession.read.schema(docs.select(COLUMNS).schema).parquet(folder).select(*COLUMNS, place.alias("_key"))
+
+
+def _file_number() -> Column:
+    return F.regexp_extract("_metadata.file_name", r"^part-([0-9]{1,18})", 1).try_cast("long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id; rows without words and null ids stay.
 
-    Of rows of one id and text one stays; of different texts under one id each is judged by itself.  No rows give none.
+    Of rows of one id and similar texts the first in the files stays; of different texts under one id each is judged by itself.  No rows give none.
     """
     null = docs.where("doc_id is null").select(COLUMNS)
     if not _repeats(docs):
@@ -55,12 +72,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
         return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(COLUMNS).unionByName(null)
     rows = _keyed(docs)
-    groups = jaccard_groups(rows, id_col="_key").distinct()
-    ids = rows.where("doc_id is not null").select("_key", "doc_id").distinct()
-    first = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("x"), F.max("n_shingles").alias("_n")).select("x._key", "_n")
-    copies = F.row_number().over(Window.partitionBy("_key").orderBy("lang", "source", "n_chars"))  # rows of equal id and text
-    kept = rows.where("doc_id is not null").join(first, "_key").withColumn("_row", copies)
-    return kept.where("_n = 0 or _row = 1").select(COLUMNS).unionByName(null)
+    groups = jaccard_groups(rows, id_col="_key")
+    ids = rows.where("doc_id is not null").select("_key", "doc_id")
+    first = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("x")).select("x._key")
+    return rows.join(first, "_key", "left_semi").select(COLUMNS).unionByName(null)
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -104,8 +119,7 @@ def token_planes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with where each row lies: the number of its file, then its place there."""
     try:
-        number = F.regexp_extract("_metadata.file_name", r"^part-([0-9]{1,18})", 1).try_cast("long")
-        return docs.select("doc_id", "text", number.alias("_file"), F.struct("_metadata.file_name", "_metadata.row_index").alias("_place"))
+        return docs.select("doc_id", "text", _file_number().alias("_file"), F.struct("_metadata.file_name", "_metadata.row_index").alias("_place"))
     except AnalysisException:  # not read from files
         return docs.select("doc_id", "text", F.lit(0).alias("_file"), F.monotonically_increasing_id().alias("_place"))
 
