@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .components import components, spread_join
+from .components import FEW, components, spread_join
 from .wordhash import BLANK, U64, cut_rows, mix, runs, split, window_hashes
 
 SEEDS = [U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -184,11 +184,11 @@ def verified(pairs: DataFrame, folder: str, percent: int) -> DataFrame:
     return pairs.select("a", "b").mapInArrow(check, "a long, b long")
 
 
-def star_links(reps: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Links of documents to the first that shares a min-hash with them."""
+def star_links(reps: DataFrame, folder: str, percent: int, total: int) -> DataFrame:
+    """Links of documents, total of them, to the first that shares a min-hash with them."""
     bands = reps.select("place", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"m{k}").alias("m")) for k in range(len(SEEDS))])).alias("x")).select("place", "x.*")
-    first = bands.groupBy("band", "m").agg(F.min("place").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = bands.join(first, ["band", "m"]).where("place > b").select(F.col("place").alias("a"), "b").distinct()
+    first = bands.groupBy("band", "m").agg(F.min("place").alias("b"), F.count("*").alias("_c")).where("_c > 1")
+    pairs = spread_join(bands, first, ["band", "m"], len(SEEDS) * total, few=FEW).where("place > b").select(F.col("place").alias("a"), "b").distinct()
     return verified(pairs, folder, percent)
 
 
@@ -429,7 +429,7 @@ class JaccardJoin:
 
     def roots(self) -> DataFrame:
         """(place, root) of each class that is linked with others: the smallest representative that it reaches."""
-        stars = self._keep("stars", star_links(self.classes, self.folder, self.percent))
+        stars = self._keep("stars", star_links(self.classes, self.folder, self.percent, self.classes.count()))
         first = self._keep("first", components(stars, folder=f"{self.folder}/components-1").select(F.col("vertex").alias("place"), "root"))
         groups = self._keep("groups", self._groups())
         groups = groups.join(first, "place", "left").select("gid", "place", F.coalesce("root", "place").alias("root"))

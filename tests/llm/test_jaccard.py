@@ -115,6 +115,26 @@ def test_hot_keys_are_spread(spark):
     assert got == sorted((0, k, 899) if k % 3 else (k, k, 899 if k == 0 else k) for k in range(900) if k != 9)
 
 
+def test_documents_that_share_their_least_shingle(spark, monkeypatch):
+    """Half of the rows of a band have one min-hash, more than a task's share: they are spread, and stars are what they are without that."""
+    texts = [f"a b c d e f x{k}" for k in range(3000)] + [f"{' '.join(f'y{j}' for j in range(40))} z{k % 2}" for k in range(4)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = J.JaccardJoin(d)
+    n = join.classes.count()
+    few = J.star_links(join.classes, join.folder, 80, n).collect()
+    monkeypatch.setattr(J, "FEW", 0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        spread = J.star_links(join.classes, join.folder, 80, n).collect()
+        most = join.classes.groupBy("m0").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert most > 4 * n // 16  # a hot key
+    assert sorted(few) == sorted(spread) and len(few) == 1
+    assert J.JaccardJoin(d.limit(0)).links().collect() == []
+
+
 def test_bitmap_bound_never_undercounts():
     r = np.random.default_rng(0)
     for _ in range(50):

@@ -31,3 +31,16 @@ def test_decontamination_of_null_and_repeated_ids(spark):
     bad, good = f"before {passage} after", words("clean")
     got = left(C.decontamination(spark, table(spark, [(None, bad), (None, good), (1, bad), (1, good), (2, bad), (3, None)]), SF))
     assert got == [(1, good), (3, None), (None, good)]
+
+
+def test_row_keys_are_places(spark, tmp_path):
+    """No two rows share a key, whatever they hold and wherever they are read from; a key is the same at each reading."""
+    docs = table(spark, [(k % 3, "same") for k in range(50)])
+    plain, split = str(tmp_path / "plain"), str(tmp_path / "split")
+    docs.repartition(3).write.parquet(plain)
+    docs.repartition(2).write.option("maxRecordsPerFile", 10).parquet(split)  # files that share a number
+    for d in (docs, spark.read.parquet(plain), spark.read.parquet(split), docs.limit(0)):
+        rows = C._keyed(d)
+        keys = [r._key for r in rows.collect()]
+        assert rows.columns == [*C.COLUMNS, "_key"] and None not in keys and len(set(keys)) == len(keys) == d.count()
+        assert sorted(keys) == sorted(r._key for r in rows.where("text = 'same'").collect())
