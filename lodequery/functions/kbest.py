@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .logspace import let
 
 
 def cheapest_subsets(values: Column, n: int, k: int | None = None) -> Column:
@@ -24,11 +25,14 @@ def cheapest_subsets(values: Column, n: int, k: int | None = None) -> Column:
     k = 1 << n if k is None else min(k, 1 << n)
     empty = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("mask")))
 
-    def add(beam: Column, i: Column) -> Column:
-        more = F.transform(beam, lambda x: F.struct((x["cost"] + F.get(values, i)).alias("cost"), x["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).alias("mask")))
+    def add(beam: Column, value: Column) -> Column:
+        more = F.transform(beam, lambda x: F.struct((x["cost"] + value["v"]).alias("cost"), x["mask"].bitwiseOR(value["bit"]).alias("mask")))
         return F.slice(F.array_sort(F.concat(beam, more)), 1, k)
 
-    best = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), empty, add)
+    # Each value is worked out once, beside its bit; lambdas work out what they name anew at each call.
+    bits = F.array(*[F.lit(1 << i).cast("long") for i in range(n)])
+    given = F.coalesce(F.slice(values, 1, n), F.array().cast("array<double>"))  # what is missing is null
+    best = F.aggregate(F.arrays_zip(given.alias("v"), bits.alias("bit")), empty, add)
     return F.when(F.exists(values, lambda v: v < 0), F.raise_error(F.lit("values must not be negative")).cast("array<struct<cost:double,mask:bigint>>")).otherwise(best)
 
 
@@ -40,7 +44,7 @@ def likeliest_outcomes(logits: Column, n: int, k: int | None = None) -> Column:
     mode = F.lit(0).cast("long")
     for i in range(n):
         mode = mode.bitwiseOR(F.when(F.get(logits, F.lit(i)) > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.transform(cheapest_subsets(F.transform(logits, F.abs), n, k), lambda x: F.struct(x["cost"].alias("cost"), x["mask"].bitwiseXOR(mode).alias("code")))
+    return let(mode, lambda m: F.transform(cheapest_subsets(F.transform(logits, F.abs), n, k), lambda x: F.struct(x["cost"].alias("cost"), x["mask"].bitwiseXOR(m).alias("code"))))
 
 
 def logits_of(lp0: Column, lp1: Column | None = None) -> Column:

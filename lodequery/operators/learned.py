@@ -154,7 +154,9 @@ def mihash_loss(pairs: DataFrame, nbits: int, p: float) -> DataFrame:
     """(loss): minus the mutual information of match and the soft Hamming distance of tanh codes."""
     v = lambda z: F.transform(z, F.tanh)
     dist = (nbits - L.total(F.zip_with(v(F.col("zq")), v(F.col("zd")), lambda a, b: a * b))) / 2
-    bins = pairs.select("r", dist.alias("x")).select("r", F.posexplode(triangular(F.col("x"), nbits)).alias("bin", "weight"))
+    low = F.floor("x")  # of triangular()'s weights only those of the two centres beside a distance aren't 0
+    beside = F.array(*[F.struct(b.alias("bin"), w.alias("weight")) for b, w in ((low, 1 - (F.col("x") - low)), (low + 1, F.col("x") - low))])
+    bins = pairs.select("r", F.least(F.greatest(dist, F.lit(0.0)), F.lit(float(nbits))).alias("x")).select("r", F.explode(beside).alias("b")).select("r", "b.*")
     return mutual_information(bins, p).select((-F.col("mi")).alias("loss"))
 
 

@@ -219,17 +219,26 @@ def _ranked(n: int, scale: float, where: str = "true") -> str:
     return f"""s AS ({inner}), k AS (SELECT s.vec_id, label, row_number() OVER (PARTITION BY s.vec_id ORDER BY cost, mask) - 1 AS rank, cost, mask, xor({mode}, mask) AS code FROM s JOIN embeddings AS e ON e.vec_id = s.vec_id)"""
 
 
-@query(f"WITH {_ranked(8, 1.0)} SELECT vec_id, rank::INT AS rank, round(cost, 6) AS cost, mask::BIGINT AS mask FROM k WHERE rank < 12")
+def _beam(scale: float) -> str:
+    """The 12 cheapest subsets of 63 components, value by value: kept are the cheapest of those seen so far."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: abs(x::DOUBLE * {scale})) AS v,
+list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS mode FROM embeddings),
+b(vec_id, n, beam) AS (SELECT vec_id, 0, [{{'c': 0::DOUBLE, 'mask': 0::BIGINT}}] FROM v UNION ALL
+SELECT b.vec_id, n + 1, list_sort(list_concat(beam, list_transform(beam, lambda x: {{'c': x.c + v[n + 1], 'mask': x.mask | (1::BIGINT << n)}})))[1:12] FROM b JOIN v ON v.vec_id = b.vec_id WHERE n < 63),
+k AS (SELECT b.vec_id, (r - 1)::INT AS rank, beam[r].c AS cost, beam[r].mask AS mask, xor(mode, beam[r].mask) AS code FROM b JOIN v ON v.vec_id = b.vec_id, range(1, 13) AS t(r) WHERE n = 63)"""
+
+
+@query(f"{_beam(1.0)} SELECT vec_id, rank, round(cost, 6) AS cost, mask FROM k")
 def kbest_subsets(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    best = kbest.cheapest_subsets(F.transform(head(8), F.abs), 8, 12)
+    best = kbest.cheapest_subsets(F.transform(head(63), F.abs), 63, 12)
     return v.select("vec_id", F.posexplode(best).alias("rank", "x")).select("vec_id", "rank", r6(F.col("x.cost")).alias("cost"), "x.mask")
 
 
-@query(f"WITH {_ranked(8, 10.0)} SELECT vec_id, rank::INT AS rank, code FROM k WHERE rank < 12")
+@query(f"{_beam(10.0)} SELECT vec_id, rank, code FROM k")
 def kbest_outcomes(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return v.select("vec_id", F.posexplode(kbest.likeliest_outcomes(head(8, 10.0), 8, 12)).alias("rank", "x")).select("vec_id", "rank", "x.code")
+    return v.select("vec_id", F.posexplode(kbest.likeliest_outcomes(head(63, 10.0), 63, 12)).alias("rank", "x")).select("vec_id", "rank", "x.code")
 
 
 @query("""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS v FROM embeddings),
@@ -801,22 +810,26 @@ def loss_pairs(spark, sf_dir, n: int = 6) -> DataFrame:
     return hamming.all_pairs(q, d).where("q <> d").select("zq", "zd", (F.col("lq") == F.col("ld")).alias("r"))
 
 
-_LP = "lp AS (SELECT row_number() OVER () AS id, a.label = b.label AS r, list_transform(a.embedding[1:6], lambda v: 10 * v::DOUBLE) AS x, list_transform(b.embedding[1:6], lambda v: 10 * v::DOUBLE) AS y FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id)"
+def _pairs_sql(n: int) -> str:
+    return f"lp AS (SELECT row_number() OVER () AS id, a.label = b.label AS r, list_transform(a.embedding[1:{n}], lambda v: 10 * v::DOUBLE) AS x, list_transform(b.embedding[1:{n}], lambda v: 10 * v::DOUBLE) AS y FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id)"
+
+
+_LP, _LP64 = _pairs_sql(6), _pairs_sql(64)
 _TANH = "(1 - 2 / (exp(2 * {v}[i]) + 1))"
-_SH = f"list_sum(list_transform(range(1, 7), lambda i: {_TANH.format(v='x')} * {_TANH.format(v='y')}))"
+_SH = f"list_sum(list_transform(range(1, 65), lambda i: {_TANH.format(v='x')} * {_TANH.format(v='y')}))"
 _DIFF = f"{_SX.replace('::DOUBLE', '')} * (1 - {_SY.replace('::DOUBLE', '')}) + (1 - {_SX.replace('::DOUBLE', '')}) * {_SY.replace('::DOUBLE', '')}"
 
 
-@query(f"WITH {_LP}, s AS (SELECT r, {_SH} AS sh FROM lp) SELECT round(avg(CASE WHEN r THEN (ln(1 + exp(sh)) - sh) / 0.1 ELSE ln(1 + exp(sh)) / 0.9 END), 6) AS loss FROM s")
+@query(f"WITH {_LP64}, s AS (SELECT r, {_SH} AS sh FROM lp) SELECT round(avg(CASE WHEN r THEN (ln(1 + exp(sh)) - sh) / 0.1 ELSE ln(1 + exp(sh)) / 0.9 END), 6) AS loss FROM s")
 def loss_hashnet(spark, sf_dir):
-    return learned.hashnet_loss(loss_pairs(spark, sf_dir), 0.1).select(r6(F.col("loss")).alias("loss"))
+    return learned.hashnet_loss(loss_pairs(spark, sf_dir, 64), 0.1).select(r6(F.col("loss")).alias("loss"))
 
 
-@query(f"""WITH {_LP}, s AS (SELECT r, (6 - {_SH}) / 2 AS d FROM lp), w AS (SELECT c, sum(greatest(1 - abs(c - d), 0)) FILTER (r) AS p, sum(greatest(1 - abs(c - d), 0)) FILTER (NOT r) AS n FROM s, range(0, 7) AS t(c) GROUP BY c),
+@query(f"""WITH {_LP64}, s AS (SELECT r, (64 - {_SH}) / 2 AS d FROM lp), w AS (SELECT c, sum(greatest(1 - abs(c - d), 0)) FILTER (r) AS p, sum(greatest(1 - abs(c - d), 0)) FILTER (NOT r) AS n FROM s, range(0, 65) AS t(c) GROUP BY c),
 f AS (SELECT p / sum(p) OVER () AS a, n / sum(n) OVER () AS b FROM w), m AS (SELECT a, b, 0.1 * a + 0.9 * b AS c FROM f)
 SELECT round(-(sum(CASE WHEN c > 0 THEN -c * ln(c) ELSE 0 END) - 0.1 * sum(CASE WHEN a > 0 THEN -a * ln(a) ELSE 0 END) - 0.9 * sum(CASE WHEN b > 0 THEN -b * ln(b) ELSE 0 END)), 6) AS loss FROM m""")
 def loss_mihash(spark, sf_dir):
-    return learned.mihash_loss(loss_pairs(spark, sf_dir), 6, 0.1).select(r6(F.col("loss")).alias("loss"))
+    return learned.mihash_loss(loss_pairs(spark, sf_dir, 64), 64, 0.1).select(r6(F.col("loss")).alias("loss"))
 
 
 @query(f"""WITH {_LP}, h AS (SELECT id, r, bit_count(s)::INT AS j, sum(list_product(list_transform(range(1, 7), lambda i: CASE WHEN (s >> (i - 1)) & 1 = 1 THEN {_DIFF} ELSE 1 - ({_DIFF}) END))) AS p FROM lp, range(0, 64) AS t(s) GROUP BY ALL), b AS (SELECT *, ln(factorial(6)::DOUBLE / (factorial(j) * factorial(6 - j))::DOUBLE) + j * ln(0.1) + (6 - j) * ln(0.9) AS lpos, ln(factorial(6)::DOUBLE / (factorial(j) * factorial(6 - j))::DOUBLE) + 6 * ln(0.5) AS lneg FROM h),
