@@ -41,7 +41,7 @@ def test_losses_take_all_pairs(spark, tables, kind):
     got = rows_of(spark, folder, f"loss_{kind}")
     same(got, by_sql(folder, f"loss_{kind}"))
     if kind == "hashnet":
-        t = np.tanh(10 * x[:, :6])
+        t = np.tanh(10 * x)
         want = [(np.log1p(np.exp(s)) - s) / 0.1 if label[q] == label[d] else np.log1p(np.exp(s)) / 0.9 for q in (0, 100, 200) for d in range(230) if d != q for s in [t[q] @ t[d]]]
         assert got[0][0] == pytest.approx(np.mean(want), abs=1e-6)
 
@@ -52,11 +52,13 @@ def test_kbest_takes_every_vector(spark, tables, name):
     got = rows_of(spark, folder, f"{name}")
     same(got, by_sql(folder, f"{name}"))
     assert {r[0] for r in got} == set(range(230)) and len(got) == 230 * 12
-    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    bits = (np.arange(4096)[:, None] >> np.arange(12)) & 1
     for i in (1, 229):  # not divisible by 5
-        best = np.argsort(bits @ np.abs(x[i, :8]), kind="stable")[:12]
-        mode = sum(1 << k for k in range(8) if x[i, k] > 0)
-        assert [r[-1] for r in got if r[0] == i] == [int(b) ^ (mode if name == "kbest_outcomes" else 0) for b in best]
+        small = np.argsort(np.abs(x[i, :63]))[:12]  # the 12 cheapest subsets hold no larger component
+        best = np.argsort(bits @ np.abs(x[i, small]), kind="stable")[:12]
+        masks = [sum(1 << int(k) for k, b in zip(small, bits[j]) if b) for j in best]
+        mode = sum(1 << k for k in range(63) if x[i, k] > 0)
+        assert [r[-1] for r in got if r[0] == i] == [m ^ (mode if name == "kbest_outcomes" else 0) for m in masks]
 
 
 def test_soft_hamming_meets_all_documents(spark, tables):
